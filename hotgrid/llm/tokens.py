@@ -4,7 +4,7 @@ Whole-token shortcut: a vocabulary string is *proven whole* if the pre-tokenizer
 leaves it in one piece and the library encodes it, alone, as one token. Merges work
 inside a pre-token only, so every pre-token of a text that equals a proven string is
 one token wherever it stands, and no merge has to be run for it. Only the other
-pre-tokens go to the library, each distinct one once per task's memo.
+pre-tokens go to the library's merges, each distinct one once per task's memo.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from struct import pack
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 BYTE_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 WORD_LEVEL = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+"
 #: Entries that a task's memo of merged pre-tokens may hold before it is emptied.
-MEMO = 400_000
+MEMO = 600_000
 
 
 def load(path: str):
@@ -49,6 +51,16 @@ def _byte_decoder() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(1)
+def _stand_ins() -> dict[int, str]:
+    return {b: c for c, b in _byte_decoder().items()}
+
+
+def merge(tok, pre: str) -> list:
+    """The tokens of one pre-token: the model's merges alone, without the library's pipeline."""
+    return tok.model.tokenize(pre.encode().decode("latin-1").translate(_stand_ins()))
+
+
 @functools.lru_cache(4)
 def whole_tokens(path: str, pattern: str = BYTE_LEVEL) -> frozenset[str]:
     """Vocabulary strings that, as a pre-token, are proven to be exactly one token."""
@@ -82,8 +94,8 @@ class Counter:
             self.memo = dict(self.whole)
         rest = list(set(pre).difference(self.memo))
         self.merged += len(rest)
-        for s, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.memo[s] = len(e.ids)
+        for s in rest:
+            self.memo[s] = len(merge(self.tok, s))
         return sum(map(self.memo.__getitem__, pre))
 
     def count(self, text: str) -> int:
@@ -125,12 +137,10 @@ class IdEncoder:
         self.special = _special(path)
 
     def encode(self, text: str) -> bytes:
-        import unicodedata
-
         if "<|" in text and any(s in text for s in self.special):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lowers each character alone
+            text = normalize("NFC", text).replace("Σ", "σ")  # the library lowers each character alone
         pre = self.findall(text.lower())
         try:
             return b"".join(map(self.memo.__getitem__, pre))
@@ -139,8 +149,9 @@ class IdEncoder:
         if len(self.memo) > MEMO:
             self.memo = {}
         rest = list(set(pre).difference(self.memo))
-        for s, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.memo[s] = np.array(e.ids, "<u4").tobytes()
+        for s in rest:
+            ids = [t.id for t in merge(self.tok, s)]
+            self.memo[s] = pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.memo.__getitem__, pre))
 
 
