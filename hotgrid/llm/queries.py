@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import decontam, langid, packing, quality, secrets_scan, tokens, toxicity
+from hotgrid.llm import decontam, langid, packing, quality, secrets_scan, tokens, toxicity, warc, wrappers
 from hotgrid.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest_columns(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
@@ -46,5 +54,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_quality_rules, op5_packing, op6_decontamination, op7_token_counts, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_quality_rules, op5_packing, op6_decontamination, op7_token_counts, op8_warc, op9_toxicity, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
