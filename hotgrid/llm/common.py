@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +67,17 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([pa.array(got[c.name], c.type) for c in out], schema=out)
 
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
+
+
+#: Ids that may be broadcast to take rows out without a shuffle: 8 bytes each.
+BROADCAST_IDS = 1_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is not in the one column of ``ids``.
+
+    Few ids are broadcast, so that the texts stay where they are; more are joined by id.
+    """
+    gone = written(ids.toDF(id_col).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(gone) if few else gone, id_col, "left_anti")

@@ -184,8 +184,8 @@ class Labeller:
         return out
 
 
-def identify(df: DataFrame, model: Model, spans: bool = False, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """(doc_id, lang_pred, score) and, if asked for, the spans of one language each; no shuffle.
+def identify(df: DataFrame, model: Model, spans: bool = False, text_len: bool = False, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """(doc_id, lang_pred, score) and, if asked for, the spans of one language each and the text's length; no shuffle.
 
     lang_pred is the language with the most letters; score its share of the letters, lowered
     where a rival is close over the whole text. Null texts and texts without a letter are
@@ -197,14 +197,17 @@ def identify(df: DataFrame, model: Model, spans: bool = False, id_col: str = "do
     if spans:
         fields.append(("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
 
+    if text_len:
+        fields.append(("length", pa.int64()))
+
     def start():
         labeller = Labeller(sent.value, switch)
 
         def f(ids, texts):
             got = [labeller.label(t, spans) for t in texts]
-            return {"doc_id": ids, "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [x[2] for x in got]}
+            return {"doc_id": ids, "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [x[2] for x in got], "length": [len(t or "") for t in texts]}
 
         return f
 
-    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,start:long,end:long>>" * spans
+    schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<lang:string,start:long,end:long>>" * spans + ", length long" * text_len
     return map_texts(df, start, pa.schema(fields), schema, id_col, text_col)

@@ -167,11 +167,23 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """(id, text) with the secrets replaced; rows are kept, null stays null."""
-    out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """``df`` with the secrets in its texts replaced and the lengths made to fit; no shuffle.
 
-    def start():
-        return lambda ids, texts: {"doc_id": ids, "text": [redact(t, mark) for t in texts]}
-
-    return map_texts(df, start, out, "doc_id long, text string", id_col, text_col)
+    All rows and columns are kept; a null text stays null and so does its length.
+    """
+    at = df.columns.index(text_col)
+    long = df.columns.index(length_col) if length_col in df.columns else None
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                texts = [redact(t, mark) for t in part.column(at).to_pylist()]
+                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                if long is not None:
+                    kind = part.schema.field(long)
+                    part = part.set_column(long, kind, pa.array([None if t is None else len(t) for t in texts], kind.type))
+                yield part
+
+    return df.mapInArrow(run, df.schema)
