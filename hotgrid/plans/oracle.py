@@ -248,16 +248,17 @@ STATEMENTS: dict[str, str] = {
     "threshold_grid": "SELECT * FROM thresholds",
     "best_threshold": "SELECT threshold, f1, round(objective, 9) AS objective FROM thresholds ORDER BY round(objective, 9) DESC, threshold LIMIT 1",
     "ranker_metrics": """SELECT tp / predicted AS precision, tp / p AS recall, 2 * tp / (predicted + p) AS f1, (ranks - p * (p + 1) / 2) / (p * (n - p)) AS auc, ap / p AS ap, predicted / n AS predicted_rate, p / n AS base_rate
-      FROM (SELECT CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(pos * (below + (n + 1) / 2.0)) AS ranks, sum(pos * tpc / CAST(at AS DOUBLE)) AS ap, CAST(sum(pos) FILTER (score >= 0.5) AS DOUBLE) AS tp, CAST(sum(n) FILTER (score >= 0.5) AS DOUBLE) AS predicted
-      FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER (ORDER BY score DESC) AS tpc, sum(n) OVER (ORDER BY score DESC) AS at FROM s1))""",
+      FROM (SELECT CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(pos * (below + (n + 1) / 2.0)) AS ranks, sum(pos * tpc / CAST(upto AS DOUBLE)) AS ap, CAST(sum(pos) FILTER (score >= 0.5) AS DOUBLE) AS tp, CAST(sum(n) FILTER (score >= 0.5) AS DOUBLE) AS predicted
+      FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER (ORDER BY score DESC) AS tpc, sum(n) OVER (ORDER BY score DESC) AS upto FROM s1))""",
     "daily_topk": "SELECT k, avg(tp / CAST(taken AS DOUBLE)) AS precision, avg(tp / CAST(greatest(1, pos) AS DOUBLE)) AS recall, avg(CASE WHEN pos > 0 THEN (tp / CAST(taken AS DOUBLE)) / (pos / CAST(n AS DOUBLE)) ELSE 0.0 END) AS lift, count(*) AS days FROM top GROUP BY k",
     "fn_overlap": """SELECT count(*) FILTER (s = 3) AS missed_by_all, count(*) FILTER (s IN (1, 2)) AS missed_by_some, count(*) FILTER (s > 0 AND b = 0) AS resolved_by_blend FROM (SELECT cell, max(coalesce(CAST(next_hotspot = 1 AND temporal < 0.5 AS INTEGER), 0)) + max(coalesce(CAST(next_hotspot = 1 AND spatial < 0.5 AS INTEGER), 0)) + max(coalesce(CAST(next_hotspot = 1 AND context < 0.5 AS INTEGER), 0)) AS s,
       max(coalesce(CAST(next_hotspot = 1 AND score < 0.5 AS INTEGER), 0)) AS b FROM scored GROUP BY cell)""",
-    "risk_tiers": "SELECT * FROM tiers",
+    "risk_tiers": "SELECT *, round(score * 1e9) AS score_ppb FROM tiers",
     "confidence": "SELECT * FROM predictions",
     "export_incidents": f"SELECT *, CASE WHEN primary_type IN ({_VIOLENT}) THEN 'VIOLENT' WHEN primary_type IN ({_PROPERTY}) THEN 'PROPERTY' ELSE 'OTHER' END AS crime_category FROM gold WHERE date >= DATE '2001-11-04' - 365 QUALIFY row_number() OVER (PARTITION BY date - CAST(dayofweek(date) AS INTEGER) ORDER BY md5('7:' || unique_key)) <= 20",
-    "export_forecast": "SELECT * FROM forecast",
+    "export_forecast": "SELECT *, round(score * 1e9) AS score_ppb FROM forecast",
     "geojson_features": """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(round(longitude, 6) AS VARCHAR) || ',' || CAST(round(latitude, 6) AS VARCHAR) || ']},"properties":{"prediction_date":"' || CAST(prediction_date AS VARCHAR) || '","cell":"' || cell || '","risk_level":"' || risk_level || '"}}' AS value FROM forecast""",
+    "stream_daily_counts": "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) GROUP BY 1, 2",
     "monitoring_counts": "SELECT r AS risk_level, count(cell) AS n FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS r) LEFT JOIN forecast ON risk_level = r GROUP BY r",
 }
 

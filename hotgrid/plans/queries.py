@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hotgrid.config import Config
 from hotgrid.functions import hexgrid
 from hotgrid.functions.exprs import great_circle_km
-from hotgrid.operators import evaluate, features, gold, panel, rank, silver
+from hotgrid.operators import evaluate, features, gold, learn, panel, rank, silver
 from hotgrid.plans import shapes as S
 from hotgrid.sources import fixtures as V
 
@@ -221,9 +221,9 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("prediction_date", F.date_add("date", 1)).withColumn("dominant_type", rank.dominant(F.col("score") >= 0.5, F.col("temporal"), F.col("spatial")))
 
 
-@query(S.KEY + ", score double, rank int, rank_pct double, risk_level string")
+@query(S.KEY + ", score_ppb long, rank int, rank_pct double, risk_level string")
 def risk_tiers(spark, d):
-    return rank.tiers(scored(spark, d), cfg=CFG)
+    return rank.tiers(scored(spark, d), cfg=CFG).withColumn("score_ppb", F.round(F.col("score") * 1e9))
 
 
 @query(S.KEY + ", score_std double, score_range double, agreement double, confidence_score double, confidence_level string, dominant_type string")
@@ -236,9 +236,9 @@ def export_incidents(spark, d):
     return rank.export_incidents(facts(spark, d), "2001-11-04", 365, Config(first_year=1995, sample_per_week=20))
 
 
-@query("prediction_date date, cell string, score double, risk_level string, confidence_level string, dominant_type string, latitude double, longitude double")
+@query("prediction_date date, cell string, score_ppb long, risk_level string, confidence_level string, dominant_type string, latitude double, longitude double")
 def export_forecast(spark, d):
-    return rank.export_forecast(_predictions(spark, d), clean(spark, d))
+    return rank.export_forecast(_predictions(spark, d), clean(spark, d)).withColumn("score_ppb", F.round(F.col("score") * 1e9))
 
 
 @query("value string")
@@ -258,3 +258,51 @@ def monitoring_counts(spark, d):
 @query("unique_key long, distance_km double")
 def distance_to_center(spark, d):
     return silver.deduplicate(V.incidents(spark, d)).select("unique_key", great_circle_km("latitude", "longitude", F.lit(CFG.center_lat), F.lit(CFG.center_lon)).alias("distance_km"))
+
+
+MODEL_FEATURES = ["lag_1", "lag_7", "roll_mean_7", "roll_mean_30", "roll_max_30", "active_rate_30", "nbr_r1_mean", "nbr_r2_mean", "nbr_r1_roll7", "temp_max", "precipitation", "unemployment_rate", "is_weekend", "dow_sin", "month_cos"]
+
+
+def _modelled(spark: SparkSession, d: str) -> DataFrame:
+    """Panel, a choice of features, targets and splits; persisted, as several fits read it."""
+    p = dense(spark, d).persist()
+    own = features.lags(p).select("cell", "date", "lag_1", "lag_7")
+    rolls = features.rolling(p).select("cell", "date", "roll_mean_7", "roll_mean_30", "roll_max_30", "active_rate_30")
+    nbr = features.neighbours(p, hexgrid.edges(p)).select("cell", "date", "nbr_r1_mean", "nbr_r2_mean", "nbr_r1_roll7")
+    t = features.targets(p).join(F.broadcast(evaluate.splits(p, CFG)), "date")
+    for x in (own, rolls, nbr, t):
+        p = p.join(x, ["cell", "date"])
+    return p.persist()
+
+
+@query(S.KEY + ", temporal double, spatial double, context double, score double, rank int, risk_level string")
+def groupblend_predictions(spark, d):
+    out, _ = learn.group_blend(_modelled(spark, d), MODEL_FEATURES, "next_hotspot", CFG, trees=3)
+    return rank.tiers(out.where("split in ('val', 'test')"), cfg=CFG)
+
+
+@query("bucket string, feature string, gain double, share double")
+def feature_importance(spark, d):
+    _, models = learn.group_blend(_modelled(spark, d), MODEL_FEATURES, "next_hotspot", CFG, trees=3)
+    return learn.importances(spark, models, MODEL_FEATURES)
+
+
+@query("scenario string, precision double, recall double, f1 double, auc double, ap double")
+def ablation(spark, d):
+    return learn.ablation(_modelled(spark, d), MODEL_FEATURES, "next_hotspot", lambda x: evaluate.ranker_metrics(x, "score", "next_hotspot", 0.3), trees=2)
+
+
+@query("date date, event_type string, n long")
+def stream_daily_counts(spark, d):
+    """Events a day and type by a streaming aggregation over the table's files, run to the end."""
+    import uuid
+
+    name = f"daily_{uuid.uuid4().hex[:8]}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    late = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "26 days").dropDuplicatesWithinWatermark(["event_id"])
+    counts = late.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("date"), "event_type", "n")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
+    (q.option("checkpointLocation", f"{base}/{name}") if base else q).start().awaitTermination()
+    return spark.table(name)
