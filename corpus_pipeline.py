@@ -9,21 +9,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hotgrid.llm import decontam, langid, neardup, packing, secrets_scan
 from hotgrid.llm.common import table, without, written
 
-#: A text of so many code points whose score is below the cutoff has no language of its own.
-LONG, MIXED = 200, 0.25
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and long ones in which no language prevails, go."""
+    """Documents in which no language can be found (``und``: null, or not a letter) go."""
     model = langid.fit(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model, text_len=True)
-    gone = found.where((F.col("lang_pred") == "und") | ((F.col("score") < MIXED) & (F.col("length") >= LONG)))
-    return without(docs, gone.select("doc_id"))
+    found = langid.identify(docs, model)
+    return without(docs, found.where("lang_pred = 'und'").select("doc_id"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,9 +78,11 @@ def tree(page: str) -> list:
     pos, n = 0, len(page)
     while pos < n:
         m = _TOKEN.match(page, pos)
-        if not m:  # a tag that never ends
+        if not m:
             break
         pos = m.end()
+        if m[4] == "<" and page[pos : pos + 1].isalpha() and page.find(">", pos) < 0:
+            break  # a tag that never ends
         if m[4] is not None:
             stack[-1][1].append(m[4])
             continue
