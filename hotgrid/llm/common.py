@@ -69,7 +69,7 @@ def map_texts(
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, schema)
 
 
-#: Ids that may be broadcast to take rows out without a shuffle: 8 bytes each.
+#: Ids that may be broadcast to take out or pick rows without a shuffle: 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
 
@@ -81,3 +81,10 @@ def without(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     gone = written(ids.toDF(id_col).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return df.join(F.broadcast(gone) if few else gone, id_col, "left_anti")
+
+
+def only(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is in the one column of ``ids``; broadcast or joined as in :func:`without`."""
+    kept = written(ids.toDF(id_col).distinct(), "kept")
+    few = kept.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(kept) if few else kept, id_col, "left_semi")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.common import written
+from hotgrid.llm.common import only, written
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 is missed with probability 7e-5.
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
     members = written(found.join(hubs, ["band", "key"]), "members")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = written(texts.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = written(only(texts, members.select("id"), "id"), "texts")
 
     best = members.where("id <> -hub.minus").groupBy("id").agg(F.max("hub").alias("hub"))
     links = written(verify(best.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a")), texts, least).select("a", "b"), "links")
