@@ -32,6 +32,10 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Members that one task verifies against one text at most; more are dealt over more tasks.
 SALT_ROWS = 200
+#: Buckets of up to so many texts are compared pair by pair, larger ones in blocks.
+SMALL = 4
+#: Shingles of the texts in a block, about.
+BLOCK_SHINGLES = 300_000
 _WORD = re.compile(r"[^\W_]+")
 MEMO = 400_000
 _U = np.uint64
@@ -230,6 +234,81 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _links(least: float):
+    def run(batches):
+        own, at, rows = shingler(), None, []
+        for b in batches:
+            out = []
+            for *place, i, group, side, text in zip(*[b.column(k).to_pylist() for k in range(8)], strict=True):
+                if place != at:
+                    out += block_links(rows, least, at[2] != at[3] if at else False)
+                    at, rows = place, []
+                rows.append((i, group, side, own.bag(text)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+        if out := block_links(rows, least, at[2] != at[3] if at else False):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def block_links(rows: list[tuple], least: float, across: bool) -> list[tuple[int, int]]:
+    """Links that connect what is similar among (id, group, side, bag): compares all pairs of groups.
+
+    With ``across`` only texts of different sides are compared. An index from shingles to texts
+    gives one text's overlap with all others at once; texts that are connected by now are left
+    out, so at most one link fewer than texts comes out.
+    """
+    if len(rows) < 2:
+        return []
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    sizes = np.array([r[3][1].sum() for r in rows])
+    sides = np.array([r[2] for r in rows])
+    items = np.concatenate([r[3][0] for r in rows])
+    counts = np.concatenate([r[3][1] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(r[3][0]) for r in rows])
+    order = np.argsort(items, kind="stable")
+    items, counts, owner = items[order], counts[order], owner[order]
+    out = []
+    for i, (a, group, side, bag) in enumerate(rows[:-1]):
+        lo, hi = np.searchsorted(items, bag[0], "left"), np.searchsorted(items, bag[0], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], weights=np.minimum(np.repeat(bag[1], n), counts[at]), minlength=len(rows))
+        alike = both >= least * (sizes + sizes[i] - both) - 1e-9
+        alike[: i + 1] = False
+        if across:
+            alike &= sides != side
+        for k in np.flatnonzero(alike).tolist():
+            x, y = root(group), root(rows[k][1])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((a, rows[k][0]))
+    return out
+
+
+def crowded(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between groups inside bands' buckets of many texts (band, key, id, n, group, total).
+
+    The texts of a bucket are dealt to blocks of bounded size and each pair of blocks is
+    compared in one task; rows grow with the texts and blocks, never with the pairs.
+    """
+    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = ["band", "key", "x", "y"]
+    rows = rows.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "group", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = rows.join(texts, "id").repartition(*place).sortWithinPartitions(*place, "id")
+    return dealt.select(*place, "id", "group", "side", "text").mapInArrow(_links(least), "a long, b long")
+
+
 def grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
 
@@ -245,9 +324,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
 
     First every text is compared with the most central text of its bands, then with those of each
     of its bands that it is not yet connected with, at last with every text that shares a band
-    with it, is about as long and is in another group so far. So a group of n near copies around
-    an original costs about n comparisons; no candidate pair of different groups is left out,
-    and none that is connected already is made.
+    with it and is in another group so far. So a group of n near copies around an original
+    costs about n comparisons, and no candidate pair of different groups is left out. The last
+    step makes pairs only in buckets of a few texts; larger ones are compared in blocks.
     """
     sketches = written(sketch(docs, id_col, text_col), "sketches")
     alone = (F.col("mark1") == 0) & (F.col("mark2") == 0) & (F.col("n") == 0)
@@ -280,13 +359,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
     links = links.unionByName(written(verify(written(again, "again"), texts, least).select("a", "b"), "links2"))
     groups = components(links)
 
-    known = grouped(members, groups)
-    mixed = known.groupBy("band", "key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 <> g2").select("band", "key")
-    left = written(known.join(mixed, ["band", "key"]).select("band", "key", "id", "n", "group"), "left")
-    other = left.select("band", "key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
+    known = grouped(members, groups).select("band", "key", "id", "n", "group")
+    mixed = known.groupBy("band", "key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("m"), F.sum("n").alias("total")).where("g1 <> g2").drop("g1", "g2")
+    left = written(known.join(mixed, ["band", "key"]), "left")
+    few = left.where(F.col("m") <= SMALL)
+    other = few.select("band", "key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
     near = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
-    rest = left.join(other, ["band", "key"]).where((F.col("id") < F.col("b")) & (F.col("group") != F.col("group_b")) & near).select(F.col("id").alias("a"), "b").distinct()
-    more = written(verify(written(rest, "pairs"), texts, least).select("a", "b"), "more")
+    rest = few.join(other, ["band", "key"]).where((F.col("id") < F.col("b")) & (F.col("group") != F.col("group_b")) & near).select(F.col("id").alias("a"), "b").distinct()
+    more = verify(written(rest, "pairs"), texts, least).select("a", "b").unionByName(crowded(left.where(F.col("m") > SMALL), texts, least))
+    more = written(more, "more")
     groups = components(links.unionByName(more))
 
     out = classes.join(groups.select(F.col("id").alias("rep"), "group"), "rep", "left")
