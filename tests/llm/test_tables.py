@@ -53,7 +53,7 @@ def test_mismatches_become_optional_and_repeated():
 
 
 def test_boilerplate_without_an_article(spark):
-    rows = [(i, "http://h.org/x", f"<div>same everywhere</div><div>text {i}</div>") for i in range(4)]
+    rows = [(i, "http://h.org/x", f"<h4>same everywhere</h4><div>text {i}</div>") for i in range(4)]
     assert {r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()} == {f"text {i}" for i in range(4)}
 
 
