@@ -28,7 +28,7 @@ def duck(sf):
 
 def _rows(df: pd.DataFrame) -> list:
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "None"
         return repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:60]
 
