@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import numbers
 
 import duckdb
 import pandas as pd
@@ -30,7 +31,7 @@ def _rows(df: pd.DataFrame) -> list:
     def plain(v):
         if pd.isna(v):
             return "None"
-        return repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)[:60]
+        return repr(round(float(v), 6) + 0.0) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)[:60]
 
     return sorted(tuple(plain(v)[:10] if c in ("date", "prediction_date") else plain(v) for c, v in zip(df.columns, r, strict=True)) for r in df.itertuples(index=False, name=None))
 
