@@ -141,10 +141,16 @@ def name(unit: list) -> str:
     return "#" if unit[0] == "t" else unit[1] if unit[0] == "e" else "(" + " ".join(map(name, unit[1])) + ")"
 
 
+def digest(text: str) -> str | None:
+    """Of a text but for its spaces; None of one without more."""
+    text = " ".join(html.unescape(text).split())
+    return hashlib.sha1(text.encode()).hexdigest()[:12] if text else None
+
+
 def _unit(child) -> list | None:
     if isinstance(child, str):
-        text = " ".join(html.unescape(child).split())
-        return ["t", hashlib.sha1(text.encode()).hexdigest()[:12], 0] if text else None
+        d = digest(child)
+        return ["t", d, 0] if d else None
     return ["e", child[0], fold([u for c in child[1] if (u := _unit(c))]), 0, 0]
 
 
@@ -217,50 +223,120 @@ def _is_root(key: str) -> bool:
     return tag in ("article", "main") or bool(MAIN_WORDS.intersection(words))
 
 
-def has_root(units: list[list]) -> bool:
-    for u in units:
-        if u[0] == "g":
-            if has_root(u[1]):
-                return True
-        elif u[0] == "e" and not outside(u[1]) and (_is_root(u[1]) or has_root(u[2])):
-            return True
-    return False
+class Slots:
+    """A wrapper's sequence of units, made ready to be matched with a page's children in order.
+
+    Groups are laid flat. ``back[p]`` is the first place that may follow place p: p itself
+    if its unit repeats, the group's start within a repeated group, else the next place.
+    """
+
+    def __init__(self, units: list[list], n: int):
+        self.units, self.back, self.group, self.must, self.n = [], [], [], [0], n
+        self._flatten(units, None, True)
+        self.at: dict[str, list[int]] = {}
+        for p, u in enumerate(self.units):
+            self.at.setdefault(name(u), []).append(p)
+        self.inner = [Slots(u[2], n) if u[0] == "e" and not outside(u[1]) else None for u in self.units]
+        #: Whether any text here or deeper is fixed: else there is nothing to match for.
+        self.any = any(map(self.fixed, range(len(self.units)))) or any(x is not None and x.any for x in self.inner)
+
+    def _flatten(self, units: list[list], group: int | None, must: bool) -> None:
+        for u in units:
+            p = len(self.units)
+            if u[0] == "g":
+                self._flatten(u[1], p if group is None else group, must and not u[2])
+                continue
+            self.units.append(u)
+            self.group.append(group)
+            self.back.append(group if group is not None else p if u[0] == "t" or u[4] else p + 1)
+            self.must.append(self.must[-1] + (must and not u[2 if u[0] == "t" else 3]))
+
+    def fixed(self, p: int) -> bool:
+        """Whether the text in this place belongs to the host and not to a page."""
+        u = self.units[p]
+        return u[0] == "t" and u[1] is not None and not u[2] and self.n >= 3
+
+    def match(self, children: list) -> list[int | None]:
+        """The place of each child: of all ways through the units that with the fewest left out.
+
+        A constant takes only its own text. A child that no way reaches has no place.
+        """
+        found: list[int | None] = [None] * len(children)
+        ways: dict[int, float] = {-1: 0}
+        steps = []
+        for i, c in enumerate(children):
+            if isinstance(c, str):
+                d = digest(c)
+                places = d and [p for p in self.at.get("#", ()) if self.units[p][1] in (None, d)]
+            else:
+                places = self.at.get(c[0])
+            if not places:
+                continue
+            # every way as the left-outs up to a place ahead, and within a repeated group
+            ahead = sorted((p, cost - self.must[p + 1]) for p, cost in ways.items())
+            loops: dict[int, tuple[float, int]] = {}
+            for p, cost in ways.items():
+                g = self.group[p] if p >= 0 else None
+                if g is not None and (g not in loops or (cost, p) < loops[g]):
+                    loops[g] = cost, p
+            k, best, new, came = 0, None, {}, {}
+            for q in places:
+                while k < len(ahead) and ahead[k][0] < q:
+                    if best is None or ahead[k][1] < best[0]:
+                        best = ahead[k][1], ahead[k][0]
+                    k += 1
+                options = [(best[0] + self.must[q], best[1])] if best else []
+                if self.group[q] in loops:
+                    options.append(loops[self.group[q]])
+                if q in ways and self.back[q] == q:
+                    options.append((ways[q], q))
+                if options:
+                    new[q], came[q] = min(options)
+            if new:
+                steps.append((i, came))
+                ways = new
+        last = min(ways, key=lambda p: (ways[p] + self.must[-1] - self.must[p + 1], p))
+        for i, came in reversed(steps):
+            found[i], last = last, came[last]
+        return found
 
 
 @functools.lru_cache(20_000)
-def _loaded(wrapper: str) -> tuple[list, bool, int]:
+def _loaded(wrapper: str) -> Slots:
     data = json.loads(wrapper)
-    return data["w"], has_root(data["w"][2]), data["n"]
+    return Slots(data["w"][2], data["n"])
+
+
+def fixed_texts(node: list, slots: Slots) -> set[tuple[int, int]]:
+    """(id of the node, number of the child) of the page's texts that its host's wrapper has fixed."""
+    out: set[tuple[int, int]] = set()
+    todo = [(node, slots)]
+    while todo:
+        node, slots = todo.pop()
+        if not slots.any:
+            continue
+        for i, p in enumerate(slots.match(node[1])):
+            if p is None:
+                continue
+            if slots.inner[p] is not None:
+                todo.append((node[1][i], slots.inner[p]))
+            elif slots.fixed(p):
+                out.add((id(node), i))
+    return out
 
 
 def _page_root(node: list) -> bool:
     return any(not isinstance(c, str) and not outside(c[0]) and (_is_root(c[0]) or _page_root(c)) for c in node[1])
 
 
-def extract(page: str | None, wrapper: str) -> str:
-    """The article's text: the texts in slots of the host's wrapper that belong to it.
-
-    In a wrapper with an article or main element the slots inside count. In one without,
-    all slots outside of menus and the like count, except texts that are the same
-    on all of three or more pages.
-    """
-    if not page:
-        return ""
-    node = tree(page)
-    expr, rooted, n = _loaded(wrapper)
-    inside = not (rooted and _page_root(node))
+def content(node: list, fixed: set[tuple[int, int]] = frozenset()) -> str:
+    """The text of a page's article or main element, or of all the page without one, but for ``fixed``."""
     blocks: list[list[str]] = [[]]
 
-    def walk(node: list, units: list[list], inside: bool) -> None:
-        slots: dict[str, list] = {}
-        for u in units:
-            for v in u[1] if u[0] == "g" else [u]:
-                slots.setdefault(name(v), v)
-        for child in node[1]:
+    def walk(node: list, inside: bool) -> None:
+        for i, child in enumerate(node[1]):
             if isinstance(child, str):
-                slot = slots.get("#")
-                fixed = not rooted and n >= 3 and slot is not None and slot[1] is not None and not slot[2]
-                if inside and not fixed:
+                if inside and (id(node), i) not in fixed:
                     blocks[-1].append(child)
                 continue
             key = child[0]
@@ -269,21 +345,33 @@ def extract(page: str | None, wrapper: str) -> str:
             tag = key.partition(".")[0]
             if tag == "header" and not inside:
                 continue
-            slot = slots.get(key)
             block = tag in BLOCK
             if block:
                 blocks.append([])
             elif tag == "br":
                 blocks[-1].append(" ")
-            walk(child, slot[2] if slot else [], inside or _is_root(key))
+            walk(child, inside or _is_root(key))
             if block:
                 blocks.append([])
 
-    walk(node, expr[2], inside)
+    walk(node, not _page_root(node))
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 
+def extract(page: str | None, wrapper: str) -> str:
+    """The article's text: the page is aligned with its host's wrapper, and texts in fixed slots go.
+
+    Of a page with an article or main element the texts inside count, of one without all
+    outside of menus and the like. In a page without, texts that are the same on all
+    of three or more pages go.
+    """
+    if not page:
+        return ""
+    node, slots = tree(page), _loaded(wrapper)
+    return content(node, frozenset() if _page_root(node) else fixed_texts(node, slots))
+
+
 def host(url: str | None) -> str:
     m = re.match(r"(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""

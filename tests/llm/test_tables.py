@@ -57,6 +57,11 @@ def test_boilerplate_without_an_article(spark):
     assert {r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()} == {f"text {i}" for i in range(4)}
 
 
+def test_each_text_meets_its_own_slot(spark):
+    rows = [(i, "http://h.org/x", f"<div>By <b>Ann</b> long text {i}<br>and more {i}</div>") for i in range(4)]
+    assert {r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()} == {f"long text {i} and more {i}" for i in range(4)}
+
+
 def test_archives_round_trip(spark):
     long = "é" * 600 + "WARC/1.1\r\n\r\n"
     rows = [(1, "http://a", long), (5, "http://b", long), (3, "http://c\r\nX: y", long), (4, None, None), (6, "u", "short"), (7, "u", "short")]
