@@ -7,8 +7,9 @@ is a regular expression without unions, the host's wrapper, and aligning wrapper
 aligning pages. So every task folds its pages into one wrapper per host, and the partial
 wrappers of a host are aligned in two further steps, however many pages the host has.
 
-Extraction aligns each page with its host's wrapper, whose slots tell article text from what
-surrounds it.
+Extraction aligns each page with its host's wrapper. Texts in slots that have one and the same
+text on three or more pages are the host's and go, inside of articles too; lists of tags and of
+words in class, id and role then find the article and leave out menus and the like.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ DEPTH = 60
 #: Bytes of wrappers that may be broadcast; more are joined by host.
 BROADCAST_BYTES = 32_000_000
 PERIODS = (1, 2, 3)
+#: A slot's text is the host's if it is the same on so many pages that differ in content.
+PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -133,8 +136,9 @@ def tree(page: str) -> list:
     return root
 
 
-# A wrapper's units: ["t", constant or None, optional], ["e", key, units, optional, repeated] and
-# ["g", units, optional, repeated] for repeated groups of several units.
+# A wrapper's units: ["t", constant or None, optional, contents], ["e", key, units, optional, repeated]
+# and ["g", units, optional, repeated] for repeated groups of several units. The contents of a
+# constant are digests of the first PAGES (by digest) different contents of pages that have it.
 
 
 def name(unit: list) -> str:
@@ -147,22 +151,24 @@ def digest(text: str) -> str | None:
     return hashlib.sha1(text.encode()).hexdigest()[:12] if text else None
 
 
-def _unit(child) -> list | None:
+def _unit(child, page: str) -> list | None:
     if isinstance(child, str):
         d = digest(child)
-        return ["t", d, 0] if d else None
-    return ["e", child[0], fold([u for c in child[1] if (u := _unit(c))]), 0, 0]
+        return ["t", d, 0, [page]] if d else None
+    return ["e", child[0], fold([u for c in child[1] if (u := _unit(c, page))]), 0, 0]
 
 
 def infer(page: list) -> list:
     """The page's own expression, equal neighbours folded into repeated groups."""
-    return _unit(page)
+    return _unit(page, hashlib.sha1(content(page).encode()).hexdigest()[:12])
 
 
 def merge(a: list, b: list) -> list:
     """The expression that covers both of two units with one name."""
     if a[0] == "t":
-        return ["t", a[1] if a[1] == b[1] else None, a[2] | b[2]]
+        if a[1] is None or a[1] != b[1]:
+            return ["t", None, a[2] | b[2], []]
+        return ["t", a[1], a[2] | b[2], a[3] if a[3] == b[3] else sorted({*a[3], *b[3]})[:PAGES]]
     if a[0] == "g":
         return ["g", align(a[1], b[1]), a[2] | b[2], a[3] | b[3]]
     return ["e", a[1], align(a[2], b[2]), a[3] | b[3], a[4] | b[4]]
@@ -230,13 +236,13 @@ class Slots:
     if its unit repeats, the group's start within a repeated group, else the next place.
     """
 
-    def __init__(self, units: list[list], n: int):
-        self.units, self.back, self.group, self.must, self.n = [], [], [], [0], n
+    def __init__(self, units: list[list]):
+        self.units, self.back, self.group, self.must = [], [], [], [0]
         self._flatten(units, None, True)
         self.at: dict[str, list[int]] = {}
         for p, u in enumerate(self.units):
             self.at.setdefault(name(u), []).append(p)
-        self.inner = [Slots(u[2], n) if u[0] == "e" and not outside(u[1]) else None for u in self.units]
+        self.inner = [Slots(u[2]) if u[0] == "e" and not outside(u[1]) else None for u in self.units]
         #: Whether any text here or deeper is fixed: else there is nothing to match for.
         self.any = any(map(self.fixed, range(len(self.units)))) or any(x is not None and x.any for x in self.inner)
 
@@ -254,7 +260,7 @@ class Slots:
     def fixed(self, p: int) -> bool:
         """Whether the text in this place belongs to the host and not to a page."""
         u = self.units[p]
-        return u[0] == "t" and u[1] is not None and not u[2] and self.n >= 3
+        return u[0] == "t" and u[1] is not None and len(u[3]) >= PAGES
 
     def match(self, children: list) -> list[int | None]:
         """The place of each child: of all ways through the units that with the fewest left out.
@@ -303,8 +309,7 @@ class Slots:
 
 @functools.lru_cache(20_000)
 def _loaded(wrapper: str) -> Slots:
-    data = json.loads(wrapper)
-    return Slots(data["w"][2], data["n"])
+    return Slots(json.loads(wrapper)[2])
 
 
 def fixed_texts(node: list, slots: Slots) -> set[tuple[int, int]]:
@@ -363,13 +368,13 @@ def extract(page: str | None, wrapper: str) -> str:
     """The article's text: the page is aligned with its host's wrapper, and texts in fixed slots go.
 
     Of a page with an article or main element the texts inside count, of one without all
-    outside of menus and the like. In a page without, texts that are the same on all
-    of three or more pages go.
+    outside of menus and the like. Fixed are the slots whose text is the same on three or
+    more pages of different content, so copies of a page do not make its text the host's.
     """
     if not page:
         return ""
-    node, slots = tree(page), _loaded(wrapper)
-    return content(node, frozenset() if _page_root(node) else fixed_texts(node, slots))
+    node = tree(page)
+    return content(node, fixed_texts(node, _loaded(wrapper)))
 
 
 def host(url: str | None) -> str:
@@ -377,16 +382,13 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _dump(wrapper: list, n: int) -> str:
-    return json.dumps({"w": wrapper, "n": n}, separators=(",", ":"), ensure_ascii=False)
+def _dump(wrapper: list) -> str:
+    return json.dumps(wrapper, separators=(",", ":"), ensure_ascii=False)
 
 
-def _combine(parts) -> tuple[list, int]:
+def _combine(parts) -> list:
     """Align wrappers in the order of their text, so that the result does not depend on arrival."""
-    whole, n = None, 0
-    for data in map(json.loads, sorted(parts)):
-        whole, n = (data["w"] if whole is None else merge(whole, data["w"])), n + data["n"]
-    return whole, n
+    return functools.reduce(merge, map(json.loads, sorted(parts)))
 
 
 _WRAPPERS = pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())])
@@ -406,18 +408,13 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 part = b.slice(at, 256)
                 for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     h, own = host(url), infer(tree(page or ""))
-                    have = found.get(h)
-                    if have is None:
-                        found[h] = [own, 1]
-                    else:
-                        have[0], have[1] = merge(have[0], own), have[1] + 1
-        rows = [(h, int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % salts, w) for h, (x, n) in found.items() for w in [_dump(x, n)]]
+                    found[h] = merge(found[h], own) if h in found else own
+        rows = [(h, int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % salts, w) for h, x in found.items() for w in [_dump(x)]]
         for at in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 500], strict=True), _WRAPPERS, strict=True)], schema=_WRAPPERS)
 
     def combined(t: pa.Table) -> pa.Table:
-        w, n = _combine(t["wrapper"].to_pylist())
-        return pa.table([[t["host"][0].as_py()], [0], [_dump(w, n)]], schema=_WRAPPERS)
+        return pa.table([[t["host"][0].as_py()], [0], [_dump(_combine(t["wrapper"].to_pylist()))]], schema=_WRAPPERS)
 
     ddl = "host string, salt long, wrapper string"
     parts = pages.select(url_col, html_col).mapInArrow(fold_pages, ddl)
@@ -440,7 +437,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.lower(host_col).alias("host"))
     joined = rows.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    plain = _dump(["e", "html", [], 0, 0], 1)
+    plain = _dump(["e", "html", [], 0, 0])
 
     def run(batches):
         for b in batches:

@@ -62,6 +62,14 @@ def test_each_text_meets_its_own_slot(spark):
     assert {r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()} == {f"long text {i} and more {i}" for i in range(4)}
 
 
+def test_boilerplate_inside_articles(spark):
+    pages = [f"<article><h1>T {i}</h1><p>body {i}</p><div class=box>Read this too</div>{'<h5>Sale</h5>' * (i % 2)}</article>" for i in range(8)]
+    rows = [(i, "http://h.org/x", h) for i, h in enumerate(pages)] + [(10 + i, "http://copies.org/x", pages[1]) for i in range(5)]
+    got = {r.page_id: r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()}
+    assert all(got[i] == f"T {i}\nbody {i}" for i in range(8))
+    assert all(got[10 + i] == "T 1\nbody 1\nRead this too\nSale" for i in range(5))
+
+
 def test_archives_round_trip(spark):
     long = "é" * 600 + "WARC/1.1\r\n\r\n"
     rows = [(1, "http://a", long), (5, "http://b", long), (3, "http://c\r\nX: y", long), (4, None, None), (6, "u", "short"), (7, "u", "short")]
