@@ -46,7 +46,7 @@ OUTSIDE_WORDS = frozenset(
     social related recommended pagination pager skip complementary contentinfo search""".split()
 )
 MAIN_WORDS = frozenset("main article articlebody".split())
-#: Elements nested deeper than this are read as part of the element around them.
+#: Wrappers nest so deep; what is deeper they hold as a flat sequence of its tags and texts.
 DEPTH = 60
 #: Bytes of wrappers that may be broadcast; more are joined by host.
 BROADCAST_BYTES = 32_000_000
@@ -73,10 +73,19 @@ def key_of(tag: str, attrs: str) -> str:
 def tree(page: str) -> list:
     """The page as nested [key, children]; a child is a node or a text. Any markup is accepted."""
     root = ["html", []]
-    stack = [root]
+    stack, names = [root], ["html"]
+    places: dict[str, list[int]] = {}  # of the open elements with a name, the outermost first
+    blocks: list[int] = []
+
+    def last(*tags: str) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def close(to: int) -> None:
-        del stack[to:]
+        for name in names[to:]:
+            places[name].pop()
+        while blocks and blocks[-1] >= to:
+            blocks.pop()
+        del stack[to:], names[to:]
 
     pos, n = 0, len(page)
     while pos < n:
@@ -95,13 +104,9 @@ def tree(page: str) -> list:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].partition(".")[0]
-                if name == tag:
-                    close(i)
-                    break
-                if tag not in BLOCK and name in BLOCK:
-                    break  # an inline end tag does not close the block around it
+            at = last(tag)
+            if at and (tag in BLOCK or not blocks or blocks[-1] < at):
+                close(at)  # an inline end tag does not close the block around it
             continue
         if tag in ("html", "body"):
             continue
@@ -109,30 +114,22 @@ def tree(page: str) -> list:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
             pos = end.end() if end else n
             continue
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].partition(".")[0]
-                if name == "p":
-                    close(i)
-                    break
-                if name in BLOCK:
-                    break
+        if tag in BLOCK and blocks and names[blocks[-1]] == "p":
+            close(blocks[-1])
         if tag in IMPLIED:
-            for i in range(len(stack) - 1, 0, -1):
-                name = stack[i][0].partition(".")[0]
-                if name in IMPLIED[tag]:
-                    close(i)
-                    if not (tag == "tr" and name != "tr"):
-                        break
-                elif name in ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select"):
+            while (at := last(*IMPLIED[tag])) > last("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select"):
+                name = names[at]
+                close(at)
+                if not (tag == "tr" and name != "tr"):
                     break
         node = [key_of(tag, m[3]), []]
-        if tag in VOID:
-            stack[-1][1].append(node)
-        elif len(stack) <= DEPTH:
-            stack[-1][1].append(node)
-            if not m[3].rstrip().endswith("/") or tag in BLOCK:
-                stack.append(node)
+        stack[-1][1].append(node)
+        if tag not in VOID and (not m[3].rstrip().endswith("/") or tag in BLOCK):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append(node)
+            names.append(tag)
     return root
 
 
@@ -151,11 +148,27 @@ def digest(text: str) -> str | None:
     return hashlib.sha1(text.encode()).hexdigest()[:12] if text else None
 
 
-def _unit(child, page: str) -> list | None:
+def members(node: list, depth: int) -> list[tuple[list, int, bool]]:
+    """(node, number of the child, whether its own children follow here) of what a wrapper holds at this depth."""
+    if depth < DEPTH:
+        return [(node, i, False) for i in range(len(node[1]))]
+    out, todo = [], [(node, 0)]
+    while todo:
+        node, i = todo.pop()
+        if i < len(node[1]):
+            out.append((node, i, True))
+            todo.append((node, i + 1))
+            if not isinstance(node[1][i], str):
+                todo.append((node[1][i], 0))
+    return out
+
+
+def _unit(child, page: str, depth: int = 0, flat: bool = False) -> list | None:
     if isinstance(child, str):
         d = digest(child)
         return ["t", d, 0, [page]] if d else None
-    return ["e", child[0], fold([u for c in child[1] if (u := _unit(c, page))]), 0, 0]
+    inner = [] if flat else fold([u for n, i, f in members(child, depth) if (u := _unit(n[1][i], page, depth + 1, f))])
+    return ["e", child[0], inner, 0, 0]
 
 
 def infer(page: list) -> list:
@@ -315,33 +328,46 @@ def _loaded(wrapper: str) -> Slots:
 def fixed_texts(node: list, slots: Slots) -> set[tuple[int, int]]:
     """(id of the node, number of the child) of the page's texts that its host's wrapper has fixed."""
     out: set[tuple[int, int]] = set()
-    todo = [(node, slots)]
+    todo = [(node, slots, 0)]
     while todo:
-        node, slots = todo.pop()
+        node, slots, depth = todo.pop()
         if not slots.any:
             continue
-        for i, p in enumerate(slots.match(node[1])):
+        inner = members(node, depth)
+        for (owner, i, flat), p in zip(inner, slots.match([n[1][i] for n, i, _ in inner]), strict=True):
             if p is None:
                 continue
             if slots.inner[p] is not None:
-                todo.append((node[1][i], slots.inner[p]))
+                if not flat:
+                    todo.append((owner[1][i], slots.inner[p], depth + 1))
             elif slots.fixed(p):
-                out.add((id(node), i))
+                out.add((id(owner), i))
     return out
 
 
 def _page_root(node: list) -> bool:
-    return any(not isinstance(c, str) and not outside(c[0]) and (_is_root(c[0]) or _page_root(c)) for c in node[1])
+    todo = [node]
+    while todo:
+        for c in todo.pop()[1]:
+            if not isinstance(c, str) and not outside(c[0]):
+                if _is_root(c[0]):
+                    return True
+                todo.append(c)
+    return False
 
 
 def content(node: list, fixed: set[tuple[int, int]] = frozenset()) -> str:
     """The text of a page's article or main element, or of all the page without one, but for ``fixed``."""
     blocks: list[list[str]] = [[]]
-
-    def walk(node: list, inside: bool) -> None:
-        for i, child in enumerate(node[1]):
+    todo = [(node, 0, not _page_root(node), False)]
+    while todo:
+        node, i, inside, block = todo.pop()
+        children = node[1]
+        while i < len(children):
+            child = children[i]
+            i += 1
             if isinstance(child, str):
-                if inside and (id(node), i) not in fixed:
+                if inside and (id(node), i - 1) not in fixed:
                     blocks[-1].append(child)
                 continue
             key = child[0]
@@ -350,16 +376,15 @@ def content(node: list, fixed: set[tuple[int, int]] = frozenset()) -> str:
             tag = key.partition(".")[0]
             if tag == "header" and not inside:
                 continue
-            block = tag in BLOCK
-            if block:
+            if tag in BLOCK:
                 blocks.append([])
             elif tag == "br":
                 blocks[-1].append(" ")
-            walk(child, inside or _is_root(key))
+            todo += [(node, i, inside, block), (child, 0, inside or _is_root(key), tag in BLOCK)]
+            break
+        else:
             if block:
                 blocks.append([])
-
-    walk(node, not _page_root(node))
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 

@@ -70,6 +70,17 @@ def test_boilerplate_inside_articles(spark):
     assert all(got[10 + i] == "T 1\nbody 1\nRead this too\nSale" for i in range(5))
 
 
+def test_deep_elements_are_whole(spark):
+    deep = lambda x: "<div>" * 3000 + x + "</div>" * 3000
+    rows = [(i, "http://h.org/x", f"<div id=page><article>{deep(f'a {i}<nav>menu</nav><p>b {i}</p><h6>Same</h6>')}<p>rest</p></article></div><p>off</p>") for i in range(2)]
+    rows += [(10 + i, "http://g.org/x", f"<div id=page><article>{deep(f'a {i}<h6>Same</h6>')}<p>rest {i}</p></article></div><p>off</p>") for i in range(4)]
+    rows += [(20, "http://f.org/x", "<i>" * 50_000 + "x" + "</b>" * 50_000 + "</i>" * 50_000 + "y")]
+    got = {r.page_id: r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()}
+    assert all(got[i] == f"a {i}\nb {i}\nSame\nrest" for i in range(2))
+    assert all(got[10 + i] == f"a {i}\nrest {i}" for i in range(4))
+    assert got[20] == "xy"
+
+
 def test_archives_round_trip(spark):
     long = "é" * 600 + "WARC/1.1\r\n\r\n"
     rows = [(1, "http://a", long), (5, "http://b", long), (3, "http://c\r\nX: y", long), (4, None, None), (6, "u", "short"), (7, "u", "short")]
