@@ -21,6 +21,23 @@ BUCKET_RULES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Boosting rounds at most, of which early stopping leaves fewer, and the depth of their trees.
+ROUNDS, DEPTH = 60, 4
+#: Columns that are no features, and those that the selection leaves out as redundant or too direct.
+NO_FEATURES = frozenset("cell date split is_validation".split())
+REDUNDANT = frozenset(
+    """h3_train_sum h3_train_max h3_train_pct comm_train_sum comm_train_max h3_train_mean h3_train_std comm_train_mean
+    roll_sum_60 roll_sum_90 community_area dayofweek month""".split()
+)
+
+
+def select(df: DataFrame) -> list[str]:
+    """The numeric columns that are no keys, targets or redundant, and not constant in the training rows."""
+    names = [n for n, t in df.dtypes if t in ("int", "bigint", "double") and n not in NO_FEATURES | REDUNDANT and not n.startswith("next_")]
+    r = df.where("split = 'train'").agg(*[(F.min(n) < F.max(n)).alias(n) for n in names]).first()
+    return [n for n in names if r[n]]
+
+
 def bucket(feature: str) -> str:
     return next((b for part, b in BUCKET_RULES if part in feature), "temporal")
 
@@ -29,7 +46,7 @@ def buckets(spark: SparkSession, features: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(f, bucket(f)) for f in features], "feature string, bucket string")
 
 
-def fit(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 3, weight: str | None = None) -> PipelineModel:
+def fit(df: DataFrame, features: list[str], label: str, trees: int = ROUNDS, depth: int = DEPTH, weight: str | None = None) -> PipelineModel:
     """Medians of the training rows fill gaps; rows with ``is_validation`` stop the boosting early."""
     numeric = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label), "is_validation", *([weight] if weight else []))
     filled = [f"{f}__f" for f in features]
@@ -43,7 +60,7 @@ def score(df: DataFrame, model: PipelineModel, features: list[str], out: str, ke
     return model.transform(numeric).withColumn(out, vector_to_array("probability")[1]).select(*keep, out)
 
 
-def group_blend(df: DataFrame, features: list[str], label: str, cfg: Config = Config(), trees: int = 10) -> tuple[DataFrame, dict[str, PipelineModel]]:
+def group_blend(df: DataFrame, features: list[str], label: str, cfg: Config = Config(), trees: int = ROUNDS) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """One model per bucket and the fixed blend of their scores; ``df`` has a column ``split``."""
     rows = df.where(F.col(label).isNotNull() & F.col("split").isin("train", "calib")).withColumn("is_validation", F.col("split") == "calib").cache()
     names = ("temporal", "spatial", "context")
@@ -65,13 +82,22 @@ def importances(spark: SparkSession, models: dict[str, PipelineModel], features:
     return df.join(F.broadcast(total), "bucket").select("bucket", "feature", "gain", F.when(F.col("total") > 0, F.col("gain") / F.col("total")).otherwise(0.0).alias("share"))
 
 
-def ablation(df: DataFrame, features: list[str], label: str, metrics, trees: int = 5) -> DataFrame:
-    """Metrics of one model per scenario: all features, and all without one bucket."""
+def scenarios(features: list[str]) -> dict[str, list[str]]:
+    """The six sets of buckets of the ablation, and the two others that leave one bucket out."""
+    kinds = {
+        "spatial_only": "spatial", "context_only": "context", "temporal_only": "temporal", "temporal_spatial": "temporal spatial", "temporal_spatial_context": "temporal spatial context",
+        "full": None, "without_temporal": "spatial context", "without_spatial": "temporal context",
+    }
+    return {name: [f for f in features if kind is None or bucket(f) in kind.split()] for name, kind in kinds.items()}
+
+
+def ablation(df: DataFrame, features: list[str], label: str, metrics, trees: int = ROUNDS) -> DataFrame:
+    """Metrics of each scenario's model; scenarios with the same features share one fit."""
     rows = df.where(F.col(label).isNotNull()).withColumn("is_validation", F.col("split") == "calib").cache()
-    scenarios = {"all": features} | {f"without_{b}": [f for f in features if bucket(f) != b] for b in ("temporal", "spatial", "context")}
-    out = None
-    for name, own in scenarios.items():
-        model = fit(rows.where("split in ('train', 'calib')"), own, label, trees)
+    out, models = None, {}
+    for name, own in scenarios(features).items():
+        model = models.get(tuple(own)) or fit(rows.where("split in ('train', 'calib')"), own, label, trees)
+        models[tuple(own)] = model
         m = metrics(score(rows.where("split in ('val', 'test')"), model, own, "score", [label])).withColumn("scenario", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out

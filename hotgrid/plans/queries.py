@@ -260,36 +260,41 @@ def distance_to_center(spark, d):
     return silver.deduplicate(V.incidents(spark, d)).select("unique_key", great_circle_km("latitude", "longitude", F.lit(CFG.center_lat), F.lit(CFG.center_lon)).alias("distance_km"))
 
 
-MODEL_FEATURES = ["lag_1", "lag_7", "roll_mean_7", "roll_mean_30", "roll_max_30", "active_rate_30", "nbr_r1_mean", "nbr_r2_mean", "nbr_r1_roll7", "temp_max", "precipitation", "unemployment_rate", "is_weekend", "dow_sin", "month_cos"]
-
-
 def _modelled(spark: SparkSession, d: str) -> DataFrame:
-    """Panel, a choice of features, targets and splits; persisted, as several fits read it."""
-    p = dense(spark, d).persist()
-    own = features.lags(p).select("cell", "date", "lag_1", "lag_7")
-    rolls = features.rolling(p).select("cell", "date", "roll_mean_7", "roll_mean_30", "roll_max_30", "active_rate_30")
-    nbr = features.neighbours(p, hexgrid.edges(p)).select("cell", "date", "nbr_r1_mean", "nbr_r2_mean", "nbr_r1_roll7")
-    t = features.targets(p).join(F.broadcast(evaluate.splits(p, CFG)), "date")
-    for x in (own, rolls, nbr, t):
-        p = p.join(x, ["cell", "date"])
-    return p.persist()
+    """Panel, the features of all operators, targets and splits; persisted, as several fits read it."""
+    p = dense(spark, d).localCheckpoint()  # else every operator's plan has the panel's in it
+    own = (features.lags, features.rolling, features.ewm, features.zero_streak, features.bursts, features.composition, features.weather_lags, features.near_repeat, features.deterrence, features.same_weekday, features.interactions, features.targets)
+    out = p
+    for f in own:
+        out = out.join(f(p).localCheckpoint(), ["cell", "date"])
+    out = out.join(features.neighbours(p, hexgrid.edges(p)), ["cell", "date"])
+    out = out.join(features.community(p), ["community_area", "date"], "left")
+    out = out.join(F.broadcast(features.priors(p, train(p)).drop("community_area")), "cell", "left")
+    days = panel.holiday_features(p.select("date"), V.holidays(spark))
+    for by_day in (features.city(p), days, evaluate.splits(p, CFG)):
+        out = out.join(F.broadcast(by_day), "date")
+    return out.localCheckpoint()
 
 
 @query(S.KEY + ", temporal double, spatial double, context double, score double, rank int, risk_level string")
 def groupblend_predictions(spark, d):
-    out, _ = learn.group_blend(_modelled(spark, d), MODEL_FEATURES, "next_hotspot", CFG, trees=3)
+    df = _modelled(spark, d)
+    out, _ = learn.group_blend(df, learn.select(df), "next_hotspot", CFG)
     return rank.tiers(out.where("split in ('val', 'test')"), cfg=CFG)
 
 
 @query("bucket string, feature string, gain double, share double")
 def feature_importance(spark, d):
-    _, models = learn.group_blend(_modelled(spark, d), MODEL_FEATURES, "next_hotspot", CFG, trees=3)
-    return learn.importances(spark, models, MODEL_FEATURES)
+    df = _modelled(spark, d)
+    names = learn.select(df)
+    _, models = learn.group_blend(df, names, "next_hotspot", CFG)
+    return learn.importances(spark, models, names)
 
 
 @query("scenario string, precision double, recall double, f1 double, auc double, ap double")
 def ablation(spark, d):
-    return learn.ablation(_modelled(spark, d), MODEL_FEATURES, "next_hotspot", lambda x: evaluate.ranker_metrics(x, "score", "next_hotspot", 0.3), trees=2)
+    df = _modelled(spark, d)
+    return learn.ablation(df, learn.select(df), "next_hotspot", lambda x: evaluate.ranker_metrics(x, "score", "next_hotspot", 0.3))
 
 
 @query("date date, event_type string, n long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hotgrid.config import Config, IncrementalWindow
 from hotgrid.functions import exprs, hexgrid
-from hotgrid.operators import evaluate, features, gold, panel, rank, silver
+from hotgrid.operators import evaluate, features, gold, learn, panel, rank, silver
 from hotgrid.plans import oracle, queries
 from hotgrid.sources import tables
 
@@ -169,6 +169,16 @@ def test_geojson_is_one_feature_a_row(spark):
     assert [r.value for r in rank.geojson(df).collect()] == ['{"type":"Feature","geometry":{"type":"Point","coordinates":[2.5,1.5]},"properties":{"name":"a","day":"2000-01-02"}}']
 
 
+def test_ablation_has_all_scenarios(spark):
+    rows = [(f"c{i % 7}", dt.date(2000, 1, 1) + dt.timedelta(i), i % 5, i % 3, float(i % 11), 1.0, i % 4, i, int(i % 5 == 0), "train" if i < 150 else "calib" if i < 170 else "test") for i in range(200)]
+    df = spark.createDataFrame(rows, "cell string, date date, lag_1 int, nbr_r1_mean int, temp_max double, wind_speed double, h3_train_sum int, next_total int, next_hotspot int, split string")
+    names = learn.select(df)
+    assert names == ["lag_1", "nbr_r1_mean", "temp_max"]  # not the constant, redundant or future ones
+    got = learn.ablation(df, names, "next_hotspot", lambda x: evaluate.ranker_metrics(x, "score", "next_hotspot", 0.3), trees=1).collect()
+    assert {r.scenario for r in got} == {"spatial_only", "context_only", "temporal_only", "temporal_spatial", "temporal_spatial_context", "full", "without_temporal", "without_spatial"}
+    assert {r.scenario: r.auc for r in got}["temporal_only"] == 1.0
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
