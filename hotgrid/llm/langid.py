@@ -139,16 +139,20 @@ class Labeller:
         """The best language of each word: Viterbi over n x languages scores.
 
         Where no stretch of words gains as much as one switch costs by leaving the language
-        that is best over all, that language is the whole best path, and no table is needed.
+        that is best over all, and none at the start and at the end together (between which a
+        chain of others may lie, with a switch for each), that language is the whole best
+        path, and no table is needed.
         """
-        total = s.sum(axis=0, dtype=np.float64) + self.model.prior * 1e-3
-        best = int(total.argmax())
+        prior = self.model.prior * 1e-3
+        best = int((s.sum(axis=0, dtype=np.float64) + prior).argmax())
         gain = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
-        low = np.minimum.accumulate(np.vstack([np.zeros(s.shape[1]), gain]), axis=0)[:-1]
-        if (gain - low).max(initial=0) <= self.switch:
+        before = np.vstack([np.zeros(s.shape[1]), gain])[:-1]
+        low = np.minimum.accumulate(before, axis=0)
+        ends = (gain + prior - prior[best]).max(initial=0) + (gain[-1:] - before).max(initial=0)
+        if ends <= self.switch and (gain - low).max(initial=0) <= self.switch:
             return np.full(len(s), best)
         rows, back, cost = s.tolist(), [], self.switch
-        v = [float(x) for x in self.model.prior * 1e-3]
+        v = [float(x) for x in prior]
         for row in rows:
             top = max(range(len(v)), key=v.__getitem__)
             enter = v[top] - cost

@@ -160,6 +160,20 @@ def test_languages(spark, documents):
     assert langid.fit(documents(texts, langs).limit(0)).langs == ()
 
 
+def test_viterbi_shortcut_sees_chains():
+    model = langid.Model(("a", "b", "c"), np.zeros((3, langid.BUCKETS)), {}, np.zeros(3))
+    own = langid.Labeller(model)
+    assert own.path(np.array([(0, -1.3, -6)] * 10 + [(-6, -1.3, 0)] * 10)).tolist() == [0] * 10 + [2] * 10
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        s = np.repeat(rng.uniform(-6, 0, (rng.integers(1, 5), 3)), rng.integers(1, 12), axis=0)
+        cost = lambda path: sum(s[i, k] for i, k in enumerate(path)) - own.switch * sum(x != y for x, y in zip(path, path[1:]))
+        best = s[0]
+        for row in s[1:]:
+            best = np.maximum(best, best.max() - own.switch) + row
+        assert cost(own.path(s).tolist()) == pytest.approx(best.max())
+
+
 def test_viterbi_shortcut_is_exact():
     rng = np.random.default_rng(4)
     model = langid.Model(("a", "b", "c"), np.zeros((3, langid.BUCKETS)), {}, np.zeros(3))
