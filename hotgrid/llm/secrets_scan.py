@@ -4,7 +4,11 @@ The lexer turns ``name = literal``, ``"name": "literal"``, ``name=literal`` (she
 ``name: literal`` (yaml), ``<name>literal</name>`` and calls ``set_name("literal")`` into
 name-literal pairs. Names that are bound to constants are propagated: in ``a = "x"`` and
 ``db_password = a + "y"`` the password is "xy". A pair is scored by how sensitive its
-name is and how much its literal looks like a key rather than a word.
+name is and how much its literal looks like a key rather than a word. The spans are those
+of the literals themselves, wherever they were bound, not of the names that stand for them.
+
+A bound value is kept as a count of its characters and links to its parts, never as a string:
+``a = a + a`` doubles a number, and a text is lexed in time and memory that grow with its length.
 """
 
 from __future__ import annotations
@@ -12,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,57 +60,111 @@ def sensitivity(name: str) -> float:
     return max(SENSITIVE.get(x, 0.0) for x in (parts[-1], "".join(parts[-2:]), parts[-1].rstrip("s")))
 
 
-def likeness(literal: str) -> float:
+#: Characters of a value beyond which its counts are halved: only a text that doubles a name gets there.
+VAST = 1 << 40
+
+
+@dataclass(eq=False)
+class Value:
+    """A constant: how often each character occurs in it, and the spans or values it is made of."""
+
+    counts: dict[str, int]
+    parts: tuple
+    seen: bool = False
+
+    @property
+    def size(self) -> int:
+        return sum(self.counts.values())
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Spans of its literals that no call before has given: all calls together visit each part once."""
+        out, todo = [], [self]
+        while todo:
+            v = todo.pop()
+            if v.seen:
+                continue
+            v.seen = True
+            for p in v.parts:
+                if isinstance(p, Value):
+                    todo.append(p)
+                else:
+                    out.append(p)
+        return out
+
+
+def joined_value(parts: list) -> Value:
+    """The value of ``parts`` one after another; each is a Value or (characters, start, end)."""
+    if len(parts) == 1 and isinstance(parts[0], Value):
+        return parts[0]
+    counts: Counter = Counter()
+    for p in parts:
+        counts.update(p.counts if isinstance(p, Value) else p[0])
+    while sum(counts.values()) > VAST:
+        counts = Counter({c: (k + 1) // 2 for c, k in counts.items()})
+    return Value(counts, tuple(p if isinstance(p, Value) else p[1:] for p in parts))
+
+
+def likeness(counts: dict[str, int]) -> float:
     """0 to 1: a literal's length, mixture of kinds of characters and entropy."""
-    n = len(literal)
-    if n < 8 or not _PLAIN.match(literal):
+    n = sum(counts.values())
+    if n < 8 or not _PLAIN.match("".join(counts)):
         return 0.0
-    kinds = any(c.isdigit() for c in literal) + any("a" <= c <= "z" for c in literal) + any("A" <= c <= "Z" for c in literal) + any(not c.isalnum() for c in literal)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
-    if not any(c.isdigit() for c in literal) or kinds < 2:
+    kinds = any(c.isdigit() for c in counts) + any("a" <= c <= "z" for c in counts) + any("A" <= c <= "Z" for c in counts) + any(not c.isalnum() for c in counts)
+    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+    if not any(c.isdigit() for c in counts) or kinds < 2:
         return 0.3 * min(1, entropy / 4)  # a word or a number
     return min(1.0, 0.25 + 0.15 * (kinds - 1) + 0.1 * min(2, n / 16) + 0.25 * min(1, entropy / 3.5))
 
 
-def lex(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of every assignment; bound constants are propagated.
-
-    start and end are those of the value's literals in the text.
-    """
-    env: dict[str, str] = {}
+def lex(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of every assignment of a constant; bound constants are propagated."""
+    env: dict[str, Value] = {}
     out = []
     at = 0
     while m := _TOKENS.search(text, at):
         if m["xml"]:
-            out.append((m["xn"], m["xv"], m.start("xv"), m.end("xv")))
+            out.append((m["xn"], joined_value([(m["xv"], m.start("xv"), m.end("xv"))])))
             at = m.end()
         elif m["call"]:
-            out.append((m["cn"], m["cv"][1:-1], m.start("cv") + 1, m.end("cv") - 1))
+            out.append((m["cn"], joined_value([(m["cv"][1:-1], m.start("cv") + 1, m.end("cv") - 1)])))
             at = m.end()
         else:
-            value, start, end, pos, more = [], -1, -1, m.start("value"), True
+            parts, end, pos, more = [], -1, m.start("value"), True
             while more and (a := _ATOM.match(text, pos)):
                 k = a.lastindex
-                piece = a[k]
-                if k > 3:
-                    known = env.get(piece)
-                    if known is None and k == 4:
-                        break
-                    piece = known if known is not None else piece
-                start, end, pos = (a.start(k) if start < 0 else start), a.end(k), a.end()
-                value.append(piece)
+                known = env.get(a[k]) if k > 3 else None
+                if known is None and k == 4:
+                    break
+                if known is not None or a[k]:
+                    parts.append(known if known is not None else (a[k], a.start(k), a.end(k)))
+                end = pos = a.end()
                 p = _PLUS.match(text, pos)
                 more, pos = bool(p), p.end() if p else pos
-            literal = "".join(value)
-            if literal:
-                env[m["name"].rpartition(".")[2]] = literal
-                out.append((m["name"], literal, start, end))
+            if parts:
+                value = joined_value(parts)
+                env[m["name"].rpartition(".")[2]] = value
+                out.append((m["name"], value))
             at = max(end, m.end("name") + 1)
     return out
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the intervals that the spans cover together."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans (start, end, kind) of one text in code points, base spans first found."""
+    """All spans (start, end, kind) of one text in code points.
+
+    A lexed span is left out only where the base spans cover it whole.
+    """
     if not text:
         return []
     low = text.lower()
@@ -115,10 +175,13 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if "=" in text or ":" in text or "(" in text or "</" in text:  # else there is no pair
-        base = [(a, b) for a, b, k in spans]
-        for name, literal, a, b in lex(text):
-            if (s := sensitivity(name)) and s * likeness(literal) >= THRESHOLD and not any(x < b and a < y for x, y in base):
-                spans.append((a, b, "lexed"))
+        starts, ends = _merged([(a, b) for a, b, _ in spans])
+        for name, value in lex(text):
+            if not value.seen and (s := sensitivity(name)) and s * likeness(value.counts) >= THRESHOLD:
+                for a, b in value.spans():
+                    i = bisect_right(starts, a) - 1
+                    if i < 0 or ends[i] < b:
+                        spans.append((a, b, "lexed"))
     return sorted(set(spans), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -137,8 +200,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Spans of secrets in every whole text: one row per row of ``df``, no shuffle.
 
     Columns doc_id, n_assign, n_access, n_hex, base_sha256, spans. A null or empty text has
-    no spans (the digest of the empty string). Repeated rows give repeated rows; an empty
-    table gives none. Other columns of ``df`` are not read.
+    no spans (the digest of the empty string). A text of any length is scanned whole, in time
+    that grows with it. Repeated rows give repeated rows, spans that start together are in the
+    order of KINDS; an empty table gives none. Other columns of ``df`` are not read.
     """
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     out = pa.schema([(n, pa.string() if n in names[4:] else pa.int64()) for n in names])

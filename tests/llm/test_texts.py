@@ -83,8 +83,31 @@ def test_secret_spans(documents):
 
 
 def test_constants_are_propagated():
-    got = {n: v for n, v, *_ in secrets_scan.lex('a = "x1"\ndb_password = a + "y2z"\n<token>abcdefgh1</token> set_secret("abc12345")')}
-    assert got == {"a": "x1", "db_password": "x1y2z", "token": "abcdefgh1", "set_secret": "abc12345"}
+    text = 'a = "x1"\ndb_password = a + "y2z"\n<token>abcdefgh1</token> set_secret("abc12345")'
+    got = {n: ("".join(sorted(v.counts)), [text[a:b] for a, b in sorted(v.spans())]) for n, v in reversed(secrets_scan.lex(text))}
+    assert got["db_password"] == ("12xyz", ["x1", "y2z"]) and got["a"] == ("1x", [])  # given once
+    assert got["token"][1] == ["abcdefgh1"] and got["set_secret"][1] == ["abc12345"]
+
+
+def test_redaction_hides_the_literal_that_was_bound():
+    text = 'base = "qX9vT2Lm8Rz4Wk1P"\nother = base\ndb_pwd = other + "7Yt"\nport = 8080\n'
+    out = secrets_scan.redact(text)
+    assert "qX9v" not in out and "7Yt" not in out and out.count("[SECRET]") == 2 and "db_pwd = other" in out and "8080" in out
+
+
+def test_doubled_names_and_very_long_texts():
+    import time
+
+    bomb = 'k = "aB3"\n' + "k = k + k\n" * 400 + "api_secret_key = k\n"
+    chain = 'v = "q1"\n' + "".join(f'v = v + "Zx{i}"\n' for i in range(20_000)) + "db_password = v\n" + "auth = v\n" * 5_000
+    many = "".join(f'pwd{i} = "aB3dE5fG{i}hJk"\nclient_secret = "aB3dE5fG{i}hJk"\n' for i in range(20_000))
+    began = time.time()
+    assert secrets_scan.scan(bomb) == [(5, 8, "lexed")]
+    assert sum(k == "lexed" for *_, k in secrets_scan.scan(chain)) == 20_001
+    assert sum(k == "assign" for *_, k in secrets_scan.scan(many)) == 20_000
+    for text in ("a='" * 50_000, "<a>" * 100_000, "x(" * 100_000, "x" * 2_000_000 + "=", "token:" * 100_000, 'a="b' * 50_000):
+        secrets_scan.scan(text)
+    assert time.time() - began < 60
 
 
 LONG = "MIIEpAIBAAKCAQEA7bq2/x9+" * 70
