@@ -44,8 +44,9 @@ THRESHOLD = 0.55
 
 _TOKENS = re.compile(
     r"""(?P<xml><(?P<xn>[A-Za-z_][\w.-]++)>(?P<xv>[^<>\s]{6,}+)</(?P=xn)>)"""
-    r"""|(?:["']?(?P<name>[A-Za-z_$][\w.$-]{0,80})["']?\]?[ \t]*(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*(?P<value>[^\s].{0,1000}))"""
-    r"""|(?P<call>(?P<cn>[A-Za-z_][\w.]{2,80})\([ \t]*(?P<cv>"[^"\n]{6,}+"|'[^'\n]{6,}+')[ \t]*\))"""
+    # a run of name characters is read once, from its start
+    r"""|(?<![\w.$-])[.-]*+(?P<name>[\w$][\w.$-]*+)"""
+    r"""(?:["']?\]?[ \t]*(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*(?P<value>[^\s])|\([ \t]*(?P<cv>"[^"\n]{6,}+"|'[^'\n]{6,}+')[ \t]*\))"""
 )
 _ATOM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_]\w*)\}?|([^\s,;"'`(){}<>\[\]|]+))""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_$])")
@@ -125,8 +126,8 @@ def lex(text: str) -> list[tuple[str, Value]]:
         if m["xml"]:
             out.append((m["xn"], joined_value([(m["xv"], m.start("xv"), m.end("xv"))])))
             at = m.end()
-        elif m["call"]:
-            out.append((m["cn"], joined_value([(m["cv"][1:-1], m.start("cv") + 1, m.end("cv") - 1)])))
+        elif m["cv"]:
+            out.append((m["name"], joined_value([(m["cv"][1:-1], m.start("cv") + 1, m.end("cv") - 1)])))
             at = m.end()
         else:
             parts, end, pos, more = [], -1, m.start("value"), True
