@@ -13,7 +13,7 @@ import functools
 import os
 import zlib
 from struct import pack
-from unicodedata import normalize
+from unicodedata import normalize, ucd_3_2_0
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +78,9 @@ def whole_tokens(path: str, pattern: str = BYTE_LEVEL) -> frozenset[str]:
 class Counter:
     """Counts tokens of texts; ``merged`` tells how many pre-tokens needed merges."""
 
-    def __init__(self, path: str, pattern: str = BYTE_LEVEL):
+    def __init__(self, path: str, pattern: str = BYTE_LEVEL, whole: frozenset[str] | None = None):
         self.tok, self.findall = load(path), regex.compile(pattern).findall
-        self.whole = dict.fromkeys(whole_tokens(path, pattern), 1)
+        self.whole = dict.fromkeys(whole_tokens(path, pattern) if whole is None else whole, 1)
         self.memo, self.merged = dict(self.whole), 0
         self.special = regex.compile("|".join(map(regex.escape, _special(path))) or r"(?!)")
 
@@ -109,11 +109,15 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, id_col: str = "doc
 
     A null or empty text has 0 bytes and 0 tokens. Repeated rows and ids are counted
     row by row; other columns of ``df`` are not read. An empty table gives no rows.
+
+    The proof is made once, before the job, and what it proved is broadcast: at most the
+    vocabulary's strings, whatever the corpus.
     """
+    proven = df.sparkSession.sparkContext.broadcast(whole_tokens(path))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def start():
-        count = _counter(path).count
+        count = _counter(path, proven).count
 
         def f(ids, texts):
             n = [count(t) if t else 0 for t in texts]
@@ -124,13 +128,27 @@ def count_tokens(df: DataFrame, path: str, limit: int = 1024, id_col: str = "doc
     return map_texts(df, start, out, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", id_col, text_col)
 
 
-@functools.lru_cache(2)
-def _counter(path: str) -> Counter:
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def _counter(path: str, proven) -> Counter:
+    """A worker's counter of a vocabulary; its memo lasts from task to task."""
+    if path not in _counters:
+        _counters[path] = Counter(path, whole=proven.value)
+    return _counters[path]
+
+
+def settled(text: str) -> bool:
+    """Whether all characters have been in Unicode for so long that no two tables class them differently."""
+    return text.isascii() or not any(ucd_3_2_0.category(c) == "Cn" for c in text)
 
 
 class IdEncoder:
-    """Ids of the word-level vocabulary as little-endian 32-bit bytes, memoised by pre-token."""
+    """Ids of the word-level vocabulary as little-endian 32-bit bytes, memoised by pre-token.
+
+    The library's Unicode tables are its own. A text with a character that was not in Unicode 3.2 is
+    left to the library as a whole, as such a character may be cut off or lowered another way there.
+    """
 
     def __init__(self, path: str):
         self.tok, self.findall, self.memo = load(path), regex.compile(WORD_LEVEL).findall, {}
@@ -138,7 +156,8 @@ class IdEncoder:
 
     def encode(self, text: str) -> bytes:
         if "<|" in text and any(s in text for s in self.special):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
+        given = text
         if not text.isascii():
             text = normalize("NFC", text).replace("Σ", "σ")  # the library lowers each character alone
         pre = self.findall(text.lower())
@@ -146,13 +165,19 @@ class IdEncoder:
             return b"".join(map(self.memo.__getitem__, pre))
         except KeyError:
             pass
+        except TypeError:  # a character that is not settled
+            return self.whole(given)
         if len(self.memo) > MEMO:
             self.memo = {}
         rest = list(set(pre).difference(self.memo))
         for s in rest:
-            ids = [t.id for t in merge(self.tok, s)]
-            self.memo[s] = pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.memo.__getitem__, pre))
+            ids = [t.id for t in merge(self.tok, s)] if settled(s) else None
+            self.memo[s] = ids if ids is None else pack(f"<{len(ids)}I", *ids)
+        found = [self.memo[s] for s in pre]
+        return self.whole(given) if None in found else b"".join(found)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.lru_cache(2)

@@ -4,6 +4,8 @@ import hashlib
 import html
 import random
 import re
+import struct
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -204,6 +206,7 @@ def test_packing_is_whole_and_tight(documents, part):
         rows = got[got.doc_id == i].sort_values("piece")
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
         assert rows.length.sum() == len(ids) and list(rows.start) == list(range(0, len(ids), 2048))
+        assert list(rows.ids_crc32) == [zlib.crc32(struct.pack(f"<{len(c)}I", *c)) for k in range(0, len(ids), 2048) if (c := ids[k : k + 2048])]
     ordered = got.sort_values(["sequence_id", "offset"])
     ends = ordered.groupby("sequence_id").length.cumsum()
     assert (ends - ordered.length == ordered.offset).all() and ends.max() <= 2048
