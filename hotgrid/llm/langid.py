@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,15 @@ from hotgrid.llm.common import map_texts
 BUCKETS = 1 << 15
 #: Labelled rows per language that the model is fitted on at most.
 FIT_ROWS = 4_000
+#: Languages that the model knows at most: those with the most labelled rows. It bounds what is broadcast.
+LANGS = 500
 #: What a change of language costs, and the most that one word can speak for a language.
 SWITCH, MOST = 14.0, 6.0
 #: A language uses a script if this share of its letters is in it.
 USES = 0.01
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word is a letter and the letters and combining marks after it (fractions, Roman numerals and the like are none).
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+_ASCII_WORD = re.compile(r"[A-Za-z]+")
 #: Entries that a task's memo of words may hold before it is emptied.
 MEMO = 400_000
 
@@ -71,14 +76,22 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model:
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return _ASCII_WORD.findall(text) if text.isascii() else _WORD.findall(text)
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, langs: int = LANGS) -> Model:
     """Counts trigrams and scripts of at most about ``rows`` labelled rows a language.
 
     The rows are chosen by a hash of their id, the same at every partitioning. Rows with a
-    null text or language are not used. Without any row the model has no language.
+    null text or language are not used. Without any row the model has no language. Of more than
+    ``langs`` values (dirty labels) those with the most rows are learned.
     """
     rowsin = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    have = {r[0]: r[1] for r in rowsin.groupBy(lang_col).count().collect()}
+    most = rowsin.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(langs)
+    have = {r[0]: r[1] for r in most.collect()}
     if not have:
         return Model((), np.zeros((0, BUCKETS)), {}, np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, rows / n))])
@@ -89,7 +102,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 into = found.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for w, n in Counter(_WORD.findall(text.lower())).items():
+                for w, n in Counter(map(str.lower, words_of(text))).items():
                     np.add.at(into, list(grams(w)), n)
                     letters[lang, script_of(w[0])] += n * len(w)
         rows = [(lang, str(i), int(c[i])) for lang, c in found.items() for i in np.flatnonzero(c)] + [(k, "script " + s, n) for (k, s), n in letters.items()]
@@ -131,7 +144,7 @@ class Labeller:
         new = list(set(words).difference(at))
         while len(at) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[len(at) : len(at) + len(new)] = self.model.scores(new)
+        self.rows[len(at) : len(at) + len(new)] = self.model.scores([w.lower() for w in new])
         at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
         return self.rows[[at[w] for w in words]]
 
@@ -165,7 +178,7 @@ class Labeller:
         return out
 
     def label(self, text: str | None, spans: bool = False) -> tuple[str, float, list[dict]]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.model.langs:
             return "und", 0.0, []
         s = self._scores(words)
@@ -179,12 +192,21 @@ class Labeller:
         return self.model.langs[best], min(1.0, max(0.0, score)), self._spans(text, path) if spans else []
 
     def _spans(self, text: str, path: np.ndarray) -> list[dict]:
+        """Stretches of words of one language: a change of language in the path ends one."""
+        found = _ASCII_WORD.finditer(text) if text.isascii() else _WORD.finditer(text)
+        ends = set((np.flatnonzero(np.diff(path)) + 1).tolist())
         out: list[dict] = []
-        for k, m in zip(path.tolist(), _WORD.finditer(text), strict=False):
-            if out and out[-1]["lang"] == self.model.langs[k]:
-                out[-1]["end"] = m.end()
-            else:
-                out.append({"lang": self.model.langs[k], "start": m.start(), "end": m.end()})
+        if not ends:  # one language: only the first and the last letter's places are needed
+            last = len(text)
+            while not unicodedata.category(text[last - 1]).startswith("L"):
+                last -= 1
+            while last < len(text) and unicodedata.category(text[last]).startswith("M"):
+                last += 1
+            return [{"lang": self.model.langs[path[0]], "start": next(found).start(), "end": last}]
+        for i, m in enumerate(found):
+            if not i or i in ends:
+                out.append({"lang": self.model.langs[path[i]], "start": m.start(), "end": 0})
+            out[-1]["end"] = m.end()
         return out
 
 
@@ -193,7 +215,8 @@ def identify(df: DataFrame, model: Model, spans: bool = False, id_col: str = "do
 
     lang_pred is the language with the most letters; score its share of the letters, lowered
     where a rival is close over the whole text. Null texts and texts without a letter are
-    ``und`` with score 0 and no spans. Ties go to the first language by name. Repeated rows
+    ``und`` with score 0 and no spans, as are all without a learned language. A text of any length
+    is read whole. Spans are code points of the text, ends exclusive. Ties go to the first language by name. Repeated rows
     give repeated rows, an empty table none; other columns are not read.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)

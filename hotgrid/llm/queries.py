@@ -55,7 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, model, spans=True).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op5_packing, op6_decontamination, op7_token_counts, op8_warc, op9_toxicity, op10_language_id)}

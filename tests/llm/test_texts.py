@@ -42,6 +42,16 @@ def test_random_texts_encode_alike(name, make):
         assert (own.count(t) == len(ids)) if make is tokens.Counter else (own.encode(t) == np.array(ids, "<u4").tobytes()), t
 
 
+def test_every_kind_of_character_encodes_alike():
+    points = [c for c in [*range(0x3000), *range(0x3000, 0x30000, 5), 0x1C89, 0xA7CB] if not 0xD800 <= c < 0xE000]
+    texts = [f"aB{chr(c)}Cd {chr(c)}{chr(c)}x" for c in points]
+    ids, counts = tokens.IdEncoder(public_tokenizers.path("word_bpe_49k.json")), tokens.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    for t, e in zip(texts, ids.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.encode(t) == np.array(e.ids, "<u4").tobytes(), t
+    for t, e in zip(texts, counts.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert counts.count(t) == len(e.ids), t
+
+
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven"), (2, "short item"), (3, None), (4, "!!"), (5, "ONE two, three four five six seven eight nine ten"), (6, "ñandú été")]
 HITS = [*EDGES, "so: one two three four five six seven eight nine ten eleven, ok", "a short-item b", "one two three four five six seven eight nine", "x ñandú été y", "short item short item"]
 
@@ -183,6 +193,23 @@ def test_languages(spark, documents):
     assert langid.fit(documents(texts, langs).limit(0)).langs == ()
 
 
+def test_letters_marks_and_places(documents):
+    model = langid.fit(documents(["the house by the water"] * 9 + ["हिन्दी में एक वाक्य है"] * 9, {i: "en" if i < 9 else "hi" for i in range(18)}))
+    texts = ["½ ² ① Ⅷ 12", "İstanbul house by the water and the house, हिन्दी में एक वाक्य है हिन्दी में एक वाक्य!", "(हिन्दी)", "the house"]
+    got = langid.identify(documents(texts), model, spans=True).orderBy("doc_id").collect()
+    assert langid.words_of("हिन्दी में") == ["हिन्दी", "में"]
+    assert [r.lang_pred for r in got] == ["und", "hi", "hi", "en"] or [r.lang_pred for r in got] == ["und", "en", "hi", "en"]
+    assert [texts[1][s.start : s.end] for s in got[1].spans] == ["İstanbul house by the water and the house", "हिन्दी में एक वाक्य है हिन्दी में एक वाक्य"]
+    assert [(s.lang, texts[2][s.start : s.end]) for s in got[2].spans] == [("hi", "हिन्दी")]
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs, langid.fit(docs.where(~langid.held_out()))).where(langid.held_out())
+    rows = got.join(docs.where("lang is not null"), "doc_id").select("lang", "lang_pred").collect()
+    assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) > 0.97 * len(rows)
+
+
 def test_viterbi_shortcut_sees_chains():
     model = langid.Model(("a", "b", "c"), np.zeros((3, langid.BUCKETS)), {}, np.zeros(3))
     own = langid.Labeller(model)
