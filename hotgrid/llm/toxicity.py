@@ -2,8 +2,9 @@
 
 Words become classes: insults (a lexicon of stems with weights, given and learned from
 labelled texts), threats, targets, negations and words of reported speech. Small
-transducers read the classes of a clause; composed into one, they tell for every insult or
-threat in which pattern it stands: plain, aimed at a target, negated or reported. A text's
+transducers read the classes of a clause, one composed of them from its start and another
+from its end; together they tell for every insult or threat in which pattern it stands:
+plain, aimed at a target before or after it, negated or reported. A text's
 features are the best clause and the sum over clauses of each pattern, and a logistic
 model over these gives the score, so that isolated words count by the clause they are in.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.common import map_texts
+from hotgrid.llm.common import map_texts, written
 
 #: Labelled rows of each class (toxic or not) that the model is fitted on at most, about.
 FIT_ROWS = 8_000
@@ -42,22 +43,23 @@ NEGATIONS = "not no never nobody isn aren wasn don doesn nicht kein keine nie ne
 REPORTS = """said says wrote writes called claimed quoted reported allegedly sagte schrieb behauptete zitierte disait écrit affirme dijo
 escribió afirmó""".split()
 
-OTHER, BREAK, NEGATION, REPORT, TARGET, THREAT, INSULT = range(7)
+OTHER, BREAK, PAUSE, NEGATION, REPORT, TARGET, THREAT, INSULT = CLASSES = range(8)
 PATTERNS = ("plain", "aimed", "negated", "reported", "threat")
 #: What a pattern's best clause and its sum weigh before labels are seen; rare patterns stay near it.
 PRIOR = np.array([1.0, 1.2, 0.5, 0.5, 1.0, 0.2, 0.2, 0.1, 0.1, 0.2])
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n|]")
+_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n|,]")
 MEMO = 400_000
 
 
-def counter(of: int, reach: int, until_break: bool = False) -> list[list[int]]:
+def counter(of: int, reach: int, until_break: bool = False, until_pause: bool = False) -> list[list[int]]:
     """A transducer that remembers for ``reach`` words that class ``of`` was read.
 
-    Row: state (words still covered), column: class, value: next state.
+    Row: state (words still covered), column: class, value: next state. A comma covers no word.
     """
     table = []
     for state in range(reach + 1):
-        row = [max(0, state - 1) if not until_break else state] * 7
+        row = [max(0, state - 1) if not until_break else state] * len(CLASSES)
+        row[PAUSE] = 0 if until_pause else state
         row[BREAK], row[of] = 0, reach
         table.append(row)
     return table
@@ -67,24 +69,26 @@ def compose(*machines: list[list[int]]) -> tuple[list[list[int]], list[tuple[int
     """The product of transducers that read the same classes: (table, states of the parts)."""
     states = list(product(*[range(len(m)) for m in machines]))
     at = {s: i for i, s in enumerate(states)}
-    return [[at[tuple(m[x][c] for m, x in zip(machines, s, strict=True))] for c in range(7)] for s in states], states
+    return [[at[tuple(m[x][c] for m, x in zip(machines, s, strict=True))] for c in CLASSES] for s in states], states
 
 
-#: negation covers 2 words, a target 4, a threat 4; reported speech lasts to the clause's end
-TABLE, STATES = compose(counter(NEGATION, 2), counter(REPORT, 1, True), counter(TARGET, 4), counter(THREAT, 4))
+#: negation covers 5 words of a phrase ("not a complete and utter ..."), a target and a threat 4; reported speech lasts to the clause's end
+TABLE, STATES = compose(counter(NEGATION, 5, until_pause=True), counter(REPORT, 1, True), counter(TARGET, 4), counter(THREAT, 4))
+#: read from the clause's end: a target within 3 words after ("..., you are")
+AHEAD = counter(TARGET, 3)
 
 
-def _emitted(cls: int, state: tuple[int, ...]) -> int | None:
-    """The pattern that is complete when ``cls`` is read in ``state``."""
+def _emitted(cls: int, state: tuple[int, ...], ahead: int) -> int | None:
+    """The pattern that is complete when ``cls`` is read in ``state``, with ``ahead`` read from the end."""
     negated, reported, aimed, threatened = state
     if cls == INSULT:
-        return PATTERNS.index("negated" if negated else "reported" if reported else "aimed" if aimed else "plain")
+        return PATTERNS.index("negated" if negated else "reported" if reported else "aimed" if aimed or ahead else "plain")
     if cls == TARGET and threatened and not negated:
         return PATTERNS.index("reported" if reported else "threat")
     return None
 
 
-EMIT = [[_emitted(c, s) for c in range(7)] for s in STATES]
+EMIT = [[[_emitted(c, s, x) for c in CLASSES] for s in STATES] for x in range(len(AHEAD))]
 
 
 @dataclass
@@ -99,7 +103,7 @@ class Model:
         return _GIVEN.get(word, OTHER), 1.0
 
 
-_GIVEN = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws} | dict.fromkeys(".!?;:\n|", BREAK)
+_GIVEN = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws} | dict.fromkeys(".!?;:\n|", BREAK) | {",": PAUSE}
 
 
 def stems_of(word: str) -> set[str]:
@@ -127,9 +131,12 @@ class Scorer:
             read = [memo[t] for t in tokens]
         if not any(c >= THREAT for c, _ in read):
             return out
+        ahead, after = 0, [0] * (len(read) + 1)
+        for i in range(len(read) - 1, -1, -1):
+            after[i], ahead = ahead, AHEAD[ahead][read[i][0]]
         state, clause = 0, [0.0] * len(PATTERNS)
-        for cls, w in [*read, (BREAK, 0.0)]:
-            if (k := EMIT[state][cls]) is not None:
+        for (cls, w), x in zip([*read, (BREAK, 0.0)], after, strict=True):
+            if (k := EMIT[x][state][cls]) is not None:
                 clause[k] += w
             if cls == BREAK and any(clause):
                 best, total = out[: len(PATTERNS)], out[len(PATTERNS) :]
@@ -156,8 +163,9 @@ def _bounded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     share = {y: min(1.0, rows / n) for y, n in have.items()}
     cut = F.when(F.col("y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0))
     lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < cut * 1_000_000)
-    # bounded by 2 x rows ids and labels, so it can be sent to every task
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id"), {y: 1 / s for y, s in share.items()}
+    # bounded by 2 x rows ids and labels, so it can be sent to every task; written, as it is read three times
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(lab), "id")
+    return written(sample, "labelled"), {y: 1 / s for y, s in share.items()}
 
 
 def learn_stems(sample: DataFrame, weight: dict[int, float]) -> dict[str, float]:
