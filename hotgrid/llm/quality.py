@@ -3,9 +3,13 @@
 Every rule is a statistic of a text that is high for bad texts. The labelled good texts
 of a stratum are its holdout. For a candidate cutoff of a rule the number of good texts
 above it is a binomial count, and its exact (Clopper-Pearson) upper bound says what share of
-good texts the cutoff may reject at most. A cutoff is allowed only if that bound, at a
-confidence divided by the number of all tests (rules x strata x candidates), stays
-under the rule's share of the permitted risk; the strictest allowed one is taken.
+good texts the cutoff may reject at most. A cutoff is allowed only if that bound stays under the rule's share of the permitted risk.
+
+The candidates of a rule in a stratum are tested in a fixed sequence, from lenient to strict,
+each at the full error of that sequence, and the first that fails ends it; so only the number
+of sequences (rules x strata) divides the error, and the chance of any false claim is at
+most ``ERROR``. Only texts that pass the base rules are counted: the others go anyway, and
+would make the shares look smaller than they are among the texts that the cutoffs judge.
 """
 
 from __future__ import annotations
@@ -107,27 +111,41 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     ).drop("_words", "_glued", "_lines", "_n_lines", "_letters", "_upper", "_long")
 
 
+STRATA = 3
+
+
 def stratum(n_words: str = "n_words") -> Column:
     """Strata by length: statistics of short texts scatter more."""
     n = F.col(n_words)
     return F.when(n < 150, "short").when(n < 500, "medium").otherwise("long")
 
 
-def _log_tail(n: Column, k: Column, p: float) -> Column:
-    """P(X <= k) of a binomial: summed in the logarithm's domain, term after term.
+def _log_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series at x + 10, brought down by the product of the ten factors between."""
+    z = x + 10.0
+    series = (z + 0.5) * F.log(z) - z + F.lit(0.9189385332046727) + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    for i in range(1, 11):
+        series = series - F.log(x + i)
+    return series
+
+
+def binomial_tail(n: Column, k: Column, p: float) -> Column:
+    """P(X <= k) of a binomial with k <= n p, to double precision, from its largest term down.
 
-    Each term follows from the one before by (n - i) / (i + 1) * p / (1 - p).
+    A term follows from the one above by i / (n - i + 1) * (1 - p) / p, at most 1 here. Terms that
+    lie forty times the root of k below are under e^-700 of the first, so as many are summed.
     """
-    first = n * F.log(F.lit(1 - p))
-    step = F.log(F.lit(p / (1 - p)))
-    state = F.struct(first.alias("term"), F.exp(first).alias("total"))
-    steps = F.when(k > 0, F.sequence(F.lit(0), k.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    n, k = n.cast("double"), k.cast("double")
+    first = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))
+    steps = F.least(k, F.ceil(40 * F.sqrt(k)) + 50).cast("int")
+    odds = F.lit((1 - p) / p)
+    state = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
-    def add(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log((n - i) / (i + 1)) + step
-        return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
+    def add(acc: Column, j: Column) -> Column:
+        term = acc["term"] * (k - j) / (n - k + j + 1) * odds
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
 
-    return F.aggregate(steps, state, add, lambda acc: acc["total"])
+    return first * F.when(steps > 0, F.aggregate(F.sequence(F.lit(0), steps - 1), state, add, lambda acc: acc["total"])).otherwise(1.0)
 
 
 def thresholds(labelled: DataFrame, good_col: str = "quality", stratum_col: str = "stratum", candidates=None, risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -135,18 +153,21 @@ def thresholds(labelled: DataFrame, good_col: str = "quality", stratum_col: str
 
     The upper confidence bound of the rejected share is at most p exactly if P(X <= k) for
     that p is at most the error, so the test needs no search for the bound. ``risk`` is split
-    over the rules and ``error`` over all tests. A stratum in which no candidate of
-    a rule is certified (too few good labels) has no row for it: the rule is off there.
+    over the rules and ``error`` over the sequences of tests. A stricter cutoff rejects more, so
+    its tail is larger: the strictest with a small tail is the last of its sequence to hold. A stratum
+    in which no candidate of a rule is certified (too few good labels) has no row for it: the
+    rule is off there. Rows with ``base_failed`` are not counted.
     """
     candidates = candidates or CANDIDATES
-    strata = 3
     p = risk / len(candidates)
-    alpha = error / (strata * sum(map(len, candidates.values())))
+    alpha = error / (STRATA * len(candidates))
     good = labelled.where(F.col(good_col) == 1)
+    if "base_failed" in labelled.columns:
+        good = good.where(~F.col("base_failed"))
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), (F.col(r) > c).cast("long").alias("hit")) for r, cs in candidates.items() for c in cs])
     counted = good.select(F.col(stratum_col).alias("stratum"), F.explode(tests).alias("t")).groupBy("stratum", "t.rule", "t.cutoff").agg(F.count("*").alias("n_good"), F.sum("t.hit").alias("n_rejected"))
     # beyond the expected number no bound can hold: those are dropped before the sum is made
-    able = counted.where(F.col("n_rejected") <= F.col("n_good") * p).withColumn("tail", _log_tail(F.col("n_good"), F.col("n_rejected"), p))
+    able = counted.where(F.col("n_rejected") <= F.col("n_good") * p).withColumn("tail", binomial_tail(F.col("n_good"), F.col("n_rejected"), p))
     return able.where(F.col("tail") <= alpha).groupBy("stratum", "rule").agg(F.min_by(F.struct("cutoff", "n_good", "n_rejected", "tail"), "cutoff").alias("t")).select("stratum", "rule", "t.*")
 
 
@@ -165,7 +186,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality") -> DataFrame:
     """Measure every text, certify cutoffs on the labelled ones and judge all.
 
-    Rows without a label are judged like the others. Null texts fail the base rules. Rows
+    Rows without a label are judged like the others, texts of any length whole. Null texts fail
+    the base rules; an empty table gives no rows; columns beside id and text are not read. Rows
     that repeat are judged one by one; labels that repeat are counted once (the lowest). With
     no good labels no cutoff is certified and only the base rules reject.
     """

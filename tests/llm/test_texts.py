@@ -1,6 +1,7 @@
 """Operators that map texts: exact values, brute force and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -8,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from hotgrid.llm import decontam, langid, quality, secrets_scan, tokens, toxicity
 
@@ -147,7 +149,7 @@ def _brute_quality(t):
     return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t or ""), len(lines) - len(set(lines)), len(hit)
 
 
-QUALITY = [*[t for t in EDGES if not t or len(t) < 1000], "a b c d e f g h " * 40, "l1 x\nl1 x\n \nl2\nl1 x", "# * | <> &", "\x0b\x1c\x85 u v", "one two three four five six seven eight nine one two three four five six seven eight x one two three four five six seven eight"]
+QUALITY = [*EDGES, " ".join(f"w{i * i % 9973}" for i in range(60_000)), "a b c d e f g h " * 40, "l1 x\nl1 x\n \nl2\nl1 x", "# * | <> &", "\x0b\x1c\x85 u v", "one two three four five six seven eight nine one two three four five six seven eight x one two three four five six seven eight"]
 
 
 def test_quality_counts_and_base_rules(spark, documents):
@@ -160,20 +162,41 @@ def test_quality_counts_and_base_rules(spark, documents):
 
 
 def test_cutoffs_bound_false_rejection(spark):
-    rows = [(1, "long", *[0.0] * 4, 0.0 if i else 0.9) for i in range(3000)] + [(1, "short", *[0.0] * 5)] * 10
-    names = "quality int, stratum string, " + ", ".join(f"{r} double" for r in quality.CANDIDATES)
+    rows = [(1, "long", False, *[0.0] * 4, 0.0 if i else 0.9) for i in range(3000)] + [(1, "short", False, *[0.0] * 5)] * 10 + [(1, "short", True, *[0.0] * 5)] * 3000
+    names = "quality int, stratum string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality.CANDIDATES)
     got = {(r.stratum, r.rule): r for r in quality.thresholds(spark.createDataFrame(rows, names)).collect()}
     assert ("long", "upper_ratio") in got and not any(s == "short" for s, _ in got)
     one = got["long", "upper_ratio"]
     p = quality.RISK / len(quality.CANDIDATES)
     assert one.n_rejected == 1 and one.tail == pytest.approx((1 - p) ** 3000 + 3000 * p * (1 - p) ** 2999, rel=1e-9)
+    assert all(r.cutoff == min(quality.CANDIDATES[rule]) for (_, rule), r in got.items() if rule != "upper_ratio")
 
 
-def test_quality_holds_out_accuracy(spark, sf):
+def test_tails_are_exact(spark):
+    from fractions import Fraction
+    from math import comb
+
+    cases = [(1, 0), (7, 0), (300, 3), (300, 1), (5000, 50), (5000, 20), (100_000, 900), (100_000, 1000)]
+    df = spark.createDataFrame(cases, "n long, k long").withColumn("tail", quality.binomial_tail(F.col("n"), F.col("k"), 0.01))
+    for n, k, tail in df.collect():
+        term, total = 0.99**n, 0.0
+        if n <= 5000:
+            total = float(sum(comb(n, i) * Fraction(1, 100) ** i * Fraction(99, 100) ** (n - i) for i in range(k + 1)))
+        else:
+            logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.01) + (n - i) * math.log(0.99) for i in range(k + 1)]
+            total = math.fsum(map(math.exp, logs))
+        assert term >= 0 and tail == pytest.approx(total, rel=1e-8)
+
+
+def test_quality_on_labels(spark):
+    """Bad texts go, and the share of good ones that the cutoffs reject stays within the risk."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
-    pick = "doc_id % 2 = 0"
-    rows = quality.assess(docs.where(pick), labels).join(labels, "doc_id").groupBy("quality").agg({"kept": "count"}).collect()
-    assert rows
+    got = quality.assess(docs, labels)
+    rows = got.join(labels.where("quality is not null"), "doc_id").where("not base_failed").select("quality", "kept").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) > (1 - quality.RISK) * len(good) and sum(bad) < 0.1 * len(bad)
+    assert quality.assess(docs.limit(0), labels).count() == 0
+    assert all(r.kept != r.base_failed for r in quality.assess(docs.where("doc_id < 50"), labels.limit(0)).collect())
 
 
 def test_languages(spark, documents):
@@ -245,10 +268,10 @@ def test_viterbi_shortcut_is_exact():
 def test_toxicity_patterns_and_edges(spark, documents):
     scorer = toxicity.Scorer(toxicity.Model({"idiot$": 3.0}))
     kinds = {}
-    for t in ("idiot", "you idiot", "not idiot", "he said idiot", "they said x. idiot", "I will kill you"):
+    for t in ("idiot", "you idiot", "not idiot", "he said idiot", "they said x. idiot", "I will kill you", "idiot, you are", "not a complete and utter idiot", "why not, idiot", "idiot and then some more words you"):
         x = scorer.features(t)[: len(toxicity.PATTERNS)]
         kinds[t] = toxicity.PATTERNS[int(x.argmax())]
-    assert kinds == {"idiot": "plain", "you idiot": "aimed", "not idiot": "negated", "he said idiot": "reported", "they said x. idiot": "plain", "I will kill you": "threat"}
+    assert kinds == {"idiot": "plain", "you idiot": "aimed", "not idiot": "negated", "he said idiot": "reported", "they said x. idiot": "plain", "I will kill you": "threat", "idiot, you are": "aimed", "not a complete and utter idiot": "negated", "why not, idiot": "plain", "idiot and then some more words you": "plain"}
     texts = ["you are a zorgle and a fool", "a calm day"] * 60
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, toxic int")
     model = toxicity.fit(documents(texts), labels)
@@ -258,9 +281,32 @@ def test_toxicity_patterns_and_edges(spark, documents):
     assert toxicity.fit(documents(texts), labels.limit(0)).stems
 
 
+def test_transducers_against_brute_force():
+    """Patterns told from windows of words, without states."""
+    rnd = random.Random(3)
+    scorer = toxicity.Scorer(toxicity.Model({"idiot$": 1.0}))
+    for _ in range(500):
+        words = rnd.choices(["idiot", "you", "not", "said", "kill", "x", "y", "z", ",", "."], k=rnd.randint(1, 14))
+        want = dict.fromkeys(toxicity.PATTERNS, 0)
+        for clause in " ".join(words).split("."):
+            seen, w = dict.fromkeys(toxicity.PATTERNS, 0), clause.split()
+            plain = [x for x in w if x != ","]
+            at = [len([x for x in w[:i] if x != ","]) for i in range(len(w))]
+            for i, x in enumerate(w):
+                reported = "said" in w[:i]
+                before = w[max((j for j in range(i) if w[j] == ","), default=-1) + 1 : i][-5:]
+                if x == "idiot":
+                    near = "you" in plain[max(0, at[i] - 4) : at[i]] or "you" in plain[at[i] + 1 : at[i] + 4]
+                    seen["negated" if "not" in before else "reported" if reported else "aimed" if near else "plain"] += 1
+                if x == "you" and "kill" in plain[max(0, at[i] - 4) : at[i]] and "not" not in before:
+                    seen["reported" if reported else "threat"] += 1
+            want = {k: max(want[k], seen[k]) for k in want}
+        assert scorer.features(" ".join(words))[: len(want)].tolist() == list(want.values()), words
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     model = toxicity.fit(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
     r = toxicity.score_toxicity(docs.where(toxicity.held_out()), model).join(labels, "doc_id").toPandas()
     hit = ((r.predicted == 1) & (r.toxic == 1)).sum()
-    assert hit / r.predicted.sum() > 0.9 and hit / r.toxic.sum() > 0.65
+    assert hit / r.predicted.sum() > 0.9 and hit / r.toxic.sum() > 0.7
