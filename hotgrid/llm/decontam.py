@@ -8,7 +8,6 @@ the original and a hit's offsets need no search to be mapped back.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.common import written
-
 #: Words in a window.
 WINDOW = 10
-#: Bytes of benchmark text that one automaton may be built of; more items go in further scans.
+#: Bytes of benchmark text that one automaton may be built of; a larger benchmark has several.
 BLOCK_BYTES = 8_000_000
+#: Bytes of documents that a task holds while several automata pass over them, one at a time.
+HELD_BYTES = 64_000_000
 #: A-Z to a-z; 0-9, a-z and every byte of a character beyond ASCII stay; all else is a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -69,14 +68,14 @@ class Automaton:
         return len(words), out, words
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _automaton(items: tuple[tuple[str, str], ...], size: int) -> Automaton:
     return Automaton(items, size)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[str, str], ...]]:
     """The benchmark's items, one block after another; the number of blocks is not limited."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     block, size = [], 0
     for i, t in rows.toLocalIterator():
         block.append((i, t))
@@ -87,10 +86,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     yield tuple(sorted(block))
 
 
-_FOUND = "array<struct<first:long,end:long,items:array<string>>>"
-_FOUND_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("items", pa.list_(pa.string()))]))
-
-
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -109,53 +104,52 @@ def find_contamination(
 
     A null text or item has no words and is neither hit nor found; a document without
     words is clean; an empty benchmark leaves all clean. Items with the same words are all
-    found; repeated rows of documents give a row each. Extra columns are not read.
+    found; an item with a null id is found as "". Repeated rows of documents give a row each,
+    texts of any length are scanned whole. Extra columns are not read.
 
-    What is broadcast is one block of items of at most ``block_bytes`` (and one item). A
-    larger benchmark is taken a block at a time: each pass adds its hits to the rows and
-    writes them, so neither driver nor task ever holds more than one block.
+    What is broadcast at a time is one block of items of at most ``block_bytes`` (and one item); the
+    driver reads the benchmark block by block. Documents are read once and never rewritten: with
+    several blocks a task holds some of its documents, and one automaton after another, of which
+    it keeps one, passes over them.
     """
-    spark = docs.sparkSession
-    state = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
-    block = next(blocks)
-    while (following := next(blocks, None)) is not None:
-        more = state if "found" in state.columns else state.withColumn("found", F.lit(None).cast(_FOUND))
-        state = written(more.mapInArrow(_pass(spark.sparkContext.broadcast(block), window), f"id long, t string, found {_FOUND}"), "scanned")
-        block = following
-    got = state.mapInArrow(_last_pass(spark.sparkContext.broadcast(block), window), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    got = rows.mapInArrow(_scanned(blocks, window), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
     return got.withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
 
-def _rows(batches, sent, window: int):
-    """Blocks of (id, text, words, found so far and now) of the input's batches."""
-    auto = _automaton(sent.value, window)
+def _held(batches, most: int) -> Iterator[tuple[list, list]]:
+    """Ids and texts of up to 512 rows, or of rows with ``most`` bytes if that is not 0."""
+    ids, texts, size = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            before = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
-            rows = []
-            for i, t, old in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), before, strict=True):
-                n, found, words = auto.scan(t)
-                rows.append((i, t, n, words, [(x["first"], x["end"], x["items"]) for x in old or []] + found))
-            yield rows
-
-
-def _pass(sent, window: int):
-    def run(batches):
-        for rows in _rows(batches, sent, window):
-            found = [[{"first": a, "end": b, "items": list(own)} for a, b, own in r[4]] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(found, _FOUND_ARROW)], names=["id", "t", "found"])
-
-    return run
+            ids += part.column(0).to_pylist()
+            texts += part.column(1).to_pylist()
+            size += part.nbytes
+            if size >= most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
-def _last_pass(sent, window: int):
+def _scanned(blocks: list, window: int):
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
-        for rows in _rows(batches, sent, window):
-            got = [(i, n, *(_digest(t, found) if found else (0, [], []))) for i, t, n, words, found in rows]
+        order = list(range(len(blocks)))
+        for ids, texts in _held(batches, HELD_BYTES if len(blocks) > 1 else 0):
+            found: list[list] = [[] for _ in ids]
+            n = [0] * len(ids)
+            for k in order:
+                auto = _automaton(blocks[k].value, window)
+                for i, t in enumerate(texts):
+                    n[i], more, _ = auto.scan(t)
+                    found[i] += more
+            order.reverse()  # the automaton that is held comes first
+            got = [(i, m, *(_digest(t, f) if f else (0, [], []))) for i, t, m, f in zip(ids, texts, n, found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
 
     return run
@@ -180,16 +174,3 @@ def _digest(text: str, found: list[tuple[int, int, tuple[str, ...]]]):
 
 def items_sha256(items: str = "items"):
     return F.sha2(F.concat_ws(",", F.col(items)), 256)
-
-
-def reference_scan(text: str | None, items: list[tuple[str, str]], size: int = WINDOW) -> tuple[int, int, int, str, bool]:
-    """The contract by brute force, for tests: compares every window at every word."""
-    words, hit, own = words_of(text), set(), set()
-    for item, t in items:
-        for w in windows(words_of(t), size):
-            parts = w.split(b" ")
-            for i in range(len(words) - len(parts) + 1):
-                if words[i : i + len(parts)] == parts:
-                    own.add(str(item))
-                    hit.update(range(i, i + len(parts)))
-    return len(words), len(hit), len(own), hashlib.sha256(",".join(sorted(own)).encode()).hexdigest(), bool(hit)
