@@ -102,6 +102,22 @@ def test_archives_round_trip(spark):
     assert full.response.payload == long and full.request.record_id and full.metadata.payload.startswith("pageId: 5")
 
 
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_no_capture_is_lost(spark, few, tmp_path):
+    """Repeated and null ids, equal payloads under them, and a page of 10 MB that looks like an archive."""
+    hot, huge = "h" * 1500, "WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 300_000
+    rows = [(7, "u", hot), (7, "u", hot), (7, "v", "other"), (None, "n", hot), (None, None, None), (3, "w", hot), (8, "x", huge), (9, "y", huge), (9, "y", huge)]
+    pages = _pages(spark, rows).select("page_id", "url", "html")
+    marked = warc.mark_revisits(pages, broadcast_rows=few)
+    warc.records(marked).write.option("lineSep", warc.CRLF).option("compression", "gzip").text(f"{tmp_path}/w")
+    back = warc.assemble(warc.read_records(spark, f"{tmp_path}/w"))
+    got = sorted(map(tuple, warc.digest_columns(back).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=str)
+    want = [(7, 1500, "response", None)] * 2 + [(7, 5, "response", None), (None, 1500, "revisit", 7), (None, 0, "response", None), (3, 1500, "revisit", 7), (8, len(huge), "revisit", 9)] + [(9, len(huge), "response", None)] * 2
+    assert got == sorted(want, key=str)
+    assert {r[0] for r in back.where("response.type = 'response' and response.payload_bytes > 9000").select("response.payload").collect()} == {huge}
+    assert back.where("request is null or metadata is null or response is null").count() == 0
+
+
 def test_transactions_with_missing_records(spark):
     rec = spark.createDataFrame([("response", "r1", None), ("request", "q1", "r1"), ("metadata", "m2", "r2"), ("metadata", "m3", None)], "type string, record_id string, concurrent_to string")
     for c in ("refers_to", "url", "digest", "payload"):
