@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hotgrid.llm import decontam, langid, neardup, packing, quality, secrets_scan, tokens, toxicity, warc, wrappers
 from hotgrid.llm.common import table
+from hotgrid.llm.oracle import ORACLE_SQL
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,12 +59,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, spans=True).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op5_packing, op6_decontamination, op7_token_counts, op8_warc, op9_toxicity, op10_language_id)}
-#: The others' results (models, tokens, wrappers, spans, bins) are not to be had in SQL: tests/llm
+#: The results of the others (models, tokens, wrappers, spans, bins) are not to be had in SQL: tests/llm
 #: holds them against brute force, round trips, the libraries or held-out labels.
-ORACLE_SQL: dict[str, str] = {
-    "op8_warc": """SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, url, request_id
-FROM (SELECT *, CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
-FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, coalesce(url, '') AS url,
-'<urn:capture:request:' || page_id || '>' AS request_id, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS last FROM pages))""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op5_packing, op6_decontamination, op7_token_counts, op8_warc, op9_toxicity, op10_language_id)}
