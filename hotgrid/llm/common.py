@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,7 +39,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hotgrid-{uuid.uuid4().hex[:12]}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and that no frame still in use reads."""
+    for df in tables:
+        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Tasks that the rows of one group are dealt to, where rows are told what their group adds up to.
+SALTS = 64
+
+
+def with_groups(rows: DataFrame, keys: list[str], by: str, partial: dict[str, Column], final: dict[str, Column], where: str = "true", how: str = "inner") -> DataFrame:
+    """``rows`` with aggregates of their group, however many of them one group has.
+
+    A group is cut into SALTS parts by a hash of column ``by``. ``partial`` aggregates a part, ``final``
+    the parts of a group (its columns are those of ``partial``); groups that fail ``where`` are left
+    out before they are told to the rows (with ``how`` left their rows get nulls). No task gets
+    more than a part's rows or a group's parts.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
+    whole = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()]).where(where)
+    told = parts.select(*keys, "_salt").join(whole, keys)
+    return salted.join(told, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_lookup(rows: DataFrame, key: str, by: str, lookup: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``lookup`` (one row a key), where a third of the rows may have one key.
+
+    Rows are dealt by key and a hash of column ``by``; the lookup goes to the parts that a key has.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.select(key, "_salt").distinct().join(lookup, key)
+    return salted.join(parts, [key, "_salt"], "left").drop("_salt")
 
 
 def map_texts(

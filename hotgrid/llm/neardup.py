@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.common import only, written
+from hotgrid.llm.common import discard, only, with_groups, with_lookup, written
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 is missed with probability 7e-5.
@@ -34,6 +34,8 @@ REGISTERS = BANDS * ROWS
 SALT_ROWS = 200
 #: Buckets of up to so many texts are compared pair by pair, larger ones in blocks.
 SMALL = 4
+#: Parts that the members of one group in one bucket are dealt to.
+SPREAD = 8
 #: Shingles of the texts in a block, about.
 BLOCK_SHINGLES = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -206,7 +208,8 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFr
     need, so that no task holds more than some of them, and one text at a time.
     """
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    asked = pairs.join(hubs, "a").select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    counted = with_groups(pairs, ["a"], "b", {"m": F.count("*")}, {"salts": F.ceil(F.sum("m") / SALT_ROWS).cast("int")})
+    asked = counted.select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     asked = asked.unionByName(hubs.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
     rows = asked.join(texts, "id").withColumn("role", (F.col("id") != F.col("a")).cast("int"))
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
@@ -227,7 +230,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "edges")
+        old, edges = edges, written(small.distinct(), "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == mark:
             return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("group"))
@@ -241,21 +245,21 @@ def _links(least: float):
             out = []
             for *place, i, group, side, text in zip(*[b.column(k).to_pylist() for k in range(8)], strict=True):
                 if place != at:
-                    out += block_links(rows, least, at[2] != at[3] if at else False)
+                    out += block_links(rows, least)
                     at, rows = place, []
                 rows.append((i, group, side, own.bag(text)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-        if out := block_links(rows, least, at[2] != at[3] if at else False):
+        if out := block_links(rows, least):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def block_links(rows: list[tuple], least: float, across: bool) -> list[tuple[int, int]]:
-    """Links that connect what is similar among (id, group, side, bag): compares all pairs of groups.
+def block_links(rows: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar among (id, group, side, bag): compares the groups of side 0 with those of side 1.
 
-    With ``across`` only texts of different sides are compared. An index from shingles to texts
+    An index from shingles to texts
     gives one text's overlap with all others at once; texts that are connected by now are left
     out, so at most one link fewer than texts comes out.
     """
@@ -282,10 +286,8 @@ def block_links(rows: list[tuple], least: float, across: bool) -> list[tuple[int
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         both = np.bincount(owner[at], weights=np.minimum(np.repeat(bag[1], n), counts[at]), minlength=len(rows))
-        alike = both >= least * (sizes + sizes[i] - both) - 1e-9
+        alike = (both >= least * (sizes + sizes[i] - both) - 1e-9) & (sides != side)
         alike[: i + 1] = False
-        if across:
-            alike &= sides != side
         for k in np.flatnonzero(alike).tolist():
             x, y = root(group), root(rows[k][1])
             if x != y:
@@ -295,17 +297,20 @@ def block_links(rows: list[tuple], least: float, across: bool) -> list[tuple[int
 
 
 def crowded(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between groups inside bands' buckets of many texts (band, key, id, n, group, total).
+    """Links (a, b) between groups inside bands' buckets of many texts (band, key, id, n, group, total, top, rest).
 
-    The texts of a bucket are dealt to blocks of bounded size and each pair of blocks is
-    compared in one task; rows grow with the texts and blocks, never with the pairs.
+    ``top`` is the bucket's largest group, whose texts need not meet each other, and ``rest`` the
+    shingles of all others. Every text stays in a block of bounded size, and the texts outside
+    ``top``, in blocks of their own, visit each of them; a task compares one block with one block of
+    visitors. So a bucket costs (texts x blocks of visitors) + (visitors x blocks) rows: where
+    nearly all belong together already, about one row a text.
     """
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own, visit = (F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int") for c in ("total", "rest"))
+    rows = members.withColumns({"blocks": own, "visits": F.greatest(visit, F.lit(1)), "salt": F.xxhash64("id")})
+    here = rows.select("band", "key", F.pmod("salt", "blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("visits").cast("long") - 1)).alias("y"), "id", "group", F.lit(0).alias("side"))
+    there = rows.where("group <> top").select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("x"), F.pmod("salt", "visits").alias("y"), "id", "group", F.lit(1).alias("side"))
     place = ["band", "key", "x", "y"]
-    rows = rows.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "group", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = rows.join(texts, "id").repartition(*place).sortWithinPartitions(*place, "id")
+    dealt = here.unionByName(there).join(texts, "id").repartition(*place).sortWithinPartitions(*place, "id", "side")
     return dealt.select(*place, "id", "group", "side", "text").mapInArrow(_links(least), "a long, b long")
 
 
@@ -319,56 +324,70 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
     class_id is the least id with an equal bag of shingles; group_id the least id of all that
     are connected by verified links of similarity ``least`` or more. Texts of fewer than
     five words are one shingle. Texts without a word are equal only to the same text; null, empty
-    and blank texts are alone. Ids are taken to identify texts; a repeated row has the result of
-    its id. An empty table gives no rows; other columns are not read.
+    and blank texts are alone. Texts of any length are compared whole. Ids are taken to identify
+    texts; each repeated row has the result of its id. A null id's row gets the class and group of its
+    copies, null if there are none. An empty table gives no rows; other columns are not read.
 
     First every text is compared with the most central text of its bands, then with those of each
     of its bands that it is not yet connected with, at last with every text that shares a band
     with it and is in another group so far. So a group of n near copies around an original
     costs about n comparisons, and no candidate pair of different groups is left out. The last
-    step makes pairs only in buckets of a few texts; larger ones are compared in blocks.
+    step makes pairs only in buckets of a few texts; larger ones are compared in blocks. Copies and
+    buckets are told their least id and their centre in salted parts, so that no task gets a hot group.
     """
     sketches = written(sketch(docs, id_col, text_col), "sketches")
     alone = (F.col("mark1") == 0) & (F.col("mark2") == 0) & (F.col("n") == 0)
-    firsts = sketches.where(~alone).groupBy("mark1", "mark2").agg(F.min("id").alias("rep"))
-    classes = sketches.where(~alone).select("id", "mark1", "mark2").join(firsts, ["mark1", "mark2"]).select("id", "rep")
-    classes = written(classes.unionByName(sketches.where(alone).select("id", F.col("id").alias("rep"))).distinct(), "classes")
+    marks = sketches.where(~alone).select("id", "mark1", "mark2")
+    told = with_groups(marks, ["mark1", "mark2"], "id", {"rep": F.min("id"), "rows": F.count("*")}, {"rep": F.min("rep"), "rows": F.sum("rows")}, "rows > 1", "left")
+    classes = told.select("id", F.coalesce("rep", "id").alias("rep")).unionByName(sketches.where(alone).select("id", F.col("id").alias("rep")))
+    classes = written(classes, "classes")
 
-    banded = sketches.where(F.size("bands") > 0).join(classes.where("id = rep"), "id", "left_semi").dropDuplicates(["id"])
+    copies = classes.where("id <> rep").select("id").distinct()
+    banded = sketches.where((F.size("bands") > 0) & F.col("id").isNotNull()).join(copies, "id", "left_anti").dropDuplicates(["id"])
     entries = banded.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    found = written(entries.join(sizes, ["band", "key"]), "entries")
+    sizes = {"size": F.count("*")}, {"size": F.sum("size")}, "size > 1"
+    found = entries = written(with_groups(entries, ["band", "key"], "id", *sizes), "entries")
     # the more a text shares bands with others, the more central it is in its group
     central = found.groupBy("id").agg(F.sum("size").alias("degree"))
     found = found.join(central, "id").drop("size")
-    hubs = found.groupBy("band", "key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"))
-    members = written(found.join(hubs, ["band", "key"]), "members")
+    hub = {"hub": F.max(F.struct("degree", (-F.col("id")).alias("minus")))}, {"hub": F.max("hub")}
+    members = written(with_groups(found, ["band", "key"], "id", *hub), "members")
+    discard(sketches, entries)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(only(texts, members.select("id"), "id"), "texts")
 
     best = members.where("id <> -hub.minus").groupBy("id").agg(F.max("hub").alias("hub"))
-    links = written(verify(best.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a")), texts, least).select("a", "b"), "links")
-    groups = components(links)
+    first = written(verify(best.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a")), texts, least).select("a", "b"), "links")
+    groups = components(first)
 
     known = grouped(members, groups)
     all_hubs = known.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a"), F.col("group").alias("group_b")).where("a <> b").distinct()
     of_hub = groups.select(F.col("id").alias("a"), F.col("group").alias("group_a"))
-    again = all_hubs.join(of_hub, "a", "left").where(F.coalesce("group_a", "a") != F.col("group_b")).select("a", "b")
+    again = with_lookup(all_hubs, "a", "b", of_hub).where(F.coalesce("group_a", "a") != F.col("group_b")).select("a", "b")
     again = again.join(best.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a")), ["a", "b"], "left_anti")
-    links = links.unionByName(written(verify(written(again, "again"), texts, least).select("a", "b"), "links2"))
+    again = written(again, "again")
+    second = written(verify(again, texts, least).select("a", "b"), "links2")
+    links = first.unionByName(second)
     groups = components(links)
 
     known = grouped(members, groups).select("band", "key", "id", "n", "group")
-    mixed = known.groupBy("band", "key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("m"), F.sum("n").alias("total")).where("g1 <> g2").drop("g1", "g2")
-    left = written(known.join(mixed, ["band", "key"]), "left")
+    # of each bucket with two groups or more: its texts, shingles, largest group and the shingles of the rest
+    sized = known.groupBy("band", "key", "group").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    largest = F.max_by(F.struct("group", "total"), F.struct("total", "group"))
+    mixed = sized.groupBy("band", "key").agg(F.count("*").alias("groups"), F.sum("m").alias("m"), F.sum("total").alias("total"), largest.alias("top")).where("groups > 1")
+    mixed = mixed.select("band", "key", "m", "total", F.col("top.group").alias("top"), (F.col("total") - F.col("top.total")).alias("rest"))
+    hot = sized.select("band", "key", "group").join(mixed, ["band", "key"])
+    left = written(known.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(hot.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SPREAD))))), ["band", "key", "group", "_salt"]).drop("_salt"), "left")
     few = left.where(F.col("m") <= SMALL)
     other = few.select("band", "key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
     near = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
     rest = few.join(other, ["band", "key"]).where((F.col("id") < F.col("b")) & (F.col("group") != F.col("group_b")) & near).select(F.col("id").alias("a"), "b").distinct()
-    more = verify(written(rest, "pairs"), texts, least).select("a", "b").unionByName(crowded(left.where(F.col("m") > SMALL), texts, least))
+    pairs = written(rest, "pairs")
+    more = verify(pairs, texts, least).select("a", "b").unionByName(crowded(left.where(F.col("m") > SMALL), texts, least))
     more = written(more, "more")
     groups = components(links.unionByName(more))
 
-    out = classes.join(groups.select(F.col("id").alias("rep"), "group"), "rep", "left")
+    discard(texts, members, left, pairs, more, first, again, second)
+    out = with_lookup(classes, "rep", "id", groups.select(F.col("id").alias("rep"), "group"))
     return out.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("group", "rep").alias("group_id"))
