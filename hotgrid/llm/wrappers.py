@@ -8,8 +8,10 @@ aligning pages. So every task folds its pages into one wrapper per host, and the
 wrappers of a host are aligned in two further steps, however many pages the host has.
 
 Extraction aligns each page with its host's wrapper. Texts in slots that have one and the same
-text on three or more pages are the host's and go, inside of articles too; lists of tags and of
-words in class, id and role then find the article and leave out menus and the like.
+text on three or more pages are the host's and go, inside of articles too. On pages without an
+article element so do the texts that half of the pages repeat in a slot that varies, like a menu's
+entries. Lists of tags and of words in class, id and role then find the article and leave out
+what differs from page to page but is no part of it, like comments.
 """
 
 from __future__ import annotations
@@ -40,21 +42,39 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 OUTSIDE = frozenset("nav footer aside form script style noscript template head button select menu dialog iframe svg canvas object map search textarea".split())
 #: Words in class, id or role that say so of any element.
 OUTSIDE_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb
-    breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments comentarios kommentare commentaires respond reply replies
-    discussion disqus cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing
-    social related recommended pagination pager skip complementary contentinfo search""".split()
+    """ad ads adv advert adverts advertisement advertising sponsor sponsored promotion navbar navigation breadcrumb breadcrumbs sidebar footer
+    masthead topbar toolbar comment comments comentarios kommentare commentaires disqus cookie cookies consent popup modal newsletter
+    subscribe pagination pager contentinfo""".split()
 )
+#: Words that say so alone, or beside others that only tell a place or a form ("share-buttons", but not "share-price").
+OUTSIDE_ALONE = OUTSIDE_WORDS | frozenset(
+    """nav menu banner promo widget aside respond reply replies discussion notice notices alert overlay signup login share sharing social
+    related recommended skip complementary search""".split()
+)
+FORMS = frozenset(
+    """list box bar link links button buttons btn wrap wrapper container section area block item items post posts article articles story
+    stories content contents page site header form icon icons panel top bottom left right inner outer main primary secondary body group
+    row col column zone slot card cards module region toggle message msg to""".split()
+)
+#: Elements that hold prose: for them a word of the lists has to be the whole class, id or role.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code td th dt dd b i em strong a span figure figcaption".split())
 MAIN_WORDS = frozenset("main article articlebody".split())
 #: Wrappers nest so deep; what is deeper they hold as a flat sequence of its tags and texts.
 DEPTH = 60
 #: Bytes of wrappers that may be broadcast; more are joined by host.
 BROADCAST_BYTES = 32_000_000
+#: Hosts whose wrappers a task holds before it hands them on.
+HOSTS = 2_000
+#: Tasks that the pages of one host are dealt to where the wrappers are joined.
+SALTS = 32
 PERIODS = (1, 2, 3)
 #: A slot's text is the host's if it is the same on so many pages that differ in content.
 PAGES = 3
+#: Texts that a slot remembers, to find those on half of its pages; the rarest of more are forgotten.
+TEXTS = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+# quotes count only after an equals sign: elsewhere, and inside an unquoted value, they are plain characters
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^>=]++)*+)>|([^<]+|<)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|\d+")
 
@@ -66,8 +86,8 @@ def key_of(tag: str, attrs: str) -> str:
     words = []
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        words += ["hidden"] if name == "hidden" else [w for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if not w.isdigit()]
-    return ".".join([tag, *sorted(set(words))])
+        words += ["hidden"] if name == "hidden" else ["-".join(w for w in _WORDS.findall(x) if not w.isdigit()) for x in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split()]
+    return ".".join([tag, *sorted({w for w in words if w})])
 
 
 def tree(page: str) -> list:
@@ -133,9 +153,11 @@ def tree(page: str) -> list:
     return root
 
 
-# A wrapper's units: ["t", constant or None, optional, contents], ["e", key, units, optional, repeated]
+# A wrapper's units: ["t", constant or None, optional, contents, pages, usual], ["e", key, units, optional, repeated]
 # and ["g", units, optional, repeated] for repeated groups of several units. The contents of a
 # constant are digests of the first PAGES (by digest) different contents of pages that have it.
+# On pages without an article element a slot also counts the pages that have it and, of each text
+# in it that recurs, the pages and contents: in a menu every entry is usual, though the slot varies.
 
 
 def name(unit: list) -> str:
@@ -163,28 +185,41 @@ def members(node: list, depth: int) -> list[tuple[list, int, bool]]:
     return out
 
 
-def _unit(child, page: str, depth: int = 0, flat: bool = False) -> list | None:
+def _unit(child, page: str, count: bool, depth: int = 0, flat: bool = False) -> list | None:
     if isinstance(child, str):
         d = digest(child)
-        return ["t", d, 0, [page]] if d else None
-    inner = [] if flat else fold([u for n, i, f in members(child, depth) if (u := _unit(n[1][i], page, depth + 1, f))])
+        return ["t", d, 0, [page], int(count), {d: [1, [page]]} if count else {}] if d else None
+    count = count and not outside(child[0])
+    inner = [] if flat else fold([u for n, i, f in members(child, depth) if (u := _unit(n[1][i], page, count, depth + 1, f))])
     return ["e", child[0], inner, 0, 0]
 
 
 def infer(page: list) -> list:
     """The page's own expression, equal neighbours folded into repeated groups."""
-    return _unit(page, hashlib.sha1(content(page).encode()).hexdigest()[:12])
+    return _unit(page, hashlib.sha1(content(page).encode()).hexdigest()[:12], not _page_root(page))
+
+
+def _usual(a: list, b: list, same: bool) -> list:
+    """Pages and texts of two slots together: of the ``same`` pages, or of different ones."""
+    pages, out = (max if same else int.__add__)(a[4], b[4]), dict(a[5])
+    for d, (n, contents) in b[5].items():
+        m, known = out.get(d, (0, []))
+        out[d] = [max(m, n) if same else m + n, sorted({*known, *contents})[:PAGES]]
+    if len(out) > TEXTS:  # those that recur stay; a text on most pages recurs long before the others fill the slot
+        out = {d: out[d] for d in sorted(out, key=lambda d: (-len(out[d][1]), -out[d][0], d))[: TEXTS // 2]}
+    return [pages, out]
 
 
-def merge(a: list, b: list) -> list:
-    """The expression that covers both of two units with one name."""
+def merge(a: list, b: list, same: bool = False) -> list:
+    """The expression that covers both of two units with one name, of different pages or of the same."""
     if a[0] == "t":
+        usual = _usual(a, b, same)
         if a[1] is None or a[1] != b[1]:
-            return ["t", None, a[2] | b[2], []]
-        return ["t", a[1], a[2] | b[2], a[3] if a[3] == b[3] else sorted({*a[3], *b[3]})[:PAGES]]
+            return ["t", None, a[2] | b[2], [], *usual]
+        return ["t", a[1], a[2] | b[2], a[3] if a[3] == b[3] else sorted({*a[3], *b[3]})[:PAGES], *usual]
     if a[0] == "g":
-        return ["g", align(a[1], b[1]), a[2] | b[2], a[3] | b[3]]
-    return ["e", a[1], align(a[2], b[2]), a[3] | b[3], a[4] | b[4]]
+        return ["g", align(a[1], b[1], same), a[2] | b[2], a[3] | b[3]]
+    return ["e", a[1], align(a[2], b[2], same), a[3] | b[3], a[4] | b[4]]
 
 
 def _optional(unit: list) -> list:
@@ -193,15 +228,15 @@ def _optional(unit: list) -> list:
     return u
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
+def align(a: list[list], b: list[list], same: bool = False) -> list[list]:
     """Align two sequences of units; what only one has becomes optional, then neighbours fold."""
     x, y = [*map(name, a)], [*map(name, b)]
     if x == y:
-        return [merge(u, v) for u, v in zip(a, b, strict=True)]
+        return [merge(u, v, same) for u, v in zip(a, b, strict=True)]
     out = []
     for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [merge(u, v) for u, v in zip(a[i:j], b[k:m], strict=True)]
+            out += [merge(u, v, same) for u, v in zip(a[i:j], b[k:m], strict=True)]
         else:
             out += map(_optional, a[i:j])
             out += map(_optional, b[k:m])
@@ -218,28 +253,40 @@ def fold(units: list[list]) -> list[list]:
             if len(out) < 2 * p or names[:p] != names[p:]:
                 if p > 1 and len(out) > p and out[-p - 1][0] == "g" and [*map(name, out[-p - 1][1])] == [*map(name, out[-p:])]:
                     group, more = out[-p - 1], out[-p:]
-                    out[-p - 1 :] = [["g", [merge(x, y) for x, y in zip(group[1], more, strict=True)], group[2], 1]]
+                    out[-p - 1 :] = [["g", [merge(x, y, True) for x, y in zip(group[1], more, strict=True)], group[2], 1]]
                 continue
             first, second = out[-2 * p : -p], out[-p:]
             if p == 1:
-                one = merge(first[0], second[0])
+                one = merge(first[0], second[0], True)
                 if one[0] != "t":
                     one[-1] = 1
                 out[-2:] = [one]
             elif len(set(names[:p])) > 1:
-                out[-2 * p :] = [["g", [merge(x, y) for x, y in zip(first, second, strict=True)], 0, 1]]
+                out[-2 * p :] = [["g", [merge(x, y, True) for x, y in zip(first, second, strict=True)], 0, 1]]
         units = out
     return units
 
 
+@functools.lru_cache(65_536)
 def outside(key: str) -> bool:
+    """Whether an element's text is never the article's, by its tag and the words of class, id and role."""
     tag, *words = key.split(".")
-    return tag in OUTSIDE or "hidden" in words or (tag not in ("html", "body", "article", "main") and bool(OUTSIDE_WORDS.intersection(words)))
+    if tag in OUTSIDE or "hidden" in words:
+        return True
+    if tag in ("html", "body", "article", "main"):
+        return False
+    if tag in PROSE:
+        return bool(OUTSIDE_ALONE.intersection(words))
+    for parts in (w.split("-") for w in words):
+        if OUTSIDE_WORDS.intersection(parts) or (OUTSIDE_ALONE.intersection(parts) and not set(parts) - OUTSIDE_ALONE - FORMS):
+            return True
+    return False
 
 
+@functools.lru_cache(65_536)
 def _is_root(key: str) -> bool:
     tag, *words = key.split(".")
-    return tag in ("article", "main") or bool(MAIN_WORDS.intersection(words))
+    return tag in ("article", "main") or any(MAIN_WORDS.intersection(w.split("-")) for w in words)
 
 
 class Slots:
@@ -257,7 +304,8 @@ class Slots:
             self.at.setdefault(name(u), []).append(p)
         self.inner = [Slots(u[2]) if u[0] == "e" and not outside(u[1]) else None for u in self.units]
         #: Whether any text here or deeper is fixed: else there is nothing to match for.
-        self.any = any(map(self.fixed, range(len(self.units)))) or any(x is not None and x.any for x in self.inner)
+        self.often = [self.usual(p) for p in range(len(self.units))]
+        self.any = any(map(self.fixed, range(len(self.units)))) or any(self.often) or any(x is not None and x.any for x in self.inner)
 
     def _flatten(self, units: list[list], group: int | None, must: bool) -> None:
         for u in units:
@@ -275,6 +323,11 @@ class Slots:
         u = self.units[p]
         return u[0] == "t" and u[1] is not None and len(u[3]) >= PAGES
 
+    def usual(self, p: int) -> set[str]:
+        """Digests of the texts in this place that half of its pages have, PAGES of different content at least."""
+        u = self.units[p]
+        return {d for d, (n, contents) in u[5].items() if len(contents) >= PAGES and 2 * n >= u[4]} if u[0] == "t" else set()
+
     def match(self, children: list) -> list[int | None]:
         """The place of each child: of all ways through the units that with the fewest left out.
 
@@ -340,7 +393,7 @@ def fixed_texts(node: list, slots: Slots) -> set[tuple[int, int]]:
             if slots.inner[p] is not None:
                 if not flat:
                     todo.append((owner[1][i], slots.inner[p], depth + 1))
-            elif slots.fixed(p):
+            elif slots.fixed(p) or (slots.often[p] and digest(owner[1][i]) in slots.often[p]):
                 out.add((id(owner), i))
     return out
 
@@ -359,7 +412,8 @@ def _page_root(node: list) -> bool:
 def content(node: list, fixed: set[tuple[int, int]] = frozenset()) -> str:
     """The text of a page's article or main element, or of all the page without one, but for ``fixed``."""
     blocks: list[list[str]] = [[]]
-    todo = [(node, 0, not _page_root(node), False)]
+    whole = not _page_root(node)
+    todo = [(node, 0, False, False)]
     while todo:
         node, i, inside, block = todo.pop()
         children = node[1]
@@ -367,7 +421,7 @@ def content(node: list, fixed: set[tuple[int, int]] = frozenset()) -> str:
             child = children[i]
             i += 1
             if isinstance(child, str):
-                if inside and (id(node), i - 1) not in fixed:
+                if (inside or whole) and (id(node), i - 1) not in fixed:
                     blocks[-1].append(child)
                 continue
             key = child[0]
@@ -422,7 +476,8 @@ _WRAPPERS = pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper",
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
     """(host, wrapper): one wrapper for every host, inferred from all of its pages.
 
-    What is shuffled are the wrappers of tasks, one per host and task, not the pages. Those
+    What is shuffled are the wrappers of tasks, one per host and task (more where a task meets over
+    HOSTS hosts), not the pages. Those
     of a host meet by ``salts`` groups first, so that no group grows with the host's pages.
     """
 
@@ -434,6 +489,12 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 for url, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     h, own = host(url), infer(tree(page or ""))
                     found[h] = merge(found[h], own) if h in found else own
+                if len(found) > HOSTS:
+                    yield from sent(found)
+                    found = {}
+        yield from sent(found)
+
+    def sent(found: dict[str, list]):
         rows = [(h, int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % salts, w) for h, x in found.items() for w in [_dump(x)]]
         for at in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 500], strict=True), _WRAPPERS, strict=True)], schema=_WRAPPERS)
@@ -449,18 +510,23 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    Null or empty html has empty text; a null url is host "". Broken markup, tags that
+    Null or empty html has empty text; a null url is host "". Pages of any length and depth are read
+    whole. Broken markup, tags that
     never end and unknown elements are read as browsers do, near enough: no page fails. Rows
     that repeat give a row each, an empty table none; other columns are not read.
 
     The wrappers are broadcast only if they are at most ``broadcast_bytes``; else pages and
-    wrappers are joined by host, where a hot host's pages are split over tasks.
+    wrappers are joined by host and salt, so that a hot host's pages are split over SALTS tasks.
     """
     wrappers = written(infer_wrappers(pages, url_col, html_col), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
     host_col = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.lower(host_col).alias("host"))
-    joined = rows.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")
+    if size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(wrappers), "host", "left")
+    else:
+        dealt = wrappers.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["host", "_salt"], "left")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     plain = _dump(["e", "html", [], 0, 0])
 

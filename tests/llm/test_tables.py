@@ -83,6 +83,26 @@ def test_deep_elements_are_whole(spark):
     assert got[20] == "xy"
 
 
+def test_the_wrapper_decides(spark):
+    """Pages without article, main or telling names: a wrapper that knows nothing gives another, wrong text."""
+    page = "<header>Site</header><div class=q7><span>Home</span><span>About us</span></div><div class=z{k}><h2>Title {i}</h2><p>Body of {i} &amp; more</p>{extra}<p>All rights reserved</p></div><div class=q9>Call us now</div>"
+    rows = [(i, "http://h.org/x", page.format(i=i, k=i % 2, extra="<p>Second of {}</p>".format(i) * (i % 3))) for i in range(12)]
+    got = {r.page_id: r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()}
+    assert got == {i: "\n".join([f"Title {i}", f"Body of {i} & more", *[f"Second of {i}"] * (i % 3)]) for i in range(12)}
+    dummy = wrappers._dump(["e", "html", [], 0, 0])
+    assert all("About us" in wrappers.extract(h, dummy) and "All rights reserved" in wrappers.extract(h, dummy) for _, _, h in rows)
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<header>SITE</header><div>art</div>", "art"), ("<article><header><h1>T</h1></header><p>x</p></article>", "T\nx"),
+    ("<p title=it's>hello</p><p class=\"a>b\">you</p>", "hello\nyou"), ("<p a=\"x>still text", "still text"),
+    ("<p class=related-work>Related work</p><div id=search-trees>b-trees</div><div class=share-price>12</div>", "Related work\nb-trees\n12"),
+    ("<div class=share-buttons>s</div><div id=reader-comments>c</div><p class=ad>a</p><div class='related posts'>r</div><div class=commentList>l</div><section class=box>t</section>", "t"),
+])
+def test_markup_and_names(page, text):
+    assert wrappers.extract(page, wrappers._dump(["e", "html", [], 0, 0])) == text
+
+
 def test_archives_round_trip(spark):
     long = "é" * 600 + "WARC/1.1\r\n\r\n"
     rows = [(1, "http://a", long), (5, "http://b", long), (3, "http://c\r\nX: y", long), (4, None, None), (6, "u", "short"), (7, "u", "short")]
@@ -185,8 +205,25 @@ def test_repeated_rows_and_blocks(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
     texts = _corpus(2)
     docs = documents(texts)
-    got = neardup.near_duplicates(docs.unionByName(docs.where("doc_id < 12"))).distinct().orderBy("doc_id").collect()
-    assert [r.group_id for r in got] == _groups(texts)
+    want = _groups(texts)
+    nameless = docs.where("doc_id in (3, 40)").withColumn("doc_id", F.lit(None).cast("long"))
+    got = neardup.near_duplicates(docs.unionByName(docs.where("doc_id < 12")).unionByName(nameless)).collect()
+    assert sorted((r.doc_id, r.group_id) for r in got if r.doc_id is not None) == sorted([*enumerate(want), *list(enumerate(want))[:12]])
+    assert sorted(r.group_id for r in got if r.doc_id is None) == sorted([want[3], want[40]])
+
+
+def test_recall_of_similar_pairs(spark):
+    """All pairs of similarity 0.8 and more of a test table, by an index from shingles to texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    bags, index = {i: _bag(t) for i, t in texts.items()}, {}
+    for i, bag in bags.items():
+        for k in bag:
+            index.setdefault(k, []).append(i)
+    pairs = {(a, b) for ids in index.values() for a, b in combinations(sorted(set(ids)), 2)}
+    alike = [(a, b) for a, b in pairs if _similar(bags[a], bags[b]) >= 0.8]
+    group = {r.doc_id: r.group_id for r in neardup.near_duplicates(docs).collect()}
+    assert len(alike) > 50 and sum(group[a] == group[b] for a, b in alike) >= 0.99 * len(alike)
 
 
 def test_signatures_are_unbiased_for_weights():
