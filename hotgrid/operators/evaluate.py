@@ -30,9 +30,11 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", F.least(F.lit(12.0), F.pow(safe_ratio(F.col("n_neg").cast("double"), F.col("n_pos").cast("double"), default=1.0), F.lit(0.7))) * 1.25)
 
 
-def sample_weight(label: str, emerging: Column, low_prior: Column, nbr_spike: Column) -> Column:
-    w = F.when(emerging, 1.25).otherwise(1.0) * F.when(low_prior, 1.35).otherwise(1.0) * F.when(nbr_spike, 1.15).otherwise(1.0)
-    return F.when(F.col(label) == 1, F.least(w, F.lit(1.75))).otherwise(1.0)
+def sample_weight(label: str) -> Column:
+    """Weight of a training row: positives that emerge, of low priors or beside a spike count more, 1.75 at most."""
+    rise = lambda cond, by: F.when(F.coalesce(cond, F.lit(False)), by).otherwise(1.0)
+    w = rise(F.col("local_sudden_activation_3d") > 0, 1.25) * rise(F.coalesce("h3_train_percentile", F.lit(0.0)) < 0.75, 1.35) * rise(F.col("nbr_r1_spike_vs_roll7") > 1.0, 1.15)
+    return F.when(F.col(label) == 1, F.greatest(F.lit(1.0), F.least(w, F.lit(1.75)))).otherwise(1.0)
 
 
 def threshold_grid(df: DataFrame, score: str, label: str, guarded: bool = True, multiplier: float = 2.2) -> DataFrame:
@@ -62,13 +64,20 @@ def best_threshold(grid: DataFrame) -> DataFrame:
 def ranker_metrics(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
     """Precision, recall, F1, AUC and average precision, exact, from counts of distinct scores.
 
-    Rows are first counted by score, so the running sums go over distinct scores only.
+    Rows are first counted by score. Running sums go over the distinct scores of one of 1,000 ranges each,
+    and what lies in the ranges below is added from a table of the ranges' totals, so that no
+    task has all scores. Scores are probabilities; others fall into the first or last range.
     """
     counted = df.where(F.col(label).isNotNull()).groupBy(score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    up = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    c = counted.withColumns({"below": F.coalesce(F.sum("n").over(up), F.lit(0)), "tp": F.sum("pos").over(down), "at": F.sum("n").over(down), "p": F.sum("pos").over(whole), "rows": F.sum("n").over(whole)})
+    counted = counted.withColumn("range", F.greatest(F.lit(0), F.least(F.lit(999), F.floor(F.col(score) * 1000))))
+    totals = counted.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))  # 1,000 rows at most
+    one = Window.partitionBy(F.lit(0))
+    before, after = one.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), one.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    totals = totals.select("range", over("rn", before).alias("n_before"), over("rp", after).alias("p_after"), over("rn", after).alias("n_after"), F.sum("rp").over(one).alias("p"), F.sum("rn").over(one).alias("rows"))
+    up = Window.partitionBy("range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    c = counted.join(F.broadcast(totals), "range").withColumns({"below": F.col("n_before") + over("n", up), "tp": F.col("p_after") + F.sum("pos").over(down), "at": F.col("n_after") + F.sum("n").over(down)})
     ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
     hit = F.col(score) >= threshold
     m = c.agg(
@@ -102,6 +111,39 @@ def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*columns)).alias("f")).select("f.*").withColumn("constant", F.coalesce(F.col("lo") == F.col("hi"), F.lit(True)))
 
 
+def split_report(frame: DataFrame, needed: int) -> DataFrame:
+    """One row: supervised days against those needed, overlap of the splits, mean prior of each split.
+
+    ``frame`` has date, split and h3_train_percentile. A prior that was made of other rows than the training
+    rows would differ between the splits, as cells are the same in all.
+    """
+    days = frame.select("date", "split").distinct()
+    counts = days.agg(F.count_distinct("date").alias("days"), (F.count("*") - F.count_distinct("date")).alias("shared_days"))
+    mean = lambda k: F.avg(F.when(F.col("split") == k, F.col("h3_train_percentile"))).alias(f"prior_{k}")
+    drift = frame.agg(*map(mean, ("train", "val", "test")))
+    return counts.crossJoin(drift).withColumns({"enough": F.col("days") >= needed, "disjoint": F.col("shared_days") == 0})
+
+
+def model_floor(metrics: DataFrame, auc: float = 0.75, f1: float = 0.50) -> DataFrame:
+    """The metrics with a verdict: whether the model is as good as one that may be used has to be."""
+    return metrics.withColumn("passed", (F.col("auc") >= auc) & (F.col("f1") >= f1))
+
+
+def error_rows(df: DataFrame, scores: list[str], label: str, threshold: float) -> DataFrame:
+    """(scenario, cell, date, score, error): what each score misses (FN) or wrongly predicts (FP)."""
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), F.col(s).alias("score")) for s in scores])).alias("s")
+    hit = F.col("s.score") >= threshold
+    kind = F.when((F.col(label) == 1) & ~hit, "FN").when((F.col(label) == 0) & hit, "FP")
+    return df.where(F.col(label).isNotNull()).select("cell", "date", label, each).select("s.scenario", "cell", "date", "s.score", kind.alias("error")).where("error is not null")
+
+
+def type_rates(df: DataFrame) -> DataFrame:
+    """(split, n, hotspots, violent_rate, property_rate): how often a type leads tomorrow where there is a hotspot."""
+    hot = F.col("next_hotspot") == 1
+    rate = lambda c: F.avg(F.when(hot, F.col(c))).alias(c.replace("next_", "") + "_rate")
+    return df.where("next_total is not null").groupBy("split").agg(F.count("*").alias("n"), F.count_if(hot).alias("hotspots"), rate("next_violent"), rate("next_property"))
+
+
 def overlap(df: DataFrame, scores: list[str], label: str, threshold: float, blend: str) -> DataFrame:
     """Cells that every single score misses, those only some miss, and those that the blend resolves."""
     missed = [(F.col(label) == 1) & (F.col(s) < threshold) for s in scores]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotgrid.functions.exprs import great_circle_km
 
 DAY = 86400
-#: Kilometres assumed for a kind of place that a cell does not have, and for one that it has.
+# Fixed values. Kilometres assumed for a kind of place that a cell does not have, and for one that it has.
 POI_DEFAULTS = {"school": 1.5, "transit_station": 2.0, "park": 1.2, "nightlife": 2.5}
 POI_PRESENT = 0.2
 
@@ -17,19 +17,54 @@ def rolling_events(df: DataFrame) -> DataFrame:
     """Incidents of the cell in the 7 and 30 days before each, and the share with an arrest.
 
     Incidents of the same second do not count for each other. A cell's seconds are summed first
-    and the window runs over these, so equal seconds of a hot cell cost one row.
+    and the window runs over these, so equal seconds of a hot cell cost one row. A window's
+    partition is a cell and a stretch of 30 days, which has the stretch before as its history,
+    so that the seconds of a hot cell are spread over its years.
     """
     sec = F.unix_timestamp("incident_ts")
     seconds = df.groupBy("cell", sec.alias("sec")).agg(F.count("*").alias("n"), F.sum(F.col("arrest").cast("int")).alias("arrests"))
-    frame = lambda days: Window.partitionBy("cell").orderBy("sec").rangeBetween(-days * DAY, -1)
-    rolled = seconds.select(
+    stretch = F.floor(F.col("sec") / (30 * DAY))
+    placed = seconds.withColumn("at", F.explode(F.array(F.struct(stretch.alias("stretch"), F.lit(True).alias("own")), F.struct((stretch + 1).alias("stretch"), F.lit(False).alias("own")))))
+    frame = lambda days: Window.partitionBy("cell", "at.stretch").orderBy("sec").rangeBetween(-days * DAY, -1)
+    rolled = placed.select(
         "cell",
         "sec",
+        "at.own",
         F.coalesce(F.sum("n").over(frame(7)), F.lit(0)).alias("crime_density_7d"),
         F.coalesce(F.sum("n").over(frame(30)), F.lit(0)).alias("crime_density_30d"),
         F.coalesce(F.sum("arrests").over(frame(30)) / F.sum("n").over(frame(30)), F.lit(0.0)).alias("arrest_rate"),
     )
-    return df.withColumn("sec", sec).join(rolled, ["cell", "sec"]).drop("sec")
+    return df.withColumn("sec", sec).join(rolled.where("own").drop("own"), ["cell", "sec"]).drop("sec")
+
+
+def poi_points(features: DataFrame) -> DataFrame:
+    """(latitude, longitude, poi_type) of tagged shapes, each once: the kind by its tags, the mean of its vertices.
+
+    ``features`` has ``tags`` (map of texts) and ``vertices`` (array of lat, lon structs). Shapes of no kind
+    or without a vertex are left out.
+    """
+    tag = lambda k: F.col("tags")[k]
+    # fixed values: the tags of each kind
+    kind = F.when(tag("railway") == "station", "transit_station").when(tag("amenity") == "school", "school").when(tag("leisure") == "park", "park").when(tag("amenity").isin("bar", "nightclub"), "nightlife")
+    mean = lambda c: F.when(F.size("vertices") > 0, F.aggregate("vertices", F.lit(0.0), lambda a, v: a + v[c]) / F.size("vertices"))
+    points = features.select(mean("lat").alias("latitude"), mean("lon").alias("longitude"), kind.alias("poi_type"))
+    return points.na.drop().dropDuplicates(["latitude", "longitude", "poi_type"])
+
+
+def with_population(socio: DataFrame, population: DataFrame) -> DataFrame:
+    """Socio-economics with the population of areas of the same name, however it is written there."""
+    key = lambda c: F.upper(F.trim(c))
+    people = population.select(key("community_area_name").alias("_name"), "population").groupBy("_name").agg(F.max("population").alias("population"))
+    return socio.withColumn("_name", key("community_area_name")).join(F.broadcast(people), "_name", "left").drop("_name")
+
+
+def quality_report(before: DataFrame, gold: DataFrame, most: float = 0.05) -> DataFrame:
+    """One row: enriched rows, share without a cell before the filter, share without weather, verdict."""
+    a = before.agg(F.count("*").alias("n_before"), F.count_if(F.col("cell").isNull()).alias("null_cells"))
+    b = gold.agg(F.count("*").alias("n_gold"), F.count_if(F.col("temp_max") == 0).alias("zero_weather"))
+    share = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n)).otherwise(0.0)
+    out = a.crossJoin(b).withColumns({"null_share": share("null_cells", "n_before"), "zero_weather_share": share("zero_weather", "n_gold")})
+    return out.withColumn("passed", (F.col("n_gold") > 0) & (F.col("null_share") <= most))
 
 
 def centroids(df: DataFrame) -> DataFrame:
@@ -79,14 +114,15 @@ def socio_dim(tracts: DataFrame, crosswalk: DataFrame, names: DataFrame) -> Data
     )
 
 
-def enrich(facts: DataFrame, stations: DataFrame, weather: DataFrame, poi_cells: DataFrame, socio: DataFrame) -> DataFrame:
+def enrich(facts: DataFrame, stations: DataFrame, weather: DataFrame, poi_cells: DataFrame, socio: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """The enriched fact: rolling counts, the nearest station's weather, places and socio-economics.
 
     Cells, places by cell and areas are dimensions bounded by the city's grid; weather is joined by
-    (date, station). Facts without a cell are dropped.
+    (date, station). Facts without a cell are dropped. ``cells`` has the centroids where ``facts`` are a part
+    of all facts.
     """
     facts = rolling_events(facts.where("cell is not null"))
-    cells = centroids(facts)
+    cells = centroids(facts) if cells is None else cells
     dims = nearest_station(cells, stations).select("cell", "station_id").join(poi_presence(cells, poi_cells), "cell")
     ts = F.col("incident_ts")
     df = facts.join(F.broadcast(dims), "cell", "left").withColumn("date", F.to_date(ts))
@@ -95,7 +131,7 @@ def enrich(facts: DataFrame, stations: DataFrame, weather: DataFrame, poi_cells:
     return df.select(
         "unique_key", "case_number", "date", "primary_type", "community_area", "cell", "latitude", "longitude", "arrest",
         F.hour(ts).alias("hour_of_day"), F.weekday(ts).alias("day_of_week"), F.month(ts).alias("month"),
-        *map(zero, ("temp_max", "precipitation", "wind_speed")),
+        *map(zero, ("temp_max", "temp_min", "precipitation", "wind_speed")),
         *[f"dist_nearest_{k}" for k in ("school", "station", "park", "nightlife")],
         "crime_density_7d", "crime_density_30d", "arrest_rate",
         zero("unemployment_rate"), F.coalesce("hardship_index", F.lit(0)).alias("hardship_index"), zero("population_density"), zero("per_capita_income"),

@@ -2,48 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
-
-#: Ordered rules from a feature's name to its bucket; the first that fits decides.
-BUCKET_RULES: tuple[tuple[str, str], ...] = (
-    ("h3_train", "spatial"), ("comm_train", "spatial"), ("h3_vs_comm", "spatial"), ("nbr_r1_roll", "spatial"), ("nbr_r2", "spatial"), ("nbr_r1_neighbor", "spatial"), ("nbr_r1_burst", "spatial"), ("nbr_r1_vs_r2", "spatial"),
-    ("city_", "spatial"), ("comm_", "spatial"), ("nbr_", "spatial"), ("temp_", "context"), ("precipitation", "context"), ("wind_", "context"), ("unemployment", "context"), ("population", "context"),
-    ("holiday", "context"), ("dow_", "context"), ("month", "context"), ("doy_", "context"), ("is_", "context"),
-)
-
+from hotgrid.functions.rules import ABLATION, ABLATION_REST, BLEND, BLEND_REST, FAMILY, FAMILY_REST, GUARDED, bucket, label_column
+from hotgrid.operators.evaluate import sample_weight
+from hotgrid.sources.layers import written
 
 #: Boosting rounds at most, of which early stopping leaves fewer, and the depth of their trees.
 ROUNDS, DEPTH = 60, 4
-#: Columns that are no features, and those that the selection leaves out as redundant or too direct.
-NO_FEATURES = frozenset("cell date split is_validation".split())
-REDUNDANT = frozenset(
-    """h3_train_sum h3_train_max h3_train_pct comm_train_sum comm_train_max h3_train_mean h3_train_std comm_train_mean
-    roll_sum_60 roll_sum_90 community_area dayofweek month""".split()
-)
+#: Columns that are no features.
+NO_FEATURES = frozenset("cell date split is_validation weight".split())
+#: Features that each bucket of the blend has at least.
+LEAST_FEATURES = 5
+BUCKETS = ("temporal", "spatial", "context")
+
 
+def candidates(df: DataFrame) -> list[str]:
+    """The numeric columns that are no keys, targets or guarded."""
+    return [n for n, t in df.dtypes if t in ("int", "bigint", "double") and n not in NO_FEATURES | GUARDED and not n.startswith("next_")]
 
-def select(df: DataFrame) -> list[str]:
-    """The numeric columns that are no keys, targets or redundant, and not constant in the training rows."""
-    names = [n for n, t in df.dtypes if t in ("int", "bigint", "double") and n not in NO_FEATURES | REDUNDANT and not n.startswith("next_")]
-    r = df.where("split = 'train'").agg(*[(F.min(n) < F.max(n)).alias(n) for n in names]).first()
-    return [n for n in names if r[n]]
 
+def profile(df: DataFrame) -> DataFrame:
+    """(feature, n, lo, hi, kept, bucket, ablation_group, family) of the candidates over supervised training rows: one pass.
 
-def bucket(feature: str) -> str:
-    return next((b for part, b in BUCKET_RULES if part in feature), "temporal")
+    A feature is kept that has a value there, and more than one.
+    """
+    names = candidates(df)
+    rows = df.where("split = 'train' and next_total is not null")
+    wide = rows.agg(*[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")).alias(c) for c in names])
+    out = wide.select(F.explode(F.array(*names)).alias("f")).select("f.*").withColumn("kept", F.coalesce(F.col("lo") < F.col("hi"), F.lit(False)))
+    kinds = {"bucket": (BLEND, BLEND_REST), "ablation_group": (ABLATION, ABLATION_REST), "family": (FAMILY, FAMILY_REST)}
+    return out.withColumns({n: label_column(F.col("feature"), *r) for n, r in kinds.items()})
 
 
-def buckets(spark: SparkSession, features: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(f, bucket(f)) for f in features], "feature string, bucket string")
+def select(df: DataFrame, least: int = LEAST_FEATURES) -> list[str]:
+    """The kept features of :func:`profile`; raises where a bucket of the blend has too few."""
+    names = [r.feature for r in profile(df).where("kept").select("feature").collect()]
+    for b in BUCKETS:
+        if sum(bucket(n) == b for n in names) < least:
+            raise ValueError(f"fewer than {least} features for {b}")
+    return names
 
 
 def fit(df: DataFrame, features: list[str], label: str, trees: int = ROUNDS, depth: int = DEPTH, weight: str | None = None) -> PipelineModel:
@@ -61,43 +65,99 @@ def score(df: DataFrame, model: PipelineModel, features: list[str], out: str, ke
 
 
 def group_blend(df: DataFrame, features: list[str], label: str, cfg: Config = Config(), trees: int = ROUNDS) -> tuple[DataFrame, dict[str, PipelineModel]]:
-    """One model per bucket and the fixed blend of their scores; ``df`` has a column ``split``."""
-    rows = df.where(F.col(label).isNotNull() & F.col("split").isin("train", "calib")).withColumn("is_validation", F.col("split") == "calib").cache()
-    names = ("temporal", "spatial", "context")
+    """One model per bucket, on weighted rows, and the fixed blend of their scores; ``df`` has a column ``split``."""
+    rows = df.where(F.col(label).isNotNull() & F.col("split").isin("train", "calib"))
+    rows = written(rows.withColumns({"is_validation": F.col("split") == "calib", "weight": sample_weight(label)}).select(*features, label, "is_validation", "weight"), "fit")
     models, out = {}, df
-    for name in names:
+    for name in BUCKETS:
         own = [f for f in features if bucket(f) == name]
-        models[name] = fit(rows, own, label, trees)
+        models[name] = fit(rows, own, label, trees, weight="weight")
         out = score(out, models[name], own, name, out.columns)
-    rows.unpersist()
-    blended = sum(F.col(n) * w for n, w in zip(names, cfg.blend, strict=True))
+    blended = sum(F.col(n) * w for n, w in zip(BUCKETS, cfg.blend, strict=True))
     return out.withColumn("score", blended), models
 
 
-def importances(spark: SparkSession, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
-    """(bucket, feature, gain, share within the bucket)."""
-    rows = [(n, f, float(g)) for n, m in models.items() for f, g in zip([f for f in features if bucket(f) == n], m.stages[-1].featureImportances.toArray(), strict=True)]
-    df = spark.createDataFrame(rows, "bucket string, feature string, gain double")
-    total = df.groupBy("bucket").agg(F.sum("gain").alias("total"))
-    return df.join(F.broadcast(total), "bucket").select("bucket", "feature", "gain", F.when(F.col("total") > 0, F.col("gain") / F.col("total")).otherwise(0.0).alias("share"))
+def type_models(df: DataFrame, features: list[str], trees: int = ROUNDS) -> tuple[DataFrame, dict[str, PipelineModel]]:
+    """``df`` with the chances that violent or property incidents lead tomorrow; positives weigh min(10, (neg / pos)^0.7)."""
+    rows = df.where(F.col("next_total").isNotNull() & F.col("split").isin("train", "calib")).withColumn("is_validation", F.col("split") == "calib")
+    rows = written(rows.select(*features, "next_violent", "next_property", "split", "is_validation"), "fit")
+    models, out = {}, df
+    for label, name in (("next_violent", "violent_probability"), ("next_property", "property_probability")):
+        n = rows.where("split = 'train'").agg(F.sum(label).alias("pos"), F.count("*").alias("n")).first()
+        up = min(10.0, ((n["n"] - n["pos"]) / max(n["pos"] or 0, 1)) ** 0.7)
+        weighted = rows.withColumn("weight", F.when(F.col(label) == 1, float(up)).otherwise(1.0))
+        models[name] = fit(weighted, features, label, trees, weight="weight")
+        out = score(out, models[name], features, name, out.columns)
+    return out, models
+
+
+def split_counts(model: PipelineModel, n: int) -> list[int]:
+    """How many inner nodes of a model's trees split on each of its n features."""
+    found = [0] * n
+    for tree in model.stages[-1].trees:
+        for line in tree.toDebugString.splitlines():
+            if line.strip().startswith("If (feature "):
+                found[int(line.strip().split()[2])] += 1
+    return found
+
+
+def importances(spark: SparkSession, models: dict[str, PipelineModel], features: list[str], top: int = 30) -> DataFrame:
+    """(bucket, feature, gain, splits, share, rank, in_top, n_top_models, family, family_share, dominates).
+
+    share is of the bucket's gain; in_top the first ``top`` of a bucket by gain, and n_top_models the
+    models that have the feature there; a family dominates with over 60 % of a bucket. A row for
+    each feature of a model, some hundred.
+    """
+    rows = []
+    for n, m in models.items():
+        own = [f for f in features if bucket(f) == n] if n in BUCKETS else features
+        rows += [(n, f, float(g), k) for f, g, k in zip(own, m.stages[-1].featureImportances.toArray(), split_counts(m, len(own)), strict=True)]
+    df = spark.createDataFrame(rows, "bucket string, feature string, gain double, splits int").withColumn("family", label_column(F.col("feature"), FAMILY, FAMILY_REST))
+    whole, kin = Window.partitionBy("bucket"), Window.partitionBy("bucket", "family")
+    part = lambda x: F.when(F.sum("gain").over(whole) > 0, x / F.sum("gain").over(whole)).otherwise(0.0)
+    df = df.withColumns({"share": part(F.col("gain")), "family_share": part(F.sum("gain").over(kin)), "rank": F.row_number().over(whole.orderBy(F.desc("gain"), "feature"))})
+    df = df.withColumns({"in_top": F.col("rank") <= top, "dominates": F.col("family_share") > 0.6})
+    return df.withColumn("n_top_models", F.sum(F.col("in_top").cast("int")).over(Window.partitionBy("feature")))
+
+
+#: The six sets of buckets of the ablation.
+SCENARIOS = {"spatial_only": "spatial", "context_only": "context", "temporal_only": "temporal", "temporal_spatial": "temporal spatial", "temporal_spatial_context": "temporal spatial context", "full": None}
 
 
 def scenarios(features: list[str]) -> dict[str, list[str]]:
-    """The six sets of buckets of the ablation, and the two others that leave one bucket out."""
-    kinds = {
-        "spatial_only": "spatial", "context_only": "context", "temporal_only": "temporal", "temporal_spatial": "temporal spatial", "temporal_spatial_context": "temporal spatial context",
-        "full": None, "without_temporal": "spatial context", "without_spatial": "temporal context",
-    }
-    return {name: [f for f in features if kind is None or bucket(f) in kind.split()] for name, kind in kinds.items()}
-
-
-def ablation(df: DataFrame, features: list[str], label: str, metrics, trees: int = ROUNDS) -> DataFrame:
-    """Metrics of each scenario's model; scenarios with the same features share one fit."""
-    rows = df.where(F.col(label).isNotNull()).withColumn("is_validation", F.col("split") == "calib").cache()
-    out, models = None, {}
+    return {name: [f for f in features if kind is None or bucket(f) in kind.split()] for name, kind in SCENARIOS.items()}
+
+
+def ablation(df: DataFrame, features: list[str], label: str, trees: int = ROUNDS) -> DataFrame:
+    """Rows of validation and test days with a score of each scenario's model; those with the same features share one fit.
+
+    Positives of the training rows weigh (neg / pos)^0.7.
+    """
+    rows = written(df.where(F.col(label).isNotNull()).withColumn("is_validation", F.col("split") == "calib"), "fit")
+    n = rows.where("split = 'train'").agg(F.sum(label).alias("pos"), F.count("*").alias("n")).first()
+    up = ((n["n"] - n["pos"]) / max(n["pos"] or 0, 1)) ** 0.7
+    known = rows.where("split in ('train', 'calib')").withColumn("weight", F.when(F.col(label) == 1, float(up)).otherwise(1.0))
+    out, models = rows.where("split in ('val', 'test')"), {}
     for name, own in scenarios(features).items():
-        model = models.get(tuple(own)) or fit(rows.where("split in ('train', 'calib')"), own, label, trees)
-        models[tuple(own)] = model
-        m = metrics(score(rows.where("split in ('val', 'test')"), model, own, "score", [label])).withColumn("scenario", F.lit(name))
+        models[tuple(own)] = models.get(tuple(own)) or fit(known, own, label, trees, weight="weight")
+        out = score(out, models[tuple(own)], own, name, out.columns)
+    return out.select("cell", "date", "split", label, *SCENARIOS)
+
+
+def scenario_metrics(scored: DataFrame, label: str, metrics) -> DataFrame:
+    out = None
+    for name in SCENARIOS:
+        m = metrics(scored.select(F.col(name).alias("score"), label)).withColumn("scenario", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
+
+
+def save(models: dict[str, PipelineModel], path: str, meta: DataFrame) -> None:
+    """The models and a table of what they were made with, under one path."""
+    for name, m in models.items():
+        m.write().overwrite().save(f"{path}/{name}")
+    meta.write.mode("overwrite").json(f"{path}/meta")
+
+
+def load(path: str, names: list[str]) -> dict[str, PipelineModel]:
+    return {n: PipelineModel.load(f"{path}/{n}") for n in names}

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
-from hotgrid.functions.exprs import calendar, hour_flags, type_flags
+from hotgrid.functions.exprs import calendar, finite, hour_flags, type_flags
+from hotgrid.operators.evaluate import splits
 
 COUNTS = ("violent", "property", "theft", "battery", "narcotics", "arrests")
-CONTEXT = ("temp_max", "precipitation", "wind_speed", "unemployment_rate", "population_density")
+CONTEXT = ("temp_max", "temp_min", "precipitation", "wind_speed", "unemployment_rate", "hardship_index", "population_density", "per_capita_income", "dist_nearest_school", "dist_nearest_station", "dist_nearest_park", "dist_nearest_nightlife")
+HOURS = ("is_night", "is_morning", "is_afternoon", "is_evening")
 
 
 def lookback(gold: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -26,8 +28,7 @@ def daily(facts: DataFrame) -> DataFrame:
         F.count("*").alias("crimes"),
         *[F.sum(c).alias(n) for n, c in sums.items()],
         F.sum(F.col("arrest").cast("int")).alias("arrests"),
-        *[F.avg(c).alias(c) for c in ("is_night", "is_morning", "is_afternoon", "is_evening")],
-        *[F.avg(c).alias(c) for c in CONTEXT],
+        *[F.avg(c).alias(c) for c in (*HOURS, *CONTEXT)],
     )
 
 
@@ -48,19 +49,32 @@ def densify(per_day: DataFrame, areas: DataFrame) -> DataFrame:
     filled = grid.join(per_day, ["cell", "date"], "left")
     filled = filled.na.fill(0, ["crimes", *COUNTS])
     past = Window.partitionBy("cell").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return filled.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in CONTEXT} | {"crime_today": (F.col("crimes") > 0).cast("int")})
+    return filled.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in (*HOURS, *CONTEXT)} | {"crime_today": (F.col("crimes") > 0).cast("int")})
 
 
 def panel(gold: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """All cells x days with counts, context and calendar; context is carried forward, else a training median.
+
+    ``gold`` may be a part of the facts if it has the last ``lookback_days``.
+    """
     facts = lookback(gold, cfg)
     dense = densify(daily(facts), modal_area(facts))
-    return dense.withColumns(calendar("date"))
+    in_training = splits(dense, cfg).where("split = 'train'").select("date")
+    return fill_medians(dense, dense.join(F.broadcast(in_training), "date", "left_semi")).withColumns(calendar("date"))
 
 
 def fill_medians(dense: DataFrame, train: DataFrame) -> DataFrame:
     """What a forward fill leaves open gets the median of the training rows, one row, broadcast."""
-    medians = train.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in CONTEXT])
-    return dense.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in CONTEXT}).drop(*[f"_{c}" for c in CONTEXT])
+    names = (*HOURS, *CONTEXT)
+    medians = train.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in names])
+    return dense.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in names}).drop(*[f"_{c}" for c in names])
+
+
+def sanitize(df: DataFrame, train: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``df`` whose columns ``names`` are finite: infinities, NaN and nulls become the training rows' median, else 0."""
+    x = {c: finite(F.col(c).cast("double")) for c in names}
+    medians = train.agg(*[F.percentile(x[c], 0.5).alias(f"_{c}") for c in names])
+    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(x[c], F.col(f"_{c}"), F.lit(0.0)) for c in names}).drop(*[f"_{c}" for c in names])
 
 
 def holiday_features(dates: DataFrame, holidays: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
-from hotgrid.functions.exprs import category, clip, sunday_week
+from hotgrid.functions.exprs import category, clip, sunday_week, version_label
 
 
 def tiers(df: DataFrame, score: str = "score", per: str = "date", cfg: Config = Config()) -> DataFrame:
@@ -29,7 +29,7 @@ def confidence(df: DataFrame, scores: tuple[str, str, str], score: str = "score"
     std = F.sqrt((F.pow(a - mean, 2) + F.pow(b - mean, 2) + F.pow(c - mean, 2)) / 3)
     margin = F.least(*[F.abs(F.col(rank_pct) - x) for x in cfg.risk_cuts]) / 0.05
     agree, edge, extreme = clip(1 - 2 * std, 0, 1), clip(margin, 0, 1), F.abs(F.col(score) - 0.5) * 2
-    df = df.withColumns({"score_std": std, "score_range": F.greatest(a, b, c) - F.least(a, b, c), "agreement": agree})
+    df = df.withColumns({"margin_to_cut": F.least(*[F.abs(F.col(rank_pct) - x) for x in cfg.risk_cuts]), "extremity": extreme, "score_std": std, "score_range": F.greatest(a, b, c) - F.least(a, b, c), "agreement": agree})
     df = df.withColumn("confidence_score", clip(0.45 * agree + 0.35 * edge + 0.20 * extreme, 0, 1))
     return df.withColumn("confidence_level", F.when(F.col("confidence_score") <= 0.5, "LOW").when(F.col("confidence_score") <= 0.75, "MEDIUM").otherwise("HIGH"))
 
@@ -38,6 +38,41 @@ def dominant(hotspot: Column, violent: Column, prop: Column) -> Column:
     return F.when(~hotspot, "UNKNOWN").when(violent > prop + 0.05, "VIOLENT").when(prop > violent + 0.05, "PROPERTY").otherwise("MIXED")
 
 
+#: Columns of the predictions table (fixed values: what reads the table expects them).
+PREDICTIONS = """prediction_date date, h3_index string, crime_probability double, hotspot_score double, risk_level string, model_version string, created_at timestamp, pred_hotspot int,
+violent_probability double, property_probability double, dominant_type string, risk_rank int, risk_rank_pct double, confidence_score double, confidence_level string, temporal_score double,
+spatial_score double, context_score double, group_score_std double, group_score_range double, model_agreement double, score_margin_to_cutoff double, group_w_temporal double, group_w_spatial double,
+group_w_context double, community_area double, hardship_index double, unemployment_rate double"""
+
+
+def prediction_table(df: DataFrame, threshold: float, made: str, cfg: Config = Config()) -> DataFrame:
+    """Scored rows as the predictions table: tomorrow's date, rank, tier, type, confidence and version.
+
+    ``made`` is the run's time. Rows have temporal, spatial, context, score, violent_probability and
+    property_probability.
+    """
+    df = confidence(tiers(df, cfg=cfg), ("temporal", "spatial", "context"), cfg=cfg)
+    hot = F.col("score") >= threshold
+    names = {"h3_index": "cell", "crime_probability": "score", "hotspot_score": "score", "risk_rank": "rank", "risk_rank_pct": "rank_pct", "temporal_score": "temporal", "spatial_score": "spatial", "context_score": "context", "group_score_std": "score_std", "group_score_range": "score_range", "model_agreement": "agreement", "score_margin_to_cutoff": "margin_to_cut"}
+    df = df.withColumns({new: F.col(old) for new, old in names.items()})
+    df = df.withColumns({f"group_w_{n}": F.lit(w) for n, w in zip(("temporal", "spatial", "context"), cfg.blend, strict=True)})
+    made_at = F.lit(made).cast("timestamp")
+    df = df.withColumns({"prediction_date": F.date_add("date", 1), "pred_hotspot": hot.cast("int"), "dominant_type": dominant(hot, F.col("violent_probability"), F.col("property_probability")), "created_at": made_at, "model_version": version_label(made_at)})
+    return fit_schema(df, PREDICTIONS)
+
+
+def fit_schema(df: DataFrame, ddl: str) -> DataFrame:
+    """The columns of ``ddl`` that the frame has, cast to their types, in that order."""
+    kinds = [c.split() for c in ddl.replace("\n", " ").split(", ")]
+    return df.select(*[F.col(n).cast(t).alias(n) for n, t in kinds if n in df.columns])
+
+
+def value_counts(df: DataFrame, values: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(what, value, n) of each listed value of each column, 0 where none has it: one pass over the rows."""
+    listed = F.array(*[F.struct(F.lit(c).alias("what"), F.lit(v).alias("value"), F.count_if(F.col(c) == v).alias("n")) for c, vs in values.items() for v in vs])
+    return df.agg(listed.alias("all")).select(F.explode("all").alias("x")).select("x.*")
+
+
 def export_incidents(gold: DataFrame, as_of: str, days: int = 90, cfg: Config = Config(), seed: str = "7") -> DataFrame:
     """Incidents of the last days, at most so many of each Sunday week, by a repeatable order."""
     rows = gold.where((F.col("date") >= F.date_sub(F.lit(as_of).cast("date"), days)) & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hotgrid.config import Config
 from hotgrid.functions import hexgrid
 from hotgrid.functions.exprs import great_circle_km, parse_ts
+from hotgrid.sources.layers import written
 
 MANDATORY = ("unique_key", "case_number", "incident_ts", "primary_type", "latitude", "longitude", "community_area")
 
@@ -19,6 +20,13 @@ def validate(df: DataFrame, columns: tuple[str, ...] = MANDATORY) -> DataFrame:
     return df
 
 
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The frame itself; raises if it has no row (reads until the first)."""
+    if df.isEmpty():
+        raise ValueError(f"{what} is empty")
+    return df
+
+
 def parse_dates(df: DataFrame, date_col: str = "date") -> DataFrame:
     """Parse both formats once; the parsed column is what all later stages use."""
     ts = parse_ts(date_col)
@@ -33,13 +41,24 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.upper(F.trim(c)) for c in texts} | casts).drop("location", "x_coordinate", "y_coordinate", "updated_on")
 
 
-def deduplicate(df: DataFrame, key: str = "unique_key") -> DataFrame:
+#: Repeated keys that may be broadcast: 8 bytes each.
+BROADCAST_KEYS = 2_000_000
+
+
+def deduplicate(df: DataFrame, key: str = "unique_key", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row a key, the least by all columns: the same at every run.
 
-    A minimum of structs combines before the shuffle, where ``row_number`` would sort all rows.
+    Only the keys are grouped over all rows (a hash aggregate of one column). Up to ``broadcast_keys``
+    of them that repeat are broadcast: other rows stay where they are, and only the
+    rows of repeated keys are shuffled and sorted. With more, all rows are.
     """
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    least = lambda x: x.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    repeated = written(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    if repeated.count() > broadcast_keys:
+        return least(df)
+    keys = F.broadcast(repeated)
+    return df.join(keys, key, "left_anti").unionByName(least(df.join(keys, key, "left_semi")))
 
 
 def clean(df: DataFrame, as_of: str, cfg: Config = Config()) -> DataFrame:
@@ -72,6 +91,29 @@ def load_summary(df: DataFrame, start: str, end: str) -> DataFrame:
     return days.join(loaded, "date", "left").select("date", F.coalesce("n", F.lit(0)).alias("n_rows"), F.col("n").isNotNull().alias("loaded"))
 
 
+def nothing_new(batch: DataFrame, existing: DataFrame | None, key: str = "unique_key") -> bool:
+    """Whether a run can stop early: no row of the batch is new. Stops at the first row that is."""
+    return new_rows(batch, existing, key).isEmpty()
+
+
+def unloaded(rows: DataFrame, loaded: DataFrame, day: str = "date") -> DataFrame:
+    """Rows of days that are not loaded yet; the days of a table are few and broadcast."""
+    return rows.join(F.broadcast(loaded.select(day).distinct()), day, "left_anti")
+
+
+def run_windows(runs: DataFrame, first: str, lag: int = 5, span: int = 21) -> DataFrame:
+    """(run_date, full, start, end) of each run: all since ``first`` for a full load, else the trailing days."""
+    end = F.date_sub("run_date", lag)
+    return runs.select("run_date", "full", F.when(F.col("full"), F.lit(first).cast("date")).otherwise(F.date_sub(end, span)).alias("start"), end.alias("end"))
+
+
+def year_chunks(ranges: DataFrame) -> DataFrame:
+    """(chunk_start, chunk_end): ranges (start, end) cut at the ends of calendar years."""
+    years = ranges.select("start", "end", F.explode(F.sequence(F.year("start"), F.year("end"))).alias("y"))
+    first, last = F.make_date("y", F.lit(1), F.lit(1)), F.make_date("y", F.lit(12), F.lit(31))
+    return years.select(F.greatest("start", first).alias("chunk_start"), F.least("end", last).alias("chunk_end"))
+
+
 def quality_report(before: DataFrame, after: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row: rows before and after cleaning, share of rows without a cell, verdict."""
     a = before.agg(F.count("*").alias("rows_before"), F.count_distinct("unique_key").alias("keys_before"))

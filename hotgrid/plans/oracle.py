@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import re
 
+from hotgrid.functions import exprs as E
+from hotgrid.functions import rules as R
 from hotgrid.operators import features as X
+from hotgrid.operators import panel as P
 from hotgrid.plans import queries as Q
 from hotgrid.plans import shapes as S
 from hotgrid.sources import fixtures as V
@@ -62,8 +65,9 @@ def quoted(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_VIOLENT = quoted(("BATTERY", "ASSAULT", "ROBBERY", "HOMICIDE", "CRIMINAL SEXUAL ASSAULT", "SEX OFFENSE", "KIDNAPPING", "INTIMIDATION"))
-_PROPERTY = quoted(("THEFT", "BURGLARY", "MOTOR VEHICLE THEFT", "CRIMINAL DAMAGE", "DECEPTIVE PRACTICE", "ARSON"))
+_VIOLENT, _PROPERTY = quoted(E.VIOLENT), quoted(E.PROPERTY)
+_CARRIED = (*P.HOURS, *P.CONTEXT)
+_COUNTS = ("crimes", "violent", "property", "theft", "battery", "narcotics", "arrests")
 _DAYNUM = "(date_diff('day', DATE '1995-01-01', date))"
 _AREA = ("population", "income", "labor_force", "unemployed", "poverty_denom", "poverty_count")
 _SECOND = "CAST(epoch(incident_ts) AS BIGINT)"
@@ -107,44 +111,44 @@ PARTS: dict[str, str] = {
       {_percent('unemployed', 'labor_force')} AS unemployment_rate, CAST(round_even(poverty_count / nullif(poverty_denom, 0) * 100, 0) AS INTEGER) AS hardship_index, population AS population_density
       FROM areas LEFT JOIN nation ON community_area = n_nationkey + 1""",
     "gold": """SELECT r.*, CAST(incident_ts AS DATE) AS date, hour(incident_ts) AS hour_of_day, isodow(incident_ts) - 1 AS day_of_week, month(incident_ts) AS month,
-      coalesce(w.temp_max, 0) AS temp_max, coalesce(w.precipitation, 0) AS precipitation, coalesce(w.wind_speed, 0) AS wind_speed, dist_nearest_school, dist_nearest_station, dist_nearest_park, dist_nearest_nightlife,
+      coalesce(w.temp_max, 0) AS temp_max, coalesce(w.temp_min, 0) AS temp_min, coalesce(w.precipitation, 0) AS precipitation, coalesce(w.wind_speed, 0) AS wind_speed, dist_nearest_school, dist_nearest_station, dist_nearest_park, dist_nearest_nightlife,
       coalesce(unemployment_rate, 0) AS unemployment_rate, coalesce(hardship_index, 0) AS hardship_index, coalesce(population_density, 0) AS population_density, coalesce(per_capita_income, 0) AS per_capita_income
       FROM rolled r JOIN nearest n ON r.cell = n.cell JOIN presence p ON r.cell = p.cell LEFT JOIN weather w ON w.date = CAST(incident_ts AS DATE) AND w.station_id = n.station_id LEFT JOIN socio s ON s.community_area = r.community_area""",
     "facts": f"""SELECT *, CAST(primary_type IN ({_VIOLENT}) AS INTEGER) AS is_violent, CAST(primary_type IN ({_PROPERTY}) AS INTEGER) AS is_property, CAST(primary_type = 'THEFT' AS INTEGER) AS is_theft, CAST(primary_type = 'BATTERY' AS INTEGER) AS is_battery,
       CAST(regexp_matches(primary_type, 'NARCOTIC|DRUG') AS INTEGER) AS is_narcotics, CAST(hour_of_day IN (22, 23, 0, 1, 2, 3, 4, 5) AS INTEGER) AS f_night, CAST(hour_of_day BETWEEN 6 AND 11 AS INTEGER) AS f_morning,
       CAST(hour_of_day BETWEEN 12 AND 17 AS INTEGER) AS f_afternoon, CAST(hour_of_day BETWEEN 18 AND 21 AS INTEGER) AS f_evening FROM gold WHERE date >= (SELECT max(date) FROM gold) - {CFG.lookback_days}""",
     "per_day": """SELECT cell, date, count(*) AS crimes, sum(is_violent) AS violent, sum(is_property) AS property, sum(is_theft) AS theft, sum(is_battery) AS battery, sum(is_narcotics) AS narcotics, sum(CAST(arrest AS INTEGER)) AS arrests,
-      avg(f_night) AS is_night, avg(f_morning) AS is_morning, avg(f_afternoon) AS is_afternoon, avg(f_evening) AS is_evening, avg(temp_max) AS temp_max, avg(precipitation) AS precipitation, avg(wind_speed) AS wind_speed,
-      avg(unemployment_rate) AS unemployment_rate, avg(population_density) AS population_density FROM facts GROUP BY cell, date""",
+      avg(f_night) AS is_night, avg(f_morning) AS is_morning, avg(f_afternoon) AS is_afternoon, avg(f_evening) AS is_evening, """ + ", ".join(f"avg({c}) AS {c}" for c in P.CONTEXT) + " FROM facts GROUP BY cell, date",
     "modal": "SELECT cell, community_area FROM (SELECT cell, community_area, count(*) AS n FROM facts GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY n DESC, community_area) = 1",
     "grid": "SELECT cell, community_area, CAST(d AS DATE) AS date FROM modal, (SELECT unnest(generate_series((SELECT min(date) FROM per_day), (SELECT max(date) FROM per_day), INTERVAL 1 DAY)) AS d)",
-    "panel": "SELECT *, isodow(date) - 1 AS dayofweek, month(date) AS month, dayofyear(date) AS dayofyear, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(crimes > 0 AS INTEGER) AS crime_today FROM (SELECT g.cell, g.date, g.community_area, "
-    + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("crimes", "violent", "property", "theft", "battery", "narcotics", "arrests"))
-    + ", is_night, is_morning, is_afternoon, is_evening, "
-    + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY g.cell ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("temp_max", "precipitation", "wind_speed", "unemployment_rate", "population_density"))
-    + " FROM grid g LEFT JOIN per_day p ON g.cell = p.cell AND g.date = p.date)",
+    "panel0": "SELECT g.cell, g.date, g.community_area, " + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in _COUNTS) + ", "
+    + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY g.cell ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in _CARRIED)
+    + " FROM grid g LEFT JOIN per_day p ON g.cell = p.cell AND g.date = p.date",
     "splits": f"""SELECT date, CASE WHEN i <= {CFG.warm_up_days} THEN 'warm_up' WHEN back <= 14 THEN 'test' WHEN back <= 21 THEN 'val' WHEN back <= 42 THEN 'calib' WHEN back <= 262 THEN 'train' ELSE 'unused' END AS split
-      FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, row_number() OVER (ORDER BY date DESC) AS back FROM (SELECT DISTINCT date FROM panel))""",
+      FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, row_number() OVER (ORDER BY date DESC) AS back FROM (SELECT DISTINCT date FROM panel0))""",
+    "medians": "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _CARRIED) + " FROM panel0 WHERE date IN (SELECT date FROM splits WHERE split = 'train')",
+    "panel": "SELECT cell, date, community_area, " + ", ".join(_COUNTS) + ", CAST(crimes > 0 AS INTEGER) AS crime_today, isodow(date) - 1 AS dayofweek, month(date) AS month, dayofyear(date) AS dayofyear, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(isodow(date) = 1 AS INTEGER) AS is_monday, CAST(isodow(date) = 5 AS INTEGER) AS is_friday, " + ", ".join(f"coalesce({c}, m_{c}, 0.0) AS {c}" for c in _CARRIED) + " FROM panel0, medians",
     "train": "SELECT * FROM panel WHERE date IN (SELECT date FROM splits WHERE split = 'train')",
     "targets": f"""SELECT cell, date, t AS next_total, CASE WHEN t IS NOT NULL THEN CAST(t >= 1 AS INTEGER) END AS next_has_crime, CASE WHEN t IS NOT NULL THEN CAST(t >= 2 AS INTEGER) END AS next_hotspot,
-      CASE WHEN t IS NULL THEN NULL WHEN t >= 2 THEN 2 ELSE t END AS next_topk_group, CASE WHEN t IS NOT NULL THEN CAST(t > 0 AND v * 2 > t AS INTEGER) END AS next_violent, CASE WHEN t IS NOT NULL THEN CAST(t > 0 AND p * 2 > t AS INTEGER) END AS next_property
+      CASE WHEN t IS NULL THEN NULL WHEN t >= 2 THEN 2 ELSE t END AS next_topk_group, NULL AS next_rank_pct, CASE WHEN t IS NOT NULL THEN CAST(v > p AS INTEGER) END AS next_violent, CASE WHEN t IS NOT NULL THEN CAST(p > v AS INTEGER) END AS next_property
       FROM (SELECT cell, date, lead(crimes) OVER ({OWN}) AS t, lead(violent) OVER ({OWN}) AS v, lead(property) OVER ({OWN}) AS p FROM panel)""",
-    "scored": "SELECT *, round(temporal * 0.4e0 + spatial * 0.4e0 + context * 0.2e0, 9) AS score FROM (SELECT t.*, " + ", ".join(f"((no * {a} + {_DAYNUM} * {b}) % 10007) / 10007.0e0 AS {n}" for n, (a, b) in Q.SCORES.items()) + " FROM targets t JOIN (SELECT cell, row_number() OVER (ORDER BY cell) AS no FROM cells WHERE cell IN (SELECT cell FROM panel)) USING (cell))",
+    "scored": "SELECT *, round(temporal * 0.4e0 + spatial * 0.4e0 + context * 0.2e0, 9) AS score FROM (SELECT t.*, " + ", ".join(f"((no * {a} + {_DAYNUM} * {b}) % 10007) / 10007.0e0 AS {n}" for n, (a, b) in (Q.SCORES | Q.TYPE_SCORES).items()) + " FROM targets t JOIN (SELECT cell, row_number() OVER (ORDER BY cell) AS no FROM cells WHERE cell IN (SELECT cell FROM panel)) USING (cell))",
     "tiers": "SELECT *, CASE WHEN rank_pct <= 0.05 THEN 'CRITICAL' WHEN rank_pct <= 0.15 THEN 'HIGH' WHEN rank_pct <= 0.30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM (SELECT *, rank / CAST(count(*) OVER (PARTITION BY date) AS DOUBLE) AS rank_pct FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, cell) AS rank FROM scored))",
     "predictions": """SELECT *, CASE WHEN confidence_score <= 0.5 THEN 'LOW' WHEN confidence_score <= 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence_level FROM (SELECT *, date + 1 AS prediction_date, greatest(temporal, spatial, context) - least(temporal, spatial, context) AS score_range,
       greatest(0, least(1, 0.45 * agreement + 0.35 * greatest(0, least(1, least(abs(rank_pct - 0.05), abs(rank_pct - 0.15), abs(rank_pct - 0.30)) / 0.05)) + 0.20 * abs(score - 0.5) * 2)) AS confidence_score,
-      CASE WHEN score < 0.5 THEN 'UNKNOWN' WHEN temporal > spatial + 0.05 THEN 'VIOLENT' WHEN spatial > temporal + 0.05 THEN 'PROPERTY' ELSE 'MIXED' END AS dominant_type
+      least(abs(rank_pct - 0.05), abs(rank_pct - 0.15), abs(rank_pct - 0.30)) AS margin_to_cut,
+      CASE WHEN score < 0.5 THEN 'UNKNOWN' WHEN violent_probability > property_probability + 0.05 THEN 'VIOLENT' WHEN property_probability > violent_probability + 0.05 THEN 'PROPERTY' ELSE 'MIXED' END AS dominant_type
       FROM (SELECT *, greatest(0, least(1, 1 - 2 * score_std)) AS agreement FROM (SELECT *, sqrt((pow(temporal - m, 2) + pow(spatial - m, 2) + pow(context - m, 2)) / 3) AS score_std FROM (SELECT *, (temporal + spatial + context) / 3 AS m FROM tiers))))""",
     "forecast": "SELECT p.*, lat AS latitude, lon AS longitude FROM predictions p LEFT JOIN cells USING (cell) WHERE prediction_date = (SELECT max(prediction_date) FROM predictions)",
     "grid60": "SELECT CAST(i AS INTEGER) AS step, round(0.05e0 + 0.01e0 * (i - 1), 2) AS threshold FROM range(1, 61) AS t(i)",
-    "thresholds": """SELECT threshold, tp, predicted, f1, f1 - 0.35 * greatest(0.0, predicted / CAST(n AS DOUBLE) - least(0.95, 2.2 * p / CAST(n AS DOUBLE))) AS objective FROM (SELECT threshold, tp, predicted, n, p, CASE WHEN predicted + p > 0 THEN 2.0 * tp / (predicted + p) ELSE 0.0 END AS f1
+    "thresholds": """SELECT threshold, tp, predicted, f1, f1 AS plain, f1 - 0.35 * greatest(0.0, predicted / CAST(n AS DOUBLE) - least(0.95, 2.2 * p / CAST(n AS DOUBLE))) AS objective FROM (SELECT threshold, tp, predicted, n, p, CASE WHEN predicted + p > 0 THEN 2.0 * tp / (predicted + p) ELSE 0.0 END AS f1
       FROM (SELECT threshold, count(*) AS n, sum(next_hotspot) AS p, sum(CASE WHEN score >= threshold - 1e-8 THEN next_hotspot ELSE 0 END) AS tp, count(*) FILTER (score >= threshold - 1e-8) AS predicted FROM grid60, (SELECT * FROM scored WHERE next_hotspot IS NOT NULL) GROUP BY threshold))""",
     "s1": "SELECT score, sum(next_hotspot) AS pos, count(*) AS n FROM scored WHERE next_hotspot IS NOT NULL GROUP BY score",
     "top": "SELECT k, date, sum(next_hotspot) AS tp, count(*) AS taken, max(pos) AS pos, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, cell) AS rk, count(*) OVER (PARTITION BY date) AS n, sum(next_hotspot) OVER (PARTITION BY date) AS pos FROM scored WHERE next_hotspot IS NOT NULL), (SELECT unnest([0.05e0, 0.1e0, 0.15e0, 0.25e0, 0.3e0]) AS k) WHERE rk <= greatest(1, ceil(round(k * n, 9))) GROUP BY k, date",
     "comm_day": "SELECT community_area, date, sum(crimes) AS comm_total, sum(crime_today) AS comm_active, sum(violent) AS comm_violent, sum(property) AS comm_property, sum(arrests) AS comm_arrests, count(DISTINCT cell) AS n_h3_in_comm FROM panel GROUP BY ALL",
-    "city_day": "SELECT date, sum(crimes) AS city_total, sum(crime_today) AS city_active, sum(violent) AS city_violent, sum(property) AS city_property FROM panel GROUP BY date",
+    "city_day": "SELECT date, sum(crimes) AS city_total, sum(crime_today) AS city_active, sum(violent) AS city_violent, sum(property) AS city_property, sum(arrests) AS city_arrests FROM panel GROUP BY date",
     "nbr_day": """SELECT e.cell, date, avg(crimes) FILTER (ring = 1) AS m, sum(crimes) FILTER (ring = 1) AS s, max(crimes) FILTER (ring = 1) AS x, stddev_pop(crimes) FILTER (ring = 1) AS d, avg(crime_today) FILTER (ring = 1) AS ar, sum(crime_today) FILTER (ring = 1) AS ac, count(*) FILTER (ring = 1) AS nc,
-      avg(crimes) FILTER (ring = 2) AS m2 FROM pedges e JOIN panel p ON p.cell = e.nbr GROUP BY e.cell, date""",
+      avg(crimes) FILTER (ring = 2) AS m2, count(*) FILTER (ring = 2) AS nc2 FROM pedges e JOIN panel p ON p.cell = e.nbr GROUP BY e.cell, date""",
 }
 PARTS = {k: v for k, v in PARTS.items() if k != "nbr_day"} | {"pedges": "SELECT * FROM edges WHERE cell IN (SELECT cell FROM modal) AND nbr IN (SELECT cell FROM modal)", "nbr_day": PARTS["nbr_day"]}
 
@@ -169,40 +173,122 @@ def _select(exprs: dict[str, str], frm: str = "panel", keys: str = "cell, date")
     return f"SELECT {keys}, " + ", ".join(f"{e} AS {n}" for n, e in exprs.items()) + f" FROM {frm}"
 
 
-_LAGS = {f"lag_{k}": lag("crimes", k) for k in X.LAGS} | {f"{t}_lag_{k}": lag(t, k) for t in X.TYPES for k in (1, 2, 3, 7, 14)}
-_ROLLS = {f"roll_{how}_{w}": roll("crimes", w, how) for w in X.ROLLS for how in ("mean", "sum", "std", "max")} | {f"active_rate_{w}": roll("crime_today", w, "mean") for w in (7, 14, 30, 60)}
-_EWM = "WITH RECURSIVE d AS (SELECT cell, date, crimes, row_number() OVER (PARTITION BY cell ORDER BY date) - 1 AS t FROM panel), e AS (SELECT cell, t, " + ", ".join(f"CAST(crimes AS DOUBLE) AS y{s}" for s in X.SPANS) + " FROM d WHERE t = 0 UNION ALL SELECT d.cell, d.t, " + ", ".join(f"e.y{s} + {num(2.0 / (s + 1))} * (d.crimes - e.y{s})" for s in X.SPANS) + " FROM e JOIN d ON d.cell = e.cell AND d.t = e.t + 1) SELECT d.cell, d.date, " + ", ".join(f"CASE WHEN d.t >= 2 THEN e.y{s} END AS ewm_{s}" for s in X.SPANS) + " FROM d LEFT JOIN e ON e.cell = d.cell AND e.t = d.t - 1"
-_B = "(SELECT *, " + ", ".join([*[f"{roll('crimes', w, 'mean')} AS m{w}" for w in (3, 7, 14, 30, 60, 90)], *[f"{roll('crimes', w, 'std')} AS s{w}" for w in (30, 90)], *[f"{lag('crimes', k)} AS l{k}" for k in (1, 2, 3)], *[f"{roll('crime_today', w, 'mean')} AS a{w}" for w in (7, 60)]]) + " FROM panel)"
-_BURSTS = (
-    {f"burst_{a}_{b}": ratio(f"m{a}", f"m{b}", 10) for a, b in ((3, 30), (7, 30), (14, 60))}
-    | {f"crime_z_{w}": ratio(f"(l1 - m{w})", f"s{w}", 10) for w in (30, 90)}
-    | {f"shock_lag1_vs_roll{w}": ratio("l1", f"(m{w} + 0.001)", 20) for w in (7, 30)}
-    | {f"shock_3_{w}": ratio("m3", f"(m{w} + 0.001)", 10) for w in (14, 60)}
-    | {"roll3_minus_roll30": "coalesce(m3, 0) - coalesce(m30, 0)", "roll7_minus_roll60": "coalesce(m7, 0) - coalesce(m60, 0)", "local_recent_decay": "0.55e0 * coalesce(l1, 0) + 0.30e0 * coalesce(l2, 0) + 0.15e0 * coalesce(l3, 0)", "active_recent_vs_long": ratio("a7", "(a60 + 0.001)", 10), "trend_slope_7_14": ratio("(m7 - m14)", "(m14 + 0.001)", 5), "trend_slope_14_30": ratio("(m14 - m30)", "(m30 + 0.001)", 5)}
+_L0 = lambda c: f"coalesce({c}, 0)"
+_CLIP10 = lambda c: f"greatest(0, least(10, {c}))"
+_WINDOWS = (
+    {f"lag_{k}": lag("crimes", k) for k in X.LAGS}
+    | {f"{t}_lag_{k}": lag(t, k) for t in X.TYPES for k in (1, 2, 3, 7, 14)}
+    | {"prev_crime": lag("crime_today", 1)}
+    | {f"roll_{how}_{w}": roll("crimes", w, how) for w in X.ROLLS for how in ("mean", "sum", "std", "max")}
+    | {f"active_rate_{w}": roll("crime_today", w, "mean") for w in (7, 14, 30, 60)}
+    | {f"{t}_roll_sum_{w}": roll(t, w, "sum") for w in (7, 14, 30) for t in X.TYPES}
+    | {k: e for v in X.WEATHER for k, e in ((f"{v}_lag1", lag(v, 1)), (f"{v}_lag7", lag(v, 7)), (f"{v}_roll7", roll(v, 7, "mean")), (f"{v}_diff1", f"{v} - {lag(v, 1)}"))}
+    | {f"had_crime_{k}d": f"CAST({_L0(lag('crimes', k))} > 0 AS INTEGER)" for k in (1, 2, 3)}
+    | {"near_repeat_5d": _L0(f"sum(crime_today) OVER ({OWN} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)")}
+    | {f"arrest_roll_{w}": roll("arrests", w, "sum") for w in (7, 30)}
+    | {"same_dow_roll8": roll("crimes", 8, "mean", "PARTITION BY cell, dayofweek ORDER BY date")}
+)
+_DERIVED = (
+    {"zero_today": "CAST(crimes = 0 AS INTEGER)"}
+    | {f"{t}_ratio_day": ratio(t, "crimes", 1) for t in ("violent", "property", "theft", "narcotics")}
+    | {f"burst_{a}_{b}": ratio(f"roll_mean_{a}", f"roll_mean_{b}", 10) for a, b in ((3, 30), (7, 30), (14, 60))}
+    | {f"crime_z_{w}": ratio(f"(crimes - coalesce(roll_mean_{w}, 0))", f"coalesce(roll_std_{w}, 0)", 10) for w in (30, 90)}
+    | {f"shock_lag1_vs_roll{w}": ratio("lag_1", f"(roll_mean_{w} + 0.001)", 20) for w in (7, 30)}
+    | {f"shock_3_{w}": ratio("roll_mean_3", f"(roll_mean_{w} + 0.001)", 10) for w in (14, 60)}
+    | {"roll3_minus_roll30": f"{_L0('roll_mean_3')} - {_L0('roll_mean_30')}", "roll7_minus_roll60": f"{_L0('roll_mean_7')} - {_L0('roll_mean_60')}"}
+    | {f"{t}_roll_ratio_{w}": ratio(f"{t}_roll_sum_{w}", f"roll_sum_{w}", 1) for w in (7, 14, 30) for t in X.TYPES}
+    | {f"arrest_rate_{w}": ratio(f"arrest_roll_{w}", f"(roll_sum_{w} + 0.001)", 1) for w in (7, 30)}
+    | {
+        "local_spike_z_30": ratio(f"({_L0('lag_1')} - {_L0('roll_mean_30')})", f"({_L0('roll_std_30')} + 0.001)", 10),
+        "local_sudden_activation_3d": f"CAST({_L0('lag_1')} > 0 AND {_L0('lag_2')} <= 0 AND {_L0('lag_3')} <= 0 AS INTEGER)",
+        "local_recent_decay": f"0.55e0 * {_L0('lag_1')} + 0.30e0 * {_L0('lag_2')} + 0.15e0 * {_L0('lag_3')}",
+        "active_recent_vs_long": ratio("active_rate_7", "(active_rate_60 + 0.001)", 10),
+        "near_repeat_3d": "had_crime_1d + had_crime_2d + had_crime_3d",
+        "property_lead_violent": "property_lag_1 * CAST(violent_lag_1 = 0 AS INTEGER)",
+        "narcotics_before_violent": f"CAST({_L0('narcotics_lag_1')} > 0 AS INTEGER)",
+        "violent_x_property_lag1": "violent_lag_1 * property_lag_1",
+        "trend_slope_7_14": ratio("(roll_mean_7 - roll_mean_14)", "(roll_mean_14 + 0.001)", 5),
+        "trend_slope_14_30": ratio("(roll_mean_14 - roll_mean_30)", "(roll_mean_30 + 0.001)", 5),
+        "same_dow_vs_overall": ratio("same_dow_roll8", "(roll_mean_30 + 0.001)", 5),
+    }
 )
-_MIX = {k: v for w in (7, 14, 30) for t in X.TYPES for k, v in ((f"{t}_roll_sum_{w}", roll(t, w, "sum")), (f"{t}_roll_ratio_{w}", ratio(roll(t, w, "sum"), roll("crimes", w, "sum"), 1)))}
-_WEATHER = {k: e for v in ("temp_max", "precipitation", "wind_speed") for k, e in ((f"{v}_lag1", lag(v, 1)), (f"{v}_lag7", lag(v, 7)), (f"{v}_roll7", roll(v, 7, "mean")), (f"{v}_diff1", f"{v} - {lag(v, 1)}"))}
-_L0 = lambda c, k=1: f"coalesce({lag(c, k)}, 0)"
-_ACTIVE = lambda n: f"coalesce(sum(crime_today) OVER ({OWN} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0)"
-_REPEAT = {f"had_crime_{k}d": f"CAST({_L0('crimes', k)} > 0 AS INTEGER)" for k in (1, 2, 3)} | {"near_repeat_3d": f"CAST({_ACTIVE(3)} > 0 AS INTEGER)", "near_repeat_5d": _ACTIVE(5), "property_lead_violent": f"{_L0('property')} * violent", "narcotics_before_violent": f"{_L0('narcotics')} * violent", "violent_x_property_lag1": f"{_L0('violent')} * {_L0('property')}"}
-_RATE = {w: ratio(roll("arrests", w, "sum"), f"({roll('crimes', w, 'sum')} + 0.001)", 1) for w in (7, 30)}
-_DETER = {f"arrest_roll_{w}": roll("arrests", w, "sum") for w in (7, 30)} | {f"arrest_rate_{w}": r for w, r in _RATE.items()} | {"deterrence_signal": f"({_RATE[7]}) - ({_RATE[30]})"}
+_LAST = {"deterrence_signal": "arrest_rate_7 * (1 - greatest(0, least(1, burst_7_30)))", "trend_direction": "sign(trend_slope_7_14)", "crime_acceleration": "trend_slope_7_14 - trend_slope_14_30"}
+_listed = lambda xs: ", ".join(f"{e} AS {n}" for n, e in xs.items())
+_EWM = "WITH RECURSIVE d AS (SELECT cell, date, crimes, row_number() OVER (PARTITION BY cell ORDER BY date) - 1 AS t FROM panel), e AS (SELECT cell, t, " + ", ".join(f"CAST(crimes AS DOUBLE) AS y{s}" for s in X.SPANS) + " FROM d WHERE t = 0 UNION ALL SELECT d.cell, d.t, " + ", ".join(f"e.y{s} + {num(2.0 / (s + 1))} * (d.crimes - e.y{s})" for s in X.SPANS) + " FROM e JOIN d ON d.cell = e.cell AND d.t = e.t + 1) SELECT d.cell, d.date, " + ", ".join(f"CASE WHEN d.t >= 2 THEN e.y{s} END AS ewm_{s}" for s in X.SPANS) + " FROM d LEFT JOIN e ON e.cell = d.cell AND e.t = d.t - 1"
+_STREAK = f"""SELECT cell, date, zero_streak, CAST(crimes > 0 AND coalesce(lag(zero_streak) OVER ({OWN}), 0) >= 3 AS INTEGER) AS reactivation FROM (SELECT *, CASE WHEN crimes > 0 THEN 0 ELSE row_number() OVER (PARTITION BY cell, island ORDER BY date) - CAST(island > 0 AS INTEGER) END AS zero_streak
+      FROM (SELECT *, sum(CAST(crimes > 0 AS INTEGER)) OVER ({OWN} ROWS UNBOUNDED PRECEDING) AS island FROM panel))"""
 _COMM = "PARTITION BY community_area ORDER BY date"
 _COMMS = {f"comm_roll_{how}_{w}": roll("comm_total", w, how, _COMM) for w in (7, 14, 30, 60) for how in ("mean", "sum")} | {"comm_burst_7_30": ratio(roll("comm_total", 7, "mean", _COMM), roll("comm_total", 30, "mean", _COMM), 10), "comm_active_rate": ratio("comm_active", "n_h3_in_comm", 1)}
 _CITY = {k: e for c in S.CITY for k, e in ((f"{c}_lag1", lag(c, 1, "ORDER BY date")), *[(f"{c}_roll_mean_{w}", roll(c, w, "mean", "ORDER BY date")) for w in (7, 14, 30)])} | {"city_burst_7_30": ratio(roll("city_total", 7, "mean", "ORDER BY date"), roll("city_total", 30, "mean", "ORDER BY date"), 10)}
-_NBR = f"""SELECT *, CAST(nbr_r1_any_active = 1 AND coalesce(lag(nbr_r1_any_active) OVER ({OWN}), 0) = 0 AS INTEGER) AS nbr_r1_new_activation, nbr_r1_active_rate - coalesce(lag(nbr_r1_active_rate) OVER ({OWN}), 0) AS nbr_r1_active_accel,
-  {ratio('nbr_r1_mean', 'nbr_r1_roll7', 10)} AS nbr_r1_burst_1_7, {ratio('nbr_r1_mean', 'nbr_r2_mean', 10)} AS nbr_r1_vs_r2
-  FROM (SELECT *, CASE WHEN count(*) OVER w7 >= 2 THEN avg(nbr_r1_mean) OVER w7 ELSE 0.0 END AS nbr_r1_roll7, CAST(nbr_r1_active_count > 0 AS INTEGER) AS nbr_r1_any_active
-  FROM (SELECT p.cell, p.date, {', '.join(f'coalesce(lag({a}) OVER (PARTITION BY p.cell ORDER BY p.date), 0) AS {b}' for a, b in (('m', 'nbr_r1_mean'), ('s', 'nbr_r1_sum'), ('x', 'nbr_r1_max'), ('d', 'nbr_r1_std'), ('ar', 'nbr_r1_active_rate'), ('ac', 'nbr_r1_active_count'), ('m2', 'nbr_r2_mean')))}, coalesce(nc, 0) AS nbr_r1_neighbor_count
+_SEVEN = lambda c: f"CASE WHEN count(*) OVER w7 >= 2 THEN avg({c}) OVER w7 ELSE 0.0 END"
+_BEFORE = f"coalesce(lag(nbr_r1_active_rate) OVER ({OWN}), 0)"
+_NBR = f"""SELECT *, CAST(nbr_r1_active_rate > 0 AND {_BEFORE} <= 0 AS INTEGER) AS nbr_r1_new_activation, nbr_r1_active_rate - {_BEFORE} AS nbr_r1_active_accel,
+  {ratio('nbr_r1_mean', '(nbr_r1_roll7 + 0.001)', 10)} AS nbr_r1_burst_1_7, {ratio('nbr_r1_mean', '(nbr_r2_mean + 0.001)', 10)} AS nbr_r1_vs_r2, CAST(nbr_r1_active_rate > 0.5 AS INTEGER) AS nbr_contagion,
+  {ratio('nbr_r1_active_rate', '(nbr_r1_active_roll7 + 0.001)', 10)} AS nbr_r1_active_burst, {ratio('nbr_r1_std', '(nbr_r1_mean + 0.001)', 10)} AS nbr_dispersion_signal,
+  {ratio('(nbr_r1_mean - nbr_r1_roll7)', '(nbr_r1_std + 0.001)', 10)} AS nbr_r1_spike_vs_roll7, {ratio('nbr_r1_active_count', 'nbr_r1_neighbor_count', 1)} AS nbr_hot_count_per_neighbor
+  FROM (SELECT *, {_SEVEN('nbr_r1_mean')} AS nbr_r1_roll7, {_SEVEN('nbr_r1_active_rate')} AS nbr_r1_active_roll7, CAST(nbr_r1_active_count > 0 AS INTEGER) AS nbr_r1_any_active
+  FROM (SELECT p.cell, p.date, {', '.join(f'coalesce(lag({a}) OVER (PARTITION BY p.cell ORDER BY p.date), 0) AS {b}' for a, b in (('m', 'nbr_r1_mean'), ('s', 'nbr_r1_sum'), ('x', 'nbr_r1_max'), ('d', 'nbr_r1_std'), ('ar', 'nbr_r1_active_rate'), ('ac', 'nbr_r1_active_count'), ('m2', 'nbr_r2_mean')))}, coalesce(nc, 0) AS nbr_r1_neighbor_count, coalesce(nc2, 0) AS nbr_r2_neighbor_count
   FROM panel p LEFT JOIN nbr_day n ON n.cell = p.cell AND n.date = p.date) WINDOW w7 AS ({OWN} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))"""
-_PRIORS = f"""SELECT *, {ratio('h3_train_mean', 'comm_train_mean', 20)} AS h3_vs_comm_prior FROM (SELECT c.cell, c.community_area, {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('h3_train_mean', 'h3_train_std', 'h3_train_sum', 'h3_train_max', 'h3_train_active_rate', 'h3_train_pct', 'comm_train_mean', 'comm_train_sum', 'comm_train_max'))}
-  FROM modal c LEFT JOIN (SELECT *, (rank() OVER (ORDER BY h3_train_mean) + (count(*) OVER (PARTITION BY h3_train_mean) - 1) / 2.0) / count(*) OVER () AS h3_train_pct FROM (SELECT cell, avg(crimes) AS h3_train_mean, stddev_samp(crimes) AS h3_train_std, sum(crimes) AS h3_train_sum, max(crimes) AS h3_train_max, avg(crime_today) AS h3_train_active_rate FROM train GROUP BY cell)) USING (cell)
-  LEFT JOIN (SELECT community_area, avg(crimes) AS comm_train_mean, sum(crimes) AS comm_train_sum, max(crimes) AS comm_train_max FROM train GROUP BY community_area) USING (community_area))"""
+_STATS = lambda p: f"avg(crimes) AS {p}_mean, stddev_samp(crimes) AS {p}_std, sum(crimes) AS {p}_sum, max(crimes) AS {p}_max"
+_PCT = lambda p: f"(rank() OVER (ORDER BY {p}_mean) + (count(*) OVER (PARTITION BY {p}_mean) - 1) / 2.0) / count(*) OVER () AS {p}_percentile"
+_FILLED = [f"{p}_{n}" for p in ("h3_train", "comm_train") for n in ("mean", "std", "sum", "max", "percentile")] + ["h3_train_active_rate"]
+_PRIORS = f"""SELECT *, h3_train_percentile AS h3_train_pct, {ratio('h3_train_mean', '(comm_train_mean + 0.001)', 20)} AS h3_vs_comm_prior FROM (SELECT c.cell, c.community_area, {', '.join(f'coalesce({x}, 0) AS {x}' for x in _FILLED)}
+  FROM modal c LEFT JOIN (SELECT *, {_PCT('h3_train')} FROM (SELECT cell, {_STATS('h3_train')}, avg(crime_today) AS h3_train_active_rate FROM train GROUP BY cell)) USING (cell)
+  LEFT JOIN (SELECT *, {_PCT('comm_train')} FROM (SELECT community_area, {_STATS('comm_train')} FROM train GROUP BY community_area)) USING (community_area))"""
 _PEOPLE = "greatest(coalesce(population_density, 0), 1.0)"
-_M7, _A30 = roll("crimes", 7, "mean"), roll("crime_today", 30, "mean")
-_INTER = {"crime_per_1000pop": ratio("crimes * 1000.0", _PEOPLE), "crime_roll7_per_1000pop": ratio(f"{_M7} * 1000.0", _PEOPLE, 50), "unemployment_x_roll7": f"unemployment_rate * {_M7}", "unemployment_x_active_rate": f"unemployment_rate * {_A30}", "roll7_x_weekend": f"{_M7} * is_weekend"}
+_COLD = f"CAST({_L0('lag_1')} <= 0 AS INTEGER)"
+_SPILL = {
+    "h3_vs_nbr_r1": ratio("roll_mean_7", "(nbr_r1_mean + 0.001)", 20), "h3_above_nbr": "coalesce(CAST(lag_1 > nbr_r1_mean AS INTEGER), 0)", "h3_nbr_joint_activity": f"{_L0('active_rate_7')} * nbr_r1_active_rate",
+    "nbr_r1_hot_count_x_local_cold": f"nbr_r1_active_count * {_COLD}", "nbr_max_vs_local_lag1": ratio("nbr_r1_max", f"({_L0('lag_1')} + 0.001)", 20), "local_nbr_double_burst": f"{_CLIP10(_L0('burst_3_30'))} * {_CLIP10('nbr_r1_burst_1_7')}",
+    "nbr_any_active_x_local_cold": f"nbr_r1_any_active * {_COLD}", "nbr_spike_x_local_sudden": "CAST(nbr_r1_spike_vs_roll7 > 1.0 AS INTEGER) * local_sudden_activation_3d",
+}
+_RELATION = {
+    "crime_per_1000pop": ratio("crimes * 1000.0", _PEOPLE, 50), "crime_roll7_per_1000pop": ratio("roll_mean_7 * 1000.0", _PEOPLE, 50), "crime_vs_density_expected": f"crimes - {_PEOPLE} * city_rate",
+    "h3_city_share_7": ratio("roll_mean_7", "(city_total_roll_mean_7 + 0.001)", 1), "h3_city_share_30": ratio("roll_mean_30", "(city_total_roll_mean_30 + 0.001)", 1),
+    "hardship_x_roll7": f"{_L0('hardship_index')} * {_L0('roll_mean_7')}", "hardship_x_active_rate": f"{_L0('hardship_index')} * {_L0('active_rate_7')}", "hardship_x_nbr_r1": f"{_L0('hardship_index')} * {_L0('nbr_r1_mean')}",
+    "unemployment_x_reactivation": f"{_L0('unemployment_rate')} * reactivation", "unemployment_x_zero_streak": f"{_L0('unemployment_rate')} * CAST(zero_streak > 7 AS INTEGER)",
+    "h3_recent_vs_comm": ratio("roll_mean_7", "(comm_roll_mean_7 + 0.001)", 20), "high_prior_x_weekend": "h3_train_percentile * is_weekend", "high_prior_x_friday": "h3_train_percentile * is_friday",
+    "high_prior_x_holiday": "h3_train_percentile * is_holiday", "active_rate_vs_train": ratio("active_rate_7", "(h3_train_active_rate + 0.001)", 10),
+}
 _CYCLE = {f"{n}_{f}": f"{f}({x} * {num(2 * math.pi / p)})" for n, x, p in (("dow", "dayofweek", 7), ("month", "month", 12), ("doy", "dayofyear", 366)) for f in ("sin", "cos")}
 _HOLIDAYS = "(SELECT make_date(y, m, d) AS holiday FROM range(1995, 2002) AS t(y), (VALUES (1, 1), (5, 30), (7, 4), (11, 24), (12, 25)) AS md(m, d))"
+_HOLIDAY = f"""SELECT *, CAST(days_from_holiday <= 2 OR days_to_holiday <= 2 AS INTEGER) AS holiday_window FROM (SELECT date, CAST(coalesce(a, 365) = 0 AS INTEGER) AS is_holiday, least(coalesce(a, 365), 30) AS days_from_holiday, least(coalesce(b, 365), 30) AS days_to_holiday
+      FROM (SELECT date, min(g) FILTER (g >= 0) AS a, min(-g) FILTER (g < 0) AS b FROM (SELECT date, date_diff('day', holiday, date) AS g FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS date FROM incidents), {_HOLIDAYS}) WHERE abs(g) <= 365 OR g IS NULL GROUP BY date))"""
+_PANEL_HOLIDAY = _HOLIDAY.replace("SELECT DISTINCT CAST(incident_ts AS DATE) AS date FROM incidents", "SELECT DISTINCT date FROM panel")
+_CALENDAR = f"SELECT *, {_listed(_CYCLE)} FROM panel"
+PARTS |= {
+    "calendar": _CALENDAR,
+    "windows": f"SELECT *, {_listed(_WINDOWS)} FROM calendar",
+    "own": f"SELECT *, {_listed(_LAST)} FROM (SELECT *, {_listed(_DERIVED)} FROM windows)",
+    "ewms": _EWM,
+    "streaks": _STREAK,
+    "comms": f"SELECT *, {_listed(_COMMS)} FROM comm_day",
+    "cities": f"SELECT *, {_listed(_CITY)} FROM city_day",
+    "nbrs": _NBR,
+    "priors": _PRIORS,
+    "rate": f"SELECT sum(crimes) / greatest(sum({_PEOPLE}), 1.0) AS city_rate FROM train",
+    "panel_holidays": _PANEL_HOLIDAY,
+    "joined": """SELECT * FROM own JOIN ewms USING (cell, date) JOIN streaks USING (cell, date) JOIN nbrs USING (cell, date) LEFT JOIN (SELECT * EXCLUDE (comm_total, comm_active, comm_violent, comm_property, comm_arrests) FROM comms) USING (community_area, date)
+      LEFT JOIN (SELECT * EXCLUDE (city_total, city_active, city_violent, city_property, city_arrests) FROM cities) USING (date) LEFT JOIN panel_holidays USING (date) LEFT JOIN (SELECT * EXCLUDE (community_area) FROM priors) USING (cell), rate""",
+    "framed": f"SELECT *, {_listed(_SPILL | _RELATION)} FROM joined",
+    "frame": "SELECT * RENAME (" + ", ".join(f"{a} AS {b}" for a, b in X.RAW_NAMES.items()) + ") FROM framed",
+    "supervised": "SELECT * FROM frame JOIN targets USING (cell, date) JOIN splits USING (date)",
+    "errors": " UNION ALL ".join(f"SELECT '{n}' AS scenario, cell, date, {n} AS score, CASE WHEN next_hotspot = 1 AND {n} < 0.5 THEN 'FN' WHEN next_hotspot = 0 AND {n} >= 0.5 THEN 'FP' END AS error FROM scored WHERE next_hotspot IS NOT NULL" for n in Q.SCORES),
+    "metrics": """SELECT tp / predicted AS precision, tp / p AS recall, 2 * tp / (predicted + p) AS f1, (ranks - p * (p + 1) / 2) / (p * (n - p)) AS auc, ap / p AS ap, predicted / n AS predicted_rate, p / n AS base_rate
+      FROM (SELECT CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(pos * (below + (n + 1) / 2.0)) AS ranks, sum(pos * tpc / CAST(upto AS DOUBLE)) AS ap, CAST(sum(pos) FILTER (score >= 0.5) AS DOUBLE) AS tp, CAST(sum(n) FILTER (score >= 0.5) AS DOUBLE) AS predicted
+      FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER (ORDER BY score DESC) AS tpc, sum(n) OVER (ORDER BY score DESC) AS upto FROM s1))""",
+    "exported": f"SELECT *, CASE WHEN primary_type IN ({_VIOLENT}) THEN 'VIOLENT' WHEN primary_type IN ({_PROPERTY}) THEN 'PROPERTY' ELSE 'OTHER' END AS crime_category FROM gold WHERE date >= DATE '2001-11-04' - 365 QUALIFY row_number() OVER (PARTITION BY date - CAST(dayofweek(date) AS INTEGER) ORDER BY md5('7:' || unique_key)) <= {CFG.sample_per_week}",
+    "shapes": f"""SELECT lat, lon, CASE c_custkey % 6 WHEN 0 THEN 'transit_station' WHEN 1 THEN 'school' WHEN 2 THEN 'park' WHEN 3 THEN 'nightlife' WHEN 4 THEN 'nightlife' END AS poi_type FROM (SELECT c_custkey, {coordinate('c_custkey', 613, 41.60, 0.00046)} AS lat, {coordinate('c_custkey', 287, -87.98, 0.0005)} AS lon FROM customer)""",
+}
+_features = lambda ddl, frm="own": f"SELECT {', '.join(c.split()[0] for c in (S.KEY + ', ' + ddl).split(', '))} FROM {frm}"
+
+
+def _rule(rules: R.Rules, rest: str) -> str:
+    test = lambda p: f"starts_with(feature, '{p[1:]}')" if p[0] == "^" else f"contains(feature, '{p}')"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(map(test, parts.split()))} THEN '{kind}'" for kind, parts in rules) + f" ELSE '{rest}' END"
+
+
+_CANDIDATES = [n for n, t in (c.split() for c in S.FRAME_COLS.split(", ")) if t in ("int", "long", "double") and n not in R.GUARDED]
 _PROFILED = {"crimes": 1, "violent": 1, "property": 1, "arrests": 1, "crime_today": 1, "temp_max": 1, "unemployment_rate": 1, "is_weekend": 1, "month": 1}
 _WEIGHT = "least(12.0, pow(CASE WHEN p > 0 THEN q / CAST(p AS DOUBLE) ELSE 1.0 END, 0.7)) * 1.25"
 
@@ -222,44 +308,62 @@ STATEMENTS: dict[str, str] = {
     "socio_dim": "SELECT * FROM socio",
     "poi_presence": "SELECT * FROM presence",
     "enriched_fact": "SELECT * FROM gold",
-    "daily_panel": "SELECT *, CAST(dayofweek = 0 AS INTEGER) AS is_monday, CAST(dayofweek = 4 AS INTEGER) AS is_friday, " + ", ".join(f"{e} AS {n}" for n, e in _CYCLE.items()) + " FROM panel",
-    "holiday_features": f"""SELECT *, CAST(days_from_holiday <= 2 OR days_to_holiday <= 2 AS INTEGER) AS holiday_window FROM (SELECT date, CAST(coalesce(a, 365) = 0 AS INTEGER) AS is_holiday, least(coalesce(a, 365), 30) AS days_from_holiday, least(coalesce(b, 365), 30) AS days_to_holiday
-      FROM (SELECT date, min(g) FILTER (g >= 0) AS a, min(-g) FILTER (g < 0) AS b FROM (SELECT date, date_diff('day', holiday, date) AS g FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS date FROM incidents), {_HOLIDAYS}) WHERE abs(g) <= 365 OR g IS NULL GROUP BY date))""",
-    "own_lags": _select(_LAGS),
-    "own_rolling": _select(_ROLLS),
-    "own_ewm": _EWM,
-    "zero_streak": f"""SELECT cell, date, zero_streak, CAST(crimes > 0 AND coalesce(lag(zero_streak) OVER ({OWN}), 0) >= 3 AS INTEGER) AS reactivation FROM (SELECT *, CASE WHEN crimes > 0 THEN 0 ELSE row_number() OVER (PARTITION BY cell, island ORDER BY date) - CAST(island > 0 AS INTEGER) END AS zero_streak
-      FROM (SELECT *, sum(CAST(crimes > 0 AS INTEGER)) OVER ({OWN} ROWS UNBOUNDED PRECEDING) AS island FROM panel))""",
-    "burst_features": _select(_BURSTS, _B),
-    "type_composition": _select(_MIX),
-    "weather_lags": _select(_WEATHER),
-    "near_repeat": _select(_REPEAT),
-    "arrest_deterrence": _select(_DETER),
-    "same_weekday": _select({"same_dow_roll8": "d8", "same_dow_vs_overall": ratio("d8", f"({roll('crimes', 30, 'mean')} + 0.001)", 5)}, f"(SELECT *, {roll('crimes', 8, 'mean', 'PARTITION BY cell, dayofweek ORDER BY date')} AS d8 FROM panel)"),
-    "community_features": _select(_COMMS, "comm_day", "*"),
-    "city_features": _select(_CITY, "city_day", "*"),
-    "neighbour_features": _NBR,
-    "train_priors": _PRIORS,
-    "interactions": _select(_INTER),
+    "daily_panel": "SELECT * FROM calendar",
+    "holiday_features": _HOLIDAY,
+    **{n: _features(d) for n, d in Q._OWN.items() if n not in ("own_ewm", "zero_streak")},
+    "own_ewm": "SELECT * FROM ewms",
+    "zero_streak": "SELECT * FROM streaks",
+    "community_features": "SELECT * FROM comms",
+    "city_features": "SELECT * FROM cities",
+    "neighbour_features": "SELECT * FROM nbrs",
+    "train_priors": "SELECT * FROM priors",
+    "training_frame": "SELECT * FROM frame",
+    "spillover_features": "SELECT * FROM frame",
+    "relation_features": "SELECT * FROM frame",
     "targets_and_splits": "SELECT t.*, split FROM targets t JOIN splits USING (date)",
     "feature_profile": " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi, CAST(quantile_cont(CAST({c} AS DOUBLE), 0.5) AS DOUBLE) AS median, coalesce(min({c}) = max({c}), TRUE) AS \"constant\" FROM train" for c in _PROFILED),
     "label_rates": f"SELECT split, count(*) AS n, sum(next_hotspot) AS n_pos, avg(next_hotspot) AS rate, max(w) AS weight FROM (SELECT * FROM targets JOIN splits USING (date) WHERE next_hotspot IS NOT NULL), (SELECT {_WEIGHT} AS w FROM (SELECT sum(next_hotspot) AS p, sum(1 - next_hotspot) AS q FROM targets JOIN splits USING (date) WHERE split = 'train')) GROUP BY split",
     "target_correlation": "SELECT corr(next_total, next_violent) AS total_violent, corr(next_total, next_property) AS total_property, corr(next_violent, next_property) AS violent_property FROM targets WHERE next_total IS NOT NULL",
     "threshold_grid": "SELECT * FROM thresholds",
     "best_threshold": "SELECT threshold, f1, round(objective, 9) AS objective FROM thresholds ORDER BY round(objective, 9) DESC, threshold LIMIT 1",
-    "ranker_metrics": """SELECT tp / predicted AS precision, tp / p AS recall, 2 * tp / (predicted + p) AS f1, (ranks - p * (p + 1) / 2) / (p * (n - p)) AS auc, ap / p AS ap, predicted / n AS predicted_rate, p / n AS base_rate
-      FROM (SELECT CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(pos * (below + (n + 1) / 2.0)) AS ranks, sum(pos * tpc / CAST(upto AS DOUBLE)) AS ap, CAST(sum(pos) FILTER (score >= 0.5) AS DOUBLE) AS tp, CAST(sum(n) FILTER (score >= 0.5) AS DOUBLE) AS predicted
-      FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER (ORDER BY score DESC) AS tpc, sum(n) OVER (ORDER BY score DESC) AS upto FROM s1))""",
+    "ranker_metrics": "SELECT * FROM metrics",
     "daily_topk": "SELECT k, avg(tp / CAST(taken AS DOUBLE)) AS precision, avg(tp / CAST(greatest(1, pos) AS DOUBLE)) AS recall, avg(CASE WHEN pos > 0 THEN (tp / CAST(taken AS DOUBLE)) / (pos / CAST(n AS DOUBLE)) ELSE 0.0 END) AS lift, count(*) AS days FROM top GROUP BY k",
     "fn_overlap": """SELECT count(*) FILTER (s = 3) AS missed_by_all, count(*) FILTER (s IN (1, 2)) AS missed_by_some, count(*) FILTER (s > 0 AND b = 0) AS resolved_by_blend FROM (SELECT cell, max(coalesce(CAST(next_hotspot = 1 AND temporal < 0.5 AS INTEGER), 0)) + max(coalesce(CAST(next_hotspot = 1 AND spatial < 0.5 AS INTEGER), 0)) + max(coalesce(CAST(next_hotspot = 1 AND context < 0.5 AS INTEGER), 0)) AS s,
       max(coalesce(CAST(next_hotspot = 1 AND score < 0.5 AS INTEGER), 0)) AS b FROM scored GROUP BY cell)""",
     "risk_tiers": "SELECT *, round(score * 1e9) AS score_ppb FROM tiers",
     "confidence": "SELECT * FROM predictions",
-    "export_incidents": f"SELECT *, CASE WHEN primary_type IN ({_VIOLENT}) THEN 'VIOLENT' WHEN primary_type IN ({_PROPERTY}) THEN 'PROPERTY' ELSE 'OTHER' END AS crime_category FROM gold WHERE date >= DATE '2001-11-04' - 365 QUALIFY row_number() OVER (PARTITION BY date - CAST(dayofweek(date) AS INTEGER) ORDER BY md5('7:' || unique_key)) <= 20",
+    "export_incidents": "SELECT * FROM exported",
     "export_forecast": "SELECT *, round(score * 1e9) AS score_ppb FROM forecast",
     "geojson_features": """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(round(longitude, 6) AS VARCHAR) || ',' || CAST(round(latitude, 6) AS VARCHAR) || ']},"properties":{"prediction_date":"' || CAST(prediction_date AS VARCHAR) || '","cell":"' || cell || '","risk_level":"' || risk_level || '"}}' AS value FROM forecast""",
     "stream_daily_counts": "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) GROUP BY 1, 2",
-    "monitoring_counts": "SELECT r AS risk_level, count(cell) AS n FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS r) LEFT JOIN forecast ON risk_level = r GROUP BY r",
+    "monitoring_counts": " UNION ALL ".join(f"SELECT '{c}' AS what, '{v}' AS value, count(*) FILTER ({c} = '{v}') AS n FROM (SELECT p.* FROM predictions p WHERE prediction_date = (SELECT max(prediction_date) FROM predictions))" for c, vs in Q.LEVELS.items() for v in vs),
+    "monitoring_days": "SELECT prediction_date, count(*) AS n, count(*) FILTER (risk_level = 'CRITICAL') AS critical FROM predictions GROUP BY prediction_date",
+    "feature_selection": f"SELECT feature, count(value) AS n, min(value) AS lo, max(value) AS hi, coalesce(min(value) < max(value), FALSE) AS kept, {_rule(R.BLEND, R.BLEND_REST)} AS bucket, {_rule(R.ABLATION, R.ABLATION_REST)} AS ablation_group, {_rule(R.FAMILY, R.FAMILY_REST)} AS family FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _CANDIDATES)} FROM supervised WHERE split = 'train' AND next_total IS NOT NULL) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_CANDIDATES)})) GROUP BY feature",
+    "sample_weights": "SELECT cell, date, CASE WHEN next_hotspot = 1 THEN greatest(1.0, least(1.75, (CASE WHEN local_sudden_activation_3d > 0 THEN 1.25e0 ELSE 1.0e0 END) * (CASE WHEN h3_train_percentile < 0.75 THEN 1.35e0 ELSE 1.0e0 END) * (CASE WHEN nbr_r1_spike_vs_roll7 > 1 THEN 1.15e0 ELSE 1.0e0 END))) ELSE 1.0 END AS weight FROM supervised WHERE split = 'train' AND next_hotspot IS NOT NULL",
+    "sanitized_features": "SELECT cell, date, " + ", ".join(f"coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM supervised WHERE split = 'train'), 0.0) AS {c}" for c in ("roll_std_30", "temp_max_lag7", "ewm_90")) + " FROM supervised",
+    "split_report": f"SELECT *, days >= {CFG.warm_up_days + sum(n for _, n in CFG.split_days)} AS enough, shared_days = 0 AS \"disjoint\" FROM (SELECT (SELECT count(DISTINCT date) FROM supervised) AS days, (SELECT count(*) - count(DISTINCT date) FROM splits) AS shared_days, " + ", ".join(f"avg(h3_train_percentile) FILTER (split = '{k}') AS prior_{k}" for k in ("train", "val", "test")) + " FROM supervised)",
+    "type_rates": "SELECT split, count(*) AS n, count(*) FILTER (next_hotspot = 1) AS hotspots, avg(next_violent) FILTER (next_hotspot = 1) AS violent_rate, avg(next_property) FILTER (next_hotspot = 1) AS property_rate FROM targets JOIN splits USING (date) WHERE next_total IS NOT NULL GROUP BY split",
+    "model_floor": "SELECT auc, f1, auc >= 0.75 AND f1 >= 0.5 AS passed FROM metrics",
+    "error_rows": "SELECT * FROM errors WHERE error IS NOT NULL",
+    "plain_threshold": "SELECT threshold, plain AS f1, round(plain, 9) AS objective FROM thresholds ORDER BY round(plain, 9) DESC, threshold LIMIT 1",
+    "fixed_risk_levels": "SELECT cell, date, CASE WHEN score < 0.3 THEN 'LOW' WHEN score < 0.6 THEN 'MEDIUM' WHEN score < 0.8 THEN 'HIGH' ELSE 'CRITICAL' END AS fixed_level FROM scored",
+    "prediction_table": f"SELECT prediction_date, cell AS h3_index, score AS hotspot_score, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec, CAST(score >= 0.5 AS INTEGER) AS pred_hotspot, dominant_type, rank AS risk_rank, rank_pct AS risk_rank_pct, confidence_score, confidence_level, score_std AS group_score_std, margin_to_cut AS score_margin_to_cutoff, 0.2 AS group_w_context FROM predictions",
+    "incidents_geojson": """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(round(longitude, 6) AS VARCHAR) || ',' || CAST(round(latitude, 6) AS VARCHAR) || ']},"properties":{"unique_key":' || unique_key || ',"date":"' || CAST(date AS VARCHAR) || '","crime_category":"' || crime_category || '"}}' AS value FROM exported""",
+    "extract_day": f"SELECT *, {_SECOND} AS incident_sec FROM incidents WHERE CAST(incident_ts AS DATE) = DATE '1998-03-15' ORDER BY unique_key",
+    "run_windows": f"SELECT run_date, day(run_date) = 1 AS \"full\", CASE WHEN day(run_date) = 1 THEN DATE '{CFG.first_year}-01-01' ELSE run_date - 26 END AS start, run_date - 5 AS \"end\" FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS run_date FROM incidents)",
+    "year_chunks": "SELECT greatest(lo, make_date(y, 1, 1)) AS chunk_start, least(hi, make_date(y, 12, 31)) AS chunk_end FROM (SELECT lo, hi, unnest(range(year(lo), year(hi) + 1)) AS y FROM (SELECT min(CAST(incident_ts AS DATE)) AS lo, max(CAST(incident_ts AS DATE)) AS hi FROM incidents))",
+    "landed_incidents": f"SELECT *, {_SECOND} AS parsed_sec FROM incidents WHERE incident_ts >= TIMESTAMP '1998-03-01' AND incident_ts < TIMESTAMP '1998-05-01' AND day(incident_ts) % 7 <> 0",
+    "bronze_window": "SELECT unique_key, CAST(incident_ts AS DATE) AS day FROM incidents WHERE CAST(incident_ts AS DATE) BETWEEN DATE '1998-04-20' - 26 AND DATE '1998-04-20' - 5",
+    "gold_write": "SELECT count(DISTINCT date) AS days, count(*) AS \"rows\" FROM gold WHERE date >= DATE '2000-11-04'",
+    "unloaded_days": "SELECT date, count(*) AS n FROM (SELECT CAST(incident_ts AS DATE) AS date FROM incidents) WHERE day(date) % 3 <> 0 GROUP BY date",
+    "early_stop": "SELECT count(*) = 0 AS nothing_new FROM (SELECT unique_key FROM incidents WHERE unique_key % 3 = 0) WHERE unique_key NOT IN (SELECT unique_key FROM incidents)",
+    "weather_landing": "SELECT date, datatype, value, station_id AS station FROM weather_long",
+    "socio_population": "SELECT community_area, community_area_name, (n_nationkey + 1) * 1000.5 AS population FROM socio LEFT JOIN nation ON community_area_name = upper(trim(n_name))",
+    "poi_landing": "SELECT DISTINCT (lat + 0.25e0 + (lat - 0.25e0) + lat) / 3 AS latitude, (lon + (lon + 0.5e0) + (lon - 0.5e0)) / 3 AS longitude, poi_type FROM shapes WHERE poi_type IS NOT NULL",
+    "station_file_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders",
+    "gold_quality": "SELECT *, null_cells / CAST(n_before AS DOUBLE) AS null_share, zero_weather / CAST(n_gold AS DOUBLE) AS zero_weather_share, n_gold > 0 AND null_cells <= 0.05 * n_before AS passed FROM (SELECT (SELECT count(*) FROM clean) AS n_before, (SELECT count(*) FILTER (cell IS NULL) FROM clean) AS null_cells, count(*) AS n_gold, count(*) FILTER (temp_max = 0) AS zero_weather FROM gold)",
+    "stream_cell_counts": "SELECT CAST(incident_ts AS DATE) AS date, cell, count(*) AS n FROM clean GROUP BY ALL",
+    "stream_upsert": "SELECT unique_key, CAST(date_trunc('month', incident_ts) AS DATE) AS month FROM clean",
 }
 
 ORACLE: dict[str, str] = {k: full(S.shaped(v, Q.COLUMNS[k])) for k, v in STATEMENTS.items()}

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hotgrid.config import Config
+from hotgrid.config import Config, IncrementalWindow
 from hotgrid.functions import hexgrid
-from hotgrid.functions.exprs import great_circle_km
+from hotgrid.functions.exprs import fixed_risk, great_circle_km
 from hotgrid.operators import evaluate, features, gold, learn, panel, rank, silver
 from hotgrid.plans import shapes as S
 from hotgrid.sources import fixtures as V
+from hotgrid.sources import tables
+from hotgrid.sources.layers import layer, shared_dir
+from hotgrid.streaming import stream
 
 #: The test tables begin in 1995 and end in 2001.
 CFG = Config(first_year=1995)
 AS_OF = "2001-12-31"
 SCORES = {"temporal": (7919, 104729), "spatial": (6101, 1299), "context": (3571, 7907)}
+#: Stand-ins for the two models of types.
+TYPE_SCORES = {"violent_probability": (2711, 6151), "property_probability": (4931, 3217)}
+#: The time of the run that makes predictions.
+MADE = "2001-11-05 06:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: The columns and types of each query's result.
 COLUMNS: dict[str, str] = {}
@@ -36,17 +45,28 @@ def query(ddl: str):
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    return silver.silver(V.incidents(spark, d), AS_OF, CFG)
+    """The silver layer, made once a session."""
+    return layer(spark, d, "silver", lambda: silver.silver(V.incidents(spark, d), AS_OF, CFG))
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
+def facts(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
+    """The enriched fact, of all days or of those from ``since`` on and the 30 days before, which they look back on."""
     poi = V.poi(spark, d).select(hexgrid.cell("latitude", "longitude", CFG).alias("cell"), "poi_type")
     socio = gold.socio_dim(V.tracts(spark, d), V.crosswalk(spark, d), V.area_names(spark, d))
-    return gold.enrich(clean(spark, d), V.stations(spark, d), gold.weather_wide(V.weather_long(spark, d)), poi, socio)
+    everything = clean(spark, d)
+    rows = everything if since is None else everything.where(F.col("incident_ts") >= F.date_sub(F.lit(since).cast("date"), 31).cast("timestamp"))
+    return gold.enrich(rows, V.stations(spark, d), gold.weather_wide(V.weather_long(spark, d)), poi, socio, gold.centroids(everything))
+
+
+def make_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Only the lookback's facts are enriched: the last day is one value, so that its filter reaches the scan."""
+    last = clean(spark, d).where("cell is not null").agg(F.date_sub(F.max(F.to_date("incident_ts")), CFG.lookback_days).cast("string").alias("d")).first()["d"]
+    return panel.panel(facts(spark, d, last), CFG)
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    return panel.panel(facts(spark, d), CFG)
+    """The panel, made once a session: the one table that features, targets and models read."""
+    return layer(spark, d, "panel", lambda: make_panel(spark, d))
 
 
 def train(p: DataFrame) -> DataFrame:
@@ -54,18 +74,40 @@ def train(p: DataFrame) -> DataFrame:
     return p.join(F.broadcast(s.select("date")), "date", "left_semi")
 
 
+def frame(spark: SparkSession, d: str) -> DataFrame:
+    """The training frame, made once a session, its counts named as the rules for features know them."""
+
+    def make():
+        p = dense(spark, d)
+        days = panel.holiday_features(p.select("date"), V.holidays(spark))
+        out = features.training_frame(p, train(p), hexgrid.edges(p), days)
+        return S.exact(out.withColumnsRenamed(features.RAW_NAMES), S.FRAME_COLS)
+
+    return layer(spark, d, "frame", make)
+
+
+def supervised(spark: SparkSession, d: str) -> DataFrame:
+    """The frame with targets and splits."""
+    p = dense(spark, d)
+    return frame(spark, d).join(features.targets(p), ["cell", "date"]).join(F.broadcast(evaluate.splits(p, CFG)), "date")
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Panel rows with three fixed scores, their blend and tomorrow's hotspot label."""
-    t = features.targets(dense(spark, d))
-    cells = t.select("cell").distinct().withColumn("no", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("cell")))
-    day = F.datediff("date", F.lit("1995-01-01").cast("date"))
-    t = t.join(F.broadcast(cells), "cell").withColumns({n: (F.col("no") * a + day * b) % 10007 / F.lit(10007.0) for n, (a, b) in SCORES.items()})
-    return t.withColumn("score", F.round(rank.blended(tuple(SCORES), CFG), 9))
+    """Panel rows with fixed scores in place of the models', their blend and tomorrow's labels."""
+
+    def make():
+        t = features.targets(dense(spark, d))
+        cells = t.select("cell").distinct().withColumn("no", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("cell")))
+        day = F.datediff("date", F.lit("1995-01-01").cast("date"))
+        t = t.join(F.broadcast(cells), "cell").withColumns({n: (F.col("no") * a + day * b) % 10007 / F.lit(10007.0) for n, (a, b) in (SCORES | TYPE_SCORES).items()})
+        return t.withColumn("score", F.round(rank.blended(tuple(SCORES), CFG), 9))
+
+    return layer(spark, d, "scored", make)
 
 
 @query("unique_key long, case_number string, incident_sec long, primary_type string, arrest boolean, domestic boolean, community_area int, latitude double, longitude double, cell string, distance_to_center_km double")
 def clean_incidents(spark, d):
-    return clean(spark, d).withColumn("incident_sec", F.unix_timestamp("incident_ts"))
+    return silver.silver(V.incidents(spark, d), AS_OF, CFG).withColumn("incident_sec", F.unix_timestamp("incident_ts"))
 
 
 @query("unique_key long, parsed_sec long, part_year int, part_month int, part_day int")
@@ -125,14 +167,14 @@ def poi_presence(spark, d):
     return gold.poi_presence(gold.centroids(clean(spark, d)), poi)
 
 
-@query("unique_key long, case_number string, date date, primary_type string, community_area int, cell string, latitude double, longitude double, hour_of_day int, day_of_week int, month int, temp_max double, precipitation double, wind_speed double, dist_nearest_school double, dist_nearest_station double, dist_nearest_park double, dist_nearest_nightlife double, crime_density_7d long, crime_density_30d long, arrest_rate double, unemployment_rate double, hardship_index int, population_density double, per_capita_income double")
+@query("unique_key long, case_number string, date date, primary_type string, community_area int, cell string, latitude double, longitude double, hour_of_day int, day_of_week int, month int, temp_max double, temp_min double, precipitation double, wind_speed double, dist_nearest_school double, dist_nearest_station double, dist_nearest_park double, dist_nearest_nightlife double, crime_density_7d long, crime_density_30d long, arrest_rate double, unemployment_rate double, hardship_index int, population_density double, per_capita_income double")
 def enriched_fact(spark, d):
     return facts(spark, d)
 
 
 @query(S.PANEL_COLS)
 def daily_panel(spark, d):
-    return dense(spark, d)
+    return make_panel(spark, d)
 
 
 @query("date date, is_holiday int, days_from_holiday int, days_to_holiday int, holiday_window int")
@@ -148,24 +190,31 @@ def _feature(name: str, f: Callable[[DataFrame], DataFrame], ddl: str) -> None:
     query(ddl)(run)
 
 
-_feature("own_lags", features.lags, S.LAG_COLS)
-_feature("own_rolling", features.rolling, S.ROLL_COLS)
-_feature("own_ewm", features.ewm, S.EWM_COLS)
-_feature("zero_streak", features.zero_streak, S.KEY + ", zero_streak long, reactivation int")
-_feature("burst_features", features.bursts, S.BURST_COLS)
-_feature("type_composition", features.composition, S.MIX_COLS)
-_feature("weather_lags", features.weather_lags, S.WEATHER_COLS)
-_feature("near_repeat", features.near_repeat, S.REPEAT_COLS)
-_feature("arrest_deterrence", features.deterrence, S.KEY + ", arrest_roll_7 long, arrest_roll_30 long, arrest_rate_7 double, arrest_rate_30 double, deterrence_signal double")
-_feature("same_weekday", features.same_weekday, S.KEY + ", same_dow_roll8 double, same_dow_vs_overall double")
+_OWN = {"own_lags": S.LAG, "own_rolling": S.ROLL, "own_ewm": S.EWM, "zero_streak": S.STREAK, "own_daily": S.DAILY, "burst_features": S.BURST, "trend_momentum": S.TREND, "type_composition": S.MIX, "weather_lags": S.WEATHER, "near_repeat": S.REPEAT, "arrest_deterrence": S.DETER, "same_weekday": S.WEEKDAY}
+for _name, _cols in _OWN.items():
+    _feature(_name, features.own_features, S.KEY + ", " + _cols)
 _feature("community_features", features.community, S.COMM_COLS)
 _feature("city_features", features.city, S.CITY_COLS)
-_feature("neighbour_features", lambda p: features.neighbours(p, hexgrid.edges(p)), S.NBR_COLS)
+_feature("neighbour_features", lambda p: features.neighbours(p, hexgrid.edges(p)), S.KEY + ", " + S.NBR)
 _feature("train_priors", lambda p: features.priors(p, train(p)), S.PRIOR_COLS)
-_feature("interactions", features.interactions, S.KEY + ", crime_per_1000pop double, crime_roll7_per_1000pop double, unemployment_x_roll7 double, unemployment_x_active_rate double, roll7_x_weekend double")
 
 
-@query(S.KEY + ", split string, next_total long, next_has_crime int, next_hotspot int, next_topk_group int, next_violent int, next_property int")
+@query(S.FRAME_COLS)
+def training_frame(spark, d):
+    return frame(spark, d)
+
+
+@query(S.KEY + ", " + S.SPILL)
+def spillover_features(spark, d):
+    return frame(spark, d)
+
+
+@query(S.KEY + ", " + S.RELATION)
+def relation_features(spark, d):
+    return frame(spark, d)
+
+
+@query(S.KEY + ", split string, next_total long, next_has_crime int, next_hotspot int, next_topk_group int, next_rank_pct double, next_violent int, next_property int")
 def targets_and_splits(spark, d):
     p = dense(spark, d)
     return features.targets(p).join(F.broadcast(evaluate.splits(p, CFG)), "date")
@@ -218,7 +267,7 @@ def fn_overlap(spark, d):
 
 def _predictions(spark: SparkSession, d: str) -> DataFrame:
     df = rank.confidence(rank.tiers(scored(spark, d), cfg=CFG), tuple(SCORES), cfg=CFG)
-    return df.withColumn("prediction_date", F.date_add("date", 1)).withColumn("dominant_type", rank.dominant(F.col("score") >= 0.5, F.col("temporal"), F.col("spatial")))
+    return df.withColumn("prediction_date", F.date_add("date", 1)).withColumn("dominant_type", rank.dominant(F.col("score") >= 0.5, F.col("violent_probability"), F.col("property_probability")))
 
 
 @query(S.KEY + ", score_ppb long, rank int, rank_pct double, risk_level string")
@@ -233,7 +282,8 @@ def confidence(spark, d):
 
 @query("unique_key long, date date, primary_type string, crime_category string, cell string, latitude double, longitude double")
 def export_incidents(spark, d):
-    return rank.export_incidents(facts(spark, d), "2001-11-04", 365, Config(first_year=1995, sample_per_week=20))
+    """The last 365 days, at most 3,000 incidents a week."""
+    return rank.export_incidents(facts(spark, d, "2000-11-04"), "2001-11-04", 365, CFG)
 
 
 @query("prediction_date date, cell string, score_ppb long, risk_level string, confidence_level string, dominant_type string, latitude double, longitude double")
@@ -247,12 +297,20 @@ def geojson_features(spark, d):
     return rank.geojson(df)
 
 
-@query("risk_level string, n long")
+LEVELS = {"risk_level": ("CRITICAL", "HIGH", "MEDIUM", "LOW"), "confidence_level": ("HIGH", "MEDIUM", "LOW"), "dominant_type": ("VIOLENT", "PROPERTY", "MIXED", "UNKNOWN")}
+
+
+@query("what string, value string, n long")
 def monitoring_counts(spark, d):
+    """Predictions of the latest day by risk, confidence and type, zeros included."""
     p = _predictions(spark, d)
-    latest = p.join(F.broadcast(p.agg(F.max("prediction_date").alias("prediction_date"))), "prediction_date")
-    names = spark.createDataFrame([("CRITICAL",), ("HIGH",), ("MEDIUM",), ("LOW",)], "risk_level string")
-    return F.broadcast(names).join(latest.groupBy("risk_level").agg(F.count("*").alias("n")), "risk_level", "left").na.fill(0)
+    return rank.value_counts(p.join(F.broadcast(p.agg(F.max("prediction_date").alias("prediction_date"))), "prediction_date"), LEVELS)
+
+
+@query("prediction_date date, n long, critical long")
+def monitoring_days(spark, d):
+    """Predictions of each day: what a monitor that asks for today's rows reads."""
+    return _predictions(spark, d).groupBy("prediction_date").agg(F.count("*").alias("n"), F.count_if(F.col("risk_level") == "CRITICAL").alias("critical"))
 
 
 @query("unique_key long, distance_km double")
@@ -260,54 +318,271 @@ def distance_to_center(spark, d):
     return silver.deduplicate(V.incidents(spark, d)).select("unique_key", great_circle_km("latitude", "longitude", F.lit(CFG.center_lat), F.lit(CFG.center_lon)).alias("distance_km"))
 
 
-def _modelled(spark: SparkSession, d: str) -> DataFrame:
-    """Panel, the features of all operators, targets and splits; persisted, as several fits read it."""
-    p = dense(spark, d).localCheckpoint()  # else every operator's plan has the panel's in it
-    own = (features.lags, features.rolling, features.ewm, features.zero_streak, features.bursts, features.composition, features.weather_lags, features.near_repeat, features.deterrence, features.same_weekday, features.interactions, features.targets)
-    out = p
-    for f in own:
-        out = out.join(f(p).localCheckpoint(), ["cell", "date"])
-    out = out.join(features.neighbours(p, hexgrid.edges(p)), ["cell", "date"])
-    out = out.join(features.community(p), ["community_area", "date"], "left")
-    out = out.join(F.broadcast(features.priors(p, train(p)).drop("community_area")), "cell", "left")
-    days = panel.holiday_features(p.select("date"), V.holidays(spark))
-    for by_day in (features.city(p), days, evaluate.splits(p, CFG)):
-        out = out.join(F.broadcast(by_day), "date")
-    return out.localCheckpoint()
+def _trained(spark: SparkSession, d: str) -> tuple[DataFrame, str, list[str]]:
+    """Rows with the models' scores, the path of the saved models, and the features: fitted once a session."""
+    df = supervised(spark, d)
+    names = learn.select(df)
+
+    def make():
+        out, models = learn.group_blend(df, names, "next_hotspot", CFG)
+        out, types = learn.type_models(out, names)
+        path = f"{shared_dir(spark)}/hotgrid-models-{uuid.uuid4().hex[:12]}"
+        meta = learn.profile(df).withColumn("made", F.lit(MADE))
+        learn.save(models | types, path, meta)
+        kept = ["cell", "date", "split", "next_total", "next_hotspot", "community_area", "hardship_index", "unemployment_rate", *learn.BUCKETS, "score", "violent_probability", "property_probability"]
+        return out.select(*kept, F.lit(path).alias("models"))
+
+    scored = layer(spark, d, "trained", make)
+    return scored, scored.select("models").first()["models"], names
+
+
+def _threshold(rows: DataFrame) -> float:
+    """The best threshold of the calibration days."""
+    return evaluate.best_threshold(evaluate.threshold_grid(rows.where("split = 'calib'"), "score", "next_hotspot")).first()["threshold"]
 
 
 @query(S.KEY + ", temporal double, spatial double, context double, score double, rank int, risk_level string")
 def groupblend_predictions(spark, d):
-    df = _modelled(spark, d)
-    out, _ = learn.group_blend(df, learn.select(df), "next_hotspot", CFG)
-    return rank.tiers(out.where("split in ('val', 'test')"), cfg=CFG)
+    rows, _, _ = _trained(spark, d)
+    return rank.tiers(rows.where("split in ('val', 'test')"), cfg=CFG)
+
+
+@query(rank.PREDICTIONS.replace("\n", " "))
+def model_predictions(spark, d):
+    """The predictions table of all supervised days from the models: blend, tiers, types, confidence."""
+    rows, _, _ = _trained(spark, d)
+    return rank.prediction_table(rows, _threshold(rows), MADE, CFG)
 
 
-@query("bucket string, feature string, gain double, share double")
+@query("bucket string, feature string, gain double, splits int, share double, rank int, in_top boolean, n_top_models long, family string, family_share double, dominates boolean")
 def feature_importance(spark, d):
-    df = _modelled(spark, d)
-    names = learn.select(df)
-    _, models = learn.group_blend(df, names, "next_hotspot", CFG)
-    return learn.importances(spark, models, names)
+    """Of the saved models, which are read back."""
+    _, path, names = _trained(spark, d)
+    return learn.importances(spark, learn.load(path, [*learn.BUCKETS, "violent_probability", "property_probability"]), names)
 
 
 @query("scenario string, precision double, recall double, f1 double, auc double, ap double")
 def ablation(spark, d):
-    df = _modelled(spark, d)
-    return learn.ablation(df, learn.select(df), "next_hotspot", lambda x: evaluate.ranker_metrics(x, "score", "next_hotspot", 0.3))
+    df = supervised(spark, d)
+    rows = layer(spark, d, "ablation", lambda: learn.ablation(df, learn.select(df), "next_hotspot"))
+    return learn.scenario_metrics(rows, "next_hotspot", lambda x: evaluate.ranker_metrics(x, "score", "next_hotspot", 0.3))
+
+
+@query("scenario string, cell string, date date, score double, error string")
+def ablation_errors(spark, d):
+    df = supervised(spark, d)
+    rows = layer(spark, d, "ablation", lambda: learn.ablation(df, learn.select(df), "next_hotspot"))
+    return evaluate.error_rows(rows, list(learn.SCENARIOS), "next_hotspot", 0.3)
+
+
+@query("rows long, cells long, days long, features int, threshold double, precision double, recall double, f1 double, auc double, ap double, passed boolean")
+def run_summary(spark, d):
+    """One row: what a run was made of, how good its model is on the validation days, and whether it may be used."""
+    rows, _, names = _trained(spark, d)
+    size = rows.agg(F.count("*").alias("rows"), F.count_distinct("cell").alias("cells"), F.count_distinct("date").alias("days"))
+    cut = _threshold(rows)
+    metrics = evaluate.model_floor(evaluate.ranker_metrics(rows.where("split = 'val'"), "score", "next_hotspot", cut))
+    return size.crossJoin(F.broadcast(metrics)).withColumns({"features": F.lit(len(names)), "threshold": F.lit(cut)})
+
+
+@query("feature string, n long, lo double, hi double, kept boolean, bucket string, ablation_group string, family string")
+def feature_selection(spark, d):
+    return learn.profile(supervised(spark, d))
+
+
+@query(S.KEY + ", weight double")
+def sample_weights(spark, d):
+    return supervised(spark, d).where("split = 'train' and next_hotspot is not null").withColumn("weight", evaluate.sample_weight("next_hotspot"))
+
+
+@query(S.KEY + ", " + S.cols("double", "roll_std_30", "temp_max_lag7", "ewm_90"))
+def sanitized_features(spark, d):
+    """Features as the models get them: what is not a number is the training rows' median."""
+    df = supervised(spark, d)
+    return panel.sanitize(df, df.where("split = 'train'"), ("roll_std_30", "temp_max_lag7", "ewm_90"))
+
+
+@query("days long, shared_days long, prior_train double, prior_val double, prior_test double, enough boolean, disjoint boolean")
+def split_report(spark, d):
+    return evaluate.split_report(supervised(spark, d), CFG.warm_up_days + sum(n for _, n in CFG.split_days))
+
+
+@query("split string, n long, hotspots long, violent_rate double, property_rate double")
+def type_rates(spark, d):
+    p = dense(spark, d)
+    return evaluate.type_rates(features.targets(p).join(F.broadcast(evaluate.splits(p, CFG)), "date"))
+
+
+@query("auc double, f1 double, passed boolean")
+def model_floor(spark, d):
+    return evaluate.model_floor(evaluate.ranker_metrics(scored(spark, d), "score", "next_hotspot", 0.5))
+
+
+@query("scenario string, cell string, date date, score double, error string")
+def error_rows(spark, d):
+    return evaluate.error_rows(scored(spark, d), list(SCORES), "next_hotspot", 0.5)
+
+
+@query("threshold double, f1 double, objective double")
+def plain_threshold(spark, d):
+    return evaluate.best_threshold(evaluate.threshold_grid(scored(spark, d), "score", "next_hotspot", guarded=False))
+
+
+@query(S.KEY + ", fixed_level string")
+def fixed_risk_levels(spark, d):
+    return scored(spark, d).withColumn("fixed_level", fixed_risk(F.col("score")))
+
+
+@query("prediction_date date, h3_index string, hotspot_score double, risk_level string, model_version string, made_sec long, pred_hotspot int, dominant_type string, risk_rank int, risk_rank_pct double, confidence_score double, confidence_level string, group_score_std double, score_margin_to_cutoff double, group_w_context double")
+def prediction_table(spark, d):
+    return rank.prediction_table(scored(spark, d), 0.5, MADE, CFG).withColumn("made_sec", F.unix_timestamp("created_at"))
+
+
+@query("value string")
+def incidents_geojson(spark, d):
+    df = export_incidents(spark, d).select("unique_key", "date", "crime_category", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+    return rank.geojson(df)
+
+
+@query("unique_key long, case_number string, incident_sec long, primary_type string, arrest boolean, domestic boolean, community_area int, latitude double, longitude double")
+def extract_day(spark, d):
+    """All incidents of one day in the order of their keys."""
+    day = F.lit("1998-03-15").cast("timestamp")
+    rows = V.incidents(spark, d).where((F.col("incident_ts") >= day) & (F.col("incident_ts") < day + F.expr("interval 1 day")))
+    return rows.withColumn("incident_sec", F.unix_timestamp("incident_ts")).orderBy("unique_key")
+
+
+@query("run_date date, full boolean, start date, end date")
+def run_windows(spark, d):
+    """The days that a run of each day loads; the first of a month loads all."""
+    runs = V.incidents(spark, d).select(F.to_date("incident_ts").alias("run_date")).distinct().withColumn("full", F.dayofmonth("run_date") == 1)
+    return silver.run_windows(runs, f"{CFG.first_year}-01-01")
+
+
+@query("chunk_start date, chunk_end date")
+def year_chunks(spark, d):
+    day = F.to_date("incident_ts")
+    return silver.year_chunks(V.incidents(spark, d).agg(F.min(day).alias("start"), F.max(day).alias("end")))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/hotgrid-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("unique_key long, case_number string, parsed_sec long, primary_type string, arrest boolean, latitude double, longitude double")
+def landed_incidents(spark, d):
+    """Two months land as CSV by day with a ledger, which lacks every seventh day; the days it lists are read back."""
+    ts = F.col("incident_ts")
+    rows = V.incidents(spark, d).where((ts >= F.lit("1998-03-01").cast("timestamp")) & (ts < F.lit("1998-05-01").cast("timestamp")))
+    have = {"date": F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))}
+    names = [c.split() for c in tables.RAW.replace("\n", " ").split(", ")]
+    raw = rows.select(*[(have.get(n) if n in have else F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in names], "incident_ts")
+    root, book = _scratch(spark, "landed"), _scratch(spark, "ledger")
+    tables.land_days(raw, root)
+    tables.append_ledger(rows.select(F.to_date(ts).alias("day")).where(F.dayofmonth("day") % 7 != 0), book, "test", "day")
+    back = silver.parse_dates(tables.read_raw_days(spark, root).where("_corrupt is null")).withColumn("day", F.to_date("parsed_date"))
+    return tables.complete_days(back, spark.read.parquet(book), "day").withColumn("parsed_sec", F.unix_timestamp("parsed_date"))
+
+
+@query("unique_key long, day date")
+def bronze_window(spark, d):
+    """The days of one run's window from a table that is partitioned by day and was written twice."""
+    path, window = _scratch(spark, "bronze"), IncrementalWindow(dt.date(1998, 4, 20))
+    rows = V.incidents(spark, d).select("unique_key", F.to_date("incident_ts").alias("day")).where("day between '1998-03-01' and '1998-05-31'")
+    tables.write_days(rows, path)
+    tables.write_days(rows.where("day >= '1998-04-10'"), path)
+    return tables.read_days(spark, path, window)
+
+
+@query("days long, rows long")
+def gold_write(spark, d):
+    """Days and rows of the gold table of the last year, written by month and read back."""
+    path = _scratch(spark, "gold")
+    tables.write_gold(facts(spark, d, "2000-11-04").where("date >= '2000-11-04'"), path)
+    return tables.days_written(spark.read.parquet(path))
+
+
+@query("date date, n long")
+def unloaded_days(spark, d):
+    """Rows a day of the days that the target does not have yet."""
+    day = F.to_date("incident_ts").alias("date")
+    rows = V.incidents(spark, d).select(day)
+    return silver.unloaded(rows, rows.where(F.dayofmonth("date") % 3 == 0)).groupBy("date").agg(F.count("*").alias("n"))
+
+
+@query("nothing_new boolean")
+def early_stop(spark, d):
+    """Whether a batch that was loaded before has anything new."""
+    raw = V.incidents(spark, d)
+    return raw.agg(F.lit(silver.nothing_new(raw.where("unique_key % 3 = 0"), raw)).alias("nothing_new"))
+
+
+@query("date date, datatype string, value double, station string")
+def weather_landing(spark, d):
+    """Observations land as JSON responses, one a station and day; the days not loaded yet are read and appended."""
+    path, target = _scratch(spark, "responses"), _scratch(spark, "weather")
+    day = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")
+    one = F.struct(day.alias("date"), "datatype", "value", F.col("station_id").alias("station"))
+    V.weather_long(spark, d).groupBy("date", "station_id").agg(F.collect_list(one).alias("results")).select("results").write.json(path)
+    landed = tables.read_weather_json(spark, path)
+    loaded = landed.where(F.dayofmonth("date") <= 10)
+    tables.write_table(loaded, target)
+    tables.write_table(silver.unloaded(landed, loaded), target, "append")
+    return spark.read.parquet(target)
+
+
+@query("community_area int, community_area_name string, population double")
+def socio_population(spark, d):
+    """The socio-economic table, replaced as a whole, with populations by names that are written another way."""
+    path = _scratch(spark, "socio")
+    people = V.area_names(spark, d).select(F.concat(F.lit("  "), F.lower("community_area_name"), F.lit(" ")).alias("community_area_name"), (F.col("community_area") * 1000.5).alias("population"))
+    tables.write_table(gold.socio_dim(V.tracts(spark, d), V.crosswalk(spark, d), V.area_names(spark, d)), path)
+    return gold.with_population(spark.read.parquet(path), people)
+
+
+@query("latitude double, longitude double, poi_type string")
+def poi_landing(spark, d):
+    """Places from tagged shapes, each once, written as CSV and read back."""
+    path = _scratch(spark, "poi")
+    gold.poi_points(V.shapes(spark, d)).write.option("header", True).csv(path)
+    return tables.read_csv(spark, path, tables.POI)
+
+
+@query("o_orderkey long, parsed date")
+def station_file_dates(spark, d):
+    """Dates as the station files write them, month/day/year without leading zeros."""
+    text = F.date_format("o_orderdate", "M/d/yyyy")
+    return V.table(spark, d, "orders").select("o_orderkey", F.to_date(text, "M/d/yyyy").alias("parsed"))
+
+
+@query("n_before long, null_cells long, n_gold long, zero_weather long, null_share double, zero_weather_share double, passed boolean")
+def gold_quality(spark, d):
+    return gold.quality_report(clean(spark, d), facts(spark, d))
 
 
 @query("date date, event_type string, n long")
 def stream_daily_counts(spark, d):
     """Events a day and type by a streaming aggregation over the table's files, run to the end."""
-    import uuid
-
-    name = f"daily_{uuid.uuid4().hex[:8]}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    late = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "26 days").dropDuplicatesWithinWatermark(["event_id"])
-    counts = late.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("date"), "event_type", "n")
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    (q.option("checkpointLocation", f"{base}/{name}") if base else q).start().awaitTermination()
-    return spark.table(name)
+    events = stream.incidents(spark, f"{d}/events.parquet*", spark.read.parquet(f"{d}/events.parquet").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stream.deduplicated(events, "ts", "event_id").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return stream.run_once(counts.select(F.to_date("w.start").alias("date"), "event_type", "n"), _scratch(spark, "stream"))
+
+
+@query("date date, cell string, n long")
+def stream_cell_counts(spark, d):
+    """Incidents a day and cell by a streaming aggregation over the silver layer's files, a few at a time."""
+    source = _scratch(spark, "arrivals")
+    clean(spark, d).repartition(4, "cell").write.parquet(source)
+    arrivals = stream.incidents(spark, source, spark.read.parquet(source).schema, files_per_batch=2)
+    return stream.run_once(stream.daily_counts(arrivals, cfg=CFG), _scratch(spark, "stream"))
+
+
+@query("unique_key long, month date")
+def stream_upsert(spark, d):
+    """Re-delivered rows reach the silver table once, batch by batch."""
+    source, target = _scratch(spark, "arrivals"), _scratch(spark, "upserted")
+    rows = clean(spark, d).select("unique_key", F.trunc("incident_ts", "month").alias("month"))
+    rows.unionByName(rows.where("unique_key % 5 = 0")).repartition(4, F.rand(3)).write.parquet(source)
+    arrivals = stream.incidents(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    stream.run_each(arrivals, stream.upsert(target, by="month"), _scratch(spark, "stream"))
+    return spark.read.parquet(target)

@@ -62,6 +62,16 @@ def poi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged shapes as a map service has them: (tags, vertices), triangles around each customer's place, some twice."""
+    key, at = F.col("c_custkey"), F.element_at
+    tags = F.array(*[F.create_map(F.lit(k), F.lit(v)) for k, v in (("railway", "station"), ("amenity", "school"), ("leisure", "park"), ("amenity", "bar"), ("amenity", "nightclub"), ("shop", "bakery"))])
+    lat, lon = _coordinate("c_custkey", 613, 41.60, 0.00046), _coordinate("c_custkey", 287, -87.98, 0.0005)
+    corners = F.array(*[F.struct((lat + F.lit(a)).alias("lat"), (lon + F.lit(b)).alias("lon")) for a, b in ((0.25, 0.0), (-0.25, 0.5), (0.0, -0.5))])
+    one = table(spark, sf_dir, "customer").select(key, at(tags, (key % 6 + 1).cast("int")).alias("tags"), corners.alias("vertices"))
+    return one.unionByName(one.where("c_custkey % 4 = 0")).drop("c_custkey")
+
+
 def tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey")
     return table(spark, sf_dir, "part").select(

@@ -19,6 +19,18 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW + ", _corrupt string").option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
 
 
+def read_raw_days(spark: SparkSession, root: str) -> DataFrame:
+    """All landed days under ``root``/year/month/day: their CSV files by a glob, with one schema for all."""
+    return read_raw(spark, f"{root}/*/*/*/*.csv")
+
+
+def land_days(df: DataFrame, root: str, ts: str = "incident_ts") -> None:
+    """Land incidents as CSV by day: one folder a day, written again as a whole if the day comes again."""
+    day = {"year": F.year(ts), "month": F.lpad(F.month(ts).cast("string"), 2, "0"), "day": F.lpad(F.dayofmonth(ts).cast("string"), 2, "0")}
+    out = df.withColumns({f"part_{k}": v for k, v in day.items()})
+    out.repartition(*[f"part_{k}" for k in day]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss").partitionBy(*[f"part_{k}" for k in day]).csv(root)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -64,6 +76,22 @@ def write_geojson(features: DataFrame, path: str) -> None:
     features.write.mode("overwrite").text(path)
 
 
+def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
+    """Write a dimension, whole or as more rows; the number of rows that the call wrote."""
+    df.write.mode(mode).parquet(path)
+    return df.count()
+
+
+def days_written(df: DataFrame, date_col: str = "date") -> DataFrame:
+    """One row: distinct days and rows of what a run writes."""
+    return df.agg(F.count_distinct(date_col).alias("days"), F.count("*").alias("rows"))
+
+
+def complete_days(days: DataFrame, ledger: DataFrame, date_col: str = "date") -> DataFrame:
+    """The days that a ledger lists as loaded; others wait for their files."""
+    return days.join(F.broadcast(ledger.select(date_col).distinct()), date_col, "left_semi")
+
+
 def append_ledger(df: DataFrame, path: str, source: str, date_col: str = "date") -> None:
     """One row per day loaded: date, rows, source."""
     df.groupBy(date_col).agg(F.count("*").alias("rows")).withColumn("source", F.lit(source)).write.mode("append").parquet(path)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
 from hotgrid.functions import hexgrid
 from hotgrid.operators.silver import new_rows
-from hotgrid.sources.tables import write_days
 
 
-def incidents(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
+def incidents(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
     """Files are picked up once each, as they come; the checkpoint remembers which."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 def deduplicated(stream: DataFrame, ts: str = "incident_ts", key: str = "unique_key", late: str = "26 days") -> DataFrame:
@@ -27,27 +27,37 @@ def daily_counts(stream: DataFrame, ts: str = "incident_ts", late: str = "26 day
 
 
 def upsert(path: str, key: str = "unique_key", by: str = "day"):
-    """For ``foreachBatch``: add the rows whose key is not in the target's same days yet."""
+    """For ``foreachBatch``: add the rows whose key is not in the target's same days yet.
+
+    A key keeps its day (or month, as ``by`` says) when it is delivered again, so only the batch's days of the
+    target are read: days are few, and their filter prunes the target's partitions.
+    """
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
         try:
             target = spark.read.parquet(path)
-        except Exception as e:  # only an absent target passes all rows through
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:  # only an absent target passes all rows through
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-            target = None
-        fresh = new_rows(batch.dropDuplicates([key]), target, key)
-        if target is None:
-            write_days(fresh, path, by)
         else:
-            fresh.repartition(by).write.mode("append").partitionBy(by).parquet(path)
+            fresh = new_rows(fresh, target.join(F.broadcast(batch.select(by).distinct()), by, "left_semi"), key)
+        fresh.repartition(by).write.mode("append").partitionBy(by).parquet(path)
 
     return write
 
 
-def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete"):
-    """Process what is there and stop; the result is the memory table ``name``."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q
+def run_each(stream: DataFrame, write, checkpoint: str) -> None:
+    """Process what is there, batch by batch, and stop."""
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_once(counts: DataFrame, path: str) -> DataFrame:
+    """Process what is there and stop; the aggregate's last state as a table under ``path``."""
+
+    def keep(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.read.parquet(f"{path}/result")
