@@ -347,7 +347,7 @@ STATEMENTS: dict[str, str] = {
     "error_rows": "SELECT * FROM errors WHERE error IS NOT NULL",
     "plain_threshold": "SELECT threshold, plain AS f1, round(plain, 9) AS objective FROM thresholds ORDER BY round(plain, 9) DESC, threshold LIMIT 1",
     "fixed_risk_levels": "SELECT cell, date, CASE WHEN score < 0.3 THEN 'LOW' WHEN score < 0.6 THEN 'MEDIUM' WHEN score < 0.8 THEN 'HIGH' ELSE 'CRITICAL' END AS fixed_level FROM scored",
-    "prediction_table": f"SELECT prediction_date, cell AS h3_index, score AS hotspot_score, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec, CAST(score >= 0.5 AS INTEGER) AS pred_hotspot, dominant_type, rank AS risk_rank, rank_pct AS risk_rank_pct, confidence_score, confidence_level, score_std AS group_score_std, margin_to_cut AS score_margin_to_cutoff, 0.2 AS group_w_context FROM predictions",
+    "prediction_table": f"SELECT prediction_date, cell AS h3_index, round(score * 1e9) AS score_ppb, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec, CAST(score >= 0.5 AS INTEGER) AS pred_hotspot, dominant_type, rank AS risk_rank, rank_pct AS risk_rank_pct, confidence_score, confidence_level, score_std AS group_score_std, margin_to_cut AS score_margin_to_cutoff, 0.2 AS group_w_context FROM predictions",
     "incidents_geojson": """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(round(longitude, 6) AS VARCHAR) || ',' || CAST(round(latitude, 6) AS VARCHAR) || ']},"properties":{"unique_key":' || unique_key || ',"date":"' || CAST(date AS VARCHAR) || '","crime_category":"' || crime_category || '"}}' AS value FROM exported""",
     "extract_day": f"SELECT *, {_SECOND} AS incident_sec FROM incidents WHERE CAST(incident_ts AS DATE) = DATE '1998-03-15' ORDER BY unique_key",
     "run_windows": f"SELECT run_date, day(run_date) = 1 AS \"full\", CASE WHEN day(run_date) = 1 THEN DATE '{CFG.first_year}-01-01' ELSE run_date - 26 END AS start, run_date - 5 AS \"end\" FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS run_date FROM incidents)",

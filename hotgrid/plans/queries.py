@@ -433,9 +433,9 @@ def fixed_risk_levels(spark, d):
     return scored(spark, d).withColumn("fixed_level", fixed_risk(F.col("score")))
 
 
-@query("prediction_date date, h3_index string, hotspot_score double, risk_level string, model_version string, made_sec long, pred_hotspot int, dominant_type string, risk_rank int, risk_rank_pct double, confidence_score double, confidence_level string, group_score_std double, score_margin_to_cutoff double, group_w_context double")
+@query("prediction_date date, h3_index string, score_ppb long, risk_level string, model_version string, made_sec long, pred_hotspot int, dominant_type string, risk_rank int, risk_rank_pct double, confidence_score double, confidence_level string, group_score_std double, score_margin_to_cutoff double, group_w_context double")
 def prediction_table(spark, d):
-    return rank.prediction_table(scored(spark, d), 0.5, MADE, CFG).withColumn("made_sec", F.unix_timestamp("created_at"))
+    return rank.prediction_table(scored(spark, d), 0.5, MADE, CFG).withColumns({"made_sec": F.unix_timestamp("created_at"), "score_ppb": F.round(F.col("hotspot_score") * 1e9)})
 
 
 @query("value string")
