@@ -116,7 +116,7 @@ def importances(spark: SparkSession, models: dict[str, PipelineModel], features:
     whole, kin = Window.partitionBy("bucket"), Window.partitionBy("bucket", "family")
     part = lambda x: F.when(F.sum("gain").over(whole) > 0, x / F.sum("gain").over(whole)).otherwise(0.0)
     df = df.withColumns({"share": part(F.col("gain")), "family_share": part(F.sum("gain").over(kin)), "rank": F.row_number().over(whole.orderBy(F.desc("gain"), "feature"))})
-    df = df.withColumns({"in_top": F.col("rank") <= top, "dominates": F.col("family_share") > 0.6})
+    df = df.withColumns({"in_top": (F.col("rank") <= top) & (F.col("gain") > 0), "dominates": F.col("family_share") > 0.6})
     return df.withColumn("n_top_models", F.sum(F.col("in_top").cast("int")).over(Window.partitionBy("feature")))
 
 
