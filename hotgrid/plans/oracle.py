@@ -95,7 +95,7 @@ PARTS: dict[str, str] = {
       count(*) OVER (PARTITION BY cell ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING) AS crime_density_30d,
       coalesce(avg(CAST(arrest AS INTEGER)) OVER (PARTITION BY cell ORDER BY s RANGE BETWEEN 2592000 PRECEDING AND 1 PRECEDING), 0.0) AS arrest_rate
       FROM (SELECT *, {_SECOND} AS s FROM clean)""",
-    "st": f"SELECT 'ST' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS station_id, {num(41.66)} + n_nationkey * {num(0.07)} AS st_lat, {num(-87.90)} + n_nationkey * {num(0.08)} AS st_lon, n_nationkey AS st_no FROM nation WHERE n_nationkey < 5",
+    "st": f"SELECT 'ST' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS station_id, {num(41.66)} + n_nationkey * {num(0.07)} AS st_lat, {num(-87.90)} + n_nationkey * {num(0.08)} AS st_lon, n_nationkey AS st_no FROM nation",
     "nearest": f"SELECT cell, station_id, d AS km FROM (SELECT cell, station_id, {km('lat', 'lon', 'st_lat', 'st_lon')} AS d FROM cells, st) QUALIFY row_number() OVER (PARTITION BY cell ORDER BY d, station_id) = 1",
     "weather_long": f"""SELECT date, station_id, datatype, (({_DAYNUM} * 37 + st_no * 11 + ti * 101) % 1000) / 10.0 AS value
       FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), st, (SELECT * FROM (VALUES (0,'TMAX'),(1,'TMIN'),(2,'PRCP'),(3,'AWND'),(4,'SNWD')) AS k(ti, datatype)) WHERE {_DAYNUM} % 17 <> 0""",

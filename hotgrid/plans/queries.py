@@ -158,6 +158,7 @@ def weather_pivot(spark, d):
 
 @query("community_area int, community_area_name string, per_capita_income double, unemployment_rate double, hardship_index int, population_density double")
 def socio_dim(spark, d):
+    """Areas' sums over all tracts that the crosswalk knows; it lacks every eleventh one, as real ones lack some."""
     return gold.socio_dim(V.tracts(spark, d), V.crosswalk(spark, d), V.area_names(spark, d))
 
 
