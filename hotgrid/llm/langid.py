@@ -9,6 +9,7 @@ language each. The table of trigram counts has a fixed size whatever the corpus.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import unicodedata
 import zlib
@@ -37,7 +38,7 @@ USES = 0.01
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _ASCII_WORD = re.compile(r"[A-Za-z]+")
 #: Entries that a task's memo of words may hold before it is emptied.
-MEMO = 400_000
+MEMO = 700_000
 
 
 @functools.lru_cache(4096)
@@ -76,10 +77,19 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def lowered(text: str) -> str:
+    """The text in lower case if that keeps every character's place, else as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else text  # a lower-case form is never shorter
+
+
 def words_of(text: str | None) -> list[str]:
+    """The lower-case words of a text."""
     if not text:
         return []
-    return _ASCII_WORD.findall(text) if text.isascii() else _WORD.findall(text)
+    low = lowered(text)
+    found = _ASCII_WORD.findall(low) if low.isascii() else _WORD.findall(low)
+    return [w.lower() for w in found] if low is text else found
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, langs: int = LANGS) -> Model:
@@ -102,7 +112,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 into = found.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for w, n in Counter(map(str.lower, words_of(text))).items():
+                for w, n in Counter(words_of(text)).items():
                     np.add.at(into, list(grams(w)), n)
                     letters[lang, script_of(w[0])] += n * len(w)
         rows = [(lang, str(i), int(c[i])) for lang, c in found.items() for i in np.flatnonzero(c)] + [(k, "script " + s, n) for (k, s), n in letters.items()]
@@ -144,7 +154,7 @@ class Labeller:
         new = list(set(words).difference(at))
         while len(at) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[len(at) : len(at) + len(new)] = self.model.scores([w.lower() for w in new])
+        self.rows[len(at) : len(at) + len(new)] = self.model.scores(new)
         at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
         return self.rows[[at[w] for w in words]]
 
@@ -183,17 +193,20 @@ class Labeller:
             return "und", 0.0, []
         s = self._scores(words)
         path = self.path(s)
-        letters = np.bincount(path, weights=[len(w) for w in words], minlength=len(self.model.langs))
-        best = int(letters.argmax())
-        total = s.sum(axis=0, dtype=np.float64)
-        rival = np.delete(total, best)
-        margin = float(total[best] - rival.max()) if rival.size else 50.0
-        score = float(letters[best] / letters.sum()) / (1 + float(np.exp(-np.clip(margin, -50, 50))))
+        best, share = int(path[0]), 1.0
+        if (path != best).any():
+            letters = np.bincount(path, weights=np.fromiter(map(len, words), np.float64, len(words)), minlength=len(self.model.langs))
+            best = int(letters.argmax())
+            share = float(letters[best] / letters.sum())
+        total = s.sum(axis=0, dtype=np.float64).tolist()
+        margin = min((total[best] - x for k, x in enumerate(total) if k != best), default=50.0)
+        score = share / (1 + math.exp(-max(-50.0, min(50.0, margin))))
         return self.model.langs[best], min(1.0, max(0.0, score)), self._spans(text, path) if spans else []
 
     def _spans(self, text: str, path: np.ndarray) -> list[dict]:
         """Stretches of words of one language: a change of language in the path ends one."""
-        found = _ASCII_WORD.finditer(text) if text.isascii() else _WORD.finditer(text)
+        low = lowered(text)
+        found = _ASCII_WORD.finditer(low) if low.isascii() else _WORD.finditer(low)
         ends = set((np.flatnonzero(np.diff(path)) + 1).tolist())
         out: list[dict] = []
         if not ends:  # one language: only the first and the last letter's places are needed
