@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,27 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hotgrid.sources.layers import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (a local test session) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="hotgrid-")
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -52,33 +37,36 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Tasks that the rows of one group are dealt to, where rows are told what their group adds up to.
-SALTS = 64
+#: Groups that may be called hot, and the rows that a hot group has at least: the hot ones are broadcast.
+HOT_GROUPS, HOT_ROWS = 50_000, 300
 
 
-def with_groups(rows: DataFrame, keys: list[str], by: str, partial: dict[str, Column], final: dict[str, Column], where: str = "true", how: str = "inner") -> DataFrame:
-    """``rows`` with aggregates of their group, however many of them one group has.
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``groups``, one row a key, which tells in ``_rows`` how many rows have it.
 
-    A group is cut into SALTS parts by a hash of column ``by``. ``partial`` aggregates a part, ``final``
-    the parts of a group (its columns are those of ``partial``); groups that fail ``where`` are left
-    out before they are told to the rows (with ``how`` left their rows get nulls). No task gets
-    more than a part's rows or a group's parts.
+    Groups with over a 50,000th of all rows, of which there can be 50,000, are broadcast to their rows, which
+    stay where they are. Only the others are dealt by key, so no task gets a hot group. ``total`` is the number
+    of rows, or more, where counting them is dear.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy(*keys, "_salt").agg(*[c.alias(n) for n, c in partial.items()])
-    whole = parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()]).where(where)
-    told = parts.select(*keys, "_salt").join(whole, keys)
-    return salted.join(told, [*keys, "_salt"], how).drop("_salt")
+    limit = max(HOT_ROWS, (rows.count() if total is None else total) // HOT_GROUPS)
+    hot, rest = groups.where(F.col("_rows") > limit).drop("_rows"), groups.where(F.col("_rows") <= limit).drop("_rows")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-def with_lookup(rows: DataFrame, key: str, by: str, lookup: DataFrame) -> DataFrame:
-    """``rows`` left-joined with ``lookup`` (one row a key), where a third of the rows may have one key.
+def with_groups(rows: DataFrame, keys: list[str], what: dict[str, Column], where: str = "true", how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` with aggregates of their group, however many of them one group has.
 
-    Rows are dealt by key and a hash of column ``by``; the lookup goes to the parts that a key has.
+    Groups that fail ``where`` are left out, with their rows or (``how`` left) with nulls for these.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    parts = salted.select(key, "_salt").distinct().join(lookup, key)
-    return salted.join(parts, [key, "_salt"], "left").drop("_salt")
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), *[c.alias(n) for n, c in what.items()]).where(where)
+    return join_hot(rows, written(groups, "grouped"), keys, how, total)
+
+
+def with_lookup(rows: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``lookup`` (one row a key), where a third of the rows may have one key."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("_rows")).join(lookup, key)
+    return join_hot(rows, written(counted, "counted"), [key], "left")
 
 
 def map_texts(

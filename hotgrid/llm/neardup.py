@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.common import discard, only, with_groups, with_lookup, written
+from hotgrid.llm.common import discard, join_hot, only, with_groups, with_lookup, written
 
 SHINGLE, SIMILAR = 5, 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 is missed with probability 7e-5.
@@ -34,10 +34,8 @@ REGISTERS = BANDS * ROWS
 SALT_ROWS = 200
 #: Buckets of up to so many texts are compared pair by pair, larger ones in blocks.
 SMALL = 4
-#: Parts that the members of one group in one bucket are dealt to.
-SPREAD = 8
-#: Shingles of the texts in a block, about.
-BLOCK_SHINGLES = 300_000
+#: Shingles of the texts in a block, and in a block of visitors, about.
+BLOCK_SHINGLES, VISIT_SHINGLES = 60_000, 300_000
 _WORD = re.compile(r"[^\W_]+")
 MEMO = 400_000
 _U = np.uint64
@@ -208,7 +206,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFr
     need, so that no task holds more than some of them, and one text at a time.
     """
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    counted = with_groups(pairs, ["a"], "b", {"m": F.count("*")}, {"salts": F.ceil(F.sum("m") / SALT_ROWS).cast("int")})
+    counted = with_groups(pairs, ["a"], {"salts": F.ceil(F.count("*") / SALT_ROWS).cast("int")})
     asked = counted.select("a", F.col("b").alias("id"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     asked = asked.unionByName(hubs.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
     rows = asked.join(texts, "id").withColumn("role", (F.col("id") != F.col("a")).cast("int"))
@@ -305,7 +303,7 @@ def crowded(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     visitors. So a bucket costs (texts x blocks of visitors) + (visitors x blocks) rows: where
     nearly all belong together already, about one row a text.
     """
-    own, visit = (F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int") for c in ("total", "rest"))
+    own, visit = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int"), F.ceil(F.col("rest") / VISIT_SHINGLES).cast("int")
     rows = members.withColumns({"blocks": own, "visits": F.greatest(visit, F.lit(1)), "salt": F.xxhash64("id")})
     here = rows.select("band", "key", F.pmod("salt", "blocks").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("visits").cast("long") - 1)).alias("y"), "id", "group", F.lit(0).alias("side"))
     there = rows.where("group <> top").select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("x"), F.pmod("salt", "visits").alias("y"), "id", "group", F.lit(1).alias("side"))
@@ -333,26 +331,27 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
     with it and is in another group so far. So a group of n near copies around an original
     costs about n comparisons, and no candidate pair of different groups is left out. The last
     step makes pairs only in buckets of a few texts; larger ones are compared in blocks. Copies and
-    buckets are told their least id and their centre in salted parts, so that no task gets a hot group.
+    buckets are told their least id and their centre so that no task gets a hot group.
     """
     sketches = written(sketch(docs, id_col, text_col), "sketches")
+    n_rows = sketches.count()
     alone = (F.col("mark1") == 0) & (F.col("mark2") == 0) & (F.col("n") == 0)
     marks = sketches.where(~alone).select("id", "mark1", "mark2")
-    told = with_groups(marks, ["mark1", "mark2"], "id", {"rep": F.min("id"), "rows": F.count("*")}, {"rep": F.min("rep"), "rows": F.sum("rows")}, "rows > 1", "left")
+    told = with_groups(marks, ["mark1", "mark2"], {"rep": F.min("id")}, "_rows > 1", "left", n_rows)
     classes = told.select("id", F.coalesce("rep", "id").alias("rep")).unionByName(sketches.where(alone).select("id", F.col("id").alias("rep")))
     classes = written(classes, "classes")
 
     copies = classes.where("id <> rep").select("id").distinct()
     banded = sketches.where((F.size("bands") > 0) & F.col("id").isNotNull()).join(copies, "id", "left_anti").dropDuplicates(["id"])
     entries = banded.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = {"size": F.count("*")}, {"size": F.sum("size")}, "size > 1"
-    found = entries = written(with_groups(entries, ["band", "key"], "id", *sizes), "entries")
+    found = entries = written(with_groups(entries, ["band", "key"], {"size": F.count("*")}, "size > 1", total=n_rows * BANDS), "entries")
     # the more a text shares bands with others, the more central it is in its group
     central = found.groupBy("id").agg(F.sum("size").alias("degree"))
     found = found.join(central, "id").drop("size")
-    hub = {"hub": F.max(F.struct("degree", (-F.col("id")).alias("minus")))}, {"hub": F.max("hub")}
-    members = written(with_groups(found, ["band", "key"], "id", *hub), "members")
-    discard(sketches, entries)
+    found = degrees = written(found, "degrees")
+    hub = F.max(F.struct("degree", (-F.col("id")).alias("minus")))
+    members = written(with_groups(found, ["band", "key"], {"hub": hub}), "members")
+    discard(sketches, entries, degrees)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = written(only(texts, members.select("id"), "id"), "texts")
@@ -364,21 +363,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
     known = grouped(members, groups)
     all_hubs = known.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a"), F.col("group").alias("group_b")).where("a <> b").distinct()
     of_hub = groups.select(F.col("id").alias("a"), F.col("group").alias("group_a"))
-    again = with_lookup(all_hubs, "a", "b", of_hub).where(F.coalesce("group_a", "a") != F.col("group_b")).select("a", "b")
+    again = with_lookup(written(all_hubs, "hubs"), "a", of_hub).where(F.coalesce("group_a", "a") != F.col("group_b")).select("a", "b")
     again = again.join(best.select(F.col("id").alias("b"), (-F.col("hub.minus")).alias("a")), ["a", "b"], "left_anti")
     again = written(again, "again")
     second = written(verify(again, texts, least).select("a", "b"), "links2")
     links = first.unionByName(second)
     groups = components(links)
 
-    known = grouped(members, groups).select("band", "key", "id", "n", "group")
+    known = written(grouped(members, groups).select("band", "key", "id", "n", "group"), "known")
     # of each bucket with two groups or more: its texts, shingles, largest group and the shingles of the rest
     sized = known.groupBy("band", "key", "group").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     largest = F.max_by(F.struct("group", "total"), F.struct("total", "group"))
     mixed = sized.groupBy("band", "key").agg(F.count("*").alias("groups"), F.sum("m").alias("m"), F.sum("total").alias("total"), largest.alias("top")).where("groups > 1")
-    mixed = mixed.select("band", "key", "m", "total", F.col("top.group").alias("top"), (F.col("total") - F.col("top.total")).alias("rest"))
-    hot = sized.select("band", "key", "group").join(mixed, ["band", "key"])
-    left = written(known.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int")).join(hot.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SPREAD))))), ["band", "key", "group", "_salt"]).drop("_salt"), "left")
+    mixed = mixed.select("band", "key", "m", F.col("m").alias("_rows"), "total", F.col("top.group").alias("top"), (F.col("total") - F.col("top.total")).alias("rest"))
+    left = written(join_hot(known, written(mixed, "mixed"), ["band", "key"]), "left")
     few = left.where(F.col("m") <= SMALL)
     other = few.select("band", "key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("group").alias("group_b"))
     near = F.least("n", "n_b") >= least * F.greatest("n", "n_b")
@@ -388,6 +386,6 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, id_col: str = "doc_
     more = written(more, "more")
     groups = components(links.unionByName(more))
 
-    discard(texts, members, left, pairs, more, first, again, second)
-    out = with_lookup(classes, "rep", "id", groups.select(F.col("id").alias("rep"), "group"))
+    discard(texts, members, known, left, pairs, more, first, again, second)
+    out = with_lookup(classes, "rep", groups.select(F.col("id").alias("rep"), "group"))
     return out.select(F.col("id").alias("doc_id"), F.col("rep").alias("class_id"), F.coalesce("group", "rep").alias("group_id"))

@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from hotgrid.llm import neardup, packing, warc, wrappers
+from hotgrid.llm import common, neardup, packing, warc, wrappers
 
 PAGES = "page_id long, url string, html string, text string, host string"
 
@@ -203,6 +203,8 @@ def test_groups_against_brute_force(documents):
 
 def test_repeated_rows_and_blocks(documents, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+    monkeypatch.setattr(neardup, "VISIT_SHINGLES", 700)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     texts = _corpus(2)
     docs = documents(texts)
     want = _groups(texts)
