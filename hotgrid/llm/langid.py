@@ -38,7 +38,7 @@ USES = 0.01
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 _ASCII_WORD = re.compile(r"[A-Za-z]+")
 #: Entries that a task's memo of words may hold before it is emptied.
-MEMO = 700_000
+MEMO = 400_000
 
 
 @functools.lru_cache(4096)
