@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple[str, ...], str] = {}
@@ -31,10 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def layer(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The layer ``name`` of the tables at ``source``: made by the first who asks in this application."""
+    """The layer ``name`` of the tables at ``source``: made by the first who asks in this application.
+
+    It is made again if its folder is gone.
+    """
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _written:
-        path = f"{shared_dir(spark)}/hotgrid-{name}-{uuid.uuid4().hex[:12]}"
-        make().write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+    if key in _written:
+        try:
+            return spark.read.parquet(_written[key])
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    path = f"{shared_dir(spark)}/hotgrid-{name}-{uuid.uuid4().hex[:12]}"
+    make().write.parquet(path)
+    _written[key] = path
+    return spark.read.parquet(path)

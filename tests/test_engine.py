@@ -13,7 +13,7 @@ from hotgrid.config import Config, IncrementalWindow
 from hotgrid.functions import exprs, hexgrid, rules
 from hotgrid.operators import evaluate, features, gold, learn, panel, rank, silver
 from hotgrid.plans import oracle, queries, shapes
-from hotgrid.sources import tables
+from hotgrid.sources import layers, tables
 
 CFG = Config(first_year=1995)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -260,6 +260,17 @@ def test_metrics_over_ranges(spark):
     assert m.ap == pytest.approx(sum(sum(y for t, y in rows if t >= s) / sum(t >= s for t, _ in rows) for s in pos) / len(pos))
 
 
+def test_layers_are_made_once_and_again_if_gone(spark):
+    import shutil
+
+    made = []
+    make = lambda: (made.append(1), spark.range(3))[1]
+    for _ in range(2):
+        assert layers.layer(spark, "here", "three", make).count() == 3 and len(made) == 1
+    shutil.rmtree(layers._written[spark.sparkContext.applicationId, "here", "three"].removeprefix("file:"))
+    assert layers.layer(spark, "here", "three", make).count() == 3 and len(made) == 2
+
+
 def test_entry_has_rows(spark):
     import __spark_entry__ as e
 
