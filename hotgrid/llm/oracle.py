@@ -58,3 +58,50 @@ FROM (SELECT m.*, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FRO
 
 
 ORACLE_SQL["op3_quality_rules"] = _quality_sql()
+
+
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+#: Levels of a source's tree, and of the tree of sources, that the SQL unrolls: 16^5 rows a source, 16^3 sources.
+_LEVELS, _TOPS = 5, 3
+
+
+def _manifest_sql() -> str:
+    """Each level is a table: a node, its place, how many its tree has there, and its siblings left and right of it."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = [f"""WITH d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(low)} END AS other FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM d),
+s0 AS (SELECT source AS tree, at, leaf AS digest FROM n)"""]
+
+    def levels(name: str, n: int) -> None:
+        for k in range(n):
+            sql.append(f"""{name}r{k} AS (SELECT tree, at // 16 AS up, list(digest ORDER BY at) AS run, sum(count(*)) OVER (PARTITION BY tree) AS size FROM {name}{k} GROUP BY tree, at // 16),
+{name}{k + 1} AS (SELECT tree, up AS at, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM {name}r{k})""")
+
+    levels("s", _LEVELS)
+    sql.append(f"t0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS at, digest, tree AS source FROM s{_LEVELS})")
+    levels("t", _TOPS)
+    sql.append("p0 AS (SELECT n.*, at AS place, '' AS proof, coalesce(other, leaf) AS acc FROM n)")
+
+    def walk(name: str, n: int, k: int, key: str) -> int:
+        for i in range(n):
+            left, right = "array_to_string(run[1 : p.place % 16], '')", "array_to_string(run[p.place % 16 + 2 :], '')"
+            sql.append(f"""p{k + 1} AS (SELECT p.* EXCLUDE (place, proof, acc), p.place // 16 AS place, CASE WHEN size > 1 THEN proof || {left} || {right} ELSE proof END AS proof,
+CASE WHEN size > 1 THEN sha256({left} || acc || {right}) ELSE acc END AS acc FROM p{k} p JOIN {name}r{i} r ON r.tree IS NOT DISTINCT FROM {key} AND r.up = p.place // 16)""")
+            k += 1
+        return k
+
+    k = walk("s", _LEVELS, 0, "p.source")
+    sql.append(f"p{k + 1} AS (SELECT p.* EXCLUDE (place), t.digest AS subroot, t.at AS place FROM p{k} p JOIN t0 t ON t.source IS NOT DISTINCT FROM p.source)")
+    k = walk("t", _TOPS, k + 1, "0")
+    return ",\n".join(sql) + f"""
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.digest AS verified FROM p{k} CROSS JOIN t{_TOPS} t"""
+
+
+ORACLE_SQL["op12_merkle_manifest"] = _manifest_sql()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import decontam, langid, neardup, packing, quality, secrets_scan, tokens, toxicity, warc, wrappers
+from hotgrid.llm import conversations, decontam, graysim, langid, manifest, neardup, packing, quality, secrets_scan, tokens, toxicity, warc, wrappers
 from hotgrid.llm.common import table
 from hotgrid.llm.oracle import ORACLE_SQL
 
@@ -59,7 +59,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, spans=True).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graysim.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: The results of the others (models, tokens, wrappers, spans, bins) are not to be had in SQL: tests/llm
 #: holds them against brute force, round trips, the libraries or held-out labels.
 __all__ = ["ORACLE_SQL", "QUERIES"]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op5_packing, op6_decontamination, op7_token_counts, op8_warc, op9_toxicity, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op5_packing, op6_decontamination, op7_token_counts, op8_warc, op9_toxicity, op10_language_id, op11_conversation_repair, op12_merkle_manifest, op13_simhash_neardup)}
