@@ -76,18 +76,18 @@ def _manifest_sql() -> str:
     leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     sql = [f"""WITH d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(low)} END AS other FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM d),
-s0 AS (SELECT source AS tree, at, leaf AS digest FROM n)"""]
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+s0 AS (SELECT source AS tree, pos, leaf AS digest FROM n)"""]
 
     def levels(name: str, n: int) -> None:
         for k in range(n):
-            sql.append(f"""{name}r{k} AS (SELECT tree, at // 16 AS up, list(digest ORDER BY at) AS run, sum(count(*)) OVER (PARTITION BY tree) AS size FROM {name}{k} GROUP BY tree, at // 16),
-{name}{k + 1} AS (SELECT tree, up AS at, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM {name}r{k})""")
+            sql.append(f"""{name}r{k} AS (SELECT tree, pos // 16 AS up, list(digest ORDER BY pos) AS run, sum(count(*)) OVER (PARTITION BY tree) AS size FROM {name}{k} GROUP BY tree, pos // 16),
+{name}{k + 1} AS (SELECT tree, up AS pos, CASE WHEN size > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS digest FROM {name}r{k})""")
 
     levels("s", _LEVELS)
-    sql.append(f"t0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS at, digest, tree AS source FROM s{_LEVELS})")
+    sql.append(f"t0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS pos, digest, tree AS source FROM s{_LEVELS})")
     levels("t", _TOPS)
-    sql.append("p0 AS (SELECT n.*, at AS place, '' AS proof, coalesce(other, leaf) AS acc FROM n)")
+    sql.append("p0 AS (SELECT n.*, pos AS place, '' AS proof, coalesce(other, leaf) AS acc FROM n)")
 
     def walk(name: str, n: int, k: int, key: str) -> int:
         for i in range(n):
@@ -98,7 +98,7 @@ CASE WHEN size > 1 THEN sha256({left} || acc || {right}) ELSE acc END AS acc FRO
         return k
 
     k = walk("s", _LEVELS, 0, "p.source")
-    sql.append(f"p{k + 1} AS (SELECT p.* EXCLUDE (place), t.digest AS subroot, t.at AS place FROM p{k} p JOIN t0 t ON t.source IS NOT DISTINCT FROM p.source)")
+    sql.append(f"p{k + 1} AS (SELECT p.* EXCLUDE (place), t.digest AS subroot, t.pos AS place FROM p{k} p JOIN t0 t ON t.source IS NOT DISTINCT FROM p.source)")
     k = walk("t", _TOPS, k + 1, "0")
     return ",\n".join(sql) + f"""
 SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.digest AS verified FROM p{k} CROSS JOIN t{_TOPS} t"""
