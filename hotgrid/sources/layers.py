@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -24,19 +25,57 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path of Hadoop's and its file system, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of change) of all data files below ``path``, in order; none if it is not there."""
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    found, out = fs.listFiles(p, True), []
+    while found.hasNext():
+        f = found.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: what reads it does not repeat its lineage, nor after a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/hotgrid-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`written` made and that no frame still in use reads."""
+    delete(df.sparkSession, df._written_to)
 
 
 def layer(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The layer ``name`` of the tables at ``source``: made by the first who asks in this application.
 
-    It is made again if its folder is gone.
+    It is made again if its folder is gone, and if the files of the source are others than they were: added, removed, or of
+    another size or time.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    state = hashlib.sha256(repr(files(spark, source)).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, source, name, state)
     if key in _written:
         try:
             return spark.read.parquet(_written[key])
