@@ -135,7 +135,7 @@ PARTS: dict[str, str] = {
     "scored": "SELECT *, round(temporal * 0.4e0 + spatial * 0.4e0 + context * 0.2e0, 9) AS score FROM (SELECT t.*, " + ", ".join(f"((no * {a} + {_DAYNUM} * {b}) % 10007) / 10007.0e0 AS {n}" for n, (a, b) in (Q.SCORES | Q.TYPE_SCORES).items()) + " FROM targets t JOIN (SELECT cell, row_number() OVER (ORDER BY cell) AS no FROM cells WHERE cell IN (SELECT cell FROM panel)) USING (cell))",
     "tiers": "SELECT *, CASE WHEN rank_pct <= 0.05 THEN 'CRITICAL' WHEN rank_pct <= 0.15 THEN 'HIGH' WHEN rank_pct <= 0.30 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM (SELECT *, rank / CAST(count(*) OVER (PARTITION BY date) AS DOUBLE) AS rank_pct FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, cell) AS rank FROM scored))",
     "predictions": """SELECT *, CASE WHEN confidence_score <= 0.5 THEN 'LOW' WHEN confidence_score <= 0.75 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence_level FROM (SELECT *, date + 1 AS prediction_date, greatest(temporal, spatial, context) - least(temporal, spatial, context) AS score_range,
-      greatest(0, least(1, 0.45 * agreement + 0.35 * greatest(0, least(1, least(abs(rank_pct - 0.05), abs(rank_pct - 0.15), abs(rank_pct - 0.30)) / 0.05)) + 0.20 * abs(score - 0.5) * 2)) AS confidence_score,
+      greatest(0, least(1, 0.45 * agreement + 0.35 * greatest(0, least(1, least(abs(rank_pct - 0.05), abs(rank_pct - 0.15), abs(rank_pct - 0.30)) / 0.05)) + 0.20 * abs(0.5 - rank_pct) * 2)) AS confidence_score,
       least(abs(rank_pct - 0.05), abs(rank_pct - 0.15), abs(rank_pct - 0.30)) AS margin_to_cut,
       CASE WHEN score < 0.5 THEN 'UNKNOWN' WHEN violent_probability > property_probability + 0.05 THEN 'VIOLENT' WHEN property_probability > violent_probability + 0.05 THEN 'PROPERTY' ELSE 'MIXED' END AS dominant_type
       FROM (SELECT *, greatest(0, least(1, 1 - 2 * score_std)) AS agreement FROM (SELECT *, sqrt((pow(temporal - m, 2) + pow(spatial - m, 2) + pow(context - m, 2)) / 3) AS score_std FROM (SELECT *, (temporal + spatial + context) / 3 AS m FROM tiers))))""",
@@ -289,6 +289,41 @@ def _rule(rules: R.Rules, rest: str) -> str:
 
 
 _CANDIDATES = [n for n, t in (c.split() for c in S.FRAME_COLS.split(", ")) if t in ("int", "long", "double") and n not in R.GUARDED]
+
+#: Metrics of the validation and the test days, and the whole predictions table.
+_SHARES = {0.05: "top05", 0.15: "top15", 0.30: "top30"}
+_CONTEXT = ("hardship_index", "unemployment_rate", "population_density", "h3_train_percentile", "h3_train_active_rate", "roll_mean_7", "roll_mean_30", "zero_streak", "nbr_r1_mean", "nbr_r1_active_rate", "nbr_r1_active_count", "near_repeat_3d", "arrest_rate_7", "is_holiday")
+_STAMPS = ("auc", "ap", "f1", *[f"{n}_{c}" for n in _SHARES.values() for c in ("recall", "lift")])
+PARTS |= {
+    "held": "SELECT scored.*, split FROM scored JOIN splits USING (date) WHERE split IN ('val', 'test') AND next_hotspot IS NOT NULL",
+    "held_counts": """SELECT *, sum(n) OVER (PARTITION BY split ORDER BY score) - n AS below, sum(pos) OVER (PARTITION BY split ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY split ORDER BY score DESC) AS seen
+      FROM (SELECT split, score, sum(next_hotspot) AS pos, count(*) AS n FROM held GROUP BY ALL)""",
+    "held_sums": """SELECT split, CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) AS DOUBLE) AS n, sum(pos * (below + (n + 1) / 2.0)) AS ranks, sum(pos * tp / CAST(seen AS DOUBLE)) AS parts,
+      CAST(coalesce(sum(pos) FILTER (score >= 0.5), 0) AS DOUBLE) AS hit, CAST(coalesce(sum(n) FILTER (score >= 0.5), 0) AS DOUBLE) AS predicted FROM held_counts GROUP BY split""",
+    "held_days": """SELECT split, k, avg(tp / CAST(greatest(1, pos) AS DOUBLE)) AS recall, avg(CASE WHEN pos > 0 THEN (tp / CAST(taken AS DOUBLE)) / (pos / CAST(n AS DOUBLE)) ELSE 0.0 END) AS lift
+      FROM (SELECT split, k, date, sum(next_hotspot) AS tp, count(*) AS taken, max(pos) AS pos, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, cell) AS rk,
+      count(*) OVER (PARTITION BY date) AS n, sum(next_hotspot) OVER (PARTITION BY date) AS pos FROM held), (SELECT unnest([0.05e0, 0.15e0, 0.3e0]) AS k) WHERE rk <= greatest(1, ceil(round(k * n, 9))) GROUP BY ALL) GROUP BY ALL""",
+    "held_top": "SELECT split, " + ", ".join(f"max({c}) FILTER (k = {k!r}e0) AS {n}_{c}" for k, n in _SHARES.items() for c in ("recall", "lift")) + " FROM held_days GROUP BY split",
+    "by_split": f"""SELECT split, {ratio("hit", "predicted")} AS precision, {ratio("hit", "p")} AS recall, {ratio("2 * hit", "(predicted + p)")} AS f1, {ratio("(ranks - p * (p + 1) / 2)", "(p * (n - p))")} AS auc, {ratio("parts", "p")} AS ap, held_top.* EXCLUDE (split)
+      FROM held_sums JOIN held_top USING (split)""",
+    "stamped": "SELECT " + ", ".join(f"round(max({n}) FILTER (split = '{k}'), 4) AS {k}_{n}" for k in ("val", "test") for n in _STAMPS) + " FROM by_split",
+    "full_table": f"""SELECT p.prediction_date, p.cell AS h3_index, p.score AS crime_probability, p.score AS hotspot_score, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec,
+      CAST(p.score >= 0.5 AS INTEGER) AS pred_hotspot, violent_probability, property_probability, dominant_type, rank AS risk_rank, rank_pct AS risk_rank_pct, confidence_score, confidence_level,
+      temporal AS temporal_score, spatial AS spatial_score, context AS context_score, score_std AS group_score_std, score_range AS group_score_range, agreement AS model_agreement, margin_to_cut AS score_margin_to_cutoff,
+      greatest(0, least(1, margin_to_cut / 0.05)) AS rank_margin_confidence, abs(0.5 - rank_pct) * 2 AS rank_extremity, 0.4 AS group_w_temporal, 0.4 AS group_w_spatial, 0.2 AS group_w_context, stamped.*,
+      f.community_area, coalesce(n_name, 'Unknown') AS community_area_name, {", ".join(_CONTEXT)}
+      FROM predictions p JOIN frame f ON p.cell = f.cell AND p.date = f.date LEFT JOIN nation ON f.community_area = n_nationkey + 1, stamped""",
+}
+
+#: The features that have a value, and more than one, in the training rows.
+_KEPT = f"SELECT feature FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _CANDIDATES)} FROM supervised WHERE split = 'train' AND next_total IS NOT NULL) UNPIVOT (value FOR feature IN ({', '.join(_CANDIDATES)})) GROUP BY feature HAVING min(value) < max(value)"
+
+
+def _medians(names, where: str) -> str:
+    """(feature, median) of many columns."""
+    listed = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in names)
+    return f"SELECT feature, quantile_cont(value, 0.5) AS median FROM (SELECT {listed} FROM supervised WHERE {where}) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(names)})) GROUP BY feature"
+
 _PROFILED = {"crimes": 1, "violent": 1, "property": 1, "arrests": 1, "crime_today": 1, "temp_max": 1, "unemployment_rate": 1, "is_weekend": 1, "month": 1}
 _WEIGHT = "least(12.0, pow(CASE WHEN p > 0 THEN q / CAST(p AS DOUBLE) ELSE 1.0 END, 0.7)) * 1.25"
 
@@ -340,6 +375,11 @@ STATEMENTS: dict[str, str] = {
     "monitoring_days": "SELECT prediction_date, count(*) AS n, count(*) FILTER (risk_level = 'CRITICAL') AS critical FROM predictions GROUP BY prediction_date",
     "feature_selection": f"SELECT feature, count(value) AS n, min(value) AS lo, max(value) AS hi, coalesce(min(value) < max(value), FALSE) AS kept, {_rule(R.BLEND, R.BLEND_REST)} AS bucket, {_rule(R.ABLATION, R.ABLATION_REST)} AS ablation_group, {_rule(R.FAMILY, R.FAMILY_REST)} AS family FROM (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _CANDIDATES)} FROM supervised WHERE split = 'train' AND next_total IS NOT NULL) UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_CANDIDATES)})) GROUP BY feature",
     "sample_weights": "SELECT cell, date, CASE WHEN next_hotspot = 1 THEN greatest(1.0, least(1.75, (CASE WHEN local_sudden_activation_3d > 0 THEN 1.25e0 ELSE 1.0e0 END) * (CASE WHEN h3_train_percentile < 0.75 THEN 1.35e0 ELSE 1.0e0 END) * (CASE WHEN nbr_r1_spike_vs_roll7 > 1 THEN 1.15e0 ELSE 1.0e0 END))) ELSE 1.0 END AS weight FROM supervised WHERE split = 'train' AND next_hotspot IS NOT NULL",
+    "split_metrics": "SELECT * FROM by_split",
+    "full_predictions": "SELECT * FROM full_table",
+    "feature_medians": _medians(_CANDIDATES, "split = 'train'"),
+    "stored_run_medians": "SELECT feature, median FROM (" + _medians(_CANDIDATES, "split = 'train' AND next_total IS NOT NULL") + ") JOIN (SELECT feature AS kept_feature FROM (" + _KEPT + ")) ON feature = kept_feature",
+    "stored_run_splits": "SELECT split, min(date) AS first, max(date) AS last, count(DISTINCT date) AS days, count(*) AS n, " + ", ".join(f"avg(next_{c}) AS {c}_rate" for c in ("has_crime", "hotspot", "violent", "property")) + " FROM supervised WHERE next_total IS NOT NULL GROUP BY split",
     "sanitized_features": "SELECT cell, date, " + ", ".join(f"coalesce({c}, (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM supervised WHERE split = 'train'), 0.0) AS {c}" for c in ("roll_std_30", "temp_max_lag7", "ewm_90")) + " FROM supervised",
     "split_report": f"SELECT *, days >= {CFG.warm_up_days + sum(n for _, n in CFG.split_days)} AS enough, shared_days = 0 AS \"disjoint\" FROM (SELECT (SELECT count(DISTINCT date) FROM supervised) AS days, (SELECT count(*) - count(DISTINCT date) FROM splits) AS shared_days, " + ", ".join(f"avg(h3_train_percentile) FILTER (split = '{k}') AS prior_{k}" for k in ("train", "val", "test")) + " FROM supervised)",
     "type_rates": "SELECT split, count(*) AS n, count(*) FILTER (next_hotspot = 1) AS hotspots, avg(next_violent) FILTER (next_hotspot = 1) AS violent_rate, avg(next_property) FILTER (next_hotspot = 1) AS property_rate FROM targets JOIN splits USING (date) WHERE next_total IS NOT NULL GROUP BY split",

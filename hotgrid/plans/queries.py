@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hotgrid.config import Config, IncrementalWindow
 from hotgrid.functions import hexgrid
 from hotgrid.functions.exprs import fixed_risk, great_circle_km
-from hotgrid.operators import evaluate, features, gold, learn, panel, rank, silver
+from hotgrid.operators import boosting, evaluate, features, gold, learn, medians, panel, rank, run, silver
 from hotgrid.plans import shapes as S
 from hotgrid.sources import fixtures as V
 from hotgrid.sources import tables
@@ -386,6 +386,88 @@ def run_summary(spark, d):
     return size.crossJoin(F.broadcast(metrics)).withColumns({"features": F.lit(len(names)), "threshold": F.lit(cut)})
 
 
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in scores with splits and the context that the predictions table tells."""
+    told = "community_area hardship_index unemployment_rate population_density h3_train_percentile h3_train_active_rate roll_mean_7 roll_mean_30 zero_streak nbr_r1_mean nbr_r1_active_rate nbr_r1_active_count near_repeat_3d arrest_rate_7 is_holiday"
+    return scored(spark, d).join(frame(spark, d).select("cell", "date", *told.split()), ["cell", "date"]).join(F.broadcast(evaluate.splits(dense(spark, d), CFG)), "date")
+
+
+@query("split string, precision double, recall double, f1 double, auc double, ap double, top05_recall double, top05_lift double, top15_recall double, top15_lift double, top30_recall double, top30_lift double")
+def split_metrics(spark, d):
+    """Metrics of the validation and the test days."""
+    return run.split_metrics(_context(spark, d), "next_hotspot", 0.5)
+
+
+def _whole(ddl: str) -> str:
+    """A table's columns as a query tells them: times as seconds."""
+    return ddl.replace("\n", " ").replace("created_at timestamp", "made_sec long")
+
+
+@query(_whole(rank.FULL_PREDICTIONS))
+def full_predictions(spark, d):
+    """The whole predictions table of all days, written, with the last day's written again, and read back."""
+    rows, path = _context(spark, d), _scratch(spark, "predictions")
+    table = rank.full_predictions(rows, 0.5, MADE, run.stamps(run.split_metrics(rows, "next_hotspot", 0.5)), V.area_names(spark, d), CFG)
+    tables.write_predictions(table, path)
+    last = spark.read.parquet(path)
+    tables.write_predictions(last.join(F.broadcast(last.agg(F.max("prediction_date").alias("prediction_date"))), "prediction_date").select(last.columns), path, "append")
+    return spark.read.parquet(path).withColumn("made_sec", F.unix_timestamp("created_at"))
+
+
+#: What the registered run does: few rounds, as each costs some seconds at any size; ``boosting.Plan()`` has 2,200.
+RUN_PLAN = boosting.Plan(rounds=8, patience=4, stage=4, step=0.1, depth=4)
+
+
+def _stored(spark: SparkSession, d: str) -> str:
+    """The folder of a stored run, made once a session."""
+
+    def make():
+        path = _scratch(spark, "run")
+        run.train(supervised(spark, d), path, MADE, RUN_PLAN, CFG)
+        return spark.createDataFrame([(path,)], "path string")
+
+    return layer(spark, d, "stored_run", make).first()["path"]
+
+
+@query(_whole(rank.FULL_PREDICTIONS))
+def stored_run_predictions(spark, d):
+    """Tomorrow's predictions by a run that was stored before: its models, medians, threshold and metrics are read."""
+    return run.predict(spark, _stored(spark, d), run.latest(frame(spark, d)), V.area_names(spark, d), MADE, CFG).withColumn("made_sec", F.unix_timestamp("created_at"))
+
+
+@query("feature string, median double")
+def stored_run_medians(spark, d):
+    """The medians that a stored run fills its features with."""
+    return spark.read.parquet(f"{_stored(spark, d)}/features").select("feature", "median").distinct()
+
+
+@query("split string, first date, last date, days long, n long, has_crime_rate double, hotspot_rate double, violent_rate double, property_rate double")
+def stored_run_splits(spark, d):
+    return spark.read.parquet(f"{_stored(spark, d)}/splits")
+
+
+@query("val_auc double, val_ap double, val_f1 double, test_auc double, test_ap double, test_f1 double, val_top05_recall double, val_top05_lift double, test_top05_recall double, test_top05_lift double, train_hotspot_rate double, calib_hotspot_rate double, val_hotspot_rate double, test_hotspot_rate double, threshold double, n_predictions long, n_critical long, n_high long, n_medium long, n_low long, version string, target string, rows long, w_temporal double, w_spatial double, w_context double")
+def stored_run_summary(spark, d):
+    path = _stored(spark, d)
+    return run.summary(spark, path, run.predict(spark, path, run.latest(frame(spark, d)), V.area_names(spark, d), MADE, CFG))
+
+
+@query("model string, round int, ap double, best_so_far int, since_best int, is_best boolean")
+def boosting_curve(spark, d):
+    """Average precision on the calibration days after each round of the stored run's models, and the round that was kept."""
+    path, out = _stored(spark, d), None
+    for name in run.MODELS:
+        one = boosting.curve_table(spark, f"{path}/stages/{name}", RUN_PLAN).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("model string, feature string, gain double, splits long, share double")
+def stored_run_importance(spark, d):
+    """From the node tables of the stored models."""
+    return run.importances(spark, _stored(spark, d))
+
+
 @query("feature string, n long, lo double, hi double, kept boolean, bucket string, ablation_group string, family string")
 def feature_selection(spark, d):
     return learn.profile(supervised(spark, d))
@@ -396,6 +478,14 @@ def sample_weights(spark, d):
     return supervised(spark, d).where("split = 'train' and next_hotspot is not null").withColumn("weight", evaluate.sample_weight("next_hotspot"))
 
 
+@query("feature string, median double")
+def feature_medians(spark, d):
+    """Exact medians of all features over the training rows."""
+    df = supervised(spark, d)
+    found = medians.medians(df.where("split = 'train'"), learn.candidates(df))
+    return spark.createDataFrame(list(found.items()), "feature string, median double")
+
+
 @query(S.KEY + ", " + S.cols("double", "roll_std_30", "temp_max_lag7", "ewm_90"))
 def sanitized_features(spark, d):
     """Features as the models get them: what is not a number is the training rows' median."""

@@ -82,6 +82,14 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
     return df.count()
 
 
+def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The predictions table, by day: replaced as a whole, or (``append``) with the frame's days replaced and others kept."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"no mode {mode}")
+    how = "static" if mode == "overwrite" else "dynamic"
+    df.repartition("prediction_date").write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("prediction_date").parquet(path)
+
+
 def days_written(df: DataFrame, date_col: str = "date") -> DataFrame:
     """One row: distinct days and rows of what a run writes."""
     return df.agg(F.count_distinct(date_col).alias("days"), F.count("*").alias("rows"))
