@@ -46,16 +46,39 @@ def _flag(x: Column) -> Column:
     return F.coalesce(x.cast("int"), F.lit(0))
 
 
-def _ewm(span: int) -> Column:
-    """Exponentially weighted mean of the days before, in closed form over one cumulative sum.
+#: Days that the exponentially weighted means are summed over at once.
+EWM_DAYS = 256
 
-    y(t) = d^(t-1) * sum of x(i) k(i) d^-i for i < t, with k(0) = 1, k(i) = a. The index restarts
-    at the panel's first day, which keeps d^-i in range for a lookback of some hundred days.
+
+def ewm(df: DataFrame, spans: tuple[int, ...], key: str = "cell", at: str = "_t", value: str = "crimes", days: int = EWM_DAYS) -> DataFrame:
+    """``df`` with ``ewm_<span>``: the exponentially weighted mean of the values before a row, null for the first two rows.
+
+    ``at`` numbers a key's rows from 0 on without a gap. Rows are summed in stretches of ``days``, a key's stretches in different
+    tasks, so that powers of the decay stay in range for any length. A stretch's end is what it adds to the end of the
+    one before, and only these ends, one row a stretch, are gone through in order.
     """
-    a = 2.0 / (span + 1)
-    d, t = 1.0 - a, F.col("_t")
-    term = F.col("crimes") * F.when(t == 0, 1.0).otherwise(a) * F.pow(F.lit(d), -t)
-    return F.when(t >= 2, F.pow(F.lit(d), t - 1) * F.sum(term).over(own().rowsBetween(Window.unboundedPreceding, -1)))
+    n, place = F.lit(days), F.col(at) % days
+    decay = {s: 1.0 - 2.0 / (s + 1) for s in spans}
+    share = lambda s: F.col(value) * F.when(F.col(at) == 0, 1.0).otherwise(1.0 - decay[s])
+    df = df.withColumn("_stretch", F.floor(F.col(at) / days))
+    ends = df.groupBy(key, "_stretch").agg(*[F.sum(share(s) * F.pow(F.lit(decay[s]), n - 1 - place)).alias(f"_{s}") for s in spans])
+    before = Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda s: F.aggregate(F.collect_list(f"_{s}").over(before), F.lit(0.0), lambda acc, x: acc * decay[s] ** days + x).alias(f"_{s}")
+    start = ends.select(key, "_stretch", *[carried(s) for s in spans])
+    here = Window.partitionBy(key, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+
+    def mean(s: int) -> Column:
+        power = lambda k: F.pow(F.lit(decay[s]), k)
+        own = F.coalesce(F.sum(share(s) * power(-place)).over(here), F.lit(0.0))
+        return F.when(F.col(at) >= 2, power(place) * F.col(f"_{s}") + power(place - 1) * own)
+
+    return df.join(start, [key, "_stretch"]).withColumns({f"ewm_{s}": mean(s) for s in spans}).drop("_stretch", *[f"_{s}" for s in spans])
+
+
+def own_ewm(panel: DataFrame) -> DataFrame:
+    """The panel, whose days have no gap, with its exponentially weighted means."""
+    first = panel.groupBy("cell").agg(F.min("date").alias("_first"))  # a row a cell
+    return ewm(panel.join(first, "cell").withColumn("_t", F.datediff("date", "_first")), SPANS).drop("_t", "_first")
 
 
 def _windows() -> dict[str, Column]:
@@ -65,7 +88,6 @@ def _windows() -> dict[str, Column]:
     out = {f"lag_{k}": lag("crimes", k) for k in LAGS} | {f"{t}_lag_{k}": lag(t, k) for t in TYPES for k in (1, 2, 3, 7, 14)}
     out |= {f"roll_{how}_{w}": rolled("crimes", w, how) for w in ROLLS for how in ("mean", "sum", "std", "max")}
     out |= {f"active_rate_{w}": rolled("crime_today", w, "mean") for w in (7, 14, 30, 60)}
-    out |= {f"ewm_{s}": _ewm(s) for s in SPANS}
     out |= {f"{t}_roll_sum_{w}": rolled(t, w, "sum") for w in (7, 14, 30) for t in TYPES}
     for v in WEATHER:
         out |= {f"{v}_lag1": lag(v), f"{v}_lag7": lag(v, 7), f"{v}_roll7": rolled(v, 7, "mean"), f"{v}_diff1": F.col(v) - lag(v)}
@@ -119,7 +141,12 @@ def _second_derived() -> dict[str, Column]:
 
 
 def own_features(panel: DataFrame) -> DataFrame:
-    """The panel with all features of a cell's own history; take the columns that are needed."""
+    """The panel with all features of a cell's own history."""
+    return own_ewm(own_windows(panel))
+
+
+def own_windows(panel: DataFrame) -> DataFrame:
+    """The panel with the features that need its rows alone, in one order; take the columns that are needed."""
     df = panel.withColumn("_t", F.row_number().over(own()) - 1)
     return df.withColumns(_windows()).withColumns(_derived()).withColumns(_second_derived()).drop("_t")
 

@@ -193,7 +193,7 @@ def _feature(name: str, f: Callable[[DataFrame], DataFrame], ddl: str) -> None:
 
 _OWN = {"own_lags": S.LAG, "own_rolling": S.ROLL, "own_ewm": S.EWM, "zero_streak": S.STREAK, "own_daily": S.DAILY, "burst_features": S.BURST, "trend_momentum": S.TREND, "type_composition": S.MIX, "weather_lags": S.WEATHER, "near_repeat": S.REPEAT, "arrest_deterrence": S.DETER, "same_weekday": S.WEEKDAY}
 for _name, _cols in _OWN.items():
-    _feature(_name, features.own_features, S.KEY + ", " + _cols)
+    _feature(_name, features.own_ewm if _name == "own_ewm" else features.own_windows, S.KEY + ", " + _cols)
 _feature("community_features", features.community, S.COMM_COLS)
 _feature("city_features", features.city, S.CITY_COLS)
 _feature("neighbour_features", lambda p: features.neighbours(p, hexgrid.edges(p)), S.KEY + ", " + S.NBR)
