@@ -395,6 +395,9 @@ STATEMENTS: dict[str, str] = {
     "landed_incidents": f"SELECT *, {_SECOND} AS parsed_sec FROM incidents WHERE incident_ts >= TIMESTAMP '1998-03-01' AND incident_ts < TIMESTAMP '1998-05-01' AND day(incident_ts) % 7 <> 0",
     "bronze_window": "SELECT unique_key, CAST(incident_ts AS DATE) AS day FROM incidents WHERE CAST(incident_ts AS DATE) BETWEEN DATE '1998-04-20' - 26 AND DATE '1998-04-20' - 5",
     "gold_write": "SELECT count(DISTINCT date) AS days, count(*) AS \"rows\" FROM gold WHERE date >= DATE '2000-11-04'",
+    "incremental_gold": "SELECT * FROM gold",
+    "refreshed_months": """SELECT DISTINCT CAST(unnest(generate_series(date_trunc('month', day), date_trunc('month', day + 30), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS day FROM clean
+      WHERE (strftime(incident_ts, '%Y-%m') = '1998-03' AND unique_key % 5 = 0) OR (strftime(incident_ts, '%Y-%m') = '1999-07' AND unique_key % 7 = 0) OR (strftime(incident_ts, '%Y-%m') = '1997-01' AND unique_key % 3 = 0))""",
     "unloaded_days": "SELECT date, count(*) AS n FROM (SELECT CAST(incident_ts AS DATE) AS date FROM incidents) WHERE day(date) % 3 <> 0 GROUP BY date",
     "early_stop": "SELECT count(*) = 0 AS nothing_new FROM (SELECT unique_key FROM incidents WHERE unique_key % 3 = 0) WHERE unique_key NOT IN (SELECT unique_key FROM incidents)",
     "weather_landing": "SELECT date, datatype, value, station_id AS station FROM weather_long",

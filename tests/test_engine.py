@@ -33,7 +33,7 @@ def _rows(df: pd.DataFrame) -> list:
             return "None"
         return repr(round(float(v), 6) + 0.0) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
 
-    days = {"date", "prediction_date", "day", "month", "run_date", "start", "end", "chunk_start", "chunk_end", "parsed", "first", "last"}
+    days = {"date", "prediction_date", "day", "month", "run_date", "start", "end", "chunk_start", "chunk_end", "parsed", "first", "last", "month_start"}
     return sorted(tuple(plain(v)[:10] if c in days else plain(v) for c, v in zip(df.columns, r, strict=True)) for r in df.itertuples(index=False, name=None))
 
 
