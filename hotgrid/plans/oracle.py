@@ -406,6 +406,12 @@ STATEMENTS: dict[str, str] = {
     "station_file_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed FROM orders",
     "gold_quality": "SELECT *, null_cells / CAST(n_before AS DOUBLE) AS null_share, zero_weather / CAST(n_gold AS DOUBLE) AS zero_weather_share, n_gold > 0 AND null_cells <= 0.05 * n_before AS passed FROM (SELECT (SELECT count(*) FROM clean) AS n_before, (SELECT count(*) FILTER (cell IS NULL) FROM clean) AS null_cells, count(*) AS n_gold, count(*) FILTER (temp_max = 0) AS zero_weather FROM gold)",
     "stream_cell_counts": "SELECT CAST(incident_ts AS DATE) AS date, cell, count(*) AS n FROM clean GROUP BY ALL",
+    # a batch drops the days that the watermark before the last batch has passed; at the end all days are out that the last watermark has passed
+    "stream_final_counts": """WITH placed AS (SELECT *, CASE WHEN on_time = 1 AND unique_key % 10 = 0 THEN 3 WHEN on_time = 1 AND unique_key % 10 = 1 AND incident_ts >= TIMESTAMP '1996-06-10' THEN 2 ELSE on_time END AS part
+      FROM (SELECT *, CASE WHEN incident_ts < TIMESTAMP '1996-07-01' THEN 1 WHEN incident_ts < TIMESTAMP '1999-01-01' THEN 2 ELSE 3 END AS on_time FROM clean)),
+    marks AS (SELECT (SELECT max(incident_ts) FROM placed WHERE part < 2) - INTERVAL 30 DAY AS w2, (SELECT max(incident_ts) FROM placed) - INTERVAL 30 DAY AS w_end)
+    SELECT CAST(incident_ts AS DATE) AS date, cell, count(*) AS n FROM placed, marks
+      WHERE NOT (part = 3 AND date_trunc('day', incident_ts) + INTERVAL 1 DAY <= w2) AND date_trunc('day', incident_ts) + INTERVAL 1 DAY <= w_end GROUP BY ALL""",
     "stream_upsert": "SELECT unique_key, CAST(date_trunc('month', incident_ts) AS DATE) AS month FROM clean",
 }
 

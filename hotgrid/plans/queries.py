@@ -702,6 +702,26 @@ def stream_cell_counts(spark, d):
     return stream.run_once(stream.daily_counts(arrivals, cfg=CFG), _scratch(spark, "stream"))
 
 
+@query("date date, cell string, n long")
+def stream_final_counts(spark, d):
+    """Incidents a day and cell in append mode, from three deliveries: each day is written once, when the watermark has passed it.
+
+    The second delivery has late rows of the first one's days that are in time, the third has rows that are too late by then.
+    """
+    source, rows = _scratch(spark, "deliveries"), clean(spark, d)
+    for part in (1, 2, 3):  # one file each, so that a delivery is a batch
+        rows.where(_delivery() == part).coalesce(1).write.mode("append").parquet(source)
+    arrivals = stream.incidents(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    return stream.run_append(stream.daily_counts(arrivals, late="30 days", cfg=CFG), _scratch(spark, "stream"))[0]
+
+
+def _delivery():
+    """In which of three deliveries an incident comes: by time, but of the first year and a half some come in the second or third."""
+    late = F.col("unique_key") % 10
+    on_time = F.when(F.col("incident_ts") < "1996-07-01", 1).when(F.col("incident_ts") < "1999-01-01", 2).otherwise(3)
+    return F.when((on_time == 1) & (late == 0), 3).when((on_time == 1) & (late == 1) & (F.col("incident_ts") >= "1996-06-10"), 2).otherwise(on_time)
+
+
 @query("unique_key long, month date")
 def stream_upsert(spark, d):
     """Re-delivered rows reach the silver table once, batch by batch."""

@@ -29,13 +29,14 @@ def daily_counts(stream: DataFrame, ts: str = "incident_ts", late: str = "26 day
 def upsert(path: str, key: str = "unique_key", by: str = "day"):
     """For ``foreachBatch``: add the rows whose key is not in the target's same days yet.
 
-    A key keeps its day (or month, as ``by`` says) when it is delivered again, so only the batch's days of the
+    Of a key that repeats in a batch the least row is taken. A key keeps its day (or month, as ``by`` says) when it is delivered again, so only the batch's days of the
     target are read: days are few, and their filter prunes the target's partitions.
     """
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        rest = [c for c in batch.columns if c != key]
+        fresh = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("least")).select(key, "least.*").select(*batch.columns)
         try:
             target = spark.read.parquet(path)
         except AnalysisException as e:  # only an absent target passes all rows through
@@ -61,3 +62,20 @@ def run_once(counts: DataFrame, path: str) -> DataFrame:
 
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return counts.sparkSession.read.parquet(f"{path}/result")
+
+
+def run_append(counts: DataFrame, path: str) -> tuple[DataFrame, list[dict]]:
+    """Process what is there and stop; each group is written once, when the watermark has passed it, and leaves the state.
+
+    The groups of ``counts`` that are final, as a table under ``path``, and for each batch (batch, rows, watermark,
+    state_rows, late_rows) of its progress: late_rows are the groups of rows that came after their window was final. A later
+    run goes on where this one stopped; windows that the watermark has not passed stay in the state.
+    """
+    spark = counts.sparkSession
+    query = counts.writeStream.format("parquet").outputMode("append").option("path", f"{path}/result").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = [
+        {"batch": p["batchId"], "rows": p["numInputRows"], "watermark": p["eventTime"].get("watermark"), "state_rows": sum(s["numRowsTotal"] for s in p["stateOperators"]), "late_rows": sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])}
+        for p in query.recentProgress
+    ]
+    return spark.read.schema(counts.schema).parquet(f"{path}/result"), told
