@@ -49,3 +49,18 @@ def edges(cells: DataFrame, cell_col: str = "cell") -> DataFrame:
     around = own.select("cell", part[0].cast("long").alias("q0"), part[1].cast("long").alias("r0"), F.explode(offsets).alias("o"))
     around = around.select("cell", name(F.col("q0") + F.col("o.q"), F.col("r0") + F.col("o.r")).alias("nbr"), F.col("o.ring").alias("ring"))
     return around.join(own.select(F.col("cell").alias("nbr")), "nbr", "left_semi").select("cell", "nbr", "ring")
+
+
+def disk_offsets(near: int, far: int) -> list[tuple[int, int]]:
+    """(dq, dr) of the cells that are ``near`` + 1 to ``far`` steps away; with ``near`` -1 the cell itself too."""
+    steps = lambda q, r: max(abs(q), abs(r), abs(q + r))
+    return [(q, r) for q in range(-far, far + 1) for r in range(max(-far, -q - far), min(far, far - q) + 1) if steps(q, r) > near]
+
+
+def least_km(steps: int, cfg: Config = Config()) -> float:
+    """A distance that points of cells so many steps apart have at least.
+
+    Centres are 1.5 edges a step apart at least, and a point is within an edge of its centre. The plane's distances are within one
+    percent of those on the sphere inside of the box that the grid is for.
+    """
+    return max(0.0, 0.99 * (1.5 * steps - 2) * cfg.edge_km)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotgrid.config import Config
+from hotgrid.functions import hexgrid
 from hotgrid.functions.exprs import great_circle_km
+from hotgrid.sources.layers import written
 
 DAY = 86400
 # Fixed values. Kilometres assumed for a kind of place that a cell does not have, and for one that it has.
@@ -95,6 +98,61 @@ def poi_presence(cells: DataFrame, poi_cells: DataFrame) -> DataFrame:
     return cells.select("cell").join(has, "cell", "left").select("cell", *[F.coalesce(k, F.lit(v)).alias(f"dist_nearest_{short.get(k, k)}") for k, v in POI_DEFAULTS.items()])
 
 
+def nearest_places(cells: DataFrame, places: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(cell, poi_type, km): the distance from each cell's centroid to the nearest place of each kind, of kinds that there are.
+
+    ``cells`` has cell, lat, lon of the grid, ``places`` latitude, longitude, poi_type. Rings of cells around
+    each cell are searched, twice as far each time, and a cell is done with a kind when the next ring cannot be nearer than
+    what was found; so no place is passed over, and far places are never compared with cells that have near ones. The
+    number of rounds is the logarithm of the grid's width.
+    """
+    q, r = hexgrid.axial(F.col("latitude"), F.col("longitude"), cfg)
+    points = places.where("latitude is not null and longitude is not null and poi_type is not null").dropDuplicates(["latitude", "longitude", "poi_type"])
+    points = written(points.select("latitude", "longitude", "poi_type", q.alias("q"), r.alias("r")).where("q is not null"), "places")
+    q, r = hexgrid.axial(F.col("lat"), F.col("lon"), cfg)
+    grid = cells.select("cell", "lat", "lon", q.alias("q0"), r.alias("r0"))
+    kinds = points.select("poi_type").distinct()
+    open_ = grid.crossJoin(F.broadcast(kinds)).withColumn("best", F.lit(None).cast("double"))  # kinds of places are few
+    ends = points.agg(F.min("q"), F.max("q"), F.min("r"), F.max("r")).first()
+    own = grid.agg(F.min("q0"), F.max("q0"), F.min("r0"), F.max("r0")).first()
+    if None in (ends[0], own[0]):
+        return open_.select("cell", "poi_type", F.col("best").alias("km")).limit(0)
+    spread = lambda i: max(ends[i + 1], own[i + 1]) - min(ends[i], own[i])
+    width, near, far, done = int(spread(0) + spread(2)), -1, 2, []
+    while True:
+        offsets = F.array(*[F.struct(F.lit(a).alias("q"), F.lit(b).alias("r")) for a, b in hexgrid.disk_offsets(near, far)])
+        rings = open_.select("cell", "lat", "lon", "poi_type", F.explode(offsets).alias("o"), "q0", "r0").withColumns({"q": F.col("q0") + F.col("o.q"), "r": F.col("r0") + F.col("o.r")})
+        km = great_circle_km("lat", "lon", "latitude", "longitude")
+        found = rings.join(points, ["q", "r", "poi_type"]).groupBy("cell", "poi_type").agg(F.min(km).alias("km"))
+        open_ = open_.join(found, ["cell", "poi_type"], "left").withColumn("best", F.least("best", "km")).drop("km")
+        open_ = written(open_, "nearest")
+        sure = F.col("best").isNotNull() & (F.col("best") <= hexgrid.least_km(far + 1, cfg)) if far < width else F.lit(True)
+        done.append(open_.where(sure).select("cell", "poi_type", F.col("best").alias("km")))
+        open_ = open_.where(~sure)
+        if far >= width or open_.isEmpty():
+            break
+        near, far = far, min(2 * far, width)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def observing_stations(days: DataFrame, cells: DataFrame, stations: DataFrame, weather: DataFrame) -> DataFrame:
+    """(cell, date, station_id) of the pairs ``days`` (cell, date): the nearest station that has values on the day.
+
+    Each cell has its stations in order (by distance, then id), each day the stations with values; both are bounded by
+    the grid, the stations and the calendar. A pair takes the first of its cell's order that its day has,
+    null if the day has none. ``weather`` is (date, station_id, ...), in any number of rows a day and station.
+    """
+    km = great_circle_km("lat", "lon", "st_lat", "st_lon")
+    orders = cells.crossJoin(F.broadcast(stations)).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct(km.alias("km"), "station_id"))).alias("order"))
+    observed = weather.groupBy("date").agg(F.collect_set("station_id").alias("observed"))
+    pairs = days.select("cell", "date").distinct().join(F.broadcast(orders), "cell").join(F.broadcast(observed), "date", "left")
+    first = F.filter("order", lambda s: F.array_contains(F.coalesce("observed", F.array()), s["station_id"]))
+    return pairs.select("cell", "date", F.get(first, F.lit(0))["station_id"].alias("station_id"))
+
+
 def _percent(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.bround(F.col(part) / F.col(whole) * 100, 2))
 

@@ -395,6 +395,14 @@ STATEMENTS: dict[str, str] = {
     "landed_incidents": f"SELECT *, {_SECOND} AS parsed_sec FROM incidents WHERE incident_ts >= TIMESTAMP '1998-03-01' AND incident_ts < TIMESTAMP '1998-05-01' AND day(incident_ts) % 7 <> 0",
     "bronze_window": "SELECT unique_key, CAST(incident_ts AS DATE) AS day FROM incidents WHERE CAST(incident_ts AS DATE) BETWEEN DATE '1998-04-20' - 26 AND DATE '1998-04-20' - 5",
     "gold_write": "SELECT count(DISTINCT date) AS days, count(*) AS \"rows\" FROM gold WHERE date >= DATE '2000-11-04'",
+    "nearest_places": f"""SELECT cell, poi_type, min({km('lat', 'lon', 'la', 'lo')}) AS km FROM cells, (SELECT DISTINCT {coordinate('c_custkey', 613, 41.60, 0.00046)} AS la, {coordinate('c_custkey', 287, -87.98, 0.0005)} AS lo,
+      {pick(V.POI_TYPES, 'c_custkey % 5 + 1')} AS poi_type FROM customer) GROUP BY ALL""",
+    "observed_weather": f"""WITH heard AS (SELECT * FROM weather_long WHERE (dayofyear(date) + CAST(substr(station_id, 3, 3) AS INTEGER)) % 3 <> 0),
+      pairs AS (SELECT DISTINCT cell, CAST(incident_ts AS DATE) AS date FROM clean),
+      near AS (SELECT cell, date, station_id FROM (SELECT p.cell, p.date, o.station_id, {km('lat', 'lon', 'st_lat', 'st_lon')} AS d FROM pairs p JOIN cells c ON c.cell = p.cell JOIN (SELECT DISTINCT date, station_id FROM heard) o ON o.date = p.date JOIN st ON st.station_id = o.station_id)
+      QUALIFY row_number() OVER (PARTITION BY cell, date ORDER BY d, station_id) = 1),
+      wide AS (SELECT date, station_id, {", ".join(f"coalesce(min(value) FILTER (datatype = '{k}'), 0.0) AS {v}" for k, v in (("TMAX", "temp_max"), ("TMIN", "temp_min"), ("PRCP", "precipitation"), ("AWND", "wind_speed"), ("SNWD", "snow_depth")))} FROM heard GROUP BY date, station_id)
+      SELECT p.cell, p.date, n.station_id, temp_max, temp_min, precipitation, wind_speed, snow_depth FROM pairs p LEFT JOIN near n ON n.cell = p.cell AND n.date = p.date LEFT JOIN wide w ON w.date = n.date AND w.station_id = n.station_id""",
     "incremental_gold": "SELECT * FROM gold",
     "refreshed_months": """SELECT DISTINCT CAST(unnest(generate_series(date_trunc('month', day), date_trunc('month', day + 30), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS day FROM clean
       WHERE (strftime(incident_ts, '%Y-%m') = '1998-03' AND unique_key % 5 = 0) OR (strftime(incident_ts, '%Y-%m') = '1999-07' AND unique_key % 7 = 0) OR (strftime(incident_ts, '%Y-%m') = '1997-01' AND unique_key % 3 = 0))""",

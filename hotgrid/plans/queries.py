@@ -168,6 +168,21 @@ def poi_presence(spark, d):
     return gold.poi_presence(gold.centroids(clean(spark, d)), poi)
 
 
+@query("cell string, poi_type string, km double")
+def nearest_places(spark, d):
+    """The true distance of each cell to the nearest place of each kind."""
+    return gold.nearest_places(gold.centroids(clean(spark, d)), V.poi(spark, d), CFG)
+
+
+@query("cell string, date date, station_id string, temp_max double, temp_min double, precipitation double, wind_speed double, snow_depth double")
+def observed_weather(spark, d):
+    """Weather of each cell's days with incidents, from the nearest station that reported; here each is silent every third day."""
+    long = V.weather_long(spark, d).where((F.dayofyear("date") + F.substring("station_id", 3, 3).cast("int")) % 3 != 0)
+    days = clean(spark, d).select("cell", F.to_date("incident_ts").alias("date"))
+    chosen = gold.observing_stations(days, gold.centroids(clean(spark, d)), V.stations(spark, d), long)
+    return chosen.join(gold.weather_wide(long), ["date", "station_id"], "left")
+
+
 @query("unique_key long, case_number string, date date, primary_type string, community_area int, cell string, latitude double, longitude double, hour_of_day int, day_of_week int, month int, temp_max double, temp_min double, precipitation double, wind_speed double, dist_nearest_school double, dist_nearest_station double, dist_nearest_park double, dist_nearest_nightlife double, crime_density_7d long, crime_density_30d long, arrest_rate double, unemployment_rate double, hardship_index int, population_density double, per_capita_income double")
 def enriched_fact(spark, d):
     return facts(spark, d)
