@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hotgrid.config import Config
 from hotgrid.functions.exprs import safe_ratio
+from hotgrid.operators.medians import medians
 
 GRID = [round(0.05 + 0.01 * i, 2) for i in range(60)]
 KS = (0.05, 0.10, 0.15, 0.25, 0.30)
@@ -105,8 +106,9 @@ def daily_topk(df: DataFrame, score: str, label: str, ks: tuple[float, ...] = KS
 
 
 def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, n, n_distinct_is_one, lo, hi, median) of training rows: one pass, then one row a feature."""
-    aggs = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), F.percentile(F.col(c).cast("double"), 0.5).alias("median")).alias(c) for c in columns]
+    """(feature, n, lo, hi, median, constant) of training rows: one pass, those of the exact medians, then one row a feature."""
+    middle = medians(df, columns)
+    aggs = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi"), F.lit(middle[c]).cast("double").alias("median")).alias(c) for c in columns]
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*columns)).alias("f")).select("f.*").withColumn("constant", F.coalesce(F.col("lo") == F.col("hi"), F.lit(True)))
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
-from hotgrid.functions.exprs import calendar, finite, hour_flags, type_flags
+from hotgrid.functions.exprs import calendar, hour_flags, type_flags
 from hotgrid.operators.evaluate import splits
+from hotgrid.operators.medians import fill, medians
+from hotgrid.sources.layers import written
 
 COUNTS = ("violent", "property", "theft", "battery", "narcotics", "arrests")
 CONTEXT = ("temp_max", "temp_min", "precipitation", "wind_speed", "unemployment_rate", "hardship_index", "population_density", "per_capita_income", "dist_nearest_school", "dist_nearest_station", "dist_nearest_park", "dist_nearest_nightlife")
@@ -58,23 +60,20 @@ def panel(gold: DataFrame, cfg: Config = Config()) -> DataFrame:
     ``gold`` may be a part of the facts if it has the last ``lookback_days``.
     """
     facts = lookback(gold, cfg)
-    dense = densify(daily(facts), modal_area(facts))
+    dense = written(densify(daily(facts), modal_area(facts)), "dense")
     in_training = splits(dense, cfg).where("split = 'train'").select("date")
     return fill_medians(dense, dense.join(F.broadcast(in_training), "date", "left_semi")).withColumns(calendar("date"))
 
 
 def fill_medians(dense: DataFrame, train: DataFrame) -> DataFrame:
-    """What a forward fill leaves open gets the median of the training rows, one row, broadcast."""
-    names = (*HOURS, *CONTEXT)
-    medians = train.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in names])
-    return dense.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}", F.lit(0.0)) for c in names}).drop(*[f"_{c}" for c in names])
+    """What a forward fill leaves open gets the exact median of the training rows, which are read some times."""
+    found = medians(train, [*HOURS, *CONTEXT])
+    return dense.withColumns({c: F.coalesce(c, F.lit(v), F.lit(0.0)) for c, v in found.items()})
 
 
 def sanitize(df: DataFrame, train: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``df`` whose columns ``names`` are finite: infinities, NaN and nulls become the training rows' median, else 0."""
-    x = {c: finite(F.col(c).cast("double")) for c in names}
-    medians = train.agg(*[F.percentile(x[c], 0.5).alias(f"_{c}") for c in names])
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(x[c], F.col(f"_{c}"), F.lit(0.0)) for c in names}).drop(*[f"_{c}" for c in names])
+    return fill(df, medians(train, list(names)))
 
 
 def holiday_features(dates: DataFrame, holidays: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
@@ -120,3 +120,34 @@ def quality_report(before: DataFrame, after: DataFrame, cfg: Config = Config())
     b = after.agg(F.count("*").alias("rows_after"), F.count_if(F.col("cell").isNull()).alias("null_cells"))
     share = F.when(F.col("rows_after") > 0, F.col("null_cells") / F.col("rows_after")).otherwise(1.0)
     return a.crossJoin(b).withColumn("passed", (F.col("rows_after") > 0) & (share <= cfg.max_null_share))
+
+
+#: The types that raw texts have to fit (fixed values).
+KINDS = {"unique_key": "long", "arrest": "boolean", "domestic": "boolean", "beat": "int", "district": "int", "ward": "int", "community_area": "int", "year": "int", "latitude": "double", "longitude": "double"}
+
+
+def reasons(raw: DataFrame, mandatory: tuple[str, ...] = MANDATORY) -> Column:
+    """Why a row of texts cannot be used, all reasons in the order of the columns; empty if it can."""
+    known = [(c, F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), f"{c} is no {t}") for c, t in KINDS.items() if c in raw.columns]
+    if "date" in raw.columns:
+        known.append(("date", F.col("date").isNotNull() & parse_ts("date").isNull(), "date is no timestamp"))
+    lacking = [(c, F.col(c).isNull(), f"{c} is missing") for c in mandatory if c in raw.columns]
+    broken = [("_corrupt", F.col("_corrupt").isNotNull(), "row does not fit the schema")] if "_corrupt" in raw.columns else []
+    return F.array_compact(F.array(*[F.when(cond, F.lit(text)) for _, cond, text in (*broken, *lacking, *known)]))
+
+
+def load(raw: DataFrame, path: str, mandatory: tuple[str, ...] = MANDATORY) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Write a batch of texts in one pass, good rows typed and the others as they are with their reasons.
+
+    (good rows, rows in quarantine, metrics). Both are partitions of one table at ``path``. The metrics (rows, bad, and how often each
+    mandatory column is missing) are observed while the batch is written, so it is read once. Nothing is
+    lost: every row is in one of the two.
+    """
+    why, seen = reasons(raw, mandatory), Observation("load")
+    marked = raw.withColumn("reasons", why).withColumn("quarantined", F.size("reasons") > 0)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if("quarantined").alias("bad"), *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in mandatory if c in raw.columns]]
+    marked.observe(seen, *counts).write.mode("overwrite").partitionBy("quarantined").parquet(path)
+    back = raw.sparkSession.read.schema(marked.schema).parquet(path)
+    good = back.where("not quarantined").drop("quarantined", "reasons")
+    typed = good.withColumns({c: F.col(c).cast(t) for c, t in KINDS.items() if c in raw.columns} | ({"date": parse_ts("date")} if "date" in raw.columns else {}))
+    return typed, back.where("quarantined").drop("quarantined"), seen.get

@@ -403,6 +403,13 @@ STATEMENTS: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY cell, date ORDER BY d, station_id) = 1),
       wide AS (SELECT date, station_id, {", ".join(f"coalesce(min(value) FILTER (datatype = '{k}'), 0.0) AS {v}" for k, v in (("TMAX", "temp_max"), ("TMIN", "temp_min"), ("PRCP", "precipitation"), ("AWND", "wind_speed"), ("SNWD", "snow_depth")))} FROM heard GROUP BY date, station_id)
       SELECT p.cell, p.date, n.station_id, temp_max, temp_min, precipitation, wind_speed, snow_depth FROM pairs p LEFT JOIN near n ON n.cell = p.cell AND n.date = p.date LEFT JOIN wide w ON w.date = n.date AND w.station_id = n.station_id""",
+    "sanitized_frame": "SELECT cell, date, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), m_{c}, 0.0) AS {c}" for c in _CANDIDATES) + " FROM supervised, (SELECT " + ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m_{c}" for c in _CANDIDATES) + " FROM supervised WHERE split = 'train')",
+    "loaded_rows": f"SELECT *, {_SECOND} AS parsed_sec FROM incidents WHERE NOT (unique_key % 101 = 0 OR unique_key % 103 = 0 OR unique_key % 107 = 0 OR unique_key % 109 = 0)",
+    "quarantined_rows": """SELECT CAST(unique_key AS VARCHAR) AS unique_key, CASE WHEN unique_key % 103 = 0 THEN 'north' WHEN unique_key % 107 = 0 THEN NULL ELSE CAST(latitude AS VARCHAR) END AS latitude, CASE WHEN unique_key % 101 = 0 THEN 'perhaps' ELSE CAST(arrest AS VARCHAR) END AS arrest,
+      array_to_string(list_filter([CASE WHEN unique_key % 107 = 0 AND unique_key % 103 <> 0 THEN 'latitude is missing' END, CASE WHEN unique_key % 101 = 0 THEN 'arrest is no boolean' END, CASE WHEN unique_key % 103 = 0 THEN 'latitude is no double' END,
+      CASE WHEN unique_key % 109 = 0 THEN 'date is no timestamp' END], lambda x: x IS NOT NULL), '; ') AS why
+      FROM incidents WHERE unique_key % 101 = 0 OR unique_key % 103 = 0 OR unique_key % 107 = 0 OR unique_key % 109 = 0""",
+    "load_metrics": "SELECT count(*) AS rows, count(*) FILTER (unique_key % 101 = 0 OR unique_key % 103 = 0 OR unique_key % 107 = 0 OR unique_key % 109 = 0) AS bad, count(*) FILTER (unique_key % 107 = 0 AND unique_key % 103 <> 0) AS no_latitude FROM incidents",
     "incremental_gold": "SELECT * FROM gold",
     "refreshed_months": """SELECT DISTINCT CAST(unnest(generate_series(date_trunc('month', day), date_trunc('month', day + 30), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS day FROM clean
       WHERE (strftime(incident_ts, '%Y-%m') = '1998-03' AND unique_key % 5 = 0) OR (strftime(incident_ts, '%Y-%m') = '1999-07' AND unique_key % 7 = 0) OR (strftime(incident_ts, '%Y-%m') = '1997-01' AND unique_key % 3 = 0))""",

@@ -131,6 +131,35 @@ def dq_report(spark, d):
     return silver.quality_report(V.incidents(spark, d), clean(spark, d), CFG)
 
 
+def _loaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Incidents as texts, some of which are damaged, loaded with a quarantine."""
+    rows, key = V.incidents(spark, d), F.col("unique_key")
+    text = {c: F.col(c).cast("string") for c in ("unique_key", "case_number", "primary_type", "arrest", "domestic", "community_area", "latitude", "longitude")}
+    text["arrest"] = F.when(key % 101 == 0, "perhaps").otherwise(text["arrest"])
+    text["latitude"] = F.when(key % 103 == 0, "north").when(key % 107 == 0, None).otherwise(text["latitude"])
+    text["date"] = F.when(key % 109 == 0, "someday").otherwise(F.concat(F.date_format("incident_ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")))
+    return silver.load(rows.select(*[c.alias(n) for n, c in text.items()]), _scratch(spark, "load"))
+
+
+@query("unique_key long, parsed_sec long, arrest boolean, community_area int, latitude double, longitude double")
+def loaded_rows(spark, d):
+    """The rows of a damaged delivery that can be used, with their types."""
+    return _loaded(spark, d)[0].withColumn("parsed_sec", F.unix_timestamp("date"))
+
+
+@query("unique_key string, latitude string, arrest string, why string")
+def quarantined_rows(spark, d):
+    """The rows that cannot, as they came, with their reasons."""
+    return _loaded(spark, d)[1].withColumn("why", F.array_join("reasons", "; "))
+
+
+@query("rows long, bad long, no_latitude long")
+def load_metrics(spark, d):
+    """What was counted while the delivery was written."""
+    found = _loaded(spark, d)[2]
+    return spark.createDataFrame([(found["rows"], found["bad"], found["no_latitude"])], "rows long, bad long, no_latitude long")
+
+
 @query("cell string, n long, lat double, lon double")
 def hex_cells(spark, d):
     return clean(spark, d).groupBy("cell").agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
@@ -493,6 +522,13 @@ def sample_weights(spark, d):
     return supervised(spark, d).where("split = 'train' and next_hotspot is not null").withColumn("weight", evaluate.sample_weight("next_hotspot"))
 
 
+@query(S.KEY + ", " + S.cols("double", *S.CANDIDATES))
+def sanitized_frame(spark, d):
+    """All features of all rows as the models get them."""
+    df = supervised(spark, d)
+    return panel.sanitize(df, df.where("split = 'train'"), S.CANDIDATES)
+
+
 @query("feature string, median double")
 def feature_medians(spark, d):
     """Exact medians of all features over the training rows."""

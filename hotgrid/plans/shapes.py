@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hotgrid.functions.rules import GUARDED
 from hotgrid.operators import features as X
 from hotgrid.operators import panel as P
 
@@ -69,3 +70,5 @@ BASE = cols("double", *P.HOURS, *P.CONTEXT) + ", " + cols("int", "dayofweek", "m
 PRIOR_COLS = "cell string, community_area int, " + PRIOR
 PANEL_COLS = _own("community_area int", cols("long", *COUNTS), "crime_today int", BASE)
 FRAME_COLS = _own("community_area int", cols("long", *[X.RAW_NAMES[c] for c in COUNTS]), BASE, LAG, ROLL, EWM, STREAK, DAILY, BURST, TREND, MIX, WEATHER, REPEAT, DETER, WEEKDAY, "n_h3_in_comm long", COMM_ROLLS, CITY_ROLLS, NBR, SPILL, PRIOR, RELATION, HOLIDAY)
+#: The numeric columns of the frame that are no keys and not guarded.
+CANDIDATES = tuple(n for n, t in (c.split() for c in FRAME_COLS.split(", ")) if t in ("int", "long", "double") and n not in GUARDED)
