@@ -410,6 +410,7 @@ STATEMENTS: dict[str, str] = {
       CASE WHEN unique_key % 109 = 0 THEN 'date is no timestamp' END], lambda x: x IS NOT NULL), '; ') AS why
       FROM incidents WHERE unique_key % 101 = 0 OR unique_key % 103 = 0 OR unique_key % 107 = 0 OR unique_key % 109 = 0""",
     "load_metrics": "SELECT count(*) AS rows, count(*) FILTER (unique_key % 101 = 0 OR unique_key % 103 = 0 OR unique_key % 107 = 0 OR unique_key % 109 = 0) AS bad, count(*) FILTER (unique_key % 107 = 0 AND unique_key % 103 <> 0) AS no_latitude FROM incidents",
+    "bucketed_gold": """SELECT *, coalesce(sum(n) OVER (PARTITION BY cell ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_before, sum(n) OVER (PARTITION BY cell) AS area_incidents FROM (SELECT cell, date, count(*) AS n FROM gold GROUP BY ALL)""",
     "incremental_gold": "SELECT * FROM gold",
     "refreshed_months": """SELECT DISTINCT CAST(unnest(generate_series(date_trunc('month', day), date_trunc('month', day + 30), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS day FROM clean
       WHERE (strftime(incident_ts, '%Y-%m') = '1998-03' AND unique_key % 5 = 0) OR (strftime(incident_ts, '%Y-%m') = '1999-07' AND unique_key % 7 = 0) OR (strftime(incident_ts, '%Y-%m') = '1997-01' AND unique_key % 3 = 0))""",

@@ -678,6 +678,22 @@ def refreshed_months(spark, d):
     return _refreshed(spark, d)[1].where("why = 'rows'")
 
 
+@query("cell string, date date, n long, n_before long, area_incidents long")
+def bucketed_gold(spark, d):
+    """Each cell's days with the incidents until then, from a table in buckets of cells: only its writing shuffles.
+
+    The table is written whole, and its last months once more.
+    """
+    name, path = f"hotgrid_gold_{uuid.uuid4().hex[:12]}", _scratch(spark, "bucketed")
+    rows = facts(spark, d).select("cell", "date", "unique_key")
+    tables.write_bucketed(rows, name, path, 8)
+    table = tables.write_bucketed(rows.where("date >= '2001-06-01'"), name, path, 8, mode="append")
+    days = table.groupBy("cell", "date").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("cell").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))
+    cells = table.groupBy("cell").agg(F.count("*").alias("area_incidents"))
+    return days.withColumn("n_before", F.coalesce(before, F.lit(0))).join(cells, "cell")
+
+
 @query("date date, n long")
 def unloaded_days(spark, d):
     """Rows a day of the days that the target does not have yet."""
