@@ -307,7 +307,7 @@ PARTS |= {
     "by_split": f"""SELECT split, {ratio("hit", "predicted")} AS precision, {ratio("hit", "p")} AS recall, {ratio("2 * hit", "(predicted + p)")} AS f1, {ratio("(ranks - p * (p + 1) / 2)", "(p * (n - p))")} AS auc, {ratio("parts", "p")} AS ap, held_top.* EXCLUDE (split)
       FROM held_sums JOIN held_top USING (split)""",
     "stamped": "SELECT " + ", ".join(f"round(max({n}) FILTER (split = '{k}'), 4) AS {k}_{n}" for k in ("val", "test") for n in _STAMPS) + " FROM by_split",
-    "full_table": f"""SELECT p.prediction_date, p.cell AS h3_index, p.score AS crime_probability, p.score AS hotspot_score, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec,
+    "full_table": f"""SELECT p.prediction_date, p.cell AS h3_index, round(p.score * 1e9) AS chance_ppb, round(p.score * 1e9) AS score_ppb, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec,
       CAST(p.score >= 0.5 AS INTEGER) AS pred_hotspot, violent_probability, property_probability, dominant_type, rank AS risk_rank, rank_pct AS risk_rank_pct, confidence_score, confidence_level,
       temporal AS temporal_score, spatial AS spatial_score, context AS context_score, score_std AS group_score_std, score_range AS group_score_range, agreement AS model_agreement, margin_to_cut AS score_margin_to_cutoff,
       greatest(0, least(1, margin_to_cut / 0.05)) AS rank_margin_confidence, abs(0.5 - rank_pct) * 2 AS rank_extremity, 0.4 AS group_w_temporal, 0.4 AS group_w_spatial, 0.2 AS group_w_context, stamped.*,

@@ -447,7 +447,7 @@ def _whole(ddl: str) -> str:
     return ddl.replace("\n", " ").replace("created_at timestamp", "made_sec long")
 
 
-@query(_whole(rank.FULL_PREDICTIONS))
+@query(_whole(rank.FULL_PREDICTIONS).replace("crime_probability double, hotspot_score double", "chance_ppb long, score_ppb long"))
 def full_predictions(spark, d):
     """The whole predictions table of all days, written, with the last day's written again, and read back."""
     rows, path = _context(spark, d), _scratch(spark, "predictions")
@@ -455,7 +455,8 @@ def full_predictions(spark, d):
     tables.write_predictions(table, path)
     last = spark.read.parquet(path)
     tables.write_predictions(last.join(F.broadcast(last.agg(F.max("prediction_date").alias("prediction_date"))), "prediction_date").select(last.columns), path, "append")
-    return spark.read.parquet(path).withColumn("made_sec", F.unix_timestamp("created_at"))
+    billion = lambda c: F.round(F.col(c) * 1e9)
+    return spark.read.parquet(path).withColumns({"made_sec": F.unix_timestamp("created_at"), "chance_ppb": billion("crime_probability"), "score_ppb": billion("hotspot_score")})
 
 
 #: What the registered run does: few rounds, as each costs some seconds at any size; ``boosting.Plan()`` has 2,200.
