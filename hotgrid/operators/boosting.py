@@ -176,11 +176,11 @@ def vector(columns: list[str]) -> Column:
 
 
 def tree_nodes(model_path: str, spark: SparkSession) -> DataFrame:
-    """(tree, feature, gain, count) of the inner nodes of a saved ensemble's trees, from its own tables.
+    """(tree, feature, gain, count) of the inner nodes of a saved ensemble's trees, from its own tables; rows count by their weight.
 
     The tables' layout is that of Spark ML's persistence: one row a node, with the tree's number.
     """
     nodes = spark.read.parquet(f"{model_path}/data")
     node = F.col("nodeData")
     inner = nodes.where(node["leftChild"] >= 0)
-    return inner.select(F.col("treeID").alias("tree"), node["split"]["featureIndex"].alias("feature"), node["gain"].alias("gain"), node["rawCount"].alias("count"))
+    return inner.select(F.col("treeID").alias("tree"), node["split"]["featureIndex"].alias("feature"), node["gain"].alias("gain"), node["impurityStats"][0].alias("count"))

@@ -75,12 +75,15 @@ def test_stages_are_kept_and_the_best_rounds_are_given_back(spark, tmp_path, mon
 
 
 def test_nodes_of_saved_trees(spark, tmp_path):
-    got = boosting.boost(_rows(spark), str(tmp_path / "run"), "y", SMALL)
+    got = boosting.boost(_rows(spark), str(tmp_path / "run"), "y", SMALL, "w")
     got.model.save(str(tmp_path / "model"))
     nodes = boosting.tree_nodes(str(tmp_path / "model"), spark)
     counts = {r.feature: r.n for r in nodes.groupBy("feature").agg(F.count("*").alias("n")).collect()}
     told = [line.split("feature ")[1].split()[0] for t in got.model.trees for line in t.toDebugString.splitlines() if "If (feature" in line]
     assert counts == {int(f): told.count(f) for f in set(told)}
+    gains = {r.feature: r.g for r in nodes.groupBy("feature").agg(F.sum(F.col("gain") * F.col("count")).alias("g")).collect()}
+    own = got.model.featureImportances.toArray()
+    assert all(math.isclose(g / sum(gains.values()), own[f], abs_tol=1e-9) for f, g in gains.items())
 
 
 def test_no_positive_and_no_validation_rows(spark, tmp_path):
