@@ -7,6 +7,8 @@ from its end; together they tell for every insult or threat in which pattern it
 plain, aimed at a target before or after it, negated or reported. A text's
 features are the best clause and the sum over clauses of each pattern, and a logistic
 model over these gives the score, so that isolated words count by the clause they are in.
+Its weights are tied in order: an aimed insult never counts less than a plain one, that
+never less than a reported one, and that never less than a negated one.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from hotgrid.llm.common import map_texts, written
 FIT_ROWS = 8_000
 #: Least labelled toxic texts with a stem, least log odds, and the most stems kept.
 SUPPORT, ODDS, STEMS = 4, 2.0, 4_000
-STEM_LENGTHS = (3, 4, 5, 6, 7, 9)
+#: Beginnings of words that may be stems, and the least different words of toxic texts that one has to begin:
+#: the beginning of a single word ("worth" of "worthless") tells nothing of other words.
+STEM_LENGTHS, FORMS = (5, 6, 7, 9), 3
 GIVEN_WEIGHT = 3.0
 
 # Fixed word lists in the four languages of the corpus: common, publicly known words.
@@ -45,8 +49,12 @@ escribió afirmó""".split()
 
 OTHER, BREAK, PAUSE, NEGATION, REPORT, TARGET, THREAT, INSULT = CLASSES = range(8)
 PATTERNS = ("plain", "aimed", "negated", "reported", "threat")
-#: What a pattern's best clause and its sum weigh before labels are seen; rare patterns stay near it.
-PRIOR = np.array([1.0, 1.2, 0.5, 0.5, 1.0, 0.2, 0.2, 0.1, 0.1, 0.2])
+#: The constant, and what a pattern's best clause and its sum weigh, before labels are seen; rare patterns stay near it.
+BASE, PRIOR = -4.0, np.array([1.0, 1.2, 0.5, 0.5, 1.0, 0.2, 0.2, 0.1, 0.1, 0.2])
+#: Patterns from the least weight to the most; threats stand apart.
+ORDER = ("negated", "reported", "plain", "aimed")
+#: What a pattern's best clause weighs more than that of the pattern before it, at least.
+STEP = 0.2
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n|,]")
 MEMO = 400_000
 
@@ -94,7 +102,7 @@ EMIT = [[[_emitted(c, s, x) for c in CLASSES] for s in STATES] for x in range(le
 @dataclass
 class Model:
     stems: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.r_[-3.0, PRIOR])
+    weights: np.ndarray = field(default_factory=lambda: np.r_[BASE, PRIOR])
 
     def classify(self, word: str) -> tuple[int, float]:
         w = max((self.stems.get(s, 0.0) for s in stems_of(word)), default=0.0)
@@ -168,36 +176,44 @@ def _bounded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     return written(sample, "labelled"), {y: 1 / s for y, s in share.items()}
 
 
-def learn_stems(sample: DataFrame, weight: dict[int, float]) -> dict[str, float]:
-    """Stems with enough labelled toxic texts and enough log odds, with these as weights."""
+def learn_stems(sample: DataFrame) -> dict[str, float]:
+    """Stems with enough labelled toxic texts and enough log odds, with these as weights.
+
+    A whole word (closed by $) counts the texts that have it. A beginning adds up those of the words that
+    it begins, and has to begin FORMS different words of toxic texts.
+    """
 
     def count(batches):
         n = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = set(_TOKEN.findall((text or "").lower()))
-                n[y].update({s for w in words for s in stems_of(w)})
+                n[y].update(w for w in set(_TOKEN.findall((text or "").lower())) if len(w) > 1)
         keys = list(n[1] | n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["stem", "p", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], names=["word", "p", "n"])
 
     size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     p_all, n_all = size.get(1, 0), size.get(0, 0)
-    counted = sample.select("text", "y").mapInArrow(count, "stem string, p long, n long").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    words = sample.select("text", "y").mapInArrow(count, "word string, p long, n long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    stems = F.array(F.concat("word", F.lit("$")), *[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEM_LENGTHS])
+    counted = words.select(F.explode(F.array_compact(stems)).alias("stem"), "p", "n").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.count_if(F.col("p") > 0).alias("forms"))
     odds = F.log((F.col("p") + 0.5) / F.lit(p_all + 1.0)) - F.log((F.col("n") + 1.0) / F.lit(n_all + 1.0))
-    best = counted.where(F.col("p") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy((F.col("odds") * F.sqrt("p")).desc(), "stem").limit(STEMS)
+    good = counted.where((F.col("p") >= SUPPORT) & (F.col("stem").endswith("$") | (F.col("forms") >= FORMS)))
+    best = good.withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy((F.col("odds") * F.sqrt("p")).desc(), "stem").limit(STEMS)
     return {w + "$": GIVEN_WEIGHT for w in INSULTS} | {r["stem"]: float(r["odds"]) for r in best.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS) -> Model:
     """Learn stems on two thirds of a bounded labelled sample, the logistic weights on the rest.
 
-    With no labels of one class the given word lists and default weights are the model.
+    With no labels of one class the given word lists and default weights are the model. Of an id
+    that is labelled twice the higher label holds; other labels than 0 and 1 are left out, and null
+    or empty texts have no words.
     """
     sample, weight = _bounded(docs, labels, id_col, text_col, label_col, rows)
     if set(weight) != {0, 1}:
         return Model({w + "$": GIVEN_WEIGHT for w in INSULTS})
     third = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)) == 0
-    model = Model(learn_stems(sample.where(~third), weight))
+    model = Model(learn_stems(sample.where(~third)))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def featured(batches):
@@ -215,31 +231,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5, steps: int = 50) -> np.ndarray:
-    """Weighted logistic regression by Newton steps, drawn to PRIOR; no penalty on the constant.
+def ordered() -> np.ndarray:
+    """Weights of the features by steps of the order: a column adds its step to its pattern and to all above it."""
+    k = len(PATTERNS)
+    one = np.eye(k)
+    for i, low in enumerate(ORDER):
+        for high in ORDER[i + 1 :]:
+            one[PATTERNS.index(high), PATTERNS.index(low)] = 1
+    return np.kron(np.eye(2), one)
+
 
-    Weights of patterns are kept from falling below 0: a match never lowers a score.
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5, steps: int = 100) -> np.ndarray:
+    """Weighted logistic regression by projected Newton steps, drawn to BASE and PRIOR.
+
+    It is fitted over the steps between neighbours in ORDER, which are kept from falling below 0: a
+    match never lowers a score, and the patterns' weights keep their order, by STEP at least.
     """
-    w = w / w.mean()
-    prior, penalty = np.r_[0.0, PRIOR], np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
-    beta = prior.copy()
+    tied = ordered()
+    basis = np.zeros((x.shape[1], x.shape[1]))
+    basis[0, 0], basis[1:, 1:] = 1, tied
+    x, w = x @ basis, w / w.mean()
+    least = np.r_[[STEP * (p in ORDER[1:]) for p in PATTERNS], np.zeros(len(PATTERNS))]
+    prior, penalty = np.r_[BASE, np.linalg.solve(tied, PRIOR)], np.full(x.shape[1], ridge)
+    low = np.r_[-np.inf, least]
+    beta = np.maximum(prior, low)
+
+    def value(at: np.ndarray) -> float:
+        z = x @ at
+        return float(w @ (y * z - np.logaddexp(0, z)) - penalty @ (at - prior) ** 2 / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (w * (y - p)) - penalty * (beta - prior)
-        hess = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hess, grad)
-        beta = beta + step * min(1.0, 3.0 / max(1e-9, np.abs(step).max()))
-        beta[1:] = np.maximum(beta[1:], 0)
-        if np.abs(step).max() < 1e-6:
+        free = (beta > low) | (grad > 0)  # what lies on its bound and would leave it stays there
+        part = x[:, free]
+        hess = (part * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part + np.diag(penalty[free])
+        step = np.zeros(len(beta))
+        step[free] = np.linalg.solve(hess, grad[free])
+        tries = (np.maximum(beta + step / 2**k, low) for k in range(20))
+        moved = next((t for t in tries if value(t) > value(beta)), beta)
+        done, beta = np.abs(moved - beta).max() < 1e-7, moved
+        if done:
             break
-    return beta
+    return basis @ beta
 
 
 def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cutoff: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) of every whole text; no shuffle.
 
-    A null or empty text, like any text without a match, gets the constant's score. Repeated
-    rows give repeated rows, an empty table none; other columns are not read.
+    A null or empty text, like any text without a match, gets the constant's score. Texts of any length
+    are read whole, and equal texts get equal scores. Repeated rows give repeated rows, an empty table none;
+    other columns are not read, whatever their names.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 

@@ -1,6 +1,7 @@
 """Operators that map texts: exact values, brute force and edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -295,7 +296,7 @@ def test_toxicity_patterns_and_edges(spark, documents):
     texts = ["you are a zorgle and a fool", "a calm day"] * 60
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, toxic int")
     model = toxicity.fit(documents(texts), labels)
-    assert "zorg" in model.stems
+    assert "zorgle$" in model.stems and "zorgl" not in model.stems  # the beginning of one word only
     got = toxicity.score_toxicity(documents([*EDGES, "a zorgle came"]), model).orderBy("doc_id").collect()
     assert all(0 <= r.score <= 1 for r in got) and got[-1].score > 10 * got[0].score and not any(r.predicted for r in got[:-1])
     assert toxicity.fit(documents(texts), labels.limit(0)).stems
@@ -324,9 +325,57 @@ def test_transducers_against_brute_force():
         assert scorer.features(" ".join(words))[: len(want)].tolist() == list(want.values()), words
 
 
+# invented for this test: a subject, a verb and an object each, in four languages
+ORDINARY = {
+    "en": (["The train", "My neighbour", "This translation", "The wooden clock", "A trained pilot"], ["was close to", "travelled the path to", "is worth", "looked at", "studied"], "the cloud.| the idiom.| the stupendous scenery.| the clothes.| a pathway.".split("|")),
+    "de": (["Der Zug", "Meine Nachbarin", "Die Übersetzung"], ["stand vor", "fuhr zu", "kam aus"], "dem Trottoir.| der Versammlung.| dem Dummy.".split("|")),
+    "fr": (["Le train", "Ma voisine", "La traduction"], ["arrive près de", "parle de", "vient de"], "la connexion.| l'ordinateur.| la débilitation.".split("|")),
+    "es": (["El tren", "Mi vecina", "La traducción"], ["llega cerca de", "habla de", "viene de"], "la basílica.| el idioma.| la escalera.".split("|")),
+}
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     model = toxicity.fit(docs.where(~toxicity.held_out()), labels.where(~toxicity.held_out()))
     r = toxicity.score_toxicity(docs.where(toxicity.held_out()), model).join(labels, "doc_id").toPandas()
     hit = ((r.predicted == 1) & (r.toxic == 1)).sum()
-    assert hit / r.predicted.sum() > 0.9 and hit / r.toxic.sum() > 0.7
+    assert hit / r.predicted.sum() >= 0.95 and hit / r.toxic.sum() >= 0.8
+    scorer = toxicity.Scorer(model)
+    sentences = [f"{a} {b} {c.strip()}" for x in ORDINARY.values() for a, b, c in itertools.product(*x)]
+    assert len(sentences) > 200 and max(map(scorer.score, sentences)) < 0.3
+    said = [scorer.score(t) for t in ("You are an idiot.", "There was an idiot.", "Anna said you are an idiot.", "You are not an idiot.", "You are a neighbour.")]
+    assert said == sorted(said, reverse=True) and len(set(said)) == 5 and said[0] > 0.7 and said[2] < 0.7
+
+
+def test_ordered_fit_against_brute_force():
+    """No weights on a grid within the order have a lower penalised loss than those of the fit."""
+    rng = np.random.default_rng(5)
+    k = len(toxicity.PATTERNS)
+    x = np.c_[np.ones(400), rng.exponential(1.0, (400, 2 * k)) * (rng.random((400, 2 * k)) < 0.3)]
+    y = (x[:, 1] - 2 * x[:, 2] + x[:, 3] + rng.normal(0, 1, 400) > 0.2).astype(float)  # aimed counts against, so the order binds
+    w = np.ones(400)
+    tied, got = toxicity.ordered(), toxicity.logistic(x, y, w)
+    best = dict(zip(toxicity.PATTERNS, got[1 : k + 1], strict=True))
+    assert all(best[b] >= best[a] + toxicity.STEP - 1e-9 for a, b in itertools.pairwise(toxicity.ORDER))
+
+    def loss(beta):
+        z = x @ beta
+        steps = np.linalg.solve(tied, beta[1:]) - np.linalg.solve(tied, toxicity.PRIOR)
+        return (np.log1p(np.exp(z)) - y * z).sum() + 0.25 * ((steps**2).sum() + (beta[0] - toxicity.BASE) ** 2)
+
+    low = np.r_[[toxicity.STEP * (p in toxicity.ORDER[1:]) for p in toxicity.PATTERNS], np.zeros(k)]
+    at = np.linalg.solve(tied, got[1:])
+    for _ in range(2000):
+        near = np.maximum(at + rng.normal(0, 0.1, 2 * k) * (rng.random(2 * k) < 0.3), low)
+        assert loss(np.r_[got[0] + rng.normal(0, 0.05), tied @ near]) > loss(got) - 1e-3
+
+
+def test_toxicity_of_empty_and_repeated_rows(spark, documents):
+    model = toxicity.Model({"idiot$": 5.0})
+    assert toxicity.score_toxicity(documents([]), model).count() == 0
+    rows = documents(["You idiot.", None, ""])
+    got = toxicity.score_toxicity(rows.union(rows).withColumn("score", F.lit("x")), model).collect()
+    assert len(got) == 6 and len({(r.doc_id, r.score) for r in got}) == 3 and len({r.score for r in got}) == 2
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, None)], "doc_id long, toxic int")
+    assert 0 <= toxicity.Scorer(toxicity.fit(rows, labels)).score("You idiot.") <= 1
+    assert toxicity.fit(documents([]), labels).stems
