@@ -56,6 +56,10 @@ FORMS = frozenset(
     stories content contents page site header form icon icons panel top bottom left right inner outer main primary secondary body group
     row col column zone slot card cards module region toggle message msg to""".split()
 )
+#: Words that make of a class a state of the page ("has-sidebar", "comments-open", "layout-fixed-footer"): it tells nothing of its element.
+STATES = frozenset("has no not non with without is layout open opened close closed on off enabled disabled allowed active above below before after".split())
+#: Words of the lists that also begin names of other things ("ad-hoc-analysis", "comment-on-art"): first in a name they do not decide.
+UNSURE = frozenset("ad ads comment footer".split())
 #: Elements that hold prose: for them a word of the lists has to be the whole class, id or role.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre code td th dt dd b i em strong a span figure figcaption".split())
 MAIN_WORDS = frozenset("main article articlebody".split())
@@ -68,6 +72,8 @@ HOSTS = 2_000
 #: Tasks that the pages of one host are dealt to where the wrappers are joined.
 SALTS = 32
 PERIODS = (1, 2, 3)
+#: Units of a sequence that pages of a host may differ in before it is held as a bag, one unit of each name.
+WIDE = 64
 #: A slot's text is the host's if it is the same on so many pages that differ in content.
 PAGES = 3
 #: Texts that a slot remembers, to find those on half of its pages; the rarest of more are forgotten.
@@ -154,7 +160,8 @@ def tree(page: str) -> list:
 
 
 # A wrapper's units: ["t", constant or None, optional, contents, pages, usual], ["e", key, units, optional, repeated]
-# and ["g", units, optional, repeated] for repeated groups of several units. The contents of a
+# and ["g", units, optional, repeated] for repeated groups of several units, with "bag" added if the units may
+# be in any order. The contents of a
 # constant are digests of the first PAGES (by digest) different contents of pages that have it.
 # On pages without an article element a slot also counts the pages that have it and, of each text
 # in it that recurs, the pages and contents: in a menu every entry is usual, though the slot varies.
@@ -217,6 +224,8 @@ def merge(a: list, b: list, same: bool = False) -> list:
         if a[1] is None or a[1] != b[1]:
             return ["t", None, a[2] | b[2], [], *usual]
         return ["t", a[1], a[2] | b[2], a[3] if a[3] == b[3] else sorted({*a[3], *b[3]})[:PAGES], *usual]
+    if a[0] == "g" and (is_bag([a]) or is_bag([b])):
+        return bags([a], [b], same)[0]
     if a[0] == "g":
         return ["g", align(a[1], b[1], same), a[2] | b[2], a[3] | b[3]]
     return ["e", a[1], align(a[2], b[2], same), a[3] | b[3], a[4] | b[4]]
@@ -229,7 +238,13 @@ def _optional(unit: list) -> list:
 
 
 def align(a: list[list], b: list[list], same: bool = False) -> list[list]:
-    """Align two sequences of units; what only one has becomes optional, then neighbours fold."""
+    """Align two sequences of units; what only one has becomes optional, then neighbours fold.
+
+    Sequences that differ so much that over WIDE units come of it are held as one repeated group of
+    optional units, each name once: no longer than the names that the host uses, whatever its pages.
+    """
+    if is_bag(a) or is_bag(b):
+        return bags(a, b, same)
     x, y = [*map(name, a)], [*map(name, b)]
     if x == y:
         return [merge(u, v, same) for u, v in zip(a, b, strict=True)]
@@ -240,7 +255,32 @@ def align(a: list[list], b: list[list], same: bool = False) -> list[list]:
         else:
             out += map(_optional, a[i:j])
             out += map(_optional, b[k:m])
-    return fold(out)
+    out = fold(out)
+    return bags(a, b, same) if len(out) > WIDE else out
+
+
+def is_bag(units: list[list]) -> bool:
+    return len(units) == 1 and units[0][0] == "g" and len(units[0]) > 4
+
+
+def bag(units: list[list]) -> dict[str, list]:
+    """One optional unit a name, merged from all that have it; groups are opened."""
+    out: dict[str, list] = {}
+    todo = units[::-1]
+    while todo:
+        u = todo.pop()
+        if u[0] == "g":
+            todo += u[1][::-1]
+        else:
+            out[name(u)] = merge(out[name(u)], u, True) if name(u) in out else _optional(u)
+    return out
+
+
+def bags(a: list[list], b: list[list], same: bool) -> list[list]:
+    """Two sequences as one bag: what is one after the other may be in any order."""
+    x, y = bag(a), bag(b)
+    units = [merge(x[n], y[n], same) if n in x and n in y else x.get(n) or y[n] for n in sorted({*x, *y})]
+    return [["g", units, 1, 1, "bag"]]
 
 
 def fold(units: list[list]) -> list[list]:
@@ -269,7 +309,11 @@ def fold(units: list[list]) -> list[list]:
 
 @functools.lru_cache(65_536)
 def outside(key: str) -> bool:
-    """Whether an element's text is never the article's, by its tag and the words of class, id and role."""
+    """Whether an element's text is never the article's, by its tag and the words of class, id and role.
+
+    Of a name in several parts the last decides ("reader-comments"), or the first where it is not UNSURE
+    ("cookie-law"), or all of them; a name that tells a state of the page does not count.
+    """
     tag, *words = key.split(".")
     if tag in OUTSIDE or "hidden" in words:
         return True
@@ -278,7 +322,9 @@ def outside(key: str) -> bool:
     if tag in PROSE:
         return bool(OUTSIDE_ALONE.intersection(words))
     for parts in (w.split("-") for w in words):
-        if OUTSIDE_WORDS.intersection(parts) or (OUTSIDE_ALONE.intersection(parts) and not set(parts) - OUTSIDE_ALONE - FORMS):
+        if STATES.intersection(parts):
+            continue
+        if parts[-1] in OUTSIDE_WORDS or parts[0] in OUTSIDE_WORDS - UNSURE or (OUTSIDE_ALONE.intersection(parts) and not set(parts) - OUTSIDE_ALONE - FORMS):
             return True
     return False
 

@@ -103,6 +103,36 @@ def test_markup_and_names(page, text):
     assert wrappers.extract(page, wrappers._dump(["e", "html", [], 0, 0])) == text
 
 
+@pytest.mark.parametrize("opened", ["<div class='page has-sidebar'>", "<div class='entry no-comments'>", "<div class='post comments-open'>", "<section class=ad-hoc-analysis>", "<div class=layout-fixed-footer>", "<div id=main-with-sidebar>", "<article><div class='entry has-sidebar'>"])
+def test_states_of_a_page_tell_nothing_of_an_element(opened):
+    dummy = wrappers._dump(["e", "html", [], 0, 0])
+    page = opened + "<p>the text</p><div class=reader-comments>c</div><div class=cookie-law-info>k</div><div class=ad-slot>a</div><div class=site-footer>f</div></div>"
+    assert wrappers.extract(page, dummy) == "the text"
+
+
+def _units(units):
+    return sum(1 + (_units(u[1]) if u[0] == "g" else _units(u[2]) if u[0] == "e" else 0) for u in units)
+
+
+def test_wrappers_stay_short(spark):
+    """Pages of ordinary blocks in any order: the wrapper grows with their names, not with the pages."""
+    rnd, sizes, found = random.Random(2), {}, None
+    tags = ["p", "h2", "ul", "figure", "pre", "table", "blockquote", "dl", "h3", "div"]
+    page = lambda i: "<h1>Same head</h1>" + "".join(f"<{t}>{i} {k}</{t}>" for k, t in enumerate(rnd.choices(tags, k=25))) + "<h6>Same end</h6>"
+    pages = [page(i) for i in range(2000)]
+    for i, h in enumerate(pages):
+        own = wrappers.infer(wrappers.tree(h))
+        found = wrappers.merge(found, own) if found else own
+        sizes[i + 1] = _units(found[2])
+    assert sizes[2000] <= sizes[200] * 1.1 and sizes[2000] < 2 * wrappers.WIDE
+    assert not wrappers.is_bag(wrappers.merge(*map(wrappers.infer, map(wrappers.tree, ("<p>a<h2>b", "<p>c<h3>d"))))[2])
+    # what all pages share still goes, and nothing else does
+    rows = [(i, "http://h.org/x", h) for i, h in enumerate(pages[:300])]
+    got = {r.page_id: r.text for r in wrappers.extract_text(_pages(spark, rows)).collect()}
+    dummy = wrappers._dump(["e", "html", [], 0, 0])
+    assert got == {i: wrappers.extract(h, dummy).removeprefix("Same head\n").removesuffix("\nSame end") for i, _, h in rows}
+
+
 def test_archives_round_trip(spark):
     long = "é" * 600 + "WARC/1.1\r\n\r\n"
     rows = [(1, "http://a", long), (5, "http://b", long), (3, "http://c\r\nX: y", long), (4, None, None), (6, "u", "short"), (7, "u", "short")]
