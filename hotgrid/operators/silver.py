@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hotgrid.config import Config
 from hotgrid.functions import hexgrid
 from hotgrid.functions.exprs import great_circle_km, parse_ts
-from hotgrid.sources.layers import written
 
 MANDATORY = ("unique_key", "case_number", "incident_ts", "primary_type", "latitude", "longitude", "community_area")
 
@@ -41,24 +40,15 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.upper(F.trim(c)) for c in texts} | casts).drop("location", "x_coordinate", "y_coordinate", "updated_on")
 
 
-#: Repeated keys that may be broadcast: 8 bytes each.
-BROADCAST_KEYS = 2_000_000
-
-
-def deduplicate(df: DataFrame, key: str = "unique_key", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "unique_key") -> DataFrame:
     """One row a key, the least by all columns: the same at every run.
 
-    Only the keys are grouped over all rows (a hash aggregate of one column). Up to ``broadcast_keys``
-    of them that repeat are broadcast: other rows stay where they are, and only the
-    rows of repeated keys are shuffled and sorted. With more, all rows are.
+    One scan and one shuffle. Each task first keeps one row of every key that it has, so a key that
+    is delivered very often sends a row a task.
     """
     rest = [c for c in df.columns if c != key]
-    least = lambda x: x.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    repeated = written(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
-    if repeated.count() > broadcast_keys:
-        return least(df)
-    keys = F.broadcast(repeated)
-    return df.join(keys, key, "left_anti").unionByName(least(df.join(keys, key, "left_semi")))
+    least = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+    return least.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def clean(df: DataFrame, as_of: str, cfg: Config = Config()) -> DataFrame:
