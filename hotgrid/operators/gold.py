@@ -70,6 +70,21 @@ def quality_report(before: DataFrame, gold: DataFrame, most: float = 0.05) -> Da
     return out.withColumn("passed", (F.col("n_gold") > 0) & (F.col("null_share") <= most))
 
 
+def weather_coverage(facts: DataFrame, dims: DataFrame, weather: DataFrame, value: str = "TMAX") -> DataFrame:
+    """One row: facts with a cell, those whose station has no ``value`` on their day, those with a true 0, and the share that lacks it.
+
+    Counted before missing values are filled, so a day of 0 degrees is no gap. ``dims`` has each cell's station,
+    ``weather`` is in long form.
+    """
+    seen = weather.where(F.col("datatype") == value).groupBy("date", "station_id").agg(F.min("value").alias("_v"))
+    # facts are counted by cell and day first: what meets the weather is bounded by the grid and the calendar
+    days = facts.where("cell is not null").groupBy("cell", F.to_date("incident_ts").alias("date")).agg(F.count("*").alias("_n"))
+    rows = days.join(dims.select("cell", "station_id"), "cell", "left").join(seen, ["date", "station_id"], "left")
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0))
+    out = rows.agg(of(F.lit(True)).alias("n_gold"), of(F.col("_v").isNull()).alias("no_weather"), of(F.col("_v") == 0).alias("zero_weather"))
+    return out.withColumn("no_weather_share", F.when(F.col("n_gold") > 0, F.col("no_weather") / F.col("n_gold")).otherwise(0.0))
+
+
 def centroids(df: DataFrame) -> DataFrame:
     return df.where("cell is not null").groupBy("cell").agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.config import Config
@@ -34,6 +34,23 @@ def daily(facts: DataFrame) -> DataFrame:
     )
 
 
+def arrest_flag(df: DataFrame) -> Column:
+    """1 if most of a row's incidents led to an arrest: the rounded flag if the frame has it, else its rate over a half, else 0.
+
+    A null is 0.
+    """
+    if "arrest_flag" in df.columns:
+        return F.coalesce(F.col("arrest_flag").cast("int"), F.lit(0))
+    if "arrest_rate" in df.columns:
+        return F.coalesce((F.col("arrest_rate") > 0.5).cast("int"), F.lit(0))
+    return F.lit(0)
+
+
+def with_arrest_flag(facts: DataFrame) -> DataFrame:
+    """The facts with their rate of arrests rounded to a flag."""
+    return facts.withColumn("arrest_flag", F.round("arrest_rate").cast("int"))
+
+
 def modal_area(facts: DataFrame) -> DataFrame:
     """The area that most of a cell's incidents are in, ties to the least id."""
     n = facts.groupBy("cell", "community_area").agg(F.count("*").alias("n"))
@@ -77,9 +94,13 @@ def sanitize(df: DataFrame, train: DataFrame, names: tuple[str, ...]) -> DataFra
 
 
 def holiday_features(dates: DataFrame, holidays: DataFrame) -> DataFrame:
-    """Days since the last holiday (today counts) and to the next one, bounded by 30."""
-    gap = F.datediff("date", "holiday")
-    pairs = dates.select("date").distinct().join(F.broadcast(holidays), F.abs(gap) <= 365, "left")
-    out = pairs.groupBy("date").agg(F.min(F.when(gap >= 0, gap)).alias("a"), F.min(F.when(gap < 0, -gap)).alias("b"))
-    since, until = F.least(F.coalesce("a", F.lit(365)), F.lit(30)), F.least(F.coalesce("b", F.lit(365)), F.lit(30))
-    return out.select("date", (F.coalesce("a", F.lit(365)) == 0).cast("int").alias("is_holiday"), since.alias("days_from_holiday"), until.alias("days_to_holiday"), ((since <= 2) | (until <= 2)).cast("int").alias("holiday_window"))
+    """Days since the last holiday (today counts) and to the next one, bounded by 30.
+
+    Each holiday tells the days that are nearer than the bound how far it is, so days meet holidays by date.
+    """
+    bound, gap = F.lit(30), F.datediff("date", "holiday")
+    told = holidays.select("holiday", F.explode(F.sequence(F.date_sub("holiday", 29), F.date_add("holiday", 29))).alias("date"))
+    told = told.groupBy("date").agg(F.min(F.when(gap >= 0, gap)).alias("a"), F.min(F.when(gap < 0, -gap)).alias("b"))
+    out = dates.select("date").distinct().join(told, "date", "left")
+    since, until = F.coalesce("a", bound), F.coalesce("b", bound)
+    return out.select("date", (since == 0).cast("int").alias("is_holiday"), since.alias("days_from_holiday"), until.alias("days_to_holiday"), ((since <= 2) | (until <= 2)).cast("int").alias("holiday_window"))

@@ -390,6 +390,16 @@ STATEMENTS: dict[str, str] = {
     "prediction_table": f"SELECT prediction_date, cell AS h3_index, round(score * 1e9) AS score_ppb, risk_level, '{Q.MADE[:10]}.groupblend' AS model_version, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) AS made_sec, CAST(score >= 0.5 AS INTEGER) AS pred_hotspot, dominant_type, rank AS risk_rank, rank_pct AS risk_rank_pct, confidence_score, confidence_level, score_std AS group_score_std, margin_to_cut AS score_margin_to_cutoff, 0.2 AS group_w_context FROM predictions",
     "incidents_geojson": """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(round(longitude, 6) AS VARCHAR) || ',' || CAST(round(latitude, 6) AS VARCHAR) || ']},"properties":{"unique_key":' || unique_key || ',"date":"' || CAST(date AS VARCHAR) || '","crime_category":"' || crime_category || '"}}' AS value FROM exported""",
     "extract_day": f"SELECT *, {_SECOND} AS incident_sec FROM incidents WHERE CAST(incident_ts AS DATE) = DATE '1998-03-15' ORDER BY unique_key",
+    "extract_raw_day": f"SELECT unique_key, case_number, strftime(incident_ts, '%Y-%m-%d %H:%M:%S+00:00') AS date, primary_type, arrest, domestic, community_area, latitude, longitude, " + ", ".join(f"NULL AS {c}" for c in ("block", "iucr", "description", "location_description", "beat", "district", "ward", "fbi_code", "x_coordinate", "y_coordinate", "year", "updated_on", "location")) + " FROM incidents WHERE CAST(incident_ts AS DATE) = (SELECT max(CAST(incident_ts AS DATE)) FROM incidents)",
+    "bronze_days": f"SELECT year(incident_ts) AS part_year, month(incident_ts) AS part_month, day(incident_ts) AS part_day, count(*) AS n, CAST(epoch(TIMESTAMP '{Q.MADE}') AS BIGINT) + CASE WHEN day(incident_ts) % 10 = 0 THEN 86400 ELSE 0 END AS ingested_sec FROM incidents GROUP BY 1, 2, 3, 5",
+    "loaded_ledger": "SELECT date, 'incidents' AS source, CASE WHEN day(date) % 3 = 0 THEN count(*) ELSE count(*) FILTER (unique_key % 2 = 0) END AS rows FROM (SELECT unique_key, CAST(incident_ts AS DATE) AS date FROM incidents) GROUP BY date HAVING day(date) % 3 = 0 OR count(*) FILTER (unique_key % 2 = 0) > 0",
+    "station_files": "SELECT station_id, date, temp_max AS TMAX, temp_min AS TMIN, precipitation AS PRCP, wind_speed AS AWND, snow_depth AS SNWD FROM weather",
+    "dimension_files": "SELECT s.*, (n_nationkey + 1) * 1000.5 AS population FROM socio s LEFT JOIN nation ON community_area_name = upper(trim(n_name))",
+    "arrest_flags": "SELECT cell, date, sum(CAST(round(arrest_rate) AS INTEGER)) AS flagged, count(*) FILTER (arrest) AS arrests FROM gold GROUP BY cell, date",
+    "weather_coverage": "SELECT count(*) AS n_gold, count(*) FILTER (v IS NULL) AS no_weather, count(*) FILTER (v = 0) AS zero_weather, count(*) FILTER (v IS NULL) / CAST(count(*) AS DOUBLE) AS no_weather_share FROM (SELECT w.v FROM clean c JOIN nearest n ON c.cell = n.cell LEFT JOIN (SELECT date, station_id, min(value) AS v FROM weather_long WHERE datatype = 'TMAX' GROUP BY ALL) w ON w.date = CAST(incident_ts AS DATE) AND w.station_id = n.station_id)",
+    "geojson_files": """SELECT *, count(*) OVER (PARTITION BY kind) AS written FROM (SELECT 'incidents' AS kind, longitude, latitude, CAST(unique_key AS VARCHAR) AS name, date AS day, crime_category AS what FROM exported
+      UNION ALL SELECT 'forecast', longitude, latitude, cell, prediction_date, risk_level FROM forecast WHERE latitude IS NOT NULL AND longitude IS NOT NULL)""",
+    "stream_redelivered": "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, ts, event_type FROM events) GROUP BY 1, 2",
     "run_windows": f"SELECT run_date, day(run_date) = 1 AS \"full\", CASE WHEN day(run_date) = 1 THEN DATE '{CFG.first_year}-01-01' ELSE run_date - 26 END AS start, run_date - 5 AS \"end\" FROM (SELECT DISTINCT CAST(incident_ts AS DATE) AS run_date FROM incidents)",
     "year_chunks": "SELECT greatest(lo, make_date(y, 1, 1)) AS chunk_start, least(hi, make_date(y, 12, 31)) AS chunk_end FROM (SELECT lo, hi, unnest(range(year(lo), year(hi) + 1)) AS y FROM (SELECT min(CAST(incident_ts AS DATE)) AS lo, max(CAST(incident_ts AS DATE)) AS hi FROM incidents))",
     "landed_incidents": f"SELECT *, {_SECOND} AS parsed_sec FROM incidents WHERE incident_ts >= TIMESTAMP '1998-03-01' AND incident_ts < TIMESTAMP '1998-05-01' AND day(incident_ts) % 7 <> 0",

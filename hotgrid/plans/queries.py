@@ -595,6 +595,97 @@ def extract_day(spark, d):
     return rows.withColumn("incident_sec", F.unix_timestamp("incident_ts")).orderBy("unique_key")
 
 
+RAW_DDL = tables.RAW.replace("\n", " ")
+
+
+@query(RAW_DDL)
+def extract_raw_day(spark, d):
+    """The table's last day as the source's extract has it: all 22 columns, those that the test tables lack as nulls."""
+    rows = V.incidents(spark, d)
+    last = rows.agg(F.max(F.to_date("incident_ts")).cast("string").alias("d")).first()["d"]
+    return tables.extract_day(rows, last)
+
+
+@query("part_year int, part_month int, part_day int, n long, ingested_sec long")
+def bronze_days(spark, d):
+    """Rows a day of the whole bronze table, of which every tenth day was loaded again by a later run."""
+    path, day = _scratch(spark, "bronze"), F.to_date("parsed_date")
+    rows = V.incidents(spark, d).select("unique_key", F.col("incident_ts").alias("parsed_date"))
+    tables.write_bronze(rows, path, F.lit(MADE).cast("timestamp"))
+    tables.write_bronze(rows.where(F.dayofmonth(day) % 10 == 0), path, F.lit(MADE).cast("timestamp") + F.expr("interval 1 day"))
+    return spark.read.parquet(path).groupBy("part_year", "part_month", "part_day").agg(F.count("*").alias("n"), F.unix_timestamp(F.max("ingestion_time")).alias("ingested_sec"))
+
+
+@query("date date, source string, rows long")
+def loaded_ledger(spark, d):
+    """The ledger after a load and a second one of every third day, which replaces what it says of these days."""
+    book, day = _scratch(spark, "ledger"), F.to_date("incident_ts").alias("date")
+    rows = V.incidents(spark, d)
+    tables.append_ledger(rows.where("unique_key % 2 = 0").select(day), book, "incidents")
+    tables.append_ledger(rows.where(F.dayofmonth("incident_ts") % 3 == 0).select(day), book, "incidents")
+    return tables.read_ledger(spark, book)
+
+
+@query("station_id string, date date, TMAX double, TMIN double, PRCP double, AWND double, SNWD double")
+def station_files(spark, d):
+    """Station files, written and read back with their dates parsed."""
+    path = _scratch(spark, "stations")
+    names = {"temp_max": "TMAX", "temp_min": "TMIN", "precipitation": "PRCP", "wind_speed": "AWND", "snow_depth": "SNWD"}
+    wide = gold.weather_wide(V.weather_long(spark, d)).withColumnsRenamed(names)
+    tables.write_station_days(wide.select(*[c.split()[0] for c in tables.STATION_DAYS.split(", ")]), path)
+    return tables.read_station_days(spark, path)
+
+
+@query(tables.SOCIO + ", population double")
+def dimension_files(spark, d):
+    """Socio-economics and populations, each written as CSV and read with its schema, joined by name."""
+    socio, people = _scratch(spark, "socio"), _scratch(spark, "population")
+    gold.socio_dim(V.tracts(spark, d), V.crosswalk(spark, d), V.area_names(spark, d)).select(*[c.split()[0] for c in tables.SOCIO.split(", ")]).write.option("header", True).csv(socio)
+    V.area_names(spark, d).select("community_area_name", (F.col("community_area") * F.lit(1000.5)).alias("population")).write.option("header", True).csv(people)
+    return gold.with_population(tables.read_csv(spark, socio, tables.SOCIO), tables.read_csv(spark, people, tables.POPULATION))
+
+
+@query("cell string, date date, flagged long, arrests long")
+def arrest_flags(spark, d):
+    """Of each cell's days the incidents whose rounded rate of arrests is 1, beside the arrests themselves."""
+    rows = panel.with_arrest_flag(facts(spark, d))
+    return rows.withColumn("flag", panel.arrest_flag(rows)).groupBy("cell", "date").agg(F.sum("flag").alias("flagged"), F.count_if("arrest").alias("arrests"))
+
+
+@query("n_gold long, no_weather long, zero_weather long, no_weather_share double")
+def weather_coverage(spark, d):
+    """Facts without a temperature, counted before the gaps are filled: a true 0 is none."""
+    rows = clean(spark, d)
+    return gold.weather_coverage(rows, gold.nearest_station(gold.centroids(rows), V.stations(spark, d)), V.weather_long(spark, d))
+
+
+@query("kind string, longitude double, latitude double, name string, day date, what string, written long")
+def geojson_files(spark, d):
+    """Both exports as GeoJSON files, read back, with the number of features that their writing counted."""
+    out = None
+    for kind, rows, day, what in (
+        ("incidents", export_incidents(spark, d).withColumn("name", F.col("unique_key").cast("string")), "date", "crime_category"),
+        ("forecast", export_forecast(spark, d).withColumn("name", F.col("cell")), "prediction_date", "risk_level"),
+    ):
+        path = _scratch(spark, kind)
+        n = tables.write_geojson(rank.geojson(rows.select("name", F.col(day).alias("day"), F.col(what).alias("what"), "latitude", "longitude")), path)
+        one = tables.read_geojson(spark, path, "name string, day date, what string").withColumns({"kind": F.lit(kind), "written": F.lit(n)})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("date date, event_type string, n long")
+def stream_redelivered(spark, d):
+    """Events of which every third is delivered a second time in another file: each counts once."""
+    source = _scratch(spark, "arrivals")
+    events = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # the watermark is wider than the table's time, so that no repetition comes after it
+    events.unionByName(events.where("event_id % 3 = 0")).repartition(4, F.rand(5)).write.parquet(source)
+    arrivals = stream.incidents(spark, source, spark.read.parquet(source).schema, files_per_batch=2)
+    counts = stream.deduplicated(arrivals, "ts", "event_id", "3650 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return stream.run_once(counts.select(F.to_date("w.start").alias("date"), "event_type", "n"), _scratch(spark, "stream"))
+
+
 @query("run_date date, full boolean, start date, end date")
 def run_windows(spark, d):
     """The days that a run of each day loads; the first of a month loads all."""
@@ -624,7 +715,7 @@ def landed_incidents(spark, d):
     tables.land_days(raw, root)
     tables.append_ledger(rows.select(F.to_date(ts).alias("day")).where(F.dayofmonth("day") % 7 != 0), book, "test", "day")
     back = silver.parse_dates(tables.read_raw_days(spark, root).where("_corrupt is null")).withColumn("day", F.to_date("parsed_date"))
-    return tables.complete_days(back, spark.read.parquet(book), "day").withColumn("parsed_sec", F.unix_timestamp("parsed_date"))
+    return tables.complete_days(back, tables.read_ledger(spark, book, "day"), "day").withColumn("parsed_sec", F.unix_timestamp("parsed_date"))
 
 
 @query("unique_key long, day date")

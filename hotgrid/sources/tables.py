@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from hotgrid.config import IncrementalWindow
@@ -12,6 +12,10 @@ location_description string, arrest boolean, domestic boolean, beat int, distric
 x_coordinate double, y_coordinate double, year int, updated_on string, latitude double, longitude double, location string"""
 WEATHER = "date string, datatype string, value double, station string"
 POI = "latitude double, longitude double, poi_type string"
+#: Station files: one row a station and day, its date as month/day/year.
+STATION_DAYS = "station_id string, date string, TMAX double, TMIN double, PRCP double, AWND double, SNWD double"
+SOCIO = "community_area int, community_area_name string, per_capita_income double, unemployment_rate double, hardship_index int, population_density double"
+POPULATION = "community_area_name string, population double"
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +28,40 @@ def read_raw_days(spark: SparkSession, root: str) -> DataFrame:
     return read_raw(spark, f"{root}/*/*/*/*.csv")
 
 
+def extract_day(source: DataFrame, day: str | Column, ts: str = "incident_ts") -> DataFrame:
+    """All incidents of one day with the raw table's columns, in the order of their keys.
+
+    The filter is on the timestamp itself, so a day that is a literal reaches the scan. ``date`` is the text that the landed files have;
+    columns that the source lacks are null.
+    """
+    start = F.lit(day).cast("timestamp") if isinstance(day, str) else day.cast("timestamp")
+    rows = source.where((F.col(ts) >= start) & (F.col(ts) < start + F.expr("interval 1 day")))
+    have = {c: F.col(c) for c in source.columns} | {"date": F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))}
+    kinds = [c.split() for c in RAW.replace("\n", " ").split(", ")]
+    return rows.select(*[have.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds]).orderBy("unique_key")
+
+
+def write_bronze(df: DataFrame, path: str, ingested: Column | None = None, date_col: str = "parsed_date") -> None:
+    """Rows as they came, by year, month and day, with the time of their loading; days that come again are replaced.
+
+    ``ingested`` is the time of the run, the clock's if it is not given. Rows without a date are in the partition of nulls.
+    """
+    keys = {"part_year": F.year(date_col), "part_month": F.month(date_col), "part_day": F.dayofmonth(date_col)}
+    out = df.withColumns(keys | {"ingestion_time": F.current_timestamp() if ingested is None else ingested})
+    # so many tasks as shuffles have: small days would else be merged into few tasks, which write their files one after another
+    out.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
+def read_station_days(spark: SparkSession, path: str) -> DataFrame:
+    """Station files with their dates parsed; a date that does not fit month/day/year is null."""
+    return read_csv(spark, path, STATION_DAYS).withColumn("date", F.try_to_date("date", "M/d/yyyy"))
+
+
+def write_station_days(wide: DataFrame, path: str) -> None:
+    """Weather of stations and days as the station files have it: dates without leading zeros."""
+    wide.withColumn("date", F.date_format("date", "M/d/yyyy")).write.mode("overwrite").option("header", True).csv(path)
+
+
 def land_days(df: DataFrame, root: str, ts: str = "incident_ts") -> None:
     """Land incidents as CSV by day: one folder a day, written again as a whole if the day comes again."""
     day = {"year": F.year(ts), "month": F.lpad(F.month(ts).cast("string"), 2, "0"), "day": F.lpad(F.dayofmonth(ts).cast("string"), 2, "0")}
@@ -95,14 +133,25 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int = 64, by:
     return spark.table(table)
 
 
-def write_geojson(features: DataFrame, path: str) -> None:
-    features.write.mode("overwrite").text(path)
+def write_geojson(features: DataFrame, path: str) -> int:
+    """Features, one a line (a GeoJSON sequence), written by all tasks in parallel; the number that were written."""
+    seen = Observation("features")
+    features.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").text(path)
+    return seen.get["rows"]
+
+
+def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """(longitude, latitude, and the properties listed) of the features of written files."""
+    kinds = "type string, geometry struct<type:string,coordinates:array<double>>, properties struct<" + properties.replace(" ", ":").replace(",:", ",") + ">"
+    at = F.col("geometry.coordinates")
+    return spark.read.schema(kinds).json(path).select(at[0].alias("longitude"), at[1].alias("latitude"), "properties.*")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> int:
-    """Write a dimension, whole or as more rows; the number of rows that the call wrote."""
-    df.write.mode(mode).parquet(path)
-    return df.count()
+    """Write a dimension, whole or as more rows; the number of rows that the call wrote, counted while it does."""
+    seen = Observation("table")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    return seen.get["rows"]
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -124,5 +173,12 @@ def complete_days(days: DataFrame, ledger: DataFrame, date_col: str = "date") ->
 
 
 def append_ledger(df: DataFrame, path: str, source: str, date_col: str = "date") -> None:
-    """One row per day loaded: date, rows, source."""
-    df.groupBy(date_col).agg(F.count("*").alias("rows")).withColumn("source", F.lit(source)).write.mode("append").parquet(path)
+    """Note each day loaded: date, rows, source and the time of the load. Only rows are added; :func:`read_ledger` tells the last load's."""
+    days = df.groupBy(date_col).agg(F.count("*").alias("rows"))
+    days.withColumns({"source": F.lit(source), "loaded_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str, date_col: str = "date") -> DataFrame:
+    """(date, source, rows, loaded_at): one row a day and source, however often it was loaded; the last load counts."""
+    last = F.max(F.struct("loaded_at", "rows")).alias("_last")
+    return spark.read.parquet(path).groupBy(date_col, "source").agg(last).select(date_col, "source", "_last.rows", "_last.loaded_at")
