@@ -5,7 +5,12 @@ The lexer turns ``name = literal``, ``"name": "literal"``, ``name=literal`` (she
 name-literal pairs. Names that are bound to constants are propagated: in ``a = "x"`` and
 ``db_password = a + "y"`` the password is "xy". A pair is scored by how sensitive its
 name is and how much its literal looks like a key rather than a word. The spans are those
-of the literals themselves, wherever they were bound, not of the names that stand for them.
+of the literals themselves, wherever they were bound, not of the names that stand for them. A PEM block
+is a literal too, whose name is its label: that of a private key is a secret.
+
+A quoted literal may have any printable characters but spaces, one without quotes only those of keys.
+Templates ("${TOKEN}", "{{ token }}", "<your-token>") are no constants. Literals of several words, and those of
+letters alone, are not told from prose and are left to the base patterns.
 
 A bound value is kept as a count of its characters and links to its parts, never as a string:
 ``a = a + a`` doubles a number, and a text is lexed in time and memory that grow with its length.
@@ -36,7 +41,7 @@ KINDS = ("assign", "access", "hex", "lexed")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0,
     "accesskey": 1.0, "secretkey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "authorization": 0.8, "bearer": 0.8,
-    "signingkey": 1.0, "encryptionkey": 1.0, "clientsecret": 1.0, "connectionstring": 0.7, "dsn": 0.6, "key": 0.5, "salt": 0.5,
+    "signingkey": 1.0, "encryptionkey": 1.0, "clientsecret": 1.0, "connectionstring": 0.7, "dsn": 0.6,
 }
 #: Words in a name that make a sensitive part harmless: what follows is a place or a policy.
 HARMLESS = frozenset("file path url uri dir length len size min max count type name field policy hint label id ttl expiry regex pattern".split())
@@ -50,6 +55,11 @@ _TOKENS = re.compile(
 )
 _ATOM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*)"|[rbuf]?'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_]\w*)\}?|([^\s,;"'`(){}<>\[\]|]+))""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_$])")
+#: Base64 characters that a private key has at least.
+PEM_CHARS = 64
+# the body ends before the next five dashes, so a text is read once however many blocks begin in it
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----((?:[^-]|-(?!----))*+)")
+_TEMPLATE = re.compile(r"\$\{|\$\(|\{\{|\{[A-Za-z_]\w*\}|%\(|<%|\A<[^<>]*>\Z|\A\[[^\[\]]*\]\Z")
 _PLAIN = re.compile(r"[A-Za-z0-9+/_.=!@#$%^&*~:-]+\Z")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -108,9 +118,9 @@ def joined_value(parts: list) -> Value:
 def likeness(counts: dict[str, int]) -> float:
     """0 to 1: a literal's length, mixture of kinds of characters and entropy."""
     n = sum(counts.values())
-    if n < 8 or not _PLAIN.match("".join(counts)):
+    if n < 8 or not all(c.isprintable() and not c.isspace() for c in counts):
         return 0.0
-    kinds = any(c.isdigit() for c in counts) + any("a" <= c <= "z" for c in counts) + any("A" <= c <= "Z" for c in counts) + any(not c.isalnum() for c in counts)
+    kinds = any(c.isdigit() for c in counts) + any("a" <= c <= "z" for c in counts) + any("A" <= c <= "Z" for c in counts) + any(not (c.isascii() and c.isalnum()) for c in counts)
     entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
     if not any(c.isdigit() for c in counts) or kinds < 2:
         return 0.3 * min(1, entropy / 4)  # a word or a number
@@ -136,6 +146,9 @@ def lex(text: str) -> list[tuple[str, Value]]:
                 known = env.get(a[k]) if k > 3 else None
                 if known is None and k == 4:
                     break
+                if known is None and a[k] and (text.startswith("(", a.end()) or not _PLAIN.match(a[k]) if k == 5 else _TEMPLATE.search(a[k])):
+                    parts, end = [], a.end()  # a call, a template or prose is no constant
+                    break
                 if known is not None or a[k]:
                     parts.append(known if known is not None else (a[k], a.start(k), a.end(k)))
                 end = pos = a.end()
@@ -149,6 +162,17 @@ def lex(text: str) -> list[tuple[str, Value]]:
     return out
 
 
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of the bodies of PEM blocks of private keys, cut off ones included, without the spaces around."""
+    out = []
+    for m in _PEM.finditer(text):
+        body = m[1].strip()
+        if sum(c.isascii() and (c.isalnum() or c in "+/=") for c in body) >= PEM_CHARS:
+            start = m.start(1) + len(m[1]) - len(m[1].lstrip())
+            out.append((start, start + len(body)))
+    return out
+
+
 def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Starts and ends of the intervals that the spans cover together."""
     starts, ends = [], []
@@ -175,14 +199,17 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    found = private_keys(text) if "PRIVATE KEY" in text else []
     if "=" in text or ":" in text or "(" in text or "</" in text:  # else there is no pair
-        starts, ends = _merged([(a, b) for a, b, _ in spans])
         for name, value in lex(text):
             if not value.seen and (s := sensitivity(name)) and s * likeness(value.counts) >= THRESHOLD:
-                for a, b in value.spans():
-                    i = bisect_right(starts, a) - 1
-                    if i < 0 or ends[i] < b:
-                        spans.append((a, b, "lexed"))
+                found += value.spans()
+    if found:
+        starts, ends = _merged([(a, b) for a, b, _ in spans])
+        for a, b in found:
+            i = bisect_right(starts, a) - 1
+            if i < 0 or ends[i] < b:
+                spans.append((a, b, "lexed"))
     return sorted(set(spans), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
