@@ -67,3 +67,18 @@ def test_zero_degrees_are_no_gap(spark):
     weather = spark.createDataFrame([(dt.date(2000, 1, 1), "S", "TMAX", 0.0), (dt.date(2000, 1, 2), "S", "TMIN", 1.0)], "date date, station_id string, datatype string, value double")
     assert tuple(gold.weather_coverage(facts, dims, weather).first()) == (4, 2, 2, 0.5)
     assert tuple(gold.weather_coverage(facts.limit(0), dims, weather).first()) == (0, 0, 0, 0.0)
+
+
+def test_tracts_of_more_than_six_digits_meet_only_themselves(spark, tmp_path):
+    """Keys of a million and more were cut to six digits, so that they met the tracts of others."""
+    from hotgrid.sources import fixtures
+
+    keys = [100000, 100001, 1000000, 1000010, 7]
+    spark.createDataFrame([(k, 10, 20.0) for k in keys], "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    names = spark.createDataFrame([(1, "one")], "community_area int, community_area_name string")
+    got = gold.socio_dim(fixtures.tracts(spark, str(tmp_path)), fixtures.crosswalk(spark, str(tmp_path)), names).collect()
+    want = {}
+    for k in keys:
+        if k % 11:
+            want[k % 25 + 1] = want.get(k % 25 + 1, 0) + 1000.0
+    assert {r.community_area: r.population_density for r in got} == want
