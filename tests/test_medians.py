@@ -51,3 +51,26 @@ def test_each_pass_narrows(spark):
 def test_fill(spark):
     df = spark.createDataFrame([(math.nan, None, 1), (2.0, math.inf, 2)], "a double, b double, c int")
     assert [tuple(r) for r in M.fill(df, {"a": 0.5, "b": None}).collect()] == [(0.5, 0.0, 1), (2.0, 0.0, 2)]
+
+
+@pytest.mark.parametrize("narrow", [0, 99])
+def test_ranked_together_and_one_by_one(spark, monkeypatch, narrow):
+    monkeypatch.setattr(M, "NARROW", narrow)
+    data = _columns(random.Random(8), 501)
+    df = spark.createDataFrame(list(zip(*data.values(), strict=True)), ", ".join(f"{c} double" for c in data)).repartition(3)
+    own = {c: [v for v in values if v is not None and math.isfinite(v)] for c, values in data.items()}
+    assert M.medians(df, list(data), few=1) == {c: float(np.median(v)) if v else None for c, v in own.items()}
+
+
+def test_jobs_do_not_grow_with_columns(spark):
+    """Forty columns a pass, with several passes, took minutes for the some hundred features of a model."""
+
+    def jobs(columns):
+        group = f"medians-{columns}"
+        spark.sparkContext.setJobGroup(group, group)
+        df = spark.range(30_000).select(*[((F.col("id") * (i + 7)) % 29_989).cast("double").alias(f"c{i}") for i in range(columns)])
+        M.medians(df, df.columns)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(90) <= jobs(9) + 2

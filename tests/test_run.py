@@ -61,3 +61,13 @@ def test_predictions_are_replaced_or_appended(spark, tmp_path):
     assert read() == [("2001-01-02", "b")]
     with pytest.raises(ValueError):
         tables.write_predictions(df, path, "x")
+
+
+def test_models_are_fitted_together(spark):
+    """Five fits of many small jobs, one after another, were most of a run's time: each waits here for the others to begin."""
+    import threading
+
+    from hotgrid.sources.layers import together
+
+    begun = threading.Barrier(len(run.MODELS), timeout=60)
+    assert together(spark, {m: lambda m=m: (begun.wait(), m)[1] for m in run.MODELS}) == {m: m for m in run.MODELS}
