@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotgrid.functions.rules import GUARDED
@@ -17,12 +17,21 @@ def cols(kind: str, *names: str) -> str:
     return ", ".join(f"{n} {kind}" for n in names)
 
 
+def six(x: Column) -> Column:
+    """A double to 6 places as the SQL's engine rounds it: its millionfold to a whole number, halves away from zero.
+
+    ``round(x, 6)`` rounds the decimal text instead, which differs where a half has no exact double; what has no finite millionfold stays.
+    """
+    whole = F.round(x * 1e6)
+    return F.when(F.abs(whole) < float("inf"), whole / 1e6).otherwise(x)
+
+
 def shape(df: DataFrame, ddl: str) -> DataFrame:
     """Columns and types as listed; doubles to 6 places, and no negative zero."""
     out = []
     for name, kind in (c.split() for c in ddl.split(", ")):
         c = F.col(name).cast(kind)
-        out.append((F.round(c, 6) + 0.0 if kind == "double" else c).alias(name))
+        out.append((six(c) + 0.0 if kind == "double" else c).alias(name))
     return df.select(*out)
 
 
