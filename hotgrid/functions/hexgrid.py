@@ -38,6 +38,23 @@ def cell(lat: str | Column, lon: str | Column, cfg: Config = Config()) -> Column
     return F.when(q.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon), name(q, r))
 
 
+def with_cell(df: DataFrame, lat: str = "latitude", lon: str = "longitude", cfg: Config = Config(), to: str = "cell") -> DataFrame:
+    """``df`` with the cell of each row as :func:`cell` tells it, by steps that each name what the next ones use.
+
+    As one expression the steps are repeated inside of each other, which is too much code to be compiled: it costs a hundredfold.
+    """
+    c = F.col
+    out = df.withColumn("_y", (c(lat) - cfg.grid_lat) * 110.574).withColumn("_x", (c(lon) - cfg.grid_lon) * (111.320 * math.cos(math.radians(cfg.grid_lat))))
+    out = out.withColumns({"_q": (c("_x") * (math.sqrt(3) / 3) - c("_y") / 3) / cfg.edge_km, "_r": (c("_y") * (2 / 3)) / cfg.edge_km}).withColumn("_s", -c("_q") - c("_r"))
+    out = out.withColumns({f"_r{k}": F.floor(c(f"_{k}") + 0.5) for k in "qrs"})
+    out = out.withColumns({f"_d{k}": F.abs(c(f"_r{k}") - c(f"_{k}")) for k in "qrs"})
+    q_worst, r_worst = (c("_dq") > c("_dr")) & (c("_dq") > c("_ds")), c("_dr") > c("_ds")
+    out = out.withColumns({"_cq": F.when(q_worst, -c("_rr") - c("_rs")).otherwise(c("_rq")), "_cr": F.when(~q_worst & r_worst, -c("_rq") - c("_rs")).otherwise(c("_rr"))})
+    ok = c(lat).between(-90, 90) & c(lon).between(-180, 180)
+    steps = ("_x", "_y", "_cq", "_cr", *[f"_{a}{k}" for a in ("", "r", "d") for k in "qrs"])
+    return out.withColumn(to, F.when(ok & ~F.isnan(lat) & ~F.isnan(lon), name(c("_cq"), c("_cr")))).drop(*steps)
+
+
 def edges(cells: DataFrame, cell_col: str = "cell") -> DataFrame:
     """(cell, nbr, ring): rings 1 and 2 around each cell, of cells that are there themselves.
 
