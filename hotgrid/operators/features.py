@@ -55,7 +55,8 @@ def ewm(df: DataFrame, spans: tuple[int, ...], key: str = "cell", at: str = "_t"
 
     ``at`` numbers a key's rows from 0 on without a gap. Rows are summed in stretches of ``days``, a key's stretches in different
     tasks, so that powers of the decay stay in range for any length. A stretch's end is what it adds to the end of the
-    one before, and only these ends, one row a stretch, are gone through in order.
+    one before, and only these ends, one row a stretch, are gone through in order. Inside a stretch values are added in
+    their order, without negative powers, so means of short histories are exact where doubles can be.
     """
     n, place = F.lit(days), F.col(at) % days
     decay = {s: 1.0 - 2.0 / (s + 1) for s in spans}
@@ -68,9 +69,8 @@ def ewm(df: DataFrame, spans: tuple[int, ...], key: str = "cell", at: str = "_t"
     here = Window.partitionBy(key, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
 
     def mean(s: int) -> Column:
-        power = lambda k: F.pow(F.lit(decay[s]), k)
-        own = F.coalesce(F.sum(share(s) * power(-place)).over(here), F.lit(0.0))
-        return F.when(F.col(at) >= 2, power(place) * F.col(f"_{s}") + power(place - 1) * own)
+        own = F.aggregate(F.collect_list(share(s)).over(here), F.lit(0.0), lambda acc, x: acc * decay[s] + x)
+        return F.when(F.col(at) >= 2, F.pow(F.lit(decay[s]), place) * F.col(f"_{s}") + own)
 
     return df.join(start, [key, "_stretch"]).withColumns({f"ewm_{s}": mean(s) for s in spans}).drop("_stretch", *[f"_{s}" for s in spans])
 

@@ -32,3 +32,14 @@ def test_no_rows_and_one_task_a_stretch(spark):
     plan = features.ewm(df, (7,))._jdf.queryExecution().executedPlan().toString()
     assert "_stretch" in plan
     assert features.ewm(df, (7,)).where("ewm_7 is null").count() == 2
+
+
+def test_short_histories_are_exact(spark):
+    values = [35, 12, 61, 7, 48, 19, 33, 26, 90, 4, 77, 58]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(values)], "cell string, _t int, crimes long")
+    got = {r._t: r.ewm_7 for r in features.ewm(df, (7,)).collect()}
+    mean, want = float(values[0]), {0: None, 1: None}
+    for i, x in enumerate(values[1:], 1):
+        want |= {i: mean} if i >= 2 else {}
+        mean += 0.25 * (x - mean)
+    assert got == want
