@@ -80,14 +80,25 @@ def layer(spark: SparkSession, source: str, name: str, make: Callable[[], DataFr
     key = (spark.sparkContext.applicationId, source, name, state)
     if key in _written:
         try:
-            return spark.read.parquet(_written[key])
+            return _read(spark, _written[key])
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
     path = f"{shared_dir(spark)}/hotgrid-{name}-{uuid.uuid4().hex[:12]}"
     make().write.parquet(path)
     _written[key] = path
-    return spark.read.parquet(path)
+    return _read(spark, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    out = spark.read.parquet(path)
+    out._written_to = path
+    return out
+
+
+def folder(df: DataFrame) -> str:
+    """Where the files of a table are that :func:`written` or :func:`layer` made."""
+    return df._written_to
 
 
 def together[K: Hashable, T](spark: SparkSession, calls: dict[K, Callable[[], T]]) -> dict[K, T]:
