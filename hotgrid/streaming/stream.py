@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hotgrid.config import Config
 from hotgrid.functions import hexgrid
 from hotgrid.operators.silver import new_rows
+from hotgrid.sources.layers import files as data_files
 
 
 def incidents(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -16,13 +17,22 @@ def incidents(spark: SparkSession, path: str, schema, files_per_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(path)
 
 
+def deliver(rows: DataFrame, path: str, files: int) -> None:
+    """Add a delivery of exactly ``files`` files to ``path``, written by as many tasks, so that a stream of as many files a batch takes it as one batch."""
+    seen = len(data_files(rows.sparkSession, path))
+    rows.repartition(files).write.mode("append").parquet(path)
+    nothing = rows.sparkSession.createDataFrame([], rows.schema).coalesce(1)
+    for _ in range(files - (len(data_files(rows.sparkSession, path)) - seen)):  # tasks without rows write no file
+        nothing.write.mode("append").parquet(path)
+
+
 def deduplicated(stream: DataFrame, ts: str = "incident_ts", key: str = "unique_key", late: str = "26 days") -> DataFrame:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def daily_counts(stream: DataFrame, ts: str = "incident_ts", late: str = "26 days", cfg: Config = Config()) -> DataFrame:
     """Incidents per cell and day; a day is final when the watermark has passed it."""
-    cells = stream.withWatermark(ts, late).withColumn("cell", hexgrid.cell("latitude", "longitude", cfg))
+    cells = hexgrid.with_cell(stream.withWatermark(ts, late), cfg=cfg)
     return cells.groupBy(F.window(ts, "1 day").alias("w"), "cell").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("date"), "cell", "n")
 
 

@@ -39,3 +39,26 @@ def test_upsert_takes_the_least_row(spark, tmp_path):
     for _ in range(2):
         write(rows, 0)
     assert sorted((r.unique_key, r.x) for r in spark.read.parquet(target).collect()) == [(1, 3), (2, 9)]
+
+
+def test_a_delivery_of_many_files_is_one_batch(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    day = lambda m, d: (1, dt.datetime(2000, m, d), *BOX)
+    schema = "unique_key long, incident_ts timestamp, latitude double, longitude double"
+    # the second delivery has fewer rows than files
+    for rows in ([day(1, d) for d in range(1, 21)] * 9, [day(1, 19), day(3, 1)], [day(1, 2), day(3, 2), day(2, 28)] * 5):
+        stream.deliver(spark.createDataFrame(rows, schema), source, 6)
+    assert len(stream.data_files(spark, source)) == 18
+    got, told = stream.run_append(stream.daily_counts(stream.incidents(spark, source, spark.read.parquet(source).schema, 6), late="10 days", cfg=Config()), out)
+    assert [t["rows"] for t in told if t["rows"]] == [180, 2, 15]
+    assert {str(r.date): r.n for r in got.collect()} == {f"2000-01-{d:02d}": 10 if d == 19 else 9 for d in range(1, 21)}
+
+
+def test_counts_read_the_layer_itself(spark, sf):
+    from hotgrid.plans import queries
+    from hotgrid.sources import layers
+
+    rows = queries.clean(spark, sf)
+    assert layers.folder(rows) == layers.folder(queries.clean(spark, sf))
+    got = {(r.date, r.cell): r.n for r in queries.QUERIES["stream_cell_counts"](spark, sf).collect()}
+    assert got == {(r.date, r.cell): r["count"] for r in rows.groupBy(F.to_date("incident_ts").alias("date"), "cell").count().collect()}
