@@ -87,7 +87,9 @@ def refresh(silver: DataFrame, root: str, make: Callable[[DataFrame], DataFrame]
     if why:
         days = [F.lit(m).cast("date") for m in sorted(why)]
         own = lambda day: month(day).isin(*days)
-        rows = silver.where(own(F.to_date("incident_ts")) | own(F.date_add(F.to_date("incident_ts"), REACH + 1)))
+        day = F.to_date("incident_ts")
+        # all months that can look back on a day: of the end of January, February lies between its own and that of its reach
+        rows = silver.where(own(day) | own(F.add_months(month(day), 1)) | own(F.date_add(day, REACH)))
         gold = written(make(rows).where(own(F.col("date"))), "gold")
         write_gold(gold, f"{root}/gold")
         _drop_missing(gold.select(month(F.col("date")).alias("month_start")), f"{root}/gold", "month_start", list(why))

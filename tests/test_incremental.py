@@ -97,3 +97,10 @@ def test_a_refresh_that_ended_early_is_done_again(spark, tmp_path, base):
     with pytest.raises(RuntimeError):
         incremental.refresh(_silver(spark, late), root, fails, dims)
     assert _check(spark, root, late, dims) == {"2000-03": "rows", "2000-04": "rows"}
+
+
+def test_the_end_of_january_is_seen_from_february_alone(spark, tmp_path):
+    root, dims = str(tmp_path / "g"), _dims(spark)
+    rows = [(1, dt.datetime(2001, 1, 30, 7), "a", True), (2, dt.datetime(2001, 2, 20, 9), "a", False)]
+    _check(spark, root, rows, dims)
+    assert _check(spark, root, [*rows, (3, dt.datetime(2001, 2, 10, 1), "a", True)], dims) == {"2001-02": "rows"}
